@@ -37,30 +37,26 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     width = _widths(ids)
-    ends = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n) - np.arange(n)  # ids left in the block
     choice = np.full(n, ESCAPE, np.uint8)
-    widest = width.copy()  # over the next c ids
-    c = 1
-    fits: dict[int, np.ndarray] = {}
-    most = max(k for k, b in zip(COUNTS, BITS, strict=True) if b >= int(width.min()))
-    for k in range(1, most + 1):
+    widest = width  # over the next k ids
+    most = max((k for k, b in zip(COUNTS, BITS, strict=True) if b >= int(width.min())), default=0)
+    for k in range(1, min(most, n) + 1):
         if k > 1:
-            if k > n:
-                break
-            widest = np.maximum(widest[: n - k + 1], width[k - 1 :])
+            widest = np.maximum(widest[:-1], width[k - 1 :])
         if k in COUNTS:
-            fits[k] = widest <= BITS[COUNTS.index(k)]
-    for selector in range(len(COUNTS), 0, -1):
-        c = COUNTS[selector - 1]
-        if (ok := fits.get(c)) is not None:
-            choice[: len(ok)][ok & (ends[: len(ok)] >= c)] = selector
-    step = np.array([1, *COUNTS, 1])[choice]
-    jump = (np.arange(n) + step).tolist()
+            selector = COUNTS.index(k) + 1
+            fits = widest <= BITS[selector - 1]
+            for end in range(BLOCK, n, BLOCK):  # no word reaches over the end of a block
+                fits[end - k + 1 : end] = False
+            # Larger counts have smaller selectors, and the largest count that fits is taken.
+            choice[: len(fits)] = np.minimum(choice[: len(fits)], ESCAPE - fits.view(np.uint8) * np.uint8(ESCAPE - selector))
+    step = _STEPS[choice].tobytes()
     starts = []
+    note = starts.append
     at = 0
     while at < n:
-        starts.append(at)
-        at = jump[at]
+        note(at)
+        at += step[at]
     at = np.array(starts)
     kind = choice[at]
     places = np.cumsum(1 + (kind == ESCAPE)) - (1 + (kind == ESCAPE))
@@ -80,6 +76,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, places[blocks].astype(np.uint32)
 
 
+_STEPS = np.array([1, *COUNTS, 1], np.uint8)
+
+
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """All ids of a stretch of blocks; ``n`` ids in all."""
     words = np.asarray(words, np.uint64)
