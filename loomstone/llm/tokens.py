@@ -1,8 +1,9 @@
-"""Token ids of whole texts by the tokenizers library, memoised by white-space chunk."""
+"""Token ids of whole texts by the tokenizers library, memoised by word."""
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -21,77 +22,85 @@ def default_vocabulary() -> str:
 class LibraryEncoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to the library's for each whole text.
 
-    The vocabulary's pre-tokeniser never joins characters across white space, so a text's ids are those
-    of its chunks.  Chunks that aren't remembered go to the library in one call for a batch of texts.
-    Texts that hold a special token's string go to the library whole.  Two generations of ``size``
-    chunks bound the memory.
+    The vocabulary's pre-tokeniser never joins characters across white space, nor letters or digits with
+    signs after them, so a text's ids are those of its parts.  Plain prose is parted into lower-case
+    words, full stops and commas; other texts into white-space chunks; texts that hold a special token's
+    string aren't parted.  Parts that aren't remembered go to the library in one call for a batch of
+    texts.  Two memos of two generations of ``size`` parts bound the memory.
     """
 
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.size, self.new, self.old = size, {}, {}
-        #: Signs that the pre-tokeniser keeps apart from letters before them; an apostrophe can start a piece with letters.
-        self.signs = ".,;:!?*#$%&|)("
-        self.lowers = all(self._library(a) == self._library(a.lower()) for a in ("QuA", "ZEBRA")) and self._library("a.,") == self._library("a") + self._library(".,")
+        self.size = size
+        self.words, self.chunks = [{}, {}], [{}, {}]  # [new, old]
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        #: Whether case doesn't count and signs stand apart, as they must for parting prose.
+        self.parts = all(self._library(a) == self._library(a.lower()) for a in ("QuA", "ZEBRA")) and self._library("ab.") + self._library(",ab") == self._library("ab. ,ab") == self._library("ab . , ab")
 
     def _library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _known(self, chunk: str) -> bytes | None:
-        if (ids := self.new.get(chunk)) is None and (ids := self.old.get(chunk)) is not None:
-            self.new[chunk] = ids
-        return ids
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Ids of chunks. A chunk of letters and then signs is that of the lower-case letters and that of the signs."""
-        missing: set[str] = set()
-        joined: list[tuple[str, str, str]] = []
-        for c in chunks.difference(self.new):
-            if (ids := self.old.get(c)) is not None:
-                self.new[c] = ids
-                continue
-            word = c.rstrip(self.signs)
-            if self.lowers and word and (low := word.lower() if word.isascii() else word) != c and word.isalpha():
-                signs = c[len(word) :]
-                joined.append((c, low, signs))
-                if self._known(low) is None:
-                    missing.add(low)
-                if signs and self._known(signs) is None:
-                    missing.add(signs)
+    def _learn(self, memo: list[dict], parts: set[str]) -> None:
+        new, old = memo
+        missing = []
+        for p in parts.difference(new):
+            if (ids := old.get(p)) is None:
+                missing.append(p)
             else:
-                missing.add(c)
-        todo = list(missing)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            for c, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.new[c] = np.array(e.ids, dtype="<u4").tobytes()
-        for c, low, signs in joined:
-            self.new[c] = self.new[low] + self.new[signs] if signs else self.new[low]
+                new[p] = ids
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            for p, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                new[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _prose(self, text: str) -> list[str] | None:
+        """The words, stops and commas of a text; None if it holds something that could stand in the way."""
+        if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
+            return None
+        low = text.lower()
+        if ".," in low or ".." in low or ",," in low or ",." in low or not (low.isascii() or unicodedata.is_normalized("NFC", low)):
+            return None
+        return low.replace(".", " . ").replace(",", " , ").split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        out = []
-        for text in texts:
+        out: list = [b""] * len(texts)
+        held: list[tuple[int, list[str], list[dict]]] = []
+        learn: tuple[set[str], set[str]] = (set(), set())
+        for i, text in enumerate(texts):
             if not text:
-                out.append(b"")
-            elif self.special and self.special.search(text):
-                out.append(self._library(text))
-            else:
-                chunks = [c for c in _SPLIT.split(text) if c] if _ODD.search(text) else text.split()
+                continue
+            odd = _ODD.search(text)
+            words = self._prose(text) if self.parts and not odd else None
+            if words is not None:
                 try:
-                    out.append(b"".join(map(self.new.__getitem__, chunks)))
+                    out[i] = b"".join(map(self.words[0].__getitem__, words))
+                    continue
                 except KeyError:
-                    self._learn(set(chunks))
-                    out.append(b"".join(map(self.new.__getitem__, chunks)))
-                    if len(self.new) > self.size:
-                        self.old, self.new = self.new, {}
+                    unknown = set(words).difference(self.words[0])
+                    if all(w.isalnum() or w in ".," for w in unknown):
+                        learn[0].update(unknown)
+                        held.append((i, words, self.words))
+                        continue
+            if self.special and self.special.search(text):
+                out[i] = self._library(text)
+                continue
+            chunks = [c for c in _SPLIT.split(text) if c] if odd else text.split()
+            learn[1].update(chunks)
+            held.append((i, chunks, self.chunks))
+        for memo, parts in zip((self.words, self.chunks), learn, strict=True):
+            self._learn(memo, parts)
+        for i, parts, memo in held:
+            out[i] = b"".join(map(memo[0].__getitem__, parts))
+        for memo, most in ((self.words, self.size), (self.chunks, self.size // 3)):
+            if len(memo[0]) > most:
+                memo[:] = [{}, memo[0]]
         return out
 
 
