@@ -64,7 +64,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, segm
             yield segment()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_batches(ordered, run, SEGMENT).write.option("compression", "none").parquet(path)
+    map_batches(ordered, run, SEGMENT, rows=2048).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, crc_only: bool = False) -> DataFrame:

@@ -7,9 +7,11 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from .bpe import _ODD, _SPLIT
+from .bpe import _ODD, SPACE
 
 
 def default_vocabulary() -> str:
@@ -19,6 +21,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_SPLIT = regex.compile(f"[{SPACE}]")
+
+#: Signs that the pre-tokeniser keeps apart from letters before them.
+SIGNS = ".,;:!?*#$%&|()"
+
+
 class LibraryEncoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to the library's for each whole text.
 
@@ -40,8 +48,15 @@ class LibraryEncoder:
         self.words, self.chunks = [{}, {}], [{}, {}]  # [new, old]
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
+        #: Which ids end a word, where the vocabulary says: many words can then be encoded as one text and told apart.
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), bool)
+            for token, i in self.lib.get_vocab(with_added_tokens=False).items():
+                self.ends[i] = token.endswith(suffix)
         #: Whether case doesn't count and signs stand apart, as they must for parting prose.
-        self.parts = all(self._library(a) == self._library(a.lower()) for a in ("QuA", "ZEBRA")) and self._library("ab.") + self._library(",ab") == self._library("ab. ,ab") == self._library("ab . , ab")
+        self.parts = all(self._library(a) == self._library(a.lower()) for a in ("QuA", "ZEBRA")) and all(self._library("ab") + self._library(s * 2) == self._library("ab" + s * 2) for s in SIGNS)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -54,50 +69,113 @@ class LibraryEncoder:
                 missing.append(p)
             else:
                 new[p] = ids
+        joined = [p for p in missing if p.isalpha() and (p.isascii() or p.lower().isalpha())] if self.ends is not None else []
+        for at in range(0, len(joined), 1024):
+            part = joined[at : at + 1024]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(part):
+                continue  # some word isn't one piece; they all go the plain way
+            data, last = ids.tobytes(), 0
+            for p, cut in zip(part, cuts, strict=True):
+                new[p] = data[last:cut]
+                last = cut
+        missing = [p for p in missing if p not in new]
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             for p, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 new[p] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def _prose(self, text: str) -> list[str] | None:
-        """The words, stops and commas of a text; None if it holds something that could stand in the way."""
+    def _prose(self, text: str) -> str | None:
+        """A text with stops and commas set apart, in lower case; None if it holds something that could stand in the way."""
         if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
             return None
         low = text.lower()
         if ".," in low or ".." in low or ",," in low or ",." in low or not (low.isascii() or unicodedata.is_normalized("NFC", low)):
             return None
-        return low.replace(".", " . ").replace(",", " , ").split()
+        return low.replace(".", " . ").replace(",", " , ")
+
+    def _shapes(self, chunks: set[str]) -> None:
+        """Remembers chunks that are a word and then signs, by way of the word and the signs."""
+        new, old = self.chunks
+        split = []
+        for c in chunks.difference(new):
+            word = c.rstrip(SIGNS)
+            if c not in old and len(word) < len(c) and word.isalpha() and (low := word.lower()).isalpha() and unicodedata.is_normalized("NFC", low):
+                split.append((c, low, c[len(word) :]))
+        self._learn(self.words, {low for _, low, _ in split} | {signs for *_, signs in split})
+        words = self.words[0]
+        for c, low, signs in split:
+            new[c] = words[low] + words[signs]
+
+    def _batch(self, texts: list[str], prose: bool) -> list[bytes | None]:
+        """Ids of texts that are parted at ASCII white space; None where a part can't stand by itself.
+
+        Equal parts of the batch are found first, so only distinct ones are looked up.
+        """
+        rows = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = rows.flatten().dictionary_encode()
+        codes, parts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        memo = self.words if prose else self.chunks
+        unknown = [p for p in parts if p not in memo[0]]
+        bad: set[str] = set()
+        if prose:
+            bad = {p for p in unknown if not (p.isalnum() or p in ".,")}
+        else:
+            bad = {p for p in unknown if not p.isascii() and _SPLIT.search(p)}
+        fresh = set(unknown) - bad
+        if not prose and self.parts:
+            self._shapes(fresh)
+        self._learn(memo, fresh)
+        new = memo[0]
+        new[""] = b""
+        ids = [new.get(p, b"") for p in parts]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first, sizes = np.cumsum(length) - length, length[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.repeat(first[codes] - (ends - sizes), sizes) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[rows.offsets.to_numpy()]
+        data = memoryview(out.tobytes())
+        found: list[bytes | None] = [bytes(data[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if bad:
+            wrong = np.array([p in bad for p in parts])[codes]
+            hit = np.searchsorted(rows.offsets.to_numpy(), np.flatnonzero(wrong), side="right") - 1
+            for k in np.unique(hit).tolist():
+                found[k] = None
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         out: list = [b""] * len(texts)
-        held: list[tuple[int, list[str], list[dict]]] = []
-        learn: tuple[set[str], set[str]] = (set(), set())
+        prose: list[tuple[int, str]] = []
+        other: list[int] = []
+        whole: list[int] = []
         for i, text in enumerate(texts):
             if not text:
                 continue
-            odd = _ODD.search(text)
-            words = self._prose(text) if self.parts and not odd else None
-            if words is not None:
-                try:
-                    out[i] = b"".join(map(self.words[0].__getitem__, words))
-                    continue
-                except KeyError:
-                    unknown = set(words).difference(self.words[0])
-                    if all(w.isalnum() or w in ".," for w in unknown):
-                        learn[0].update(unknown)
-                        held.append((i, words, self.words))
-                        continue
-            if self.special and self.special.search(text):
-                out[i] = self._library(text)
-                continue
-            chunks = [c for c in _SPLIT.split(text) if c] if odd else text.split()
-            learn[1].update(chunks)
-            held.append((i, chunks, self.chunks))
-        for memo, parts in zip((self.words, self.chunks), learn, strict=True):
-            self._learn(memo, parts)
-        for i, parts, memo in held:
-            out[i] = b"".join(map(memo[0].__getitem__, parts))
+            if _ODD.search(text):
+                whole.append(i)
+            elif self.parts and (low := self._prose(text)) is not None:
+                prose.append((i, low))
+            else:
+                other.append(i)
+        for (i, _), ids in zip(prose, self._batch([low for _, low in prose], True), strict=True):
+            if ids is None:
+                other.append(i)
+            else:
+                out[i] = ids
+        if self.special:
+            whole += [i for i in other if self.special.search(texts[i])]
+            other = [i for i in other if not self.special.search(texts[i])]
+        for i, ids in zip(other, self._batch([texts[i] for i in other], False), strict=True):
+            if ids is None:
+                whole.append(i)
+            else:
+                out[i] = ids
+        for i in whole:
+            out[i] = self._library(texts[i])
         for memo, most in ((self.words, self.size), (self.chunks, self.size // 3)):
             if len(memo[0]) > most:
                 memo[:] = [{}, memo[0]]
