@@ -39,7 +39,7 @@ class LibraryEncoder:
 
     def __init__(self, path: str, size: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
@@ -55,6 +55,14 @@ class LibraryEncoder:
             self.ends = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), bool)
             for token, i in self.lib.get_vocab(with_added_tokens=False).items():
                 self.ends[i] = token.endswith(suffix)
+        #: The same model without normaliser and pattern, for lower-case ASCII words, to which neither does anything.
+        self.bare = None
+        if self.ends is not None:
+            bare = Tokenizer(self.lib.model)
+            bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            letters = "the quick brown fox jumps over thelazydogs sphinxofblackquartz a bc"
+            if bare.encode(letters, add_special_tokens=False).ids == self.lib.encode(letters, add_special_tokens=False).ids:
+                self.bare = bare
         #: Whether case doesn't count and signs stand apart, as they must for parting prose.
         self.parts = all(self._library(a) == self._library(a.lower()) for a in ("QuA", "ZEBRA")) and all(self._library("ab") + self._library(s * 2) == self._library("ab" + s * 2) for s in SIGNS)
 
@@ -69,10 +77,21 @@ class LibraryEncoder:
                 missing.append(p)
             else:
                 new[p] = ids
-        joined = [p for p in missing if p.isalpha() and (p.isascii() or p.lower().isalpha())] if self.ends is not None else []
-        for at in range(0, len(joined), 1024):
-            part = joined[at : at + 1024]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        if self.ends is not None:
+            plain = [p for p in missing if p.isalpha() and p.isascii() and p.islower()] if self.bare else []
+            self._joined(self.bare, plain, new)
+            self._joined(self.lib, [p for p in missing if p not in new and p.isalpha() and (p.isascii() or p.lower().isalpha())], new)
+        missing = [p for p in missing if p not in new]
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            for p, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                new[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _joined(self, lib, words: list[str], new: dict) -> None:
+        """Encodes many words as one text and tells them apart by the ids that end a word."""
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = np.array(lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) != len(part):
                 continue  # some word isn't one piece; they all go the plain way
@@ -80,11 +99,6 @@ class LibraryEncoder:
             for p, cut in zip(part, cuts, strict=True):
                 new[p] = data[last:cut]
                 last = cut
-        missing = [p for p in missing if p not in new]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for p, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _prose(self, text: str) -> str | None:
         """A text with stops and commas set apart, in lower case; None if it holds something that could stand in the way."""
