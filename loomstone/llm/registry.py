@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from .op1_bpe import op1_bpe_transducer
+from .op10_spans import op10_sentence_spans
 from .op2_media import op2_mpeg_audio
 from .op4_toxicity import op4_toxic_spans
 from .op5_quality import op5_quality_network
 from .op6_order_minhash import op6_order_minhash
+from .op7_jaccard_join import op7_jaccard_join
 from .op8_idfiles import op8_simple8b_files
 from .op9_packing import op9_pack_sequences
 
-ALL = (op1_bpe_transducer, op2_mpeg_audio, op4_toxic_spans, op5_quality_network, op6_order_minhash, op8_simple8b_files, op9_pack_sequences)
+ALL = (op1_bpe_transducer, op2_mpeg_audio, op4_toxic_spans, op5_quality_network, op6_order_minhash, op7_jaccard_join, op8_simple8b_files, op9_pack_sequences, op10_sentence_spans)
 
 
 def queries() -> dict:
