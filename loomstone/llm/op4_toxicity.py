@@ -197,13 +197,7 @@ def score(docs: DataFrame, model, with_spans: bool = False) -> DataFrame:
     def run(batches) -> Iterable[dict[str, list]]:
         memo = Memo(lambda t: (field.emission(t), ends(t)), 300_000)
         for b in batches:
-            rows = [(t or "").split() for t in b["text"]]
-            documents = np.cumsum([len(r) for r in rows])
-            n = int(documents[-1]) if len(rows) else 0
-            both = np.fromiter((x for r in rows for t in r for x in memo[t]), np.float64, 2 * n).reshape(n, 2)
-            first, length = chains(both[:, 1] > 0, documents)
-            p = field.marginals(both[:, 0], first, length)
-            s = 1 / (1 + np.exp(-(aggregates(p, documents) @ weights[:-1] + weights[-1])))
+            s, p, rows, documents = _scores(field, weights, memo, b["text"])
             out = {"doc_id": b["doc_id"], "score": s.tolist()}
             if with_spans:
                 out["spans"] = [_spans(t, p[e - len(r) : e]) for t, r, e in zip(b["text"], rows, documents, strict=True)]
@@ -212,6 +206,31 @@ def score(docs: DataFrame, model, with_spans: bool = False) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double" + (", spans array<struct<start:int,end:int,marginal:double>>" if with_spans else ""))
 
 
+def accepted(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``threshold``, with all columns. Null and empty texts are scored as empty documents."""
+    field, weights = model
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches) -> Iterable[dict[str, list]]:
+        memo = Memo(lambda t: (field.emission(t), ends(t)), 300_000)
+        for b in batches:
+            keep = _scores(field, weights, memo, b["text"])[0] < threshold
+            yield {n: [x for x, k in zip(column, keep, strict=True) if k] for n, column in b.items()}
+
+    return map_batches(docs, run, kinds)
+
+
+def _scores(field: Field, weights: np.ndarray, memo: Memo, texts: list) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """Scores, token marginals, tokens of each text and where each text's tokens end."""
+    rows = [(t or "").split() for t in texts]
+    documents = np.cumsum([len(r) for r in rows])
+    n = int(documents[-1]) if len(rows) else 0
+    both = np.fromiter((x for r in rows for t in r for x in memo[t]), np.float64, 2 * n).reshape(n, 2)
+    first, length = chains(both[:, 1] > 0, documents)
+    p = field.marginals(both[:, 0], first, length)
+    return 1 / (1 + np.exp(-(aggregates(p, documents) @ weights[:-1] + weights[-1]))), p, rows, documents
+
+
 def _spans(text: str | None, p: np.ndarray) -> list[dict]:
     """Offsets of toxic tokens, walked only where there are any."""
     hits = np.flatnonzero(p >= 0.5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op1_bpe import op1_bpe_transducer
 from .op10_spans import op10_sentence_spans
 from .op2_media import op2_mpeg_audio
+from .op3_surrogates import op3_surrogates
 from .op4_toxicity import op4_toxic_spans
 from .op5_quality import op5_quality_network
 from .op6_order_minhash import op6_order_minhash
@@ -12,12 +13,15 @@ from .op7_jaccard_join import op7_jaccard_join
 from .op8_idfiles import op8_simple8b_files
 from .op9_packing import op9_pack_sequences
 
-ALL = (op1_bpe_transducer, op2_mpeg_audio, op4_toxic_spans, op5_quality_network, op6_order_minhash, op7_jaccard_join, op8_simple8b_files, op9_pack_sequences, op10_sentence_spans)
+ALL = (op1_bpe_transducer, op2_mpeg_audio, op3_surrogates, op4_toxic_spans, op5_quality_network, op6_order_minhash, op7_jaccard_join, op8_simple8b_files, op9_pack_sequences, op10_sentence_spans)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in ALL} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of the ten can be told in SQL whole: they need the vocabulary, a trained model, keyed permutations or this package's hashes. tests/llm holds each against brute force."""
     return {}
