@@ -56,7 +56,8 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerpr
                  WHEN (__v2[s] & {(1 << POSITION_BITS) - 1}L) < (__v2[s + 1] & {(1 << POSITION_BITS) - 1}L) THEN xxhash64(shiftright(__v2[s], {POSITION_BITS}), shiftright(__v2[s + 1], {POSITION_BITS}))
                  ELSE xxhash64(shiftright(__v2[s + 1], {POSITION_BITS}), shiftright(__v2[s], {POSITION_BITS})) END & 65535L), 4, '0')) AS h))""",
         "__f": "map_from_entries(__t)",
-        "__out": f"array_join(transform(sequence(0L, {BINS - 1}L), b -> coalesce(try_element_at(__f, b), '{NONE}')), '')",
+        # The size is asked for only so that the map is built once: named once, it would be built anew for each bin.
+        "__out": f"if(size(__f) < 0, NULL, array_join(transform(sequence(0L, {BINS - 1}L), b -> coalesce(try_element_at(__f, b), '{NONE}')), ''))",
     }
     for name, expression in steps.items():
         df = df.withColumn(name, F.expr(expression))
