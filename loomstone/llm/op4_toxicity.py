@@ -5,14 +5,13 @@ Tokens are runs of letters, digits and signs between white space; a chain is a s
 letters (the word, prefixes, a suffix, its shape) and for transitions.  Forward-backward gives each
 token's marginal, and a document's score is a logistic function of how its marginals add up.
 
-Token labels for training come from document labels of a bounded sample: within toxic documents, a token
-is labelled toxic if its word, or a prefix that it shares, occurs far more often in toxic than in clean
-training documents; all tokens of clean documents are labelled clean.
+Token labels for training come from document labels of a bounded sample without near copies: within toxic
+documents, a token is labelled toxic if its word, or a prefix or ending that it shares, occurs significantly
+more often in toxic than in clean training documents; all tokens of clean documents are labelled clean.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -26,7 +25,6 @@ from .scratch import map_batches, table
 
 CHAIN = 64
 _LETTERS = regex.compile(r"\p{L}+")
-_TOKEN = regex.compile(r"\S+")
 
 
 def core(token: str) -> str:
@@ -115,29 +113,57 @@ def forward_backward(emission, first, length, transitions, start):
     return out, pairs, float(out[first].sum())
 
 
-def token_labels(tokens: list[list[str]], y: np.ndarray, odds: float = 3.0, least: int = 3) -> set[str]:
-    """Features that mark toxic tokens: words and prefixes in at least ``least`` toxic documents, with log odds over ``odds``."""
-    seen = (Counter(), Counter())
-    for row, label in zip(tokens, y, strict=True):
-        own = {f for t in set(row) for f in features(t) if f[0] in "wp" and f[1] != "o"}
-        seen[int(label)].update(own)
-    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    return {f for f, k in seen[1].items() if k >= least and np.log((k + 0.1) / n1) - np.log((seen[0][f] + 0.1) / n0) > odds}
+def distinct_texts(texts: list[str], y: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The sample without near copies: of texts that share one of four smallest shingles the first stays. A group of copies would else make all of its words look like signs of its label."""
+    from .shingles import shingle_sets
+
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    turns = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
+    for i, text in enumerate(texts):
+        s = shingle_sets([text])[0]
+        with np.errstate(over="ignore"):
+            least = {(k, int((s * m).min())) for k, m in enumerate(turns)} if len(s) else set()
+        if not least & seen:
+            keep.append(i)
+        seen |= least
+    return [texts[i] for i in keep], y[keep]
+
+
+def signs(rows: list[np.ndarray], y: np.ndarray, owner: np.ndarray, flat: np.ndarray, n_features: int, least: int = 4, strength: float = 25.0) -> np.ndarray:
+    """Which features mark toxic tokens: those in at least ``least`` toxic documents whose log-likelihood ratio of occurring there more often than in clean ones is over ``strength``."""
+    starts = np.searchsorted(owner, np.arange(owner[-1] + 2)) if len(owner) else np.zeros(1, int)
+    counts = np.zeros((2, n_features))
+    for row, label in zip(rows, y, strict=True):
+        words = np.unique(row)
+        if len(words):
+            own = np.concatenate([flat[starts[w] : starts[w + 1]] for w in words])
+            counts[int(label), np.unique(own)] += 1
+    n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())], float)[:, None]
+    share = counts.sum(0) / n.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * sum(np.nan_to_num(counts[c] * np.log(counts[c] / (n[c] * share))) + np.nan_to_num((n[c] - counts[c]) * np.log((n[c] - counts[c]) / (n[c] * (1 - share)))) for c in (0, 1))
+    return (g > strength) & (counts[1] >= least) & (counts[1] / n[1] > 4 * counts[0] / n[0])
 
 
 def train(texts: list[str], y: np.ndarray, steps: int = 40, rate: float = 0.3) -> tuple[Field, np.ndarray]:
     """The field by gradient ascent on the tokens' conditional likelihood, and the weights of the document score."""
-    tokens = [_TOKEN.findall(t) for t in texts]
-    marks = token_labels(tokens, y)
+    texts, y = distinct_texts(texts, y)
     index: dict[str, int] = {}
-    rows = [np.array([index.setdefault(t, len(index)) for t in row], np.int64) for row in tokens]
+    rows = [np.array([index.setdefault(t, len(index)) for t in text.split()], np.int32) for text in texts]
     words = list(index)
+    del index
     names: dict[str, int] = {}
     feats = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(f) for f in feats])
-    flat = np.array([f for fs in feats for f in fs], np.int64)
-    marked = np.array([any(f in marks for f in features(w)) for w in words], bool) if words else np.zeros(0, bool)
-    token = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(f) for f in feats])
+    flat = np.array([f for fs in feats for f in fs], np.int32)
+    del feats
+    marks = signs(rows, y, owner, flat, len(names))
+    for name in ("CAPS", "word", "#"):  # shapes mark nothing by themselves
+        if name in names:
+            marks[names[name]] = False
+    marked = np.bincount(owner, marks[flat], len(words)) > 0 if words else np.zeros(0, bool)
+    token = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     documents = np.cumsum([len(r) for r in rows])
     label = marked[token] & np.repeat(y == 1, [len(r) for r in rows]) if len(token) else np.zeros(0, bool)
     ending = np.array([ends(w) for w in words], bool)[token] if words else np.zeros(0, bool)
@@ -180,7 +206,7 @@ def aggregates(p: np.ndarray, documents: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(count), top, count / np.maximum(size, 1)], 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 40_000):
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int = 20_000):
     """Trains on at most ``per_class`` rows of each class that aren't held out."""
     texts, y = sample(docs, labels, "toxic", per_class, longest)
     return train(texts, y)
