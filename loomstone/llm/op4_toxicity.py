@@ -127,7 +127,7 @@ def distinct_texts(texts: list[str], y: np.ndarray) -> tuple[list[str], np.ndarr
         if not least & seen:
             keep.append(i)
         seen |= least
-    return [texts[i] for i in keep], y[keep]
+    return [texts[i] for i in keep], y[keep] if keep else y[:0]
 
 
 def signs(rows: list[np.ndarray], y: np.ndarray, owner: np.ndarray, flat: np.ndarray, n_features: int, least: int = 4, strength: float = 25.0) -> np.ndarray:
@@ -149,6 +149,8 @@ def signs(rows: list[np.ndarray], y: np.ndarray, owner: np.ndarray, flat: np.nda
 def train(texts: list[str], y: np.ndarray, steps: int = 40, rate: float = 0.3) -> tuple[Field, np.ndarray]:
     """The field by gradient ascent on the tokens' conditional likelihood, and the weights of the document score."""
     texts, y = distinct_texts(texts, y)
+    if not texts:  # nothing to learn from: every text scores one half
+        return Field({}, np.zeros((2, 2)), 0.0), np.zeros(4)
     index: dict[str, int] = {}
     rows = [np.array([index.setdefault(t, len(index)) for t in text.split()], np.int32) for text in texts]
     words = list(index)
@@ -194,8 +196,8 @@ def train(texts: list[str], y: np.ndarray, steps: int = 40, rate: float = 0.3) -
 
 
 def aggregates(p: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Of each document: log of 1 + the expected number of toxic tokens, the largest marginal, and the expected share."""
-    sums = np.concatenate([[0], np.cumsum(p)])
+    """Of each document: log of 1 + the expected number of toxic tokens, the largest marginal, and the expected share. Marginals under a tenth don't count, or a long clean text would add up to a toxic one."""
+    sums = np.concatenate([[0], np.cumsum(np.where(p >= 0.1, p, 0.0))])
     starts = np.concatenate([[0], documents[:-1]]).astype(int)
     count = sums[documents] - sums[starts]
     size = documents - starts
