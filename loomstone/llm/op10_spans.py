@@ -3,7 +3,7 @@
 A text is cut into sentence units: after a stop, exclamation or question mark or comma with white space
 behind it, and at line ends.  Commas count because passages are often set into the middle of a sentence;
 units resume in step soon after such a seam.  From each unit on, the shortest run of at least ``RUN``
-units and ``WORDS`` words is a span.  Spans are hashed and joined globally; of equal spans the one with
+units and ``WORDS`` words is a span, and so is the shortest such run that ends with the text.  Spans are hashed and joined globally; of equal spans the one with
 the smallest (doc_id, offset) is first, and every unit that another one covers is removed.
 
 A task passes on one occurrence of each span it sees, its first, and marks its others as repeats at
@@ -54,6 +54,8 @@ def spans(text: str | None, run: int = RUN, words: int = WORDS) -> tuple[np.ndar
     last = np.maximum(np.searchsorted(counts, counts[:-1] + words), np.arange(n) + run)  # the span is units i .. last - 1
     fits = last <= n
     i, j = np.flatnonzero(fits), last[fits]
+    if len(i) and j[-1] < n:  # the end of the text is in a span too: in the shortest that reaches it
+        i, j = np.append(i, i[-1]), np.append(j, n)
     with np.errstate(over="ignore"):
         powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _MIX, np.uint64)]))
         back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(_MIX, -1, 1 << 64), np.uint64)]))
