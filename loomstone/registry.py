@@ -502,6 +502,54 @@ def ground_names(spark, sf):
     return grounded(parses, names, relations).select("qid", "status", "failure_reason")
 
 
+@query("SELECT p_partkey AS qid, CASE p_partkey % 5 WHEN 0 THEN 'P(A)' WHEN 1 THEN 'P(P(A))' WHEN 2 THEN 'I(P(A),P(A))' WHEN 3 THEN 'U(P(A),P(A))' ELSE 'X' END AS shape, CASE p_partkey % 5 WHEN 0 THEN '1p' WHEN 1 THEN '2p' WHEN 2 THEN '2i' WHEN 3 THEN '2u' END AS qtype, CASE WHEN p_partkey % 5 = 4 THEN 'unsupported_shape' END AS reason FROM part")
+def classify_programs(spark, sf):
+    """A semantic program for each part, of five forms, classified by its tree."""
+    from .operators.programs import analysed
+
+    step = "struct<function:string,dependencies:array<int>,inputs:array<string>>"
+
+    def make(f: str, needs: list[int], *inputs) -> F.Column:
+        return F.struct(F.lit(f), F.array(*map(F.lit, needs)).cast("array<int>"), F.array(*inputs).cast("array<string>")).cast(step)
+
+    find, hop = make("Find", [], F.col("p_name")), lambda d: make("Relate", [d], F.lit("made by"), F.lit("forward"))
+    two = [find, hop(0), find, hop(2)]
+    kind = F.col("p_partkey") % 5
+    program = F.when(kind == 0, F.array(find, hop(0), make("What", [1]))).when(kind == 1, F.array(find, hop(0), make("FilterConcept", [1], F.lit("maker")), hop(2)))
+    program = program.when(kind == 2, F.array(*two, make("And", [1, 3]))).when(kind == 3, F.array(*two, make("Or", [1, 3]))).otherwise(F.array(find, hop(0), make("Count", [1])))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), analysed(F.to_json(program)).alias("a"))
+    return rows.select("qid", "a.shape", "a.qtype", "a.reason")
+
+
+@query("SELECT p_brand AS brand, count(*) AS n, round(avg(CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE 1.0 END), 6) AS format, round(avg(CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE 1.0 END), 6) AS anchor, round(avg(CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 THEN 0.0 ELSE 1.0 END), 6) AS relation, round(avg(CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 THEN 0.0 ELSE 1.0 END), 6) AS exact FROM part GROUP BY 1")
+def score_parses(spark, sf):
+    """Parses of every part scored against gold: a seventh unreadable, a third with the wrong relation, branches in turned order."""
+    from .operators.programs import formatted, micro, parse_score
+
+    def branch(name, relation):
+        return F.struct(name.alias("anchor"), F.array(F.struct(relation.alias("relation"), F.lit("forward").alias("direction"))).alias("path"))
+
+    one, other = branch(F.col("p_name"), F.lit("made by")), branch(F.col("p_type"), F.lit("kind of"))
+    gold = formatted(F.lit("2i"), F.array(one, other))
+    wrong = F.col("p_partkey") % 3 == 0
+    relation = lambda right: F.when(wrong, F.lit("sold by")).otherwise(F.lit(right))
+    pred = formatted(F.lit("2i"), F.array(branch(F.upper("p_type"), relation("Kind  of")), branch(F.col("p_name"), relation("made by"))))
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), parse_score(gold, F.when(F.col("p_partkey") % 7 != 0, pred).otherwise(F.lit("{"))).alias("s")).select("brand", "s.*")
+    m = micro(rows, "brand")
+    return m.select("brand", "n", *[_R6(F.col(c), c) for c in ("format", "anchor", "relation", "exact")])
+
+
+@query(O.query("up", plan_sql("up"), "SELECT CASE WHEN grouping(region) = 1 THEN 'total' ELSE CAST(region AS VARCHAR) END AS scope, count(*) AS n, count(*) FILTER (pred IS NOT NULL AND list_sort(pred) = gold) AS matches, count(*) FILTER (pred IS NULL) AS errors FROM preds JOIN (SELECT s_suppkey AS qid, s_nationkey % 5 AS region FROM supplier) USING (qid) GROUP BY GROUPING SETS ((region), ())", _pred_sql()))
+def verification_report(spark, sf):
+    """Matches and errors of predictions against gold, by group and in all."""
+    p = predictions(spark, sf, "up")
+    expected = p.select("qid", "gold")
+    v = audits.verified(p.select("qid", F.col("pred").alias("answer"), F.when(F.col("pred").isNull(), "no answer").alias("error")), expected)
+    groups = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("qid"), (F.col("s_nationkey") % 5).alias("region"))
+    g = v.join(groups, "qid").groupingSets([["region"], []], "region")
+    return g.agg(F.when(F.grouping("region") == 1, "total").otherwise(F.col("region").cast("string")).alias("scope"), F.count("*").alias("n"), F.count_if("matched").alias("matches"), F.count_if(F.col("error").isNotNull()).alias("errors")).drop("region")
+
+
 # --- staged runs ---
 
 
