@@ -15,6 +15,15 @@ def noise_size(size: Column, ratio: float, least: int, most: int) -> Column:
     return F.lit(0) if not ratio else F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(size * F.lit(ratio)).cast("int")))
 
 
+def _pools(kg: DataFrame, most: int, seed: str) -> DataFrame:
+    """(relation, buckets, bucket, h, r, t): each relation's triples in buckets, of each bucket the first 2 * most in hash order. A query draws from one bucket, so what it meets doesn't grow with the relation."""
+    sizes = kg.groupBy("r").agg(F.greatest(F.lit(1), F.floor(F.count("*") / (4 * most))).alias("buckets"))
+    dealt = kg.join(sizes, "r").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "h", "r", "t"), F.col("buckets")))
+    w = Window.partitionBy("r", "bucket").orderBy(order(seed, "h", "r", "t"), "h", "r", "t")
+    ranked = dealt.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * most)
+    return ranked.select(F.col("r").alias("relation"), "buckets", "bucket", "h", "r", "t")
+
+
 def distractors(steps: DataFrame, kg: DataFrame, phases: DataFrame, ratio: float, least: int = 1, most: int = 30, seed: str = "42") -> DataFrame:
     """(qid, step, class, h, r, t): triples that look like a phase's evidence and aren't.
 
@@ -22,7 +31,8 @@ def distractors(steps: DataFrame, kg: DataFrame, phases: DataFrame, ratio: float
     remainder to the first, comes from: the same heads by another relation; the same relation from other
     heads; any other heads by any other relation.  What a class lacks is filled from the others.
     Candidates of a class are taken in hash order of phase and triple; each class keeps at most ``most``
-    candidates per phase, which is all that can be drawn from it.
+    candidates per phase, which is all that can be drawn from it.  Those of the same relation come from one
+    hashed pool of the relation, not from all of its triples.
     """
     phase = phases.where("relation IS NOT NULL").select("qid", "step", "relation")
     own = steps.groupBy("qid", "step").agg(F.countDistinct("h", "r", "t").alias("size"))
@@ -30,7 +40,7 @@ def distractors(steps: DataFrame, kg: DataFrame, phases: DataFrame, ratio: float
     heads = steps.select("qid", "step", "h").distinct().join(want, ["qid", "step"])
     same_head = heads.join(kg, "h").where("r <> relation").select("qid", "step", F.lit(1).alias("class"), "h", "r", "t")
     known = heads.select("qid", "step", "h")
-    same_rel = want.join(kg, F.col("r") == F.col("relation")).join(known, ["qid", "step", "h"], "left_anti").select("qid", "step", F.lit(2).alias("class"), "h", "r", "t")
+    same_rel = want.join(_pools(kg, most, seed), "relation").where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(seed), "qid", "step"), F.col("buckets"))).drop("relation", "n").join(known, ["qid", "step", "h"], "left_anti").select("qid", "step", F.lit(2).alias("class"), "h", "r", "t")
     # Far triples: two hops away from the heads by other relations, so that candidates follow the query and not the whole graph.
     far = same_head.select("qid", "step", F.col("t").alias("mid")).distinct().join(kg, F.col("mid") == F.col("h")).join(want.select("qid", "step", "relation"), ["qid", "step"]).where("r <> relation").join(known, ["qid", "step", "h"], "left_anti").select("qid", "step", F.lit(3).alias("class"), "h", "r", "t")
     pool = same_head.unionByName(same_rel).unionByName(far).distinct()
