@@ -218,6 +218,26 @@ def test_jaccard_join_at_the_edge(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in op7_jaccard_join.join(df).collect()} == want
 
 
+def brute_links(sets):
+    return [sum(100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets) if j != i and b) if a else 0 for i, a in enumerate(sets)]
+
+
+def test_jaccard_join_counts_links(spark, monkeypatch):
+    """Every pair inside a component is checked, in components of several blocks, with exact copies and empty texts."""
+    r = np.random.default_rng(5)
+    base, texts = [f"b{i}" for i in range(104)], ["", " "]
+    for i in range(60):
+        w = list(base)
+        for at in r.choice(104, int(r.integers(0, 4)), replace=False):
+            w[at] = f"x{i}_{at}"
+        texts += [" ".join(w)] * int(r.integers(1, 3))
+    monkeypatch.setattr(op7_jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(op7_jaccard_join, "COLUMNS", 50)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in op7_jaccard_join.join(df).collect()}
+    assert got == dict(enumerate(brute_links(sets_of(texts)))) and max(got.values()) > 2
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.v: r.c for r in components.components(links).collect()}
