@@ -238,6 +238,23 @@ def test_jaccard_join_counts_links(spark, monkeypatch):
     assert got == dict(enumerate(brute_links(sets_of(texts)))) and max(got.values()) > 2
 
 
+def test_jaccard_join_keeps_texts_of_one_id_apart(spark):
+    """Several texts without an id and several of one id: each links by its own set, and the pipeline keeps one row of each component."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(6)
+    bases = [[f"t{b}w{i}" for i in range(80)] for b in range(6)]
+    near = lambda w: " ".join(w[:78])
+    rows = [(None, " ".join(w)) for w in bases[:4]] + [(7, near(bases[0])), (8, near(bases[1])), (None, near(bases[2])), (9, " ".join(bases[4])), (9, " ".join(bases[5])), (10, near(bases[4])), (11, near(bases[5]))]
+    rows += [(12, " ".join(r.permutation(bases[0])))] * 2 + [(None, None), (None, ""), (13, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id, r.n_links) for r in op7_jaccard_join.join(df).collect())
+    want = [(None, 7, 1), (7, 7, 1), (None, 8, 1), (8, 8, 1), (None, None, 1), (None, None, 1), (None, None, 0), (9, 9, 1), (9, 9, 1), (10, 9, 1), (11, 9, 1), (12, 12, 1), (12, 12, 1), (None, None, 0), (None, None, 0), (13, 13, 0)]
+    assert got == collections.Counter(want)
+    kept = collections.Counter((r.doc_id, (r.text or "")[:2]) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+    assert kept == collections.Counter([(7, "t0"), (8, "t1"), (None, "t2"), (None, "t3"), (9, "t4"), (9, "t5"), (12, "t0"), (None, ""), (None, ""), (13, " ")])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.v: r.c for r in components.components(links).collect()}
