@@ -3,7 +3,14 @@
 A text is cut into sentence units: after a stop, exclamation or question mark or comma with white space
 behind it, and at line ends.  Commas count because passages are often set into the middle of a sentence;
 units resume in step soon after such a seam.  From each unit on, the shortest run of at least ``RUN``
-units and ``WORDS`` words is a span, and so is the shortest such run that ends with the text.  Spans are hashed and joined globally; of equal spans the one with
+units and ``WORDS`` words is a span, and so is the shortest such run that ends with the text.
+
+Not every passage holds such a run, whatever its length.  So of each ``WINDOW`` consecutive runs of ``LONG``
+words the one with the smallest hash is a span too, wherever its sentences end, unless a span of units lies
+inside it, which then does its work.  A shared passage of ``LONG + WINDOW - 1`` words or more, hence any of
+over 50, holds a whole span.  In scripts without spaces a character counts as a word.
+
+Spans are hashed and joined globally; of equal spans the one with
 the smallest (doc_id, offset) is first, and every unit that another one covers is removed.
 
 A task passes on one occurrence of each span it sees, its first, and marks its others as repeats at
@@ -22,13 +29,23 @@ from pyspark.sql import functions as F
 from .scratch import map_batches, stored, table
 
 RUN, WORDS = 3, 12
+LONG, WINDOW = 24, 12
 _SEAM = re.compile(r"[.!?,]['\")\]]*\s+|\s*\n\s*")
+#: A word: a run without white space, or one character of Thai, Lao, Burmese, Khmer, kana or Han.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 _MIX = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
 FLUSH = 1 << 20
 
 
 def units(text: str) -> tuple[list[int], list[int]]:
+    """Start and end of each word: what spans are made of."""
+    both = [m.span() for m in _WORD.finditer(text)]
+    return [a for a, _ in both], [b for _, b in both]
+
+
+def sentences(text: str) -> tuple[list[int], list[int]]:
     """Start and end of each sentence unit; what lies between two units is white space, or nothing."""
     starts, ends, at = [], [], 0
     for m in _SEAM.finditer(text):
@@ -44,27 +61,65 @@ def units(text: str) -> tuple[list[int], list[int]]:
 
 def spans(text: str | None, run: int = RUN, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each span of a text; none for null, blank or shorter texts."""
-    starts, ends = units(text or "")
-    n = len(starts)
-    if n < run:
+    text = text or ""
+    at, to = (np.array(x, np.int64) for x in units(text))
+    m = len(at)
+    if not m:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    parts = [text[a:b].split() for a, b in zip(starts, ends, strict=True)]
-    hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(p)) for p in parts], np.uint64)
-    counts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    last = np.maximum(np.searchsorted(counts, counts[:-1] + words), np.arange(n) + run)  # the span is units i .. last - 1
-    fits = last <= n
-    i, j = np.flatnonzero(fits), last[fits]
-    if len(i) and j[-1] < n:  # the end of the text is in a span too: in the shortest that reaches it
-        i, j = np.append(i, i[-1]), np.append(j, n)
+    memo = _Hashes()
+    hashes = np.array([memo[text[a:b]] for a, b in zip(at.tolist(), to.tolist(), strict=True)], np.uint64)
     with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _MIX, np.uint64)]))
-        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(_MIX, -1, 1 << 64), np.uint64)]))
-        # Sums of hash * power, divided by the first power, are the same wherever a run stands.
-        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * powers[:n])])
-        h = (sums[j] - sums[i]) * back[i] + (j - i).astype(np.uint64)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-    return h, np.array(starts)[i], np.array(ends)[j - 1]
+        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, _MIX, np.uint64)]))
+        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, pow(_MIX, -1, 1 << 64), np.uint64)]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * powers[:m])])
+
+    def hashed(i, j):
+        """Hashes of words i .. j - 1: sums of hash * power, divided by the first power, are the same wherever a run stands."""
+        with np.errstate(over="ignore"):
+            h = (sums[j] - sums[i]) * back[i] + (j - i).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            return h ^ (h >> np.uint64(29))
+
+    starts, ends = sentences(text)
+    n = len(starts)
+    # Words before each unit and before the end; a unit of stops alone between spaces is a word as well.
+    counts = np.append(np.searchsorted(at, starts), m)
+    i = j = np.zeros(0, np.int64)
+    if n >= run:
+        last = np.maximum(np.searchsorted(counts, counts[:-1] + words), np.arange(n) + run)  # the span is units i .. last - 1
+        fits = last <= n
+        i, j = np.flatnonzero(fits), last[fits]
+        if len(i) and j[-1] < n:  # the end of the text is in a span too: in the shortest that reaches it
+            i, j = np.append(i, i[-1]), np.append(j, n)
+    h, a, b = hashed(counts[i], counts[j]), np.array(starts, np.int64)[i], np.array(ends, np.int64)[j - 1]
+    if m < LONG:
+        return h, a, b
+    first = np.arange(m - LONG + 1)
+    grams = hashed(first, first + LONG)
+    if len(grams) > WINDOW:
+        view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+        first = np.unique(np.arange(len(view)) + view.argmin(1))
+    else:
+        first = np.array([grams.argmin()])
+    if len(i):
+        # The first span of units that starts behind a word of the run, so that its seam is in the run, and the least end from there on.
+        least = np.minimum.accumulate(counts[j][::-1])[::-1]
+        inner = np.searchsorted(counts[i], first, side="right")
+        first = first[np.append(least, m + 1)[inner] >= first + LONG]
+    h, a, b = np.concatenate([h, grams[first]]), np.concatenate([a, at[first]]), np.concatenate([b, to[first + LONG - 1]])
+    at_word = np.concatenate([counts[i], first])
+    order = np.lexsort((a, h, at_word))
+    h, a, b, at_word = h[order], a[order], b[order], at_word[order]
+    once = np.concatenate([[True], (h[1:] != h[:-1]) | (at_word[1:] != at_word[:-1])])  # a run that is a span of both kinds
+    return h[once], a[once], b[once]
+
+
+class _Hashes(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
 def occurrences(docs: DataFrame, buckets: int, run: int, words: int) -> DataFrame:

@@ -290,3 +290,27 @@ def test_sentence_spans(spark, odd_docs, no_docs):
         by[r.doc_id].append(r.text)
     assert by[1][0] and by[2] == ["", ""] and by[3] == [None] and by[4] == [""]
     assert op10_spans.dedup(no_docs).count() == 0
+
+
+def test_spans_in_long_sentences(spark):
+    """A passage of over 50 words of one or two sentences, set into the middle of others, holds a span that both texts have; so do unpunctuated, repeated and unspaced ones."""
+    r = np.random.default_rng(8)
+    word = lambda x: f"{x}{int(r.integers(0, 10**9))}"
+    made = lambda x, n: [word(x) for _ in range(n)]
+    rows, passages = [], []
+    for _ in range(60):
+        p = made("p", 51)
+        if len(passages) % 2:
+            p[int(r.integers(5, 45))] += "."
+        passages.append(" ".join(p))
+    passages.append(" ".join(["again"] * 60))
+    passages.append("".join(chr(0x4E00 + int(x)) for x in r.integers(0, 5000, 60)))
+    for i, p in enumerate(passages):
+        for k in (i, 1000 + i):
+            rows.append((k, " ".join(made("a", int(r.integers(0, 30))) + [p] + made("z", int(r.integers(0, 30))))))
+    out = {x.doc_id: x.text for x in op10_spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i, p in enumerate(passages):
+        assert len(texts[1000 + i]) - len(out[1000 + i]) > len(p) / 2
+        own = texts[1000 + i].split(p)
+        assert out[1000 + i].startswith(own[0]) and out[1000 + i].endswith(own[1])
