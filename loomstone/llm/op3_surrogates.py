@@ -8,7 +8,9 @@ Letters and digits are replaced by a keyed permutation of strings of the same le
 Feistel network in blocks; separators, case, country codes and check digits keep their form.  Names are
 drawn by keyed hash from lists of the same script and gender.  Each entity's surrogate is then checked
 against all others: it must be no other entity's surrogate and no entity that occurs in the corpus.
-Losers try again with the next tweak.
+Losers try again with the next tweak.  From tweak ``WIDER`` on what is drawn from grows with each tweak: names get
+more parts, e-mail addresses a longer local part, telephone numbers more digits, and private IPv4 addresses any
+private network, so that any number of entities finds surrogates (but for IPv4, whose addresses are finite).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .rewrite import LAST, rewrite
 from .scratch import map_batches, stored, table
 
-ROUNDS = 24
+ROUNDS, WIDER = 24, 3
 
 #: Titles with the gender they name, and given and family names by script and gender.
 TITLES = {
@@ -178,11 +180,16 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int = 0) -> str:
     if kind == "email":
         local, domain = value.split("@", 1)
         labels = domain.split(".")
-        return _runs(local, key, label + "/local") + "@" + ".".join(_runs(x, key, label + "/domain") if i < len(labels) - 1 and x != "example" else x for i, x in enumerate(labels))
+        made = _runs(local, key, label + "/local")
+        if tweak >= WIDER:  # at most 64 characters, as in mentions
+            more = "".join(_ALPHABETS["a"][_prf(key, label, "more", i, value) % 26] for i in range(2 * (tweak - WIDER + 1)))
+            made = made[: 64 - len(more)] + more
+        return made + "@" + ".".join(_runs(x, key, label + "/domain") if i < len(labels) - 1 and x != "example" else x for i, x in enumerate(labels))
     if kind == "phone":
         # The country code stays: one digit behind a plus sign where that is 1 or 7, else two.
         code = (2 if value[1:2] in ("1", "7") else 3) if value.startswith("+") else 0
-        return value[:code] + run_permuted(value[code:], "d", key, label)
+        more = "".join(str(_prf(key, label, "more", i, value) % 10) for i in range(tweak - WIDER + 1))
+        return value[:code] + run_permuted(value[code:], "d", key, label) + more
     if kind == "card":
         if luhn(value[:-1]) == int(value[-1]):
             body = run_permuted(value[:-1], "d", key, label)
@@ -194,6 +201,9 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int = 0) -> str:
     if kind == "ip":
         address = ipaddress.IPv4Address(value)
         for net in map(ipaddress.IPv4Network, IP_CLASSES):
+            if address in net and address.is_private and net.num_addresses < 1 << 24 and tweak >= WIDER:  # a small network may be used up
+                wide = ipaddress.IPv4Network("10.0.0.0/8")
+                return str(wide[_prf(key, label, value) % wide.num_addresses])
             if address in net:  # the network stays, the host is permuted
                 return str(net[permuted(int(address) - int(net[0]), net.num_addresses, key, f"{label}/{net}")])
         number = int(address)
@@ -216,14 +226,14 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int = 0) -> str:
 
 
 def _person(name: str, g: str, key: bytes, label: str, tweak: int) -> str:
-    """A name of as many words, of the same script and gender; each tweak after the first adds an initial to what it draws from."""
+    """A name of as many words, of the same script and gender; the first tweak adds an initial, and each further one a part of the family name, to what it draws from."""
     s, words = script(name), name.split()
     given, family = GIVEN[s, g], FAMILY.get((s, g)) or FAMILY[s, ""]
     pick = lambda names, part: names[_prf(key, label, part, name, g) % len(names)]
     made = [pick(given, "given")] + [pick(family, f"family{i}") for i in range(1, len(words))] if len(words) > 1 else [pick(family, "family")]
     if tweak:
         letters = "ABCDEFGHIKLMNOPRSTUVWZ" if s == "latin" else "АБВГДЕЖЗИКЛМНОПРСТУФ"
-        made[-1] += "-" + pick(family, "more") if tweak > 1 else ""
+        made[-1] += "".join("-" + pick(family, f"more{i}" if i else "more") for i in range(tweak - 1))
         made.insert(1 if len(made) > 1 else 0, pick(letters, "initial") + ".")
     return " ".join(made)
 
@@ -232,7 +242,7 @@ def dressed(kind: str, mention: str, made: str) -> str:
     """A surrogate in the form of one mention: its separators and its case."""
     if kind in ("card", "iban", "ssn", "phone"):
         rest = iter(made[1:] if kind == "phone" and made.startswith("+") else made)
-        return "".join(next(rest) if c.isalnum() else c for c in mention)
+        return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
     if kind in ("email", "secret") and mention.isupper():
         return made.upper()
     return made

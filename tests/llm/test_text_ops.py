@@ -314,3 +314,23 @@ def test_spans_in_long_sentences(spark):
         assert len(texts[1000 + i]) - len(out[1000 + i]) > len(p) / 2
         own = texts[1000 + i].split(p)
         assert out[1000 + i].startswith(own[0]) and out[1000 + i].endswith(own[1])
+
+
+def test_surrogates_of_many_short_entities(spark):
+    """More one-word names than one list of forms holds, every one-letter address, every host of a small network, short numbers."""
+    names = [f"Mr {a}{b}{c}{d}" for a in "BCDFGHJKLM" for b in "aeiouy" for c in "bcdfghjklmnpqrstvwxz" for d in "abcdefghijklmnopq"][:20_000]
+    mails = [f"{chr(97 + i)}@example.com" for i in range(26)]
+    hosts = [f"192.168.{i}.{j}" for i in range(256) for j in range(256)][:40_000]
+    phones = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(10_000)]
+    df = spark.createDataFrame([(i, ", ".join(x)) for i, x in enumerate((names, mails, hosts, phones))], "doc_id long, text string").repartition(4)
+    found = op3_surrogates.mentions(df)
+    made = op3_surrogates.resolved(found, b"key").collect()
+    own = {(r.kind, r.entity.split("|")[-1]) for r in made}
+    kinds = collections.Counter(r.kind for r in made)
+    assert kinds == {"name": 20_000, "email": 26, "ip": 40_000, "phone": 10_000}
+    assert len({(r.kind, r.made) for r in made}) == len(made) and not {(r.kind, r.made) for r in made} & own
+    patterns = op3_surrogates._patterns()
+    for r in made[::50]:
+        if r.kind in ("email", "ip", "phone"):
+            assert op3_surrogates.find(r.made, patterns) == [(0, len(r.made), r.kind)]
+    assert op3_surrogates.dressed("phone", "+1 0123 45", "+19876543") == "+1 9876 543"
