@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests, a master inside this process gets a folder of its own; a cluster gets an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="loomstone-")
         shared_dir.own = where
         spark.sparkContext.setCheckpointDir(where)
@@ -26,15 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, upon which Spark removes the shuffle files of plans that are no longer referred to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Empties stored tables that nothing will read again: an empty table takes the place of each."""
+    for df in tables:
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df.stored_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -203,39 +203,64 @@ def test_jaccard_join(spark, odd_docs, no_docs):
     assert op7_jaccard_join.join(no_docs).count() == 0
 
 
-def test_jaccard_join_at_the_edge(spark, monkeypatch):
-    """Chains of near copies around the threshold, in tiles of several blocks."""
-    r = np.random.default_rng(4)
-    base, texts = [f"b{i}" for i in range(104)], []
-    for i in range(90):
-        w = list(base)
-        for at in r.choice(104, int(r.integers(0, 5)), replace=False):
-            w[at] = f"x{i}_{at}"
-        texts.append(" ".join(w[: 104 - int(r.integers(0, 12))]))
-    monkeypatch.setattr(op7_jaccard_join, "BLOCK", 16)
-    want = brute_components(list(range(90)), sets_of(texts))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in op7_jaccard_join.join(df).collect()} == want
-
-
 def brute_links(sets):
     return [sum(100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets) if j != i and b) if a else 0 for i, a in enumerate(sets)]
 
 
+def near_copies(r, n, words, edits, tag, pool=1):
+    """Copies of up to ``pool`` editions of one text with a few words changed and a cut end; later editions inherit changes."""
+    base = [f"{tag}{i}" for i in range(words)]
+    editions, out = [base], []
+    for i in range(n):
+        w = list(editions[int(r.integers(0, len(editions)))])
+        for at in r.choice(words, int(r.integers(0, edits + 1)), replace=False):
+            w[at] = f"{tag}x{i}_{at}"
+        cut = words - int(r.integers(0, words // 9))
+        if len(editions) < pool:
+            editions.append(w)
+        out.append(" ".join(w[:cut]))
+    return out
+
+
 def test_jaccard_join_counts_links(spark, monkeypatch):
-    """Every pair inside a component is checked, in components of several blocks, with exact copies and empty texts."""
+    """Links and components around the threshold with small tiles, samples, shares and blocks, editions that make subgroups, exact copies and empty texts."""
     r = np.random.default_rng(5)
-    base, texts = [f"b{i}" for i in range(104)], ["", " "]
-    for i in range(60):
-        w = list(base)
-        for at in r.choice(104, int(r.integers(0, 4)), replace=False):
-            w[at] = f"x{i}_{at}"
-        texts += [" ".join(w)] * int(r.integers(1, 3))
-    monkeypatch.setattr(op7_jaccard_join, "BLOCK", 16)
-    monkeypatch.setattr(op7_jaccard_join, "COLUMNS", 50)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.n_links for r in op7_jaccard_join.join(df).collect()}
-    assert got == dict(enumerate(brute_links(sets_of(texts)))) and max(got.values()) > 2
+    texts = near_copies(r, 45, 104, 5, "a") + near_copies(r, 40, 60, 3, "c", pool=4) + [" ".join(f"q{int(x)}" for x in r.integers(0, 30, 40)) for _ in range(8)]
+    texts += [*texts[::5], "", " ", None, "x y"]
+    for name, value in (("LARGE", 2), ("SAMPLE", 3), ("SHARE", 2), ("BLOCK", 4), ("LEVELS", 2)):
+        monkeypatch.setattr(op7_jaccard_join, name, value)
+    sets, ids = sets_of(texts), list(range(len(texts)))
+    got = {x.doc_id: (x.component_id, x.n_links) for x in op7_jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    component, links = brute_components(ids, sets), brute_links(sets)
+    assert got == {i: (component[i], links[i]) for i in ids} and max(links) > 10
+
+
+def test_jaccard_bounds():
+    """Linked sizes lie in one size band or two neighbouring ones; bitmaps never rule a link out; spanning links hold together what all links do."""
+    low = op7_jaccard_join.bands(3000)
+    band = np.searchsorted(low, np.arange(3001), side="right")
+    assert all(band[m] - band[n] <= 1 for n in range(1, 2400) for m in (n, 5 * n // 4))
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = (np.unique(r.integers(0, 2**63, int(r.integers(1, 900))).astype(np.uint64)) for _ in "ab")
+        b = np.unique(np.concatenate([a[: len(a) * 9 // 10], b[: len(b) // 20]]))
+        wide, thin = (op7_jaccard_join.parity(x, w) for x, w in ((a, 8192), (b, 1024)))
+        fold = op7_jaccard_join.folded(wide.tobytes(), 1024)
+        assert (fold == op7_jaccard_join.parity(a, 1024).view("<u8")).all()
+        assert np.bitwise_count(fold ^ thin.view("<u8")).sum() <= len(np.setxor1d(a, b))
+        ok = r.random((12, 9)) < 0.15
+        x, y = op7_jaccard_join.spanning(ok)
+        assert ok[x, y].all() and len(x) <= 20
+        together = lambda pairs: brute_components_of(21, [(i, 12 + j) for i, j in pairs])
+        assert together(zip(x.tolist(), y.tolist(), strict=True)) == together(np.argwhere(ok).tolist())
+
+
+def brute_components_of(n, links):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
 
 
 def test_jaccard_join_keeps_texts_of_one_id_apart(spark):
@@ -253,6 +278,8 @@ def test_jaccard_join_keeps_texts_of_one_id_apart(spark):
     assert got == collections.Counter(want)
     kept = collections.Counter((r.doc_id, (r.text or "")[:2]) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
     assert kept == collections.Counter([(7, "t0"), (8, "t1"), (None, "t2"), (None, "t3"), (9, "t4"), (9, "t5"), (12, "t0"), (None, ""), (None, ""), (13, " ")])
+    clashing = spark.createDataFrame([(1, "a b c", 5, 6, 7, 8, 9), (1, "a b c", 5, 6, 7, 8, 9), ((1 << 63) - 1, "d e f", 1, 2, 3, 4, 5)], "doc_id long, text string, t int, words int, copies int, own_id int, component int")
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, clashing, SF).collect())) == [(1, "a b c", 5, 6, 7, 8, 9), ((1 << 63) - 1, "d e f", 1, 2, 3, 4, 5)]
 
 
 def test_components(spark):
