@@ -3,7 +3,8 @@
 A merge list has a *sufficient lookahead* L: the merges that cross a position depend on at most the L
 symbols after it.  Tokens that end L symbols before the end of what has been read are therefore final
 and leave the machine at once; the machine never holds more than a window of symbols, however long a
-word is.  ``sufficient_lookahead`` computes L from the merges.
+word is.  ``sufficient_lookahead`` computes L from the merges.  Every word passes through this machine
+(``Window``), every text through ``Encoder`` in pieces; a memo of frequent short words stands in front.
 
 Words are strings over 512 symbols: a byte, or a byte that ends a word (``chr(byte + 256)``).  So each
 entry of the vocabulary is one string, and all work is on plain ``str`` slices.
@@ -179,10 +180,6 @@ class Vocabulary:
         text = data[:-1].decode("latin-1") + chr(data[-1] + 256 if self.suffix else data[-1])
         if text in self.ids:
             return array("I", [self.ids[text]]).tobytes()
-        if self.lookahead is None:
-            return array("I", [self.ids[p] for p in self.merged(text)]).tobytes()
-        if len(text) < 64:
-            return array("I", map(self.ids.__getitem__, self.walk(text))).tobytes()
         machine = Window(self)
         return machine.feed(text) + machine.end()
 
@@ -287,6 +284,10 @@ class Encoder:
         block, self.rest = self.rest, ""
         return self._long(block, True) if self.run or self.tail else self.v.encode(block)
 
+    def held(self) -> int:
+        """Characters and symbols that are kept for what comes."""
+        return len(self.rest) + len(self.tail) + (len(self.run[0].rest) + 1 if self.run else 0)
+
     def _long(self, block: str, final: bool) -> bytes:
         """A stretch that may end inside a word. What ends it is kept as text, or as a machine's window if it is long."""
         out: list[bytes] = []

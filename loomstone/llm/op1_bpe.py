@@ -12,15 +12,13 @@ from . import bpe
 from .scratch import map_batches, table
 from .tokens import default_vocabulary
 
-#: Texts beyond this many characters pass through the machine in pieces of this size.
-PIECE = 1 << 18
+#: Characters that the machine takes at a time.
+PIECE = 4096
 
 
 def _streams(v: bpe.Vocabulary, text: str | None):
-    if not text or len(text) <= PIECE:
-        yield v.encode(text)
-    else:
-        yield from bpe.encode_pieces(v, (text[i : i + PIECE] for i in range(0, len(text), PIECE)))
+    """Ids of a text, as they become final."""
+    yield from bpe.encode_pieces(v, (text[i : i + PIECE] for i in range(0, len(text or ""), PIECE)))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +27,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         v = bpe.vocabulary(path)
         for b in batches:
-            yield {"id": b["id"], "ids": [array("I", b"".join(_streams(v, t))) .tolist() for t in b["text"]]}
+            yield {"id": b["id"], "ids": [array("I", b"".join(_streams(v, t))).tolist() for t in b["text"]]}
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -52,7 +50,11 @@ def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "id
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """For each row: number of ids, SHA-256 of the decimal ids and of the decoded text. Both sums take the stream piece by piece, so neither ids nor decoded text of a whole document are held."""
+    """For each row: number of ids, SHA-256 of the decimal ids and of the decoded text. Both sums take the stream piece by piece, so neither ids nor decoded text of a whole document are held.
+
+    Null and empty texts have no ids and the sums of empty strings.  Rows stay one to one, equal texts get equal sums,
+    an empty table gives no rows.
+    """
 
     def run(batches):
         v = bpe.vocabulary(path)
@@ -77,4 +79,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` with its number of ids and the digests of its ids and decoded text; see ``digests`` for nulls, repeats and empty tables."""
     return digests(table(spark, sf_dir, "documents"), default_vocabulary())
