@@ -189,7 +189,11 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
             return out
     if data[at + 36 : at + 40] == b"VBRI":
         p = at + 36
-        return {"kind": "VBRI", "bytes": int.from_bytes(data[p + 10 : p + 14], "big"), "frames": int.from_bytes(data[p + 14 : p + 18], "big")}
+        number = lambda a, b: int.from_bytes(data[p + a : p + b], "big")
+        count, scale, width = number(18, 20), number(20, 22), number(22, 24)
+        steps = [number(26 + i * width, 26 + (i + 1) * width) * scale for i in range(count)] if at + 62 + count * width <= len(data) else []
+        # The table has the bytes of each stretch of frames; places are their sums.
+        return {"kind": "VBRI", "bytes": number(10, 14), "frames": number(14, 18), "frames_per_entry": number(24, 26), "toc": [sum(steps[:i]) for i in range(len(steps))]}
     return None
 
 
@@ -290,7 +294,12 @@ def write(payload: bytes, n_bytes: int | None = None) -> bytes:
     return tag + xing + bytes(info - len(xing)) + audio
 
 
-def payload(data: bytes, audio: Audio, first: int = 0) -> bytes:
-    """The payload of a stream that ``write`` made, from its ``first``-th frame on; each frame's checksum was verified by ``parse``."""
-    units = {v: k for k, v in UNIT_KBPS.items()}
-    return b"".join(data[o + 6 + _SIDE : o + 6 + _SIDE + UNIT * units[h.kbps]] for o, h in zip(audio.offsets[first:], audio.headers[first:], strict=True))
+def payload(data: bytes, offsets: list[int]) -> bytes:
+    """The payload of the frames that ``write`` made at ``offsets``. A frame that isn't there or whose checksum fails is an error."""
+    units, out = {v: k for k, v in UNIT_KBPS.items()}, []
+    for o in offsets:
+        h = header(data[o : o + 4])
+        if h is None or h.kbps not in units or not checksum(data, o, h):
+            raise ValueError(f"no intact frame at byte {o}")
+        out.append(data[o + 6 + _SIDE : o + 6 + _SIDE + UNIT * units[h.kbps]])
+    return b"".join(out)
