@@ -1,16 +1,18 @@
 """PII surrogates: keyed, type-consistent replacements that keep entities apart and mentions together.
 
-Detection finds e-mail addresses, telephone numbers, payment cards, IPv4 addresses, national ids (SSN),
-IBANs, secret tokens and titled person names.  An entity is its kind and canonical form, so all mentions
+Detection finds e-mail addresses, telephone numbers, payment cards (with or without a valid check digit), IPv4
+addresses, national ids (SSN), IBANs, hexadecimal secrets, API keys with a well-known prefix and person names
+behind a title.  Names without a title aren't detected.  An entity is its kind and canonical form, so all mentions
 of one entity, in any document, get the same surrogate.
 
 Letters and digits are replaced by a keyed permutation of strings of the same length and alphabet, a
 Feistel network in blocks; separators, case, country codes and check digits keep their form.  Names are
 drawn by keyed hash from lists of the same script and gender.  Each entity's surrogate is then checked
 against all others: it must be no other entity's surrogate and no entity that occurs in the corpus.
-Losers try again with the next tweak.  From tweak ``WIDER`` on what is drawn from grows with each tweak: names get
-more parts, e-mail addresses a longer local part, telephone numbers more digits, and private IPv4 addresses any
-private network, so that any number of entities finds surrogates (but for IPv4, whose addresses are finite).
+Losers try again with the next tweak, until none is left.  From tweak ``WIDER`` on what is drawn from grows with each
+tweak: names get more parts, e-mail addresses a longer local part, telephone numbers more digits, and private IPv4
+addresses any private network, so that any number of entities finds surrogates.  Kinds of a fixed length have as
+many surrogates as there are strings of their form; it is an error if a corpus uses them up.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ import hmac
 import ipaddress
 import re
 
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rewrite import LAST, rewrite
+from .rewrite import keyed, rewrite
 from .scratch import map_batches, stored, table
 
-ROUNDS, WIDER = 24, 3
+#: The tweak from which on spaces grow; rounds without a resolved entity after which a space is taken to be used up.
+WIDER, IDLE = 3, 16
 
 #: Titles with the gender they name, and given and family names by script and gender.
 TITLES = {
@@ -54,7 +56,8 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _KINDS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,18}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?:[spr]k_(?:live|test)_[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])",
     "card": r"(?<![\w.-])\d{4}(?:([ -]?)\d{4}\1\d{4}\1\d{4}|[ -]?\d{6}[ -]?\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\w)",
@@ -94,7 +97,7 @@ def find(text: str | None, patterns=None) -> list[tuple[int, int, str]]:
             if not title.search(text):
                 continue
             hits = [m.span("person") for m in pattern.finditer(text)]
-        elif not hint.search(text) and kind != "secret":
+        elif not hint.search(text) and kind not in ("secret", "key"):
             continue
         else:
             hits = [m.span() for m in pattern.finditer(text)]
@@ -125,29 +128,32 @@ def permuted(value: int, size: int, key: bytes, label: str) -> int:
             return value
 
 
-_ALPHABETS = {"d": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "h": "0123456789abcdef"}
+_ALPHABETS = {"d": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "h": "0123456789abcdef"}
 
 
 def run_permuted(text: str, alphabet: str, key: bytes, label: str) -> str:
     """A permutation of strings of one alphabet and length, in blocks of at most twelve characters chained left to right."""
-    letters, out = _ALPHABETS[alphabet], ""
+    letters, out, before = _ALPHABETS[alphabet], [], ""
     for at in range(0, len(text), 12):
         block = text[at : at + 12]
         value = 0
         for c in block:
             value = value * len(letters) + letters.index(c)
-        value = permuted(value, len(letters) ** len(block), key, f"{label}/{alphabet}/{at}/{out}")
+        value = permuted(value, len(letters) ** len(block), key, f"{label}/{alphabet}/{at}/{before}")
         made = ""
         for _ in block:
             value, digit = divmod(value, len(letters))
             made = letters[digit] + made
-        out += made
-    return out
+        out.append(made)
+        # A digest of all blocks so far keys the next one.
+        before = hashlib.sha256((before + made).encode()).hexdigest() if len(text) > at + 12 else ""
+    return "".join(out)
 
 
 def _runs(text: str, key: bytes, label: str) -> str:
-    """Each run of lower-case letters and each run of digits permuted, all else kept."""
-    return re.sub(r"[a-z]+|[0-9]+", lambda m: run_permuted(m[0], "d" if m[0][0].isdigit() else "a", key, label), text)
+    """Each run of letters of one case and each run of digits permuted, all else kept."""
+    kind = lambda c: "d" if c.isdigit() else "A" if c.isupper() else "a"
+    return re.sub(r"[a-z]+|[A-Z]+|[0-9]+", lambda m: run_permuted(m[0], kind(m[0][0]), key, label), text)
 
 
 def luhn(digits: str) -> int:
@@ -219,6 +225,9 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int = 0) -> str:
         return value[:2] + f"{98 - number % 97:02d}" + made
     if kind == "secret":
         return run_permuted(value, "h", key, label)
+    if kind == "key":
+        head = re.match(r"[spr]k_(?:live|test)_|gh[pousr]_|xox[abprs]-|AKIA|AIza", value)[0]
+        return head + _runs(value[len(head) :], key, label)
     if kind == "ssn":
         return run_permuted(value, "d", key, label)
     title, _, name = value.partition("|")
@@ -243,90 +252,106 @@ def dressed(kind: str, mention: str, made: str) -> str:
     if kind in ("card", "iban", "ssn", "phone"):
         rest = iter(made[1:] if kind == "phone" and made.startswith("+") else made)
         return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
-    if kind in ("email", "secret") and mention.isupper():
+    if kind == "secret" and mention.isupper():
         return made.upper()
+    if kind == "email" and mention != mention.lower():
+        if mention.isupper():
+            return made.upper()
+        (local, domain), (own, place) = mention.split("@", 1), made.split("@", 1)
+        return _cased(local, own) + "@" + _cased(domain, place)
     return made
 
 
+def _cased(like: str, text: str) -> str:
+    """A text with capitals where ``like`` has them."""
+    return "".join(c.upper() if i < len(like) and like[i].isupper() else c for i, c in enumerate(text))
+
+
 # --- the corpus ----------------------------------------------------------------------------------------
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(k, t, start, end, kind, entity, mention): every entity in every text. A name's entity has its gender before it, so that a name shared by a man and a woman is two."""
+    """(doc_id, t, u, start, end, kind, entity, mention): every entity in every text. A name's entity has its gender before it, so that a name shared by a man and a woman is two."""
 
     def run(batches):
         patterns = _patterns()
-        names = ("k", "t", "start", "end", "kind", "entity", "mention")
+        names = ("doc_id", "t", "u", "start", "end", "kind", "entity", "mention")
         for b in batches:
             out = {n: [] for n in names}
-            for k, text in zip(b["k"], b["text"], strict=True):
-                found = find(text, patterns)
-                if not found:
-                    continue
-                t = xxhash.xxh3_64_intdigest(text)
-                for a, e, kind in found:
+            for doc_id, t, u, text in zip(b["doc_id"], b["t"], b["u"], b["text"], strict=True):
+                for a, e, kind in find(text, patterns):
                     entity = canonical(kind, text[a:e])
                     if kind == "name":
-                        title = text[:a].rstrip().rsplit(None, 1)[-1].lstrip("([\"'")
+                        title = text[max(0, a - 40) : a].rstrip().rsplit(None, 1)[-1].lstrip("([\"'")
                         g = gender(entity, title)
                         entity = f"{'Mr' if g == 'm' else 'Ms'}|{entity}"
-                    for n, x in zip(names, (k, t - (1 << 64) if t >> 63 else t, a, e, kind, entity, text[a:e]), strict=True):
+                    for n, x in zip(names, (doc_id, t, u, a, e, kind, entity, text[a:e]), strict=True):
                         out[n].append(x)
             yield out
 
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("k"), "text").where(F.length("text") > 0)
-    return map_batches(keyed, run, "k long, t long, start long, end long, kind string, entity string, mention string")
+    return map_batches(keyed(docs).where(F.length("text") > 0), run, "doc_id long, t long, u long, start long, end long, kind string, entity string, mention string")
 
 
 def _drawn(entities: DataFrame, key: bytes, tweak: int) -> DataFrame:
+    """(kind, entity, made, turn): each entity's surrogate and its place in the keyed order. The key is in no column and no expression."""
+
     def run(batches):
         for b in batches:
-            yield b | {"made": [surrogate(k, e, key, tweak) for k, e in zip(b["kind"], b["entity"], strict=True)]}
+            both = list(zip(b["kind"], b["entity"], strict=True))
+            yield b | {"made": [surrogate(k, e, key, tweak) for k, e in both], "turn": [f"{_prf(key, 'turn', k, e):064x}" for k, e in both]}
 
-    return map_batches(entities.select("kind", "entity"), run, "kind string, entity string, made string")
+    return map_batches(entities.select("kind", "entity"), run, "kind string, entity string, made string, turn string")
 
 
 def resolved(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, made): one surrogate for each entity, no two alike and none that is itself an entity of the corpus.
 
-    Each round draws for the entities that are left; of equal draws the one with the smallest keyed hash
-    wins.  Mentions are folded to entities before they are shuffled.  After ROUNDS rounds an entity that
-    still has no free surrogate is an error, not a collision.
+    Each round draws for the entities that are left; of equal draws the first in keyed order wins.  Mentions are
+    folded to entities before they are shuffled.  Rounds end when no entity is left; a space of fixed length that a
+    corpus uses up is an error, not a collision.  No mentions give no rows.
     """
     entities = stored(found.select("kind", "entity").distinct(), "entities")
     # A name's own form has no gender before it.
     taken = entities.select("kind", F.element_at(F.split("entity", r"\|"), -1).alias("made")).distinct()
-    done, left = None, entities
-    for tweak in range(ROUNDS):
+    done, left, count, idle, tweak = None, entities, entities.count(), 0, 0
+    while count:
         drawn = stored(_drawn(left, key, tweak), "drawn")
         free = drawn.join(taken, ["kind", "made"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "made"), ["kind", "made"], "left_anti")
         # A fold before the shuffle: one winner for each surrogate.
-        won = stored(free.groupBy("kind", "made").agg(F.min_by("entity", F.struct(F.sha2(F.concat(F.lit(key.hex()), "entity"), 256), "entity")).alias("entity")).select("kind", "entity", "made"), "won")
+        won = stored(free.groupBy("kind", "made").agg(F.min_by("entity", "turn").alias("entity")).select("kind", "entity", "made"), "won")
         done = won if done is None else done.union(won)
         left = stored(left.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti"), "left")
-        if not left.limit(1).count():
-            return done
-    raise ValueError("no free surrogates are left for some entities")
+        before, count, tweak = count, left.count(), tweak + 1
+        idle = idle + 1 if count == before else 0
+        if idle >= IDLE:
+            kinds = [r["kind"] for r in left.select("kind").distinct().collect()]  # at most one for each kind
+            raise ValueError(f"the corpus uses up all surrogates of {', '.join(sorted(kinds))}")
+    return done if done is not None else entities.select("kind", "entity", F.lit("").alias("made"))
 
 
 def replacements(docs: DataFrame, key: bytes) -> DataFrame:
-    """(k, t, start, end, kind, put) of every mention."""
+    """(doc_id, t, u, start, end, kind, put) of every mention, repeated rows included.
+
+    Mentions and surrogates meet by entity in a sort-merge join, of which Spark splits the partition of an entity that
+    has very many mentions.
+    """
     found = stored(mentions(docs), "mentions")
-    table_ = resolved(found, key)
+    made = resolved(found, key).hint("merge")
+    names = ("doc_id", "t", "u", "start", "end", "kind")
 
     def run(batches):
         for b in batches:
-            yield {n: b[n] for n in ("k", "t", "start", "end", "kind")} | {"put": [dressed(k, m, s) for k, m, s in zip(b["kind"], b["mention"], b["made"], strict=True)]}
+            yield {n: b[n] for n in names} | {"put": [dressed(k, m, s) for k, m, s in zip(b["kind"], b["mention"], b["made"], strict=True)]}
 
-    joined = found.join(table_, ["kind", "entity"]).select("k", "t", "start", "end", "kind", "mention", "made")
-    return map_batches(joined, run, "k long, t long, start long, end long, kind string, put string")
+    joined = found.join(made, ["kind", "entity"]).select(*names, "mention", "made")
+    return map_batches(joined, run, "doc_id long, t long, u long, start long, end long, kind string, put string")
 
 
 def anonymised(docs: DataFrame, key: bytes) -> DataFrame:
-    """``docs`` with every entity in ``text`` replaced and ``n_chars`` set anew; all rows and other columns stay. Null and empty texts stay as they are."""
-    return rewrite(docs, replacements(docs, key).select("k", "t", "start", "end", "put").distinct())
+    """``docs`` with every entity in ``text`` replaced and ``n_chars`` set anew; all rows and other columns stay, whatever their names. Null and empty texts stay as they are, repeated rows are edited alike, an empty table stays empty."""
+    return rewrite(docs, replacements(docs, key).select("doc_id", "t", "u", "start", "end", "put"))
 
 
 #: The query's key; a deployment passes its own.
@@ -334,6 +359,6 @@ QUERY_KEY = b"loomstone surrogate key"
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each replaced mention: doc_id, start and end in characters, kind and surrogate."""
+    """One row for each replaced mention: doc_id, start and end in characters, kind and surrogate. Null and empty texts have none; a row that is repeated whole has its mentions again."""
     made = replacements(table(spark, sf_dir, "documents"), QUERY_KEY)
-    return made.select(F.when(F.col("k") != LAST, F.col("k")).alias("doc_id"), "start", "end", "kind", F.col("put").alias("surrogate"))
+    return made.select("doc_id", "start", "end", "kind", F.col("put").alias("surrogate"))

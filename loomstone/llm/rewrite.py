@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import map_batches
 
-LAST = (1 << 63) - 1
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, u, text): what tells a row's text from others of its doc_id, null or not, is two 64-bit hashes."""
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), F.col("text")).alias("u"), "text")
 
 
 def edited(text: str, edits: list) -> str:
@@ -22,28 +24,27 @@ def edited(text: str, edits: list) -> str:
 
 
 def rewrite(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` edited and ``n_chars`` set anew, columns in the same order.
+    """``docs`` with ``text`` edited and ``n_chars`` set anew, columns in the same order, whatever their names.
 
-    ``edits`` has (k, t, start, end, put): the row's doc_id, the hash of its text, and what replaces a stretch of it.
-    Rows without edits stay as they are.  One shuffle brings texts and edits together by doc_id.
+    ``edits`` has (doc_id, t, u, start, end, put): the keys of ``keyed`` and what replaces a stretch of the text.  Rows
+    without edits and null texts stay as they are; rows that are repeated whole are edited alike.  One shuffle
+    brings texts and edits together.
     """
-    names = docs.columns
-    keyed = docs.withColumn("__k", F.coalesce("doc_id", F.lit(LAST)))
-    grouped = edits.groupBy(F.col("k").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("t", "start", "end", "put"))).alias("__edits"))
-    both = keyed.join(grouped, "__k", "left").select(*names, "__edits")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.struct(*own).alias("row"), "doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), F.col("text")).alias("u"))
+    listed = edits.groupBy(F.col("doc_id").alias("own_id"), F.col("t").alias("own_t"), F.col("u").alias("own_u")).agg(F.sort_array(F.collect_set(F.struct("start", "end", "put"))).alias("edits"))
+    both = rows.join(listed, rows["doc_id"].eqNullSafe(listed["own_id"]) & (rows["t"] == listed["own_t"]) & (rows["u"] == listed["own_u"]), "left").select("row.*", "edits")
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    text = f"c{docs.columns.index('text')}"
+    size = f"c{docs.columns.index('n_chars')}" if "n_chars" in docs.columns else None
 
     def run(batches):
         for b in batches:
-            found = b.pop("__edits")
-            for i, (text, own) in enumerate(zip(b["text"], found, strict=True)):
-                if own and text is not None:
-                    t = xxhash.xxh3_64_intdigest(text)
-                    mine = [(e["start"], e["end"], e["put"]) for e in own if e["t"] % (1 << 64) == t]
-                    if mine:
-                        b["text"][i] = edited(text, mine)
-                        if "n_chars" in b:
-                            b["n_chars"][i] = len(b["text"][i])
+            for i, found in enumerate(b.pop("edits")):
+                if found and b[text][i] is not None:
+                    b[text][i] = edited(b[text][i], [(e["start"], e["end"], e["put"]) for e in found])
+                    if size:
+                        b[size][i] = len(b[text][i])
             yield b
 
-    return map_batches(both, run, kinds)
+    return map_batches(both, run, kinds).toDF(*docs.columns)
