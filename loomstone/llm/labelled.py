@@ -16,12 +16,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longe
     """Texts and 0/1 labels of at most ``per_class`` rows of each class, the first in hash order of their id.
 
     Only rows that aren't held out, with a label of 0 or 1 and a text of at most ``longest`` characters
-    count.  The driver gets at most ``2 * per_class`` texts.
+    count; of rows that share a doc_id the smallest text does.  The driver gets at most ``2 * per_class``
+    texts.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
-    chosen = known.where("y = 1").orderBy(order).limit(per_class).union(known.where("y = 0").orderBy(order).limit(per_class))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").collect()
+    chosen = known.where("y = 1").orderBy(order).limit(per_class).union(known.where("y = 0").orderBy(order).limit(per_class)).dropDuplicates(["doc_id"])
+    mine = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
+    rows = mine.groupBy("doc_id", "y").agg(F.min("text").alias("text")).limit(2 * per_class).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.float64)
 

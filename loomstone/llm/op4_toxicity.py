@@ -1,9 +1,13 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens are runs of letters, digits and signs between white space; a chain is a sentence, at most
-``CHAIN`` tokens.  The field has two states per token, clean and toxic, with weights for the token's
-letters (the word, prefixes, a suffix, its shape) and for transitions.  Forward-backward gives each
-token's marginal, and a document's score is a logistic function of how its marginals add up.
+Tokens are runs of letters, digits and signs between white space; a chain is a sentence, however long.
+The field has two states per token, clean and toxic, with weights for the token's letters (the word,
+prefixes, a suffix, its shape) and for transitions.  Forward-backward gives each token's marginal, and a
+document's score is a logistic function of how its marginals add up.
+
+Chains are stepped through side by side, in segments of ``SEGMENT`` tokens: the product of a segment's
+transfer matrices carries the messages over it, so marginals are those of the whole chain and a sentence
+of many thousand tokens costs few steps.
 
 Token labels for training come from document labels of a bounded sample without near copies: within toxic
 documents, a token is labelled toxic if its word, or a prefix or ending that it shares, occurs significantly
@@ -23,7 +27,7 @@ from .bpe import Memo
 from .labelled import held_out, logistic, sample
 from .scratch import map_batches, table
 
-CHAIN = 64
+SEGMENT = 64
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -51,11 +55,9 @@ def chains(ending: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.nd
     """(first token, length) of each chain; ``ending`` flags tokens, ``documents`` has the end of each document."""
     n = len(ending)
     breaks = np.unique(np.concatenate([np.flatnonzero(ending) + 1, documents, [n]]))
-    breaks = breaks[(breaks > 0) & (breaks <= n)]
-    starts = np.concatenate([[0], breaks[:-1]]) if len(breaks) else np.zeros(0, int)
-    pieces = (breaks - starts + CHAIN - 1) // CHAIN
-    first = np.repeat(starts, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * CHAIN
-    return first, np.minimum(np.repeat(breaks, pieces) - first, CHAIN)
+    breaks = breaks[(breaks > 0) & (breaks <= n)].astype(np.int64)
+    starts = np.concatenate([[0], breaks[:-1]]).astype(np.int64) if len(breaks) else np.zeros(0, np.int64)
+    return starts, breaks - starts
 
 
 class Field:
@@ -69,50 +71,86 @@ class Field:
         return sum(get(f, 0.0) for f in features(token))
 
     def marginals(self, emission: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """P(state 1) of each token by forward-backward; all chains step together, longest first."""
+        """P(state 1) of each token by forward-backward."""
         return forward_backward(emission, first, length, self.transitions, self.start)[0]
 
 
-def forward_backward(emission, first, length, transitions, start):
-    """Marginals of state 1, expected transition counts and the mean of the chains' first states."""
-    out = np.zeros(len(emission))
+def forward_backward(emission, first, length, transitions, start, segment: int = SEGMENT):
+    """Marginals of state 1, expected transition counts and the sum of the chains' first marginals."""
+    out, pairs = np.zeros(len(emission)), np.zeros((2, 2))
     if not len(first):
-        return out, np.zeros((2, 2)), 0.0
-    order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    longest = int(length[0])
-    live = np.searchsorted(-length, -np.arange(longest), side="left")  # chains longer than t
-    t00, t01, t10, t11 = np.exp(transitions).ravel()
+        return out, pairs, 0.0
     step = np.exp(np.clip(emission, -30, 30))
-    forward = np.empty((longest, len(first)))  # P(state 1 | tokens so far)
-    f = np.exp(start) * step[first]
-    forward[0] = f / (1 + f)
+    move = np.exp(transitions)
+    (t00, t01), (t10, t11) = move
+    count = -(-length // segment)  # segments of each chain
+    chain = np.repeat(np.arange(len(first)), count)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+    at = first[chain] + nth * segment
+    size = np.minimum(length[chain] - nth * segment, segment)
+    enter, leave = _messages(step, at, size, nth, np.cumsum(count) - count, count, move, start)
+
+    order = np.argsort(-size, kind="stable")
+    at, size, enter, back, opens = at[order], size[order], enter[order], leave[order].copy(), nth[order] == 0
+    longest = int(size[0])
+    live = np.searchsorted(-size, -np.arange(longest), side="left")  # segments longer than t
+    forward = np.empty((longest, len(at)))  # P(state 1 | tokens so far)
+    f = np.exp(start) * step[at]
+    goes0, goes1 = (1 - enter) * t00 + enter * t10, ((1 - enter) * t01 + enter * t11) * step[at]
+    forward[0] = np.where(opens, f / (1 + f), goes1 / (goes0 + goes1))
     for t in range(1, longest):
         k = live[t]
         one = forward[t - 1, :k]
         zero = 1 - one
-        b1 = (zero * t01 + one * t11) * step[first[:k] + t]
+        b1 = (zero * t01 + one * t11) * step[at[:k] + t]
         forward[t, :k] = b1 / (b1 + zero * t00 + one * t10)
-    pairs = np.zeros((2, 2))
-    back = np.empty(len(first))  # share of state 1 in the backward message
-    back.fill(0.5)
     for t in range(longest - 1, -1, -1):
         k = live[t]
         one, message = forward[t, :k], back[:k]
         p1 = one * message
-        p1 = p1 / (p1 + (1 - one) * (1 - message))
-        out[first[:k] + t] = p1
-        if t:
-            before = forward[t - 1, :k]
-            m1, m0 = message * step[first[:k] + t], 1 - message
-            w00, w01, w10, w11 = (1 - before) * t00 * m0, (1 - before) * t01 * m1, before * t10 * m0, before * t11 * m1
-            total = w00 + w01 + w10 + w11
-            pairs += [[(w00 / total).sum(), (w01 / total).sum()], [(w10 / total).sum(), (w11 / total).sum()]]
-            to0, to1 = t00 * m0 + t01 * m1, t10 * m0 + t11 * m1
-            back[:k] = to1 / (to0 + to1)
+        out[at[:k] + t] = p1 / (p1 + (1 - one) * (1 - message))
+        before = forward[t - 1, :k] if t else enter[:k]
+        m1, m0 = message * step[at[:k] + t], 1 - message
+        w = np.stack([(1 - before) * t00 * m0, (1 - before) * t01 * m1, before * t10 * m0, before * t11 * m1])
+        w /= w.sum(0)
+        pairs += (w if t else w[:, ~opens[:k]]).sum(1).reshape(2, 2)
+        to0, to1 = t00 * m0 + t01 * m1, t10 * m0 + t11 * m1
+        back[:k] = to1 / (to0 + to1)
     return out, pairs, float(out[first].sum())
 
 
+def _messages(step, at, size, nth, begin, count, move, start):
+    """P(state 1) of the token before each segment, and state 1's share in the message that comes back to its last token."""
+    enter, leave = np.zeros(len(at)), np.full(len(at), 0.5)
+    linked = np.flatnonzero(np.repeat(count > 1, count))
+    if not len(linked):
+        return enter, leave
+    # The product of each linked segment's matrices, rows for the state before it; a chain's first token has its own.
+    product = np.tile(np.eye(2), (len(linked), 1, 1))
+    for t in range(int(size[linked].max())):
+        own = np.flatnonzero(size[linked] > t)
+        token = step[at[linked[own]] + t]
+        moved = product[own] @ move
+        if t == 0:
+            moved[nth[linked] == 0] = [1.0, np.exp(start)]
+        moved[:, :, 1] *= token[:, None]
+        product[own] = moved / moved.sum((1, 2), keepdims=True)
+    place = np.zeros(len(at), np.int64)
+    place[linked] = np.arange(len(linked))
+    many = np.flatnonzero(count > 1)
+    for j in range(1, int(count.max())):
+        own = begin[many[count[many] > j]] + j
+        p, one = product[place[own - 1]], enter[own - 1]
+        ends = (1 - one)[:, None] * p[:, 0] + one[:, None] * p[:, 1]
+        enter[own] = ends[:, 1] / ends.sum(1)
+    for j in range(int(count.max()) - 1, 0, -1):
+        own = begin[many[count[many] > j]] + j
+        p, share = product[place[own]], leave[own]
+        back = p[:, :, 0] * (1 - share)[:, None] + p[:, :, 1] * share[:, None]
+        leave[own - 1] = back[:, 1] / back.sum(1)
+    return enter, leave
+
+
 def distinct_texts(texts: list[str], y: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The sample without near copies: of texts that share one of four smallest shingles the first stays. A group of copies would else make all of its words look like signs of its label."""
     from .shingles import shingle_sets
@@ -196,8 +234,8 @@ def train(texts: list[str], y: np.ndarray, steps: int = 40, rate: float = 0.3) -
 
 
 def aggregates(p: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Of each document: log of 1 + the expected number of toxic tokens, the largest marginal, and the expected share. Marginals under a tenth don't count, or a long clean text would add up to a toxic one."""
-    sums = np.concatenate([[0], np.cumsum(np.where(p >= 0.1, p, 0.0))])
+    """Of each document: log of 1 + the sum of cubed marginals, the largest marginal, and the mean cube. Cubes keep the small marginals of a long clean text from adding up to those of a toxic one."""
+    sums = np.concatenate([[0], np.cumsum(p**3)])
     starts = np.concatenate([[0], documents[:-1]]).astype(int)
     count = sums[documents] - sums[starts]
     size = documents - starts
@@ -218,7 +256,9 @@ def score(docs: DataFrame, model, with_spans: bool = False) -> DataFrame:
     """(doc_id, score[, spans]) for each row of ``docs``.
 
     ``spans`` has (start, end, marginal) of each token whose marginal is at least one half, in characters.
-    Null and empty texts have no tokens and get the score of an empty document; long texts are scored whole.
+    Null, empty and blank texts have no tokens and get the score of an empty document; long texts are scored
+    whole.  Rows stay one to one: repeated rows and equal texts get equal scores; an empty table gives no rows.
+    A model that was fitted without labels gives every text one half.
     """
     field, weights = model
 
@@ -235,7 +275,7 @@ def score(docs: DataFrame, model, with_spans: bool = False) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores under ``threshold``, with all columns. Null and empty texts are scored as empty documents."""
+    """The rows of ``docs`` whose text scores under ``threshold``, with all columns, whatever their names. Null and empty texts are scored as empty documents; repeated rows go or stay together; an empty table stays empty."""
     field, weights = model
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -274,6 +314,7 @@ def _spans(text: str | None, p: np.ndarray) -> list[dict]:
 
 
 def op4_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` with its score, its prediction and the offsets of its toxic tokens; see ``score`` for nulls, repeats and empty tables."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs, fit(docs, labels), with_spans=True)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
