@@ -1,7 +1,7 @@
 """Order MinHash fingerprints in column expressions alone.
 
-A text is a sequence of words; a text of under ``SHORT`` characters, or with words of over 40 characters
-on average, is a sequence of character pairs.  Each run of K of them
+A text is a sequence of symbols: runs of at most ``RUN`` characters without white space, or one character of a
+script that is written without spaces.  The rule is the same at every length.  Each run of K symbols
 is a k-mer; a k-mer's n-th occurrence in the text counts as a k-mer of its own.  The hashes of these
 occurrence-numbered k-mers fall into ``BINS`` bins by their upper bits.  In each bin the two smallest are
 selected, put in the order in which they stand in the text, and hashed as a tuple.  So a bin of two
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from .scratch import stored, table
 
-K, BINS, SHORT = 3, 32, 256
+K, BINS, RUN = 3, 32, 8
+#: Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+SYMBOL = rf"[{_UNSPACED}]|[^\s\u00a0\u3000{_UNSPACED}]{{1,{RUN}}}"
 #: A packed long: the hash in the upper 37 bits below the sign, the position in the lower 26.
 POSITION_BITS, HASH_BITS = 26, 37
 BIN_SHIFT = POSITION_BITS + HASH_BITS - 5
@@ -28,21 +31,20 @@ NONE = "----"
 def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint of a text column: BINS groups of four hex digits, or ``----`` where no k-mer fell.
 
-    Null counts as empty; an empty text has no k-mer and its fingerprint is all dashes.  A text of fewer
-    than K symbols is one k-mer.  Equal texts have equal fingerprints.  Columns of ``df`` may have any
-    names; intermediate names are prefixed and removed.
+    Null counts as empty; an empty or blank text has no k-mer and its fingerprint is all dashes.  A text of fewer
+    than K symbols is one k-mer.  Equal texts have equal fingerprints.  Rows stay one to one, an empty table gives
+    no rows.  Columns of ``df`` may have any names.
     """
-    keep = df.columns
+    keep, own = df.columns, "__"
+    while any(c.lower().startswith(own) for c in keep):
+        own += "_"
     mask = (1 << HASH_BITS) - 1
 
     def pack(h: str, position: str) -> str:
         return f"shiftleft({h} & {mask}L, {POSITION_BITS}) | cast({position} AS bigint)"
 
-    words = f"length(coalesce(`{text_col}`, '')) >= {SHORT} AND size(__w) * 40 >= length(`{text_col}`)"
+    df = df.withColumn(f"{own}s", F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(SYMBOL), F.lit(0)))
     steps = {
-        "__w": f"split(trim(translate(coalesce(`{text_col}`, ''), '\\t\\n\\u000b\\f\\r', '     ')), ' +')",
-        "__c": f"if({words}, array(), split(coalesce(`{text_col}`, ''), ''))",
-        "__s": f"if({words}, __w, transform(filter(__c, x -> x <> ''), (x, i) -> concat(x, coalesce(get(__c, i + 1), ''))))",
         "__n": "size(__s)",
         "__k": f"if(__n >= {K}, transform(sequence(0, greatest(__n - {K}, 0)), i -> {pack('xxhash64(__s[i], __s[i + 1], __s[i + 2])', 'i')}), if(__n = 0, cast(array() AS array<bigint>), array({pack('xxhash64(array_join(__s, chr(0)))', '0')})))",
         "__k2": "sort_array(__k)",
@@ -60,8 +62,8 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerpr
         "__out": f"if(size(__f) < 0, NULL, array_join(transform(sequence(0L, {BINS - 1}L), b -> coalesce(try_element_at(__f, b), '{NONE}')), ''))",
     }
     for name, expression in steps.items():
-        df = df.withColumn(name, F.expr(expression))
-    return df.select(*[F.col(f"`{c}`") for c in keep if c != out], F.col("__out").alias(out))
+        df = df.withColumn(name.replace("__", own), F.expr(expression.replace("__", own)))
+    return df.select(*[F.col(f"`{c}`") for c in keep if c != out], F.col(f"{own}out").alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -77,13 +79,14 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
 
     ``docs`` has (doc_id, text).  The next document is that of the next larger doc_id; after the largest
     comes the smallest.  Null text counts as empty, a null doc_id comes first.  Rows with an equal doc_id
-    stay separate, have the same next document, and stand as next with their smallest text.
+    stay separate, have the same next document, and stand as next with their smallest text.  An only document is
+    its own next; an empty table gives no rows.
 
     Texts cross the cluster once, dealt out by doc_id; that exchange serves both as the document and as
     the next document of another.  The successor table holds ids and lengths only.
     """
-    first = -(1 << 63)
-    base = docs.select(F.coalesce(F.col("doc_id"), F.lit(first)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"))
+    base = docs.select(key.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     printed = with_fingerprint(base)
     sizes = base.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies"))
     ids = stored(sizes.repartitionByRange("k").withColumn("part", F.spark_partition_id()), "ids")
@@ -113,4 +116,5 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` with its fingerprint and likenesses; see ``edited_and_next`` for nulls, repeats and empty tables."""
     return edited_and_next(table(spark, sf_dir, "documents"))
