@@ -26,8 +26,9 @@ SEGMENT = "part int, start_in_part long, n_ids long, doc_ids binary, missing bin
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, segment_ids: int = 1 << 17) -> None:
     """Encodes ``docs(doc_id long, text)``, appends ``end_id`` to each document and writes the segments.
 
-    One shuffle deals the texts out by ranges of doc_id.  Null text counts as empty; a null doc_id comes
-    first; rows with equal doc_id stay separate and are ordered by their text.
+    One shuffle deals the texts out by ranges of doc_id and text hash, so many rows of one id or without one are split.
+    Null text counts as empty; a null doc_id comes first; rows with equal doc_id stay separate and are ordered by the
+    hash of their text, then by the text; an empty table gives no rows.
     """
 
     def run(batches):
@@ -63,8 +64,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, segm
         if keys:
             yield segment()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_batches(ordered, run, SEGMENT, rows=2048).write.option("compression", "none").parquet(path)
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("t", F.xxhash64("text")).repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t", "text")
+    map_batches(ordered.select("doc_id", "text"), run, SEGMENT, rows=2048).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, crc_only: bool = False) -> DataFrame:
@@ -100,6 +101,7 @@ def read_ids(spark: SparkSession, path: str, crc_only: bool = False) -> DataFram
 
 
 def op8_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` with the place, number and checksum of its ids, read back from the files; see ``write_ids`` for nulls, repeats and empty tables."""
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(table(spark, sf_dir, "documents"), path, default_vocabulary())
     return read_ids(spark, path, crc_only=True)
