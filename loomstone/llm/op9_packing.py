@@ -91,7 +91,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limit: int = 2048) -
     """Packs ``docs(doc_id, text)``: one row for each piece with its sequence and its offset there.
 
     Null text counts as empty, so each row gives at least the piece that holds its end id.  Rows with
-    equal doc_id are separate documents.  An empty table gives no rows.
+    equal doc_id, repeated whole or not, are separate documents.  An empty table gives no rows.
     """
     cut = stored(pieces(docs, vocabulary, end_id, limit), "pieces")
     by_part = stored(cut.groupBy("part", "length").count(), "lengths")
@@ -99,7 +99,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limit: int = 2048) -
     places = slots(pack_histogram(histogram, limit))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(bases, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("rank"))
+    # One row for each part and length: it grows with the input, so it isn't broadcast.
+    ranked = cut.join(bases.hint("merge"), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("rank"))
 
     def run(batches):
         for b in batches:
@@ -117,4 +118,5 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limit: int = 2048) -
 
 
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of each row of ``documents`` with its place in a sequence; see ``pack`` for nulls, repeats and empty tables."""
     return pack(table(spark, sf_dir, "documents"), default_vocabulary())
