@@ -10,8 +10,8 @@ words the one with the smallest hash is a span too, wherever its sentences end,
 inside it, which then does its work.  A shared passage of ``LONG + WINDOW - 1`` words or more, hence any of
 over 50, holds a whole span.  In scripts without spaces a character counts as a word.
 
-Spans are hashed and joined globally; of equal spans the one with
-the smallest (doc_id, offset) is first, and every unit that another one covers is removed.
+Spans are hashed to 96 bits and joined globally; of equal spans the one with the smallest (doc_id, offset) is
+first, a null doc_id after all others, and every unit that another one covers is removed.
 
 A task passes on one occurrence of each span it sees, its first, and marks its others as repeats at
 once, so a span that stands in a third of all documents costs a few entries per task.
@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .rewrite import keyed, rewrite
 from .scratch import map_batches, stored, table
 
 RUN, WORDS = 3, 12
@@ -34,9 +35,12 @@ _SEAM = re.compile(r"[.!?,]['\")\]]*\s+|\s*\n\s*")
 #: A word: a run without white space, or one character of Thai, Lao, Burmese, Khmer, kana or Han.
 _UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
-_MIX = 0x9E3779B97F4A7C15
-LAST = (1 << 63) - 1
-FLUSH = 1 << 20
+_MIX, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+#: Spans and texts that a task holds before it passes them on.
+FLUSH, TEXTS = 1 << 20, 1 << 16
+#: A text's key, and a span: two hashes, its text, its start and its length, 65,535 standing for longer ones.
+_KEY = np.dtype([("id", "<i8"), ("null", "?"), ("t", "<i8"), ("u", "<i8")])
+_SPAN = np.dtype([("h", "<u8"), ("x", "<u4"), ("who", "<u2"), ("a", "<u4"), ("n", "<u2")])
 
 
 def units(text: str) -> tuple[list[int], list[int]]:
@@ -59,27 +63,16 @@ def sentences(text: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def spans(text: str | None, run: int = RUN, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each span of a text; none for null, blank or shorter texts."""
+def spans(text: str | None, run: int = RUN, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, other hash, start, end) of each span of a text; none for null, blank or shorter texts."""
     text = text or ""
     at, to = (np.array(x, np.int64) for x in units(text))
     m = len(at)
     if not m:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     memo = _Hashes()
     hashes = np.array([memo[text[a:b]] for a, b in zip(at.tolist(), to.tolist(), strict=True)], np.uint64)
-    with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, _MIX, np.uint64)]))
-        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, pow(_MIX, -1, 1 << 64), np.uint64)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * powers[:m])])
-
-    def hashed(i, j):
-        """Hashes of words i .. j - 1: sums of hash * power, divided by the first power, are the same wherever a run stands."""
-        with np.errstate(over="ignore"):
-            h = (sums[j] - sums[i]) * back[i] + (j - i).astype(np.uint64)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            return h ^ (h >> np.uint64(29))
-
+    hashed, other = _rolling(hashes, _MIX), _rolling(hashes ^ (hashes >> np.uint64(29)), _OTHER)
     starts, ends = sentences(text)
     n = len(starts)
     # Words before each unit and before the end; a unit of stops alone between spaces is a word as well.
@@ -91,27 +84,45 @@ def spans(text: str | None, run: int = RUN, words: int = WORDS) -> tuple[np.ndar
         i, j = np.flatnonzero(fits), last[fits]
         if len(i) and j[-1] < n:  # the end of the text is in a span too: in the shortest that reaches it
             i, j = np.append(i, i[-1]), np.append(j, n)
-    h, a, b = hashed(counts[i], counts[j]), np.array(starts, np.int64)[i], np.array(ends, np.int64)[j - 1]
-    if m < LONG:
-        return h, a, b
-    first = np.arange(m - LONG + 1)
-    grams = hashed(first, first + LONG)
-    if len(grams) > WINDOW:
-        view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-        first = np.unique(np.arange(len(view)) + view.argmin(1))
-    else:
-        first = np.array([grams.argmin()])
-    if len(i):
-        # The first span of units that starts behind a word of the run, so that its seam is in the run, and the least end from there on.
-        least = np.minimum.accumulate(counts[j][::-1])[::-1]
-        inner = np.searchsorted(counts[i], first, side="right")
-        first = first[np.append(least, m + 1)[inner] >= first + LONG]
-    h, a, b = np.concatenate([h, grams[first]]), np.concatenate([a, at[first]]), np.concatenate([b, to[first + LONG - 1]])
-    at_word = np.concatenate([counts[i], first])
-    order = np.lexsort((a, h, at_word))
-    h, a, b, at_word = h[order], a[order], b[order], at_word[order]
-    once = np.concatenate([[True], (h[1:] != h[:-1]) | (at_word[1:] != at_word[:-1])])  # a run that is a span of both kinds
-    return h[once], a[once], b[once]
+    first, last = counts[i], counts[j]
+    a, b = np.array(starts, np.int64)[i], np.array(ends, np.int64)[j - 1]
+    if m >= LONG:
+        begin = np.arange(m - LONG + 1)
+        grams = hashed(begin, begin + LONG)
+        if len(grams) > WINDOW:
+            view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+            begin = np.unique(np.arange(len(view)) + view.argmin(1))
+        else:
+            begin = np.array([grams.argmin()])
+        if len(i):
+            # The first span of units that starts behind a word of the run, so that its seam is in the run, and the least end from there on.
+            least = np.minimum.accumulate(last[::-1])[::-1]
+            inner = np.searchsorted(first, begin, side="right")
+            begin = begin[np.append(least, m + 1)[inner] >= begin + LONG]
+        first, last = np.concatenate([first, begin]), np.concatenate([last, begin + LONG])
+        a, b = np.concatenate([a, at[begin]]), np.concatenate([b, to[begin + LONG - 1]])
+        order = np.lexsort((a, last, first))
+        first, last, a, b = first[order], last[order], a[order], b[order]
+        once = np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])])  # a run that is a span of both kinds
+        first, last, a, b = first[once], last[once], a[once], b[once]
+    return hashed(first, last), (other(first, last) >> np.uint64(32)).astype(np.uint32), a, b
+
+
+def _rolling(hashes: np.ndarray, mix: int):
+    """A function that hashes words i .. j - 1: sums of hash * power, divided by the first power, are the same wherever a run stands."""
+    m = len(hashes)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, mix, np.uint64)]))
+        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, pow(mix, -1, 1 << 64), np.uint64)]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * powers[:m])])
+
+    def hashed(i, j):
+        with np.errstate(over="ignore"):
+            h = (sums[j] - sums[i]) * back[i] + (j - i).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            return h ^ (h >> np.uint64(29))
+
+    return hashed
 
 
 class _Hashes(dict):
@@ -122,73 +133,86 @@ class _Hashes(dict):
         return h
 
 
+def _packed(keys: np.ndarray, found: np.ndarray, ends: np.ndarray) -> bytes:
+    """Spans with the keys of their texts; ``ends`` has where each span ends."""
+    own, local = np.unique(found["who"], return_inverse=True)
+    found = found.copy()
+    length = ends - found["a"].astype(np.int64)
+    found["who"], found["n"] = local, np.minimum(length, 65_535)
+    return np.array([len(own), len(found)], "<i4").tobytes() + keys[own].tobytes() + found.tobytes() + length[length >= 65_535].astype("<i8").tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spans, each one's key, its end)."""
+    m, n = np.frombuffer(blob, "<i4", 2).tolist()
+    keys = np.frombuffer(blob, _KEY, m, 8)
+    at = 8 + m * _KEY.itemsize
+    found = np.frombuffer(blob, _SPAN, n, at)
+    length = found["n"].astype(np.int64)
+    length[length >= 65_535] = np.frombuffer(blob, "<i8", offset=at + n * _SPAN.itemsize)
+    return found, keys[found["who"]], found["a"].astype(np.int64) + length
+
+
+def _ordered(found: np.ndarray, keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal spans together, the first one first; which spans in it are the first of their kind, and which stand again in a row that is repeated whole."""
+    order = np.lexsort((keys["u"], keys["t"], found["a"], keys["id"], keys["null"], found["x"], found["h"]))
+    f, k = found[order], keys[order]
+    if not len(f):
+        return order, np.zeros(0, bool), np.zeros(0, bool)
+    same = (f["h"][1:] == f["h"][:-1]) & (f["x"][1:] == f["x"][:-1])
+    again = same & (k[1:] == k[:-1]) & (f["a"][1:] == f["a"][:-1])
+    return order, np.concatenate([[True], ~same]), np.concatenate([[False], again])
+
+
 def occurrences(docs: DataFrame, buckets: int, run: int, words: int) -> DataFrame:
     """(bucket, blob) of each task's first occurrences, and (null, blob) of its repeats."""
 
-    def pack(k, t, h, who, a, b):
-        own, local = np.unique(who, return_inverse=True)
-        return np.array([len(own), len(local)], "<i4").tobytes() + k[own].astype("<i8").tobytes() + t[own].astype("<u8").tobytes() + h.astype("<u8").tobytes() + local.astype("<u4").tobytes() + a.astype("<u4").tobytes() + b.astype("<u4").tobytes()
-
-    def flush(held, k, t):
-        k, t = np.array(k, np.int64), np.array(t, np.uint64)
-        h, a, b = (np.concatenate([x[i] for x in held]) for i in range(3))
-        who = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-        order = np.lexsort((t[who], a, k[who], h))
-        h, a, b, who = h[order], a[order], b[order], who[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        # One row that comes twice has each span once.
-        twin = ~new & np.concatenate([[False], (k[who][1:] == k[who][:-1]) & (t[who][1:] == t[who][:-1]) & (a[1:] == a[:-1])])
-        repeat = ~new & ~twin
-        if repeat.any():
-            yield None, pack(k, t, h[repeat], who[repeat], a[repeat], b[repeat])
-        h, a, b, who = h[new], a[new], b[new], who[new]
-        bucket = (h & np.uint64(buckets - 1)).astype(np.int64)
+    def flush(held, keys):
+        keys = np.array(keys, _KEY)
+        found = np.zeros(sum(len(x[0]) for x in held), _SPAN)
+        for name, i in (("h", 0), ("x", 1), ("a", 2)):
+            found[name] = np.concatenate([x[i] for x in held])
+        found["who"], ends = np.repeat(np.arange(len(held)), [len(x[0]) for x in held]), np.concatenate([x[3] for x in held])
+        order, new, again = _ordered(found, keys[found["who"]], ends)
+        found, ends = found[order], ends[order]
+        if (repeat := ~new & ~again).any():
+            yield None, _packed(keys, found[repeat], ends[repeat])
+        found, ends = found[new], ends[new]
+        bucket = (found["h"] & np.uint64(buckets - 1)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for x in range(buckets):
+        for x in np.unique(bucket).tolist():
             rows = order[cuts[x] : cuts[x + 1]]
-            if len(rows):
-                yield x, pack(k, t, h[rows], who[rows], a[rows], b[rows])
+            yield x, _packed(keys, found[rows], ends[rows])
 
     def task(batches):
-        held, k, t, size = [], [], [], 0
+        held, keys, size = [], [], 0
         for batch in batches:
-            for key, text in zip(batch["k"], batch["text"], strict=True):
+            for doc_id, t, u, text in zip(batch["doc_id"], batch["t"], batch["u"], batch["text"], strict=True):
                 found = spans(text, run, words)
                 if len(found[0]):
                     held.append(found)
-                    k.append(key)
-                    t.append(xxhash.xxh3_64_intdigest(text))
+                    keys.append((doc_id or 0, doc_id is None, t, u))
                     size += len(found[0])
-            if size >= FLUSH:
-                out = list(flush(held, k, t))
-                yield {"bucket": [x for x, _ in out], "blob": [x for _, x in out]}
-                held, k, t, size = [], [], [], 0
+                if size >= FLUSH or len(held) == TEXTS:
+                    out = list(flush(held, keys))
+                    yield {"bucket": [x for x, _ in out], "blob": [x for _, x in out]}
+                    held, keys, size = [], [], 0
         if held:
-            out = list(flush(held, k, t))
+            out = list(flush(held, keys))
             yield {"bucket": [x for x, _ in out], "blob": [x for _, x in out]}
 
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("k"), "text").where(F.length("text") > 0)
-    return map_batches(keyed, task, "bucket int, blob binary")
-
-
-def _unpack(blob: bytes):
-    m, n = np.frombuffer(blob, "<i4", 2).tolist()
-    k, t = np.frombuffer(blob, "<i8", m, 8), np.frombuffer(blob, "<u8", m, 8 + 8 * m)
-    at = 8 + 16 * m
-    h, who = np.frombuffer(blob, "<u8", n, at), np.frombuffer(blob, "<u4", n, at + 8 * n)
-    a, b = np.frombuffer(blob, "<u4", n, at + 12 * n), np.frombuffer(blob, "<u4", n, at + 16 * n)
-    return h, k[who], t[who], a, b
+    return map_batches(keyed(docs).where(F.length("text") > 0), task, "bucket int, blob binary")
 
 
-def _rows(k, t, a, b):
-    for at in range(0, len(k), 65536):
+def _rows(found, keys, ends):
+    for at in range(0, len(found), 65536):
         s = slice(at, at + 65536)
-        yield {"k": k[s], "t": t[s].view(np.int64), "start": a[s].astype(np.int64), "end": b[s].astype(np.int64)}
+        yield {"id": keys["id"][s], "missing": keys["null"][s], "t": keys["t"][s], "u": keys["u"][s], "start": found["a"][s].astype(np.int64), "end": ends[s]}
 
 
 def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucket: int = 400_000) -> DataFrame:
-    """(k, t, start, end): each span that isn't the first of its kind; t is the hash of the row's text."""
+    """(doc_id, t, u, start, end): each span that isn't the first of its kind, by the keys of ``rewrite.keyed``."""
     size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, size / 30 / spans_per_bucket)))))
     seen = stored(occurrences(docs, buckets, run, words), "spans")
@@ -196,8 +220,7 @@ def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucke
     def local(batches):
         for batch in batches:
             for blob in batch["blob"]:
-                _, k, t, a, b = _unpack(blob)
-                yield from _rows(k, t, a, b)
+                yield from _rows(*_by_parts(*_unpacked(blob)))
 
     def across(batches):
         every: dict[int, list] = {}
@@ -205,42 +228,53 @@ def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucke
             for bucket, blob in zip(batch["bucket"], batch["blob"], strict=True):
                 every.setdefault(bucket, []).append(blob)
         for bucket in sorted(every):
-            h, k, t, a, b = (np.concatenate(x) for x in zip(*map(_unpack, every.pop(bucket)), strict=True))
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
+            found, keys, ends = (np.concatenate(x) for x in zip(*map(_unpacked, every.pop(bucket)), strict=True))
+            order = np.argsort(found["h"], kind="stable")
+            same = found["h"][order][1:] == found["h"][order][:-1]
             order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            order = order[np.lexsort((t[order], a[order], k[order], h[order]))]
-            h, k, t, a, b = h[order], k[order], t[order], a[order], b[order]
-            old = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
-            twin = np.concatenate([[False], (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (a[1:] == a[:-1])]) if len(h) else np.zeros(0, bool)
-            yield from _rows(k[old & ~twin], t[old & ~twin], a[old & ~twin], b[old & ~twin])
+            found, keys, ends = found[order], keys[order], ends[order]
+            order, new, again = _ordered(found, keys, ends)
+            order = order[~new & ~again]
+            yield from _rows(*_by_parts(found[order], keys[order], ends[order]))
 
-    schema = "k long, t long, start long, end long"
+    schema = "id long, missing boolean, t long, u long, start long, end long"
     inside = map_batches(seen.where("bucket IS NULL").select("blob"), local, schema, rows=16)
-    return inside.union(map_batches(seen.where("bucket IS NOT NULL").repartition(buckets, "bucket"), across, schema, rows=16))
+    both = inside.union(map_batches(seen.where("bucket IS NOT NULL").repartition(buckets, "bucket"), across, schema, rows=16))
+    return both.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "t", "u", "start", "end")
+
+
+def _by_parts(found, keys, ends):
+    """Spans in the order of their texts, those of a text that touch joined to one: fewer rows cross the cluster."""
+    if not len(found):
+        return found, keys, ends
+    order = np.lexsort((found["a"], keys["u"], keys["t"], keys["id"], keys["null"]))
+    found, keys, ends = found[order], keys[order], ends[order]
+    text = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+    # The furthest end so far within a text: ends are moved apart by more than any text is long.
+    far = np.maximum.accumulate(ends + text * (np.int64(1) << 40)) - text * (np.int64(1) << 40)
+    first = np.concatenate([[True], (text[1:] != text[:-1]) | (found["a"][1:] > far[:-1])])
+    starts = np.flatnonzero(first)
+    return found[starts], keys[starts], np.maximum.reduceat(ends, starts)
 
 
 def removed(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """(k, t, start, end): the stretches to remove, repeated spans of a row joined where they touch."""
-    order = Window.partitionBy("k", "t").orderBy("start", "end")
+    """(doc_id, t, u, start, end): the stretches to remove, repeated spans of a row joined where they touch."""
+    order = Window.partitionBy("doc_id", "t", "u").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = repeats(docs, run, words).withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
     islands = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("k", "t", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return islands.groupBy("doc_id", "t", "u", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """``docs`` with repeated sentences taken out of ``text`` and ``n_chars`` set anew; all other columns and rows stay.
+    """``docs`` with repeated sentences taken out of ``text`` and ``n_chars`` set anew; all other columns and rows stay, whatever their names.
 
     Null and empty texts stay as they are; a text whose sentences are all repeats becomes empty.  Rows
-    with the same doc_id and text count as one occurrence and are treated alike.
+    with the same doc_id and text count as one occurrence and are treated alike.  An empty table stays empty.
     """
-    from .rewrite import rewrite
-
     return rewrite(docs, removed(docs, run, words).withColumn("put", F.lit("")))
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each stretch that is removed: doc_id, start and end in characters."""
-    docs = table(spark, sf_dir, "documents")
-    return removed(docs).select(F.when(F.col("k") != LAST, F.col("k")).alias("doc_id"), "start", "end")
+    """One row for each stretch of ``documents`` that is removed: doc_id, start and end in characters; see ``dedup`` for nulls, repeats and empty tables."""
+    return removed(table(spark, sf_dir, "documents")).select("doc_id", "start", "end")
