@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import zlib
@@ -48,6 +49,26 @@ def test_long_word_in_a_window(lib):
     assert b"".join(bpe.encode_pieces(v, [word[i : i + 777] for i in range(0, len(word), 777)])) == ids_of(lib, word)
 
 
+def test_memory_is_constant(lib):
+    """Whatever the text, what the encoder keeps between pieces is bounded by its parameters, and most ids leave before the end."""
+    v, r = bpe.vocabulary(PATH), random.Random(7)
+    bound = bpe.HOLD + op1_bpe.PIECE + 4 * v.lookahead + 64
+    texts = {
+        "prose": " ".join("".join(r.choices("aeinthrsou", k=r.randint(1, 9))) for _ in range(400_000)),
+        "one word": "".join(r.choices("abcdeinthgorxq", k=200_000)),
+        "signs": "".join(r.choices("!?*#$%&|()", k=100_000)),
+        "no spaces": "".join(r.choices("中文字漢語の한국어é", k=100_000)),
+    }
+    for text in texts.values():
+        machine, held, early, late = bpe.Encoder(v), 0, 0, 0
+        for i in range(0, len(text), op1_bpe.PIECE):
+            early += len(machine.feed(text[i : i + op1_bpe.PIECE]))
+            held = max(held, machine.held())
+        late = len(machine.end())
+        assert held <= bound and late < 4 * bound < early + late
+    assert b"".join(op1_bpe._streams(v, texts["no spaces"])) == ids_of(lib, texts["no spaces"])
+
+
 def test_walk_equals_merges():
     v, r = bpe.vocabulary(PATH), random.Random(3)
     for _ in range(400):
@@ -100,18 +121,23 @@ def test_id_files(spark, lib, odd_docs, no_docs, tmp_path):
 
 
 def check_packing(rows, docs, lib, limit):
-    sequences, cover = {}, {}
+    """Each id of each document lies in exactly one piece, pieces carry their ids' checksum, sequences have no gaps. Documents of one id are told apart by their ids."""
+    sequences, pieces = {}, collections.defaultdict(list)
     for r in rows:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-        cover.setdefault(r.doc_id, []).append((r.start, r.length))
+        pieces[r.doc_id].append((r.doc_tokens, r.start, r.length, r.ids_crc32))
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= limit
-    want = sorted(len(ids_of(lib, d.text)) // 4 + 1 for d in docs)
-    assert sum(want) == sum(r.length for r in rows)
+    want = collections.defaultdict(list)
+    for d in docs:
+        ids = ids_of(lib, d.text) + (1).to_bytes(4, "little")
+        n = len(ids) // 4
+        want[d.doc_id] += [(n, at, min(limit, n - at), zlib.crc32(ids[4 * at : 4 * min(n, at + limit)])) for at in range(0, n, limit)]
+    assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in want.items()}
     return len(sequences)
 
 

@@ -27,7 +27,7 @@ def test_audio_round_trip():
         p = hashlib.shake_128(bytes([n])).digest(192 * n)
         d = mpeg.write(p, n)
         a = mpeg.parse(d)
-        assert mpeg.payload(d, a) == p and a.failed == 0 and a.checked == len(a.offsets) == a.vbr["frames"] and a.resyncs == a.skipped == 0
+        assert mpeg.payload(d, a.offsets) == p and a.failed == 0 and a.checked == len(a.offsets) == a.vbr["frames"] and a.resyncs == a.skipped == 0
         assert a.tags["TSIZ"] == str(n) and a.samples == 1152 * len(a.offsets) and a.seek(a.samples - 1) == a.offsets[-1] and a.seek(a.samples) is None
         junk = d[: a.offsets[0]] + b"\xff\xfbjunk\xff\x00" + d[a.offsets[0] :] + b"TAG" + b"title".ljust(30, b"\0") + bytes(95)
         b = mpeg.parse(junk)
@@ -35,22 +35,49 @@ def test_audio_round_trip():
         broken = bytearray(d)
         broken[a.offsets[-1] + 10] ^= 1
         assert mpeg.parse(bytes(broken)).failed == 1
+        with pytest.raises(ValueError, match="no intact frame"):
+            mpeg.payload(bytes(broken), a.offsets)
     assert mpeg.parse(b"").offsets == [] and mpeg.parse(b"\xff" * 40).samples == 0
 
 
+def plain_frames(data):
+    """Where frames stand, by a scan that knows MPEG-1 Layer III at 48 kHz only."""
+    rates = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    at, found = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]), []
+    while at < len(data):
+        assert data[at] == 0xFF and data[at + 1] & 0xFE == 0xFA and data[at + 2] & 0x0C == 0x04
+        found.append(at)
+        at += 3 * rates[(data[at + 2] >> 4) - 1]
+    return found[1:]  # the first is the table's
+
+
 def test_media_columns(odd_docs, no_docs):
-    rows = op2_media.features(op2_media.store_texts(odd_docs)).collect()
+    media = op2_media.store_texts(odd_docs)
+    rows = op2_media.features(media).collect()
     want = []
     for d in odd_docs.collect():
         t = (d.text or "").encode()
         p = t + b" " * (-len(t) % 192 or (0 if t else 192))
         want.append((d.doc_id or -1, len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
     assert sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == sorted(want)
-    info = op2_media.describe(op2_media.store_texts(odd_docs).select("doc_id", "media").union(no_docs.select("doc_id", F.lit(None).cast("binary")))).collect()
+    held = {r.media_sha256: r for r in rows}
+    for m in media.collect():
+        r = held[hashlib.sha256(m.media).hexdigest()]
+        assert r.media_bytes == len(m.media) and r.offsets == m.offsets == plain_frames(m.media) and r.duration_s == m.duration_s == len(m.offsets) * 1152 / 48000
+        assert f"samples {1152 * len(m.offsets)}; frames {len(m.offsets)} of {len(m.offsets)};" in r.feature and f"last frame at {m.offsets[-1]}" in r.feature and m.crc_failed == 0
+    info = op2_media.describe(media.select("doc_id", "media").union(no_docs.select("doc_id", F.lit(None).cast("binary")))).collect()
     assert all(r.crc_failed == 0 and r.frames == r.vbr_frames and r.duration_s > 0 for r in info)
     assert op2_media.features(op2_media.store_texts(no_docs)).count() == 0
 
 
+def test_seek_tables():
+    """A VBRI table's places are the sums of its stretches."""
+    frame = bytes([0xFF, 0xFB, 0x94, 0xC0]).ljust(36, b"\0") + b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (9).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (3, 2, 2, 4, 10, 20, 30))
+    frame = frame.ljust(384, b"\0")
+    a = mpeg.parse(frame + bytes([0xFF, 0xFB, 0x94, 0xC0]).ljust(384, b"\0") * 2)
+    assert a.vbr == {"kind": "VBRI", "bytes": 5000, "frames": 9, "frames_per_entry": 4, "toc": [0, 20, 60]} and len(a.offsets) == 2
+
+
 def test_permutations():
     for size in (1, 2, 10, 97, 1000):
         assert sorted(op3_surrogates.permuted(i, size, b"k", "x") for i in range(size)) == list(range(size))
@@ -89,13 +116,29 @@ def brute_field(emission, transitions, start):
     return one / total
 
 
-def test_forward_backward():
+@pytest.mark.parametrize("segment", [1, 2, 3, 64])
+def test_forward_backward(segment):
+    """Marginals, expected transitions and first states of whole chains, however they are cut into segments."""
     r = np.random.default_rng(1)
-    lengths, t = np.array([1, 5, 3, 7]), r.normal(size=(2, 2))
+    lengths, t = np.array([1, 5, 3, 7, 2, 8]), r.normal(size=(2, 2))
     emission, first = r.normal(size=lengths.sum()), np.cumsum(lengths) - lengths
-    p = op4_toxicity.forward_backward(emission, first, lengths, t, 0.3)[0]
+    p, pairs, starts = op4_toxicity.forward_backward(emission, first, lengths, t, 0.3, segment)
+    whole = op4_toxicity.forward_backward(emission, first, lengths, t, 0.3)
     for a, n in zip(first, lengths):
         assert p[a : a + n] == pytest.approx(brute_field(emission[a : a + n], t, 0.3))
+    assert pairs == pytest.approx(whole[1]) and starts == pytest.approx(whole[2]) and pairs.sum() == pytest.approx((lengths - 1).sum())
+    long = r.normal(size=5000) * 3
+    assert op4_toxicity.forward_backward(long, np.array([0]), np.array([5000]), t, 0.3, segment)[0] == pytest.approx(op4_toxicity.forward_backward(long, np.array([0]), np.array([5000]), t, 0.3, 5000)[0])
+
+
+def test_toxic_sentences_of_any_length(spark):
+    """A sentence far longer than a segment is one chain: what stands before a token reaches it over any distance."""
+    ending, documents = np.zeros(300, bool), np.array([300])
+    assert [x.tolist() for x in op4_toxicity.chains(ending, documents)] == [[0], [300]]
+    field = op4_toxicity.Field({}, np.array([[8.0, -8.0], [-8.0, 8.0]]), 0.0)
+    emission = np.zeros(300)
+    emission[0] = 6.0
+    assert field.marginals(emission, np.array([0]), np.array([300]))[-1] > 0.9
 
 
 def held_out_accuracy(scored, labels, label, threshold):
@@ -149,6 +192,59 @@ def test_untrained_labels(spark, no_docs):
     assert 0 <= op5_quality.score(some, op5_quality.fit(some, none)).first().score <= 1
 
 
+def spark_hash(*values):
+    """xxhash64 as Spark has it: strings in UTF-8, integers as (bytes, value), each hashed with the hash before as seed."""
+    import xxhash
+
+    h = 42
+    for x in values:
+        h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x[1].to_bytes(x[0], "little"), h)
+    return h
+
+
+def plain_fingerprint(text):
+    """An independent Order MinHash: symbols by a loop, occurrences by a counter, bins by sorting."""
+    symbols, run = [], ""
+    for c in [*(text or ""), " "]:
+        alone = any(a <= c <= b for a, b in ("\u0e00\u0eff", "\u1000\u109f", "\u1780\u17ff", "\u3040\u30ff", "\u3400\u4dbf", "\u4e00\u9fff", "\uf900\ufaff"))
+        if c in " \t\n\x0b\f\r\u00a0\u3000" or alone or len(run) == 8:
+            symbols += [run] if run else []
+            run = ""
+        if alone:
+            symbols.append(c)
+        elif c not in " \t\n\x0b\f\r\u00a0\u3000":
+            run += c
+    grams = [symbols[i : i + 3] for i in range(len(symbols) - 2)] if len(symbols) >= 3 else [["\0".join(symbols)]] if symbols else []
+    seen, bins = collections.Counter(), collections.defaultdict(list)
+    for at, gram in enumerate(grams):
+        g = spark_hash(*gram) % (1 << 37)
+        h = spark_hash((8, g), (4, seen[g])) % (1 << 37)
+        seen[g] += 1
+        bins[h >> 32].append((h, at))
+    least = {b: sorted(sorted(own)[:2], key=lambda x: x[1]) for b, own in bins.items()}
+    return "".join(f"{spark_hash(*((8, h) for h, _ in least[b])) % 65536:04x}" if b in least else "----" for b in range(32))
+
+
+def test_order_minhash_is_plain_order_minhash(spark, odd_docs):
+    r = np.random.default_rng(3)
+    texts = ["", None, " ", "one", "one two", "a b c", "repeat " * 30, "中文字漢語の文" * 9, "x" * 1000, "a\tb\u00a0c\nd"]
+    texts += [" ".join(f"w{int(x)}" for x in r.integers(0, 40, int(n))) for n in r.integers(3, 200, 30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, x.text) for i, x in enumerate(odd_docs.collect()) if x.doc_id != 8]
+    got = {x.doc_id: x.fingerprint for x in op6_order_minhash.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in rows}
+
+
+def test_order_minhash_has_no_border(spark):
+    """Likeness doesn't fall where a text passes some length; columns may have any name."""
+    words = [f"word{i}" for i in range(200)]
+    texts = [" ".join(words)[:n] for n in range(20, 700, 7)]
+    rows = spark.createDataFrame([(i, t, t + " xy", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, more string, __s int, ___out int")
+    both = op6_order_minhash.with_fingerprint(op6_order_minhash.with_fingerprint(rows), "more", "other")
+    assert both.columns == ["doc_id", "text", "more", "__s", "___out", "fingerprint", "other"]
+    found = both.select("doc_id", "__s", op6_order_minhash.likeness(F.col("fingerprint"), F.col("other")).alias("x")).collect()
+    assert all(r["__s"] == 1 for r in found) and all(r.x >= (0.35 if r.doc_id < 8 else 0.6) for r in found)
+
+
 def test_order_minhash(spark, odd_docs, no_docs):
     words = [f"w{i}" for i in range(300)]
     turned = words[150:] + words[:150]
@@ -227,7 +323,7 @@ def test_jaccard_join_counts_links(spark, monkeypatch):
     r = np.random.default_rng(5)
     texts = near_copies(r, 45, 104, 5, "a") + near_copies(r, 40, 60, 3, "c", pool=4) + [" ".join(f"q{int(x)}" for x in r.integers(0, 30, 40)) for _ in range(8)]
     texts += [*texts[::5], "", " ", None, "x y"]
-    for name, value in (("LARGE", 2), ("SAMPLE", 3), ("SHARE", 2), ("BLOCK", 4), ("LEVELS", 2)):
+    for name, value in (("LARGE", 2), ("LARGE_DELTA", 2), ("SAMPLE", 3), ("SHARE", 2), ("BLOCK", 4), ("LEVELS", 2)):
         monkeypatch.setattr(op7_jaccard_join, name, value)
     sets, ids = sets_of(texts), list(range(len(texts)))
     got = {x.doc_id: (x.component_id, x.n_links) for x in op7_jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -289,36 +385,101 @@ def test_components(spark):
     assert components.components(links.where("false")).count() == 0
 
 
-def brute_spans(texts):
-    """Characters that non-first spans cover, by comparing the spans' words."""
-    seen, cover = {}, {k: set() for k in texts}
+def plain_words(text):
+    """(start, end) of each word, by a loop over characters."""
+    out, at = [], None
+    for i, c in enumerate([*text, " "]):
+        alone = any(x <= c <= y for x, y in ("\u0e00\u0eff", "\u1000\u109f", "\u1780\u17ff", "\u3040\u30ff", "\u3400\u4dbf", "\u4e00\u9fff", "\uf900\ufaff"))
+        if at is not None and (c.isspace() or alone):
+            out.append((at, i))
+            at = None
+        if alone:
+            out.append((i, i + 1))
+        elif at is None and not c.isspace():
+            at = i
+    return out
+
+
+def plain_units(text):
+    """(first word, past the last, start, end) of each sentence unit, by cutting behind stops, commas and line ends."""
+    words, cuts = plain_words(text), [0]
+    for (_, b), (c, _) in zip(words, words[1:]):
+        gap = text[b:c]
+        if gap and ("\n" in gap or text[:b].rstrip("'\")]")[-1:] in tuple(".!?,")):
+            cuts.append(c)
+    cuts.append(len(text))
+    firsts = [next((i for i, (x, _) in enumerate(words) if x >= c), len(words)) for c in cuts]
+    return words, [(f, l) for f, l in zip(firsts, firsts[1:]) if l > f]
+
+
+def plain_repeats(texts, run, least):
+    """Words that are covered by a run of units that stood before, by comparing the words themselves."""
+    seen, cover = set(), {}
     for k in sorted(texts):
-        starts, ends = op10_spans.units(texts[k])
-        h, a, b = op10_spans.spans(texts[k])
-        for x, y in zip(a.tolist(), b.tolist()):
-            words = tuple(" ".join(texts[k][s:e].split()) for s, e in zip(starts, ends) if x <= s and e <= y)
-            if words in seen:
-                cover[k].update(range(x, y))
-            else:
-                seen[words] = k
+        words, cut = plain_units(texts[k])
+        said, mine = [texts[k][a:b] for a, b in words], set()
+        spans = []
+        for i in range(len(cut)):
+            j = next((j for j in range(i + run - 1, len(cut)) if cut[j][1] - cut[i][0] >= least), None)
+            if j is not None:
+                spans.append((cut[i][0], cut[j][1]))
+        if spans and spans[-1][1] < len(words):
+            spans.append((spans[-1][0], len(words)))
+        for x, y in spans:
+            if tuple(said[x:y]) in seen:
+                mine.update(range(x, y))
+            seen.add(tuple(said[x:y]))
+        cover[k] = mine
     return cover
 
 
 def test_sentence_spans(spark, odd_docs, no_docs):
-    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
-    want = brute_spans(texts)
-    got = {r.doc_id: r for r in op10_spans.dedup(table(spark, SF, "documents")).collect()}
-    assert all(got[k].text == "".join(c for i, c in enumerate(t) if i not in want[k]) and got[k].n_chars == len(got[k].text) for k, t in texts.items())
+    """Every repeated run of units goes; what else goes lies in runs of LONG words that stood before; what stays is untouched."""
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").where("doc_id < 400 OR n_chars > 4000").limit(500).collect()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    gone = collections.defaultdict(set)
+    for r in op10_spans.removed(docs).collect():
+        gone[r.doc_id].update(range(r.start, r.end))
+    out = {r.doc_id: r.text for r in op10_spans.dedup(docs).collect()}
+    assert out == {k: "".join(c for i, c in enumerate(t) if i not in gone[k]) for k, t in texts.items()}
+    units, seen = plain_repeats(texts, op10_spans.RUN, op10_spans.WORDS), set()
+    assert any(units.values())
+    for k in sorted(texts):
+        words = plain_words(texts[k])
+        said, n = [texts[k][a:b] for a, b in words], op10_spans.LONG
+        old = set()
+        for i in range(len(words) - n + 1):
+            gram = tuple(said[i : i + n])
+            if gram in seen:
+                old.update(range(i, i + n))
+            seen.add(gram)
+        cut = {i for i, (a, _) in enumerate(words) if a in gone[k]}
+        assert units[k] <= cut <= units[k] | old
     odd = op10_spans.dedup(odd_docs)
     rows = odd.collect()
     assert odd.columns == odd_docs.columns and len(rows) == 13
     by = collections.defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r.text)
-    assert by[1][0] and by[2] == ["", ""] and by[3] == [None] and by[4] == [""]
+    assert by[1][0] and by[3] == [None] and by[4] == [""] and len(set(by[2])) == 1
     assert op10_spans.dedup(no_docs).count() == 0
 
 
+def test_rewriting_keeps_rows_apart(spark):
+    """Null and equal ids with different texts, a doc_id of 2^63 - 1, columns called like the keys, spans longer than 65,535 characters."""
+    long = " ".join(f"{'y' * 3000}{i}." for i in range(40))
+    said = "one two three, four five six, seven eight nine, ten eleven twelve, thirteen fourteen fifteen, sixteen seventeen eighteen, nineteen twenty more, and then a few. "
+    top = (1 << 63) - 1
+    rows = [(1, said + "own", 7, 8, 9, 1), (None, said + "mine", 1, 2, 3, 2), (None, "other words", 4, 5, 6, 3), (top, "x " + said, 0, 0, 0, 4), (top, "nothing here", 0, 0, 0, 5), (2, long, 0, 0, 0, 6), (3, long, 0, 0, 0, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t int, u int, edits int, c0 int")
+    got = {r.c0: tuple(r) for r in op10_spans.dedup(df).collect()}
+    assert got[1] == rows[0] and got[3] == rows[2] and got[5] == rows[4] and got[6] == rows[5]
+    assert got[2][1] == "mine" and got[2][2:] == rows[1][2:] and got[4][0] == top and got[4][1].startswith("x ") and len(got[4][1]) < 20 and got[7][1] == ""
+    people = spark.createDataFrame([(None, "Mr Adam Bell", 1), (None, "Mrs Clara Dodd", 2), (top, "Mr Adam Bell", 3)], "doc_id long, text string, made int")
+    out = {r.made: r.text for r in op3_surrogates.anonymised(people, b"k").collect()}
+    assert out[1] == out[3] != out[2] and out[1].startswith("Mr ") and out[2].startswith("Mrs ")
+
+
 def test_spans_in_long_sentences(spark):
     """A passage of over 50 words of one or two sentences, set into the middle of others, holds a span that both texts have; so do unpunctuated, repeated and unspaced ones."""
     r = np.random.default_rng(8)
@@ -361,3 +522,44 @@ def test_surrogates_of_many_short_entities(spark):
         if r.kind in ("email", "ip", "phone"):
             assert op3_surrogates.find(r.made, patterns) == [(0, len(r.made), r.kind)]
     assert op3_surrogates.dressed("phone", "+1 0123 45", "+19876543") == "+1 9876 543"
+
+
+def test_surrogates_keep_form(spark):
+    """Planted entities of each kind, found where they stand and nowhere else, and replaced by what has the same form, by plain rules."""
+    r = np.random.default_rng(9)
+    digits = lambda n: "".join(str(int(x)) for x in r.integers(0, 10, n))
+    letters = lambda n, s="abcdefghijklmnopqrstuvwxyz": "".join(s[int(x)] for x in r.integers(0, len(s), n))
+    make = {
+        "email": lambda: f"{letters(4).title()}.{letters(5).title()}@Mail{digits(2)}.Example.com",
+        "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "ip": lambda: f"10.{int(r.integers(0, 256))}.{int(r.integers(0, 256))}.{int(r.integers(0, 256))}",
+        "secret": lambda: letters(int(r.integers(32, 200)), "0123456789abcdef"),
+        "key": lambda: "sk_live_" + letters(24, "abcDEF0123456789") + "7",
+        "card": lambda: " ".join(digits(4) for _ in range(4)),
+        "name": lambda: "Mr Adam Bell" + letters(3),
+    }
+    words, rows, planted = "plain words stand here and there without any number".split(), [], []
+    for i in range(160):
+        kind = list(make)[i % len(make)]
+        before, entity = " ".join(r.permutation(words)), make[kind]()
+        rows.append((i, f"{before} {entity} then {' '.join(r.permutation(words))}"))
+        start = len(before) + 1 + (3 if kind == "name" else 0)
+        planted.append((i, start, len(before) + 1 + len(entity), kind))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = op3_surrogates.replacements(df, b"k").collect()
+    assert sorted((x.doc_id, x.start, x.end, x.kind) for x in found) == planted
+    text = dict(rows)
+    for x in found:
+        was = text[x.doc_id][x.start : x.end]
+        form = lambda s: re.sub(r"[a-f]", "a", re.sub(r"[0-9a-f]", "h", s)) if x.kind == "secret" else re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", s)))  # noqa: B023, E731
+        assert x.put != was
+        if x.kind not in ("name", "ip"):
+            assert form(x.put) == form(was)
+        if x.kind == "ip":
+            assert x.put.startswith("10.") and all(0 <= int(p) < 256 for p in x.put.split("."))
+        if x.kind == "key":
+            assert x.put.startswith("sk_live_")
+        if x.kind == "card":
+            luhn = lambda s: sum(sum(divmod(int(c) * (2 - i % 2), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(s)) % 10 == 0
+            assert luhn(x.put.replace(" ", "")) == luhn(was.replace(" ", ""))
