@@ -15,23 +15,25 @@ NUMBER = r"\b[0-9]+\b"
 
 
 def triples(text: Column, signed: bool = False) -> Column:
-    """array<struct<h,r,t>> of the triples in a text, in order, repeats kept. Null for null."""
+    """array<struct<h,r,t>> of the triples in a text, in order, repeats kept. Null for null; an id of more digits than its type holds is null."""
     found = F.regexp_extract_all(text, F.lit(SIGNED_TRIPLE if signed else TRIPLE), 0)
     parts = lambda m: F.split(F.regexp_replace(m, r"[()\s]", ""), ",")
-    return F.transform(found, lambda m: F.struct(parts(m)[0].cast("long").alias("h"), parts(m)[1].cast("int").alias("r"), parts(m)[2].cast("long").alias("t")))
+    return F.transform(found, lambda m: F.struct(parts(m)[0].try_cast("long").alias("h"), parts(m)[1].try_cast("int").alias("r"), parts(m)[2].try_cast("long").alias("t")))
 
 
 def question_entities(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(QUESTION_ENTITY), 1), lambda x: x.cast("long"))
+    return F.transform(F.regexp_extract_all(text, F.lit(QUESTION_ENTITY), 1), lambda x: x.try_cast("long"))
 
 
 def question_relations(text: Column, bare: bool = False) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY_RELATION if bare else QUESTION_RELATION), 1), lambda x: x.cast("int"))
+    return F.transform(F.regexp_extract_all(text, F.lit(ANY_RELATION if bare else QUESTION_RELATION), 1), lambda x: x.try_cast("int"))
 
 
 def numbers(text: Column) -> Column:
-    """The distinct numbers of a text, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NUMBER), 0), lambda x: x.cast("long"))))
+    """array<string>: the distinct digit runs of a text, by value and then as they are written. They stay text, so runs of any length count; null for null."""
+    plain = lambda x: F.regexp_replace(x, "^0+", "")
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), 0))
+    return F.transform(F.array_sort(F.transform(runs, lambda x: F.struct(F.length(plain(x)).alias("n"), plain(x).alias("v"), x.alias("x")))), lambda s: s["x"])
 
 
 def before(text: Column, marker: str, strict: bool = True) -> Column:
@@ -88,3 +90,14 @@ def bare(text: Column) -> Column:
 
 def relation_key(predicate: Column, direction: Column) -> Column:
     return F.concat_ws("::", predicate, direction)
+
+
+def relation_parts(key: Column) -> Column:
+    """struct<predicate,direction> of a key; the direction is what stands behind the last ``::``."""
+    pattern = r"^(.*)::([^:]*)$"
+    return F.struct(F.regexp_extract(key, pattern, 1).alias("predicate"), F.regexp_extract(key, pattern, 2).alias("direction"))
+
+
+def four_places(value: Column) -> Column:
+    """A measure as text with four places; NA for null and NaN."""
+    return F.when(value.isNull() | F.isnan(value), "NA").otherwise(F.format_string("%.4f", value))

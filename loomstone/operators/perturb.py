@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.staged import written
 from .sampling import order, unit
 
 
@@ -15,41 +16,89 @@ def noise_size(size: Column, ratio: float, least: int, most: int) -> Column:
     return F.lit(0) if not ratio else F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(size * F.lit(ratio)).cast("int")))
 
 
-def _pools(kg: DataFrame, most: int, seed: str) -> DataFrame:
-    """(relation, buckets, bucket, h, r, t): each relation's triples in buckets, of each bucket the first 2 * most in hash order. A query draws from one bucket, so what it meets doesn't grow with the relation."""
-    sizes = kg.groupBy("r").agg(F.greatest(F.lit(1), F.floor(F.count("*") / (4 * most))).alias("buckets"))
-    dealt = kg.join(sizes, "r").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "h", "r", "t"), F.col("buckets")))
-    w = Window.partitionBy("r", "bucket").orderBy(order(seed, "h", "r", "t"), "h", "r", "t")
-    ranked = dealt.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * most)
-    return ranked.select(F.col("r").alias("relation"), "buckets", "bucket", "h", "r", "t")
+def _number(seed: str, *keys: str) -> Column:
+    """A whole number below 2^32 from a row's keys."""
+    return F.conv(F.substring(order(seed, *keys), 1, 8), 16, 10).cast("long")
+
+
+#: Buckets that a phase looks into before it looks into all.
+SPAN = 2
+
+
+def _pool(kg: DataFrame, most: int, seed: str) -> DataFrame:
+    """Triples with their bucket among those of their relation (rb of rn) and among all (gb of gn); a bucket has some 8 * most triples."""
+    sizes = kg.groupBy("r").agg(F.count("*").alias("own"))
+    every = sizes.agg(F.sum("own").alias("all"))  # one row
+    count = lambda n: F.greatest(F.lit(1), F.floor(F.col(n) / (8 * most))).cast("long")
+    known = sizes.crossJoin(F.broadcast(every)).select("r", count("own").alias("rn"), count("all").alias("gn"))
+    dealt = kg.join(known, "r").withColumn("x", _number(f"{seed}|pool", "h", "r", "t"))
+    return dealt.select("h", "r", "t", F.pmod("x", "rn").alias("rb"), "rn", F.pmod("x", "gn").alias("gb"), "gn")
+
+
+def _drawn(want: DataFrame, pool: DataFrame, heads: DataFrame, same: bool, seed: str, barred: DataFrame | None = None) -> DataFrame:
+    """(qid, step, away, h, r, t): the first ``take`` triples of each phase, by how many buckets they are away from the phase's first and then in hash order.
+
+    ``same``: of the phase's relation from other heads; else from other heads by other relations.  With ``barred``,
+    triples of phases that were drawn before, anything but the phase's own evidence counts that wasn't.  Phases look
+    into SPAN buckets; those that find too little there look into all, so what a phase draws is what it would draw from
+    the whole graph.
+    """
+    bucket, count = ("rb", "rn") if same else ("gb", "gn")
+    total = pool.groupBy("r").agg(F.first("rn").alias("buckets")).withColumnRenamed("r", "relation") if same else F.broadcast(pool.agg(F.first("gn").alias("buckets")))  # one row
+    phases = want.where("take > 0")
+    phases = phases.join(total, "relation") if same else phases.crossJoin(total)
+    phases = phases.withColumn("first", F.pmod(_number(f"{seed}|start", "qid", "step"), "buckets"))
+
+    def met(of: DataFrame, last: Column) -> DataFrame:
+        looked = of.withColumn("away", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("at", F.pmod(F.col("first") + F.col("away"), F.col("buckets")))
+        on = (F.col("at") == F.col(bucket)) & (F.col("relation") == F.col("r")) if same else F.col("at") == F.col(bucket)
+        found = looked.join(pool.select("h", "r", "t", bucket), on).select("qid", "step", "relation", "take", "away", "h", "r", "t")
+        if barred is None:
+            found = found.join(heads, ["qid", "step", "h"], "left_anti")
+            found = found if same else found.where("r <> relation")
+        else:
+            own = heads.withColumn("own", F.lit(True))
+            found = found.join(own, ["qid", "step", "h"], "left").where("own IS NULL OR r <> relation").drop("own").join(barred, ["qid", "step", "h", "r", "t"], "left_anti")
+        w = Window.partitionBy("qid", "step").orderBy("away", order(seed, "qid", "step", "h", "r", "t"), "h", "r", "t")
+        return found.withColumn("n", F.row_number().over(w)).where("n <= take").select("qid", "step", "away", "h", "r", "t")
+
+    near = met(phases, F.least(F.lit(SPAN), F.col("buckets")) - 1)
+    enough = near.groupBy("qid", "step").agg(F.count("*").alias("got"))
+    short = phases.join(enough, ["qid", "step"], "left").where(f"coalesce(got, 0) < take AND buckets > {SPAN}").drop("got")
+    return near.join(short.select("qid", "step"), ["qid", "step"], "left_anti").unionByName(met(short, F.col("buckets") - 1))
 
 
 def distractors(steps: DataFrame, kg: DataFrame, phases: DataFrame, ratio: float, least: int = 1, most: int = 30, seed: str = "42") -> DataFrame:
     """(qid, step, class, h, r, t): triples that look like a phase's evidence and aren't.
 
-    ``phases`` has (qid, step, relation); a phase without a relation gets none.  A third each, the
-    remainder to the first, comes from: the same heads by another relation; the same relation from other
-    heads; any other heads by any other relation.  What a class lacks is filled from the others.
-    Candidates of a class are taken in hash order of phase and triple; each class keeps at most ``most``
-    candidates per phase, which is all that can be drawn from it.  Those of the same relation come from one
-    hashed pool of the relation, not from all of its triples.
+    ``phases`` has (qid, step, relation); a phase without a relation gets none.  A third each, what is left over one
+    by one to the first, comes from: the same heads by another relation (1); the same relation from other heads
+    (2); any other heads by any other relation (3).  What a class lacks is filled with anything that isn't the
+    phase's own heads by its relation (0).  Everything is drawn in hash order, from buckets of the graph, so a phase
+    meets some triples and not the whole graph, and finds whatever the graph has.
     """
-    phase = phases.where("relation IS NOT NULL").select("qid", "step", "relation")
+    keys = ["qid", "step", "h", "r", "t"]
     own = steps.groupBy("qid", "step").agg(F.countDistinct("h", "r", "t").alias("size"))
-    want = phase.join(own, ["qid", "step"]).select("qid", "step", "relation", noise_size(F.col("size"), ratio, least, most).alias("n")).where("n > 0")
-    heads = steps.select("qid", "step", "h").distinct().join(want, ["qid", "step"])
-    same_head = heads.join(kg, "h").where("r <> relation").select("qid", "step", F.lit(1).alias("class"), "h", "r", "t")
-    known = heads.select("qid", "step", "h")
-    same_rel = want.join(_pools(kg, most, seed), "relation").where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(seed), "qid", "step"), F.col("buckets"))).drop("relation", "n").join(known, ["qid", "step", "h"], "left_anti").select("qid", "step", F.lit(2).alias("class"), "h", "r", "t")
-    # Far triples: two hops away from the heads by other relations, so that candidates follow the query and not the whole graph.
-    far = same_head.select("qid", "step", F.col("t").alias("mid")).distinct().join(kg, F.col("mid") == F.col("h")).join(want.select("qid", "step", "relation"), ["qid", "step"]).where("r <> relation").join(known, ["qid", "step", "h"], "left_anti").select("qid", "step", F.lit(3).alias("class"), "h", "r", "t")
-    pool = same_head.unionByName(same_rel).unionByName(far).distinct()
-    w = Window.partitionBy("qid", "step", "class").orderBy(order(seed, "qid", "step", "h", "r", "t"), "h", "r", "t")
-    ranked = pool.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).join(want.select("qid", "step", "n"), ["qid", "step"])
-    quota = F.floor(F.col("n") / 3) + F.when(F.col("class") == 1, F.col("n") % 3).otherwise(0)
-    # Rows within their quota come first, then the rest, until the phase has what it wants.
-    fill = Window.partitionBy("qid", "step").orderBy((F.col("place") > quota).cast("int"), "class", "place")
-    return ranked.withColumn("take", F.row_number().over(fill)).where("take <= n").select("qid", "step", "class", "h", "r", "t")
+    sized = phases.where("relation IS NOT NULL").select("qid", "step", "relation").join(own, ["qid", "step"]).select("qid", "step", "relation", noise_size(F.col("size"), ratio, least, most).alias("n")).where("n > 0")
+    quota = lambda c: (F.floor(F.col("n") / 3) + F.when(F.col("n") % 3 >= c, 1).otherwise(0)).cast("int")
+    want = written(sized.select("*", *[quota(c).alias(f"take{c}") for c in (1, 2, 3)]), "phases")
+    of = lambda c: want.select("qid", "step", "relation", F.col(f"take{c}").alias("take"))
+    heads = written(steps.select("qid", "step", "h").distinct().join(want.select("qid", "step"), ["qid", "step"], "left_semi"), "heads")
+    pool = written(_pool(kg, most, seed), "pool")
+    same_head = heads.join(of(1), ["qid", "step"]).join(pool.select("h", "r", "t"), "h").where("r <> relation")
+    w = Window.partitionBy("qid", "step").orderBy(order(seed, *keys), "h", "r", "t")
+    first = same_head.withColumn("n", F.row_number().over(w)).where("n <= take").select(F.lit(1).alias("class"), *keys)
+    classes = [first] + [_drawn(of(c), pool, heads, c == 2, seed).select(F.lit(c).alias("class"), *keys) for c in (2, 3)]
+    drawn = written(reduce(DataFrame.unionByName, classes), "drawn")
+    got = drawn.groupBy("qid", "step").agg(F.count("*").alias("got"))
+    lack = want.join(got, ["qid", "step"], "left").select("qid", "step", "relation", (F.col("n") - F.coalesce("got", F.lit(0))).cast("int").alias("take"))
+    rest = _drawn(lack, pool, heads, False, seed, barred=drawn.select(*keys)).select(F.lit(0).alias("class"), *keys)
+    return drawn.unionByName(rest).select("qid", "step", "class", "h", "r", "t")
+
+
+def with_noise(steps: DataFrame, noise: DataFrame) -> DataFrame:
+    """(qid, step, h, r, t): each phase's evidence and its distractors."""
+    return steps.select("qid", "step", "h", "r", "t").union(noise.select("qid", "step", "h", "r", "t")).distinct()
 
 
 def corrupted(plan: DataFrame, relations: list[str], pool: list[int], ratio: float, seed: str = "7") -> DataFrame:
@@ -91,6 +140,20 @@ def remapped_text(text: Column, entity_offset: int, relation_offset: int) -> Col
     return F.array_join(F.transform(triples(text), lambda x: F.format_string("(%d,%d,%d)", x["h"] + entity_offset, x["r"] + relation_offset, x["t"] + entity_offset)), ",")
 
 
+def remapped_question(text: Column, entity_offset: int, relation_offset: int) -> Column:
+    """A question with its entities and relations in the new namespace. Ids behind ``entity`` or ``to`` are entities, those behind ``relation``, ``than`` or ``relationship`` relations; placeholders stay."""
+    parts = F.split(text, r"(?<=\b(?:entity|to|relation|relationship|than) )(?=[0-9])", -1)
+    moved = lambda p, n: F.concat((F.regexp_extract(p, r"^([0-9]+)", 1).try_cast("long") + n).cast("string"), F.regexp_replace(p, r"^[0-9]+", ""))
+    before = lambda i: F.get(parts, i - 1)
+    entity = lambda i: before(i).rlike(r"\b(?:entity|to) $")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).when(entity(i), moved(p, entity_offset)).otherwise(moved(p, relation_offset))), "")
+
+
+def remapped_answer(answer: Column, entity_offset: int) -> Column:
+    """A sorted answer set in the new namespace."""
+    return F.transform(answer, lambda t: t + entity_offset)
+
+
 def union_noise(parts: list[DataFrame]) -> DataFrame:
     """Distractors of all phases of a query as one set."""
     return reduce(DataFrame.union, [p.select("qid", "h", "r", "t") for p in parts]).distinct()

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..streaming.staged import written
+
 DIRECTIONS = ("forward", "backward")
 #: Path lengths of the branches of each structured type.
 PATHS = {"1p": (1,), "2p": (2,), "2i": (1, 1)}
@@ -34,12 +36,34 @@ def name_key(names: pd.Series) -> pd.Series:
 # --- programs ------------------------------------------------------------------------------------------
 
 
-def tree(program: list[dict], at: int | None = None) -> tuple:
-    """A program as a tree: ("A", name), ("P", predicate, direction, tree), ("I" or "U", tree, tree); ("X", reason) for what isn't supported. Dependencies must point backwards, so every program ends."""
-    at = len(program) - 1 if at is None else at
-    step = program[at]
-    name, needs, inputs = step.get("function"), step.get("dependencies") or [], step.get("inputs") or []
-    below = [tree(program, d) if 0 <= d < at else ("X", "dependency") for d in needs]
+def tree(program: list[dict]) -> tuple:
+    """A program as a tree: ("A", name), ("P", predicate, direction, tree), ("I" or "U", tree, tree); ("X", reason) for what isn't supported.
+
+    Steps are read from the first to the last, each once, so a step that several others need is one tree, and a program of any length ends.
+    Dependencies must point backwards.
+    """
+    made: list[tuple] = []
+    for at, step in enumerate(program):
+        if not isinstance(step, dict):
+            made.append(("X", "step"))
+            continue
+        name, needs, inputs = step.get("function"), step.get("dependencies") or [], step.get("inputs") or []
+        below = [made[d] if isinstance(d, int) and 0 <= d < at else ("X", "dependency") for d in needs]
+        made.append(_step(name, below, inputs))
+    return made[-1]
+
+
+def _size(program: list) -> int:
+    """Nodes of a program's tree, without making it."""
+    sizes: list[int] = []
+    for at, step in enumerate(program):
+        needs = (step.get("dependencies") or []) if isinstance(step, dict) else []
+        sizes.append(1 + sum(sizes[d] if isinstance(d, int) and 0 <= d < at else 1 for d in needs))
+    return sizes[-1]
+
+
+def _step(name, below: list[tuple], inputs: list) -> tuple:
+    """One step over the trees that it needs. The reasons are fixed values."""
     if name == "Find":
         return ("A", inputs[0]) if len(inputs) == 1 else ("X", "Find_invalid")
     if name == "Relate":
@@ -53,6 +77,21 @@ def tree(program: list[dict], at: int | None = None) -> tuple:
     return ("X", str(name))
 
 
+def flattened(node: tuple) -> list[dict]:
+    """The nodes of a tree, children before parents, the root last: number, kind, numbers of the children, name of an anchor or key of a relation, height."""
+    out: list[dict] = []
+
+    def add(n: tuple) -> int:
+        below = [add(c) for c in n[1:] if isinstance(c, tuple)]
+        name = n[1] if n[0] == "A" else f"{n[1]}::{n[2]}" if n[0] == "P" else None
+        height = 1 + max((out[b]["height"] for b in below), default=-1)
+        out.append({"node": len(out), "kind": n[0], "left": below[0] if below else None, "right": below[1] if len(below) > 1 else None, "name": name, "height": height})
+        return len(out) - 1
+
+    add(node)
+    return out
+
+
 def shape(node: tuple, flat: bool = False) -> str:
     """A tree without its names; ``flat`` merges groups of one kind."""
     if node[0] == "P":
@@ -83,23 +122,33 @@ def components(node: tuple) -> list[dict] | None:
     return out
 
 
-_ANALYSIS = T.StructType([T.StructField("shape", T.StringType()), T.StructField("qtype", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("branches", T.StringType())])
+_NODE = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("height", T.IntegerType())])
+_ANALYSIS = T.StructType([T.StructField("shape", T.StringType()), T.StructField("qtype", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("branches", T.StringType()), T.StructField("nodes", T.ArrayType(_NODE))])
+#: Nodes of a tree that is taken apart, steps that several others need counted each time; larger ones are ``too_long``.
+LONGEST = 500
+
+
+def analysis(text: str | None) -> tuple:
+    """(shape, topology, why it isn't supported, branches as JSON, nodes) of a program as JSON."""
+    try:
+        program = json.loads(text) if text else []
+    except (ValueError, RecursionError):
+        return None, None, "invalid_json", None, None
+    if not isinstance(program, list) or not program:
+        return None, None, "empty", None, None
+    if _size(program) > LONGEST:
+        return None, None, "too_long", None, None
+    node = tree(program)
+    qtype = BY_SHAPE.get(shape(node, True))
+    parts = components(node) if qtype else None
+    nodes = flattened(node) if "X" not in shape(node) else None
+    return shape(node), qtype, None if parts else "unsupported_shape", json.dumps(parts) if parts else None, nodes
 
 
 @F.pandas_udf(_ANALYSIS)
 def analysed(programs: pd.Series) -> pd.DataFrame:
-    """Of a program as JSON: shape, topology, why it isn't supported, branches as JSON."""
-    rows = []
-    for text in programs:
-        program = json.loads(text) if text else []
-        if not program:
-            rows.append((None, None, "empty", None))
-            continue
-        node = tree(program)
-        qtype = BY_SHAPE.get(shape(node, True))
-        parts = components(node) if qtype else None
-        rows.append((shape(node), qtype, None if parts else "unsupported_shape", json.dumps(parts) if parts else None))
-    return pd.DataFrame(rows, columns=_ANALYSIS.names)
+    """Of a program as JSON: shape, topology, why it isn't supported, branches as JSON, and the nodes of its tree, null where a step isn't supported."""
+    return pd.DataFrame([analysis(p if isinstance(p, str) else None) for p in programs], columns=_ANALYSIS.names)
 
 
 def function_inventory(questions: DataFrame, k: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -112,27 +161,91 @@ def function_inventory(questions: DataFrame, k: int = 100) -> tuple[DataFrame, D
     return functions, patterns, after.groupBy(F.coalesce("successor", F.lit("END")).alias("successor")).count()
 
 
-def executed(parts: DataFrame, names: DataFrame, edges: DataFrame, union: bool = False) -> DataFrame:
-    """(qid, ent): a directed query over a knowledge base. ``parts`` has (qid, branch, anchor, path array<predicate::direction>) with paths of at most two hops; an anchor name may seed several ids."""
-    seeds = parts.join(names.select(F.col("name").alias("anchor"), "id"), "anchor").select("qid", "branch", "path", F.col("id").alias("ent"))
-    keyed = edges.select("h", F.concat_ws("::", "predicate", "direction").alias("key"), "t")
-    front = None
-    for hop in (0, 1):
-        here = seeds if front is None else front
-        ends = here.where(F.size("path") <= hop)
-        met = here.where(F.size("path") > hop).withColumn("key", F.get("path", hop)).join(keyed.withColumnRenamed("h", "ent"), ["ent", "key"]).select("qid", "branch", "path", F.col("t").alias("ent"))
-        front = met.union(ends.select("qid", "branch", "path", "ent")).distinct()
-    if union:
-        return front.select("qid", "ent").distinct()
-    need = parts.groupBy("qid").agg(F.countDistinct("branch").alias("need"))
-    return front.groupBy("qid", "ent").agg(F.countDistinct("branch").alias("have")).join(need, "qid").where("have = need").select("qid", "ent")
+def executed(nodes: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, ent): directed queries over a knowledge base, of any depth and any nesting.
+
+    ``nodes`` has (qid, node, kind, left, right, name, height), the trees of a batch of queries; ``names`` (id, name),
+    where a name may seed several ids; ``edges`` (h, predicate, direction, t).  A batch is run height by height:
+    there are as many rounds as the highest tree has levels, each a few joins over all queries, and each is
+    written before the next.  A name that nobody bears and a hop that leads nowhere give no entities.
+    """
+    nodes = written(nodes.select("qid", "node", "kind", "left", "right", "name", "height"), "nodes")
+    keyed = edges.select(F.col("h").alias("ent"), F.concat_ws("::", "predicate", "direction").alias("name"), "t")
+    anchors = nodes.where("kind = 'A'").join(names.select("name", F.col("id").alias("ent")).distinct(), "name")
+    done = written(anchors.select("qid", "node", "ent"), "reached")
+    highest = nodes.agg(F.max("height")).first()[0] or 0
+    for height in range(1, highest + 1):
+        here = nodes.where(F.col("height") == height)
+        left = here.join(done.select("qid", F.col("node").alias("left"), "ent"), ["qid", "left"])
+        hops = left.where("kind = 'P'").join(keyed, ["ent", "name"]).select("qid", "node", F.col("t").alias("ent"))
+        right = here.join(done.select("qid", F.col("node").alias("right"), "ent"), ["qid", "right"]).select("qid", "node", "kind", "ent")
+        both = left.where("kind = 'I'").select("qid", "node", "ent").join(right.where("kind = 'I'").select("qid", "node", "ent"), ["qid", "node", "ent"], "left_semi")
+        either = left.where("kind = 'U'").select("qid", "node", "ent").union(right.where("kind = 'U'").select("qid", "node", "ent"))
+        reached = hops.union(both).union(either).distinct()
+        done = done.union(written(reached, "reached"))
+    top = nodes.groupBy("qid").agg(F.max("node").alias("node"))
+    return done.join(top, ["qid", "node"]).select("qid", "ent").distinct()
+
+
+def path_nodes(parts: DataFrame, union: bool = False) -> DataFrame:
+    """The nodes of queries given as branches (qid, branch, anchor, path array<predicate::direction>): paths of any length, joined by intersection or union two by two."""
+    kind = F.lit("U" if union else "I")
+    ordered = parts.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("branch", "anchor", "path"))).alias("b"))
+    # Numbers: branch i has its anchor at its base and its hops behind; the groups come after all branches.
+    sizes = F.transform("b", lambda x: F.size(x["path"]) + 1)
+    base = lambda i: F.aggregate(F.slice(F.col("sizes"), 1, i), F.lit(0), lambda a, x: a + x)
+    end = lambda i: base(i) + F.get(F.col("sizes"), i) - 1
+    null = F.lit(None).cast("int")
+    node = lambda n, k, left, right, name, h: F.struct(n.cast("int").alias("node"), k.alias("kind"), left.cast("int").alias("left"), right.cast("int").alias("right"), name.cast("string").alias("name"), h.cast("int").alias("height"))
+    hop = lambda i: lambda key, j: node(base(i) + j + 1, F.lit("P"), base(i) + j, null, key, j + 1)
+    paths = F.flatten(F.transform("b", lambda x, i: F.concat(F.array(node(base(i), F.lit("A"), null, null, x["anchor"], F.lit(0))), F.transform(x["path"], hop(i)))))
+    total, count, tallest = base(F.size("b")), F.size("b"), F.array_max("sizes") - 1
+    groups = F.when(count > 1, F.transform(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), lambda i: node(total + i - 1, kind, F.when(i == 1, end(F.lit(0))).otherwise(total + i - 2), end(i), F.lit(None), tallest + i)))
+    with_sizes = ordered.withColumn("sizes", sizes)
+    empty = F.array().cast("array<struct<node:int,kind:string,left:int,right:int,name:string,height:int>>")
+    return with_sizes.select("qid", F.inline(F.concat(paths, F.coalesce(groups, empty))))
+
+
+def executed_paths(parts: DataFrame, names: DataFrame, edges: DataFrame, union: bool = False) -> DataFrame:
+    """(qid, ent) of queries given as branches."""
+    return executed(path_nodes(parts, union), names, edges)
+
+
+def names_of(found: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, ent, name): ids with their names; ids without one are left out."""
+    return found.join(names.select(F.col("id").alias("ent"), "name"), "ent").select("qid", "ent", "name")
+
+
+def candidates(questions: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, qtype, shape, reason, answer_ids): which questions can stand in a benchmark, and why the others can't.
+
+    ``questions`` has (qid, program, answer), the program as JSON.  The first reason in this order counts: no program
+    or unreadable, another topology, an anchor whose name isn't that of exactly one id, no gold answer, gold that
+    is no entity's name, and a program whose answers don't all bear the gold's name.  Fixed values: the reasons.
+    """
+    a = written(questions.select("qid", "answer", analysed("program").alias("a")).select("qid", "answer", "a.*"), "programs")
+    known = a.where("qtype IS NOT NULL AND nodes IS NOT NULL")
+    nodes = written(known.select("qid", F.inline("nodes")), "nodes")
+    bearers = names.groupBy("name").agg(F.countDistinct("id").alias("ids"))
+    anchors = nodes.where("kind = 'A'").join(bearers, "name", "left").groupBy("qid").agg(F.max((F.coalesce("ids", F.lit(0)) != 1).cast("int")).alias("unclear"))
+    gold = known.select("qid", F.col("answer").alias("name")).join(bearers, "name").select("qid", F.lit(True).alias("is_entity"))
+    found = written(executed(nodes, names, edges), "answers")
+    named = found.join(names.select(F.col("id").alias("ent"), "name"), "ent", "left").groupBy("qid").agg(F.array_sort(F.collect_set("ent")).alias("ids"), F.collect_set("name").alias("bear"), F.count_if(F.col("name").isNull()).alias("nameless"))
+    row = a.join(anchors, "qid", "left").join(gold, "qid", "left").join(named, "qid", "left")
+    said = lambda what: F.concat(F.col("qtype"), F.lit(f":{what}"))
+    reason = (
+        F.when(F.col("shape").isNull(), F.when(F.col("reason") == "empty", "empty_program").otherwise(F.col("reason"))).when(F.col("qtype").isNull() | F.col("nodes").isNull(), "not_target_topology")
+        .when(F.col("unclear") == 1, said("ambiguous_anchor")).when(F.col("answer").isNull(), said("gold_not_string")).when(F.col("is_entity").isNull(), said("gold_not_entity"))
+        .when(F.coalesce(F.size("bear") != 1, F.lit(True)) | ~F.array_contains(F.coalesce("bear", F.array(F.lit(""))), F.col("answer")) | (F.col("nameless") > 0), said("reduced_query_not_equal_gold"))
+    )
+    return row.withColumn("why", reason).select("qid", "qtype", "shape", F.col("why").alias("reason"), F.when(F.col("why").isNull(), F.col("ids")).alias("answer_ids"))
 
 
 # --- structured parses ---------------------------------------------------------------------------------
 
 
 def _faults(value):
-    """(reason, holds) in the order in which a parse is judged; later checks may rely on earlier ones."""
+    """(reason, holds) in the order in which a parse is judged; later checks may rely on earlier ones. The reasons are fixed values."""
     yield "top_level_not_object", isinstance(value, dict)
     yield "invalid_top_level_fields", set(value) == {"type", "query"}
     yield "invalid_qtype", isinstance(value["type"], str) and value["type"] in PATHS
@@ -157,7 +270,7 @@ def parsed(text) -> tuple[dict | None, str | None]:
     if isinstance(text, str):
         try:
             value = json.loads(text.strip())
-        except ValueError:
+        except (ValueError, RecursionError):
             return None, "invalid_json"
     elif isinstance(text, dict):
         value = text
@@ -173,11 +286,11 @@ _BRANCHES = T.ArrayType(T.StructType([T.StructField("anchor", T.StringType()), T
 _PARSE = T.StructType([T.StructField("type", T.StringType()), T.StructField("query", _BRANCHES), T.StructField("error", T.StringType())])
 
 
-@F.udf(_PARSE)
-def parsed_output(text):
+@F.pandas_udf(_PARSE)
+def parsed_output(texts: pd.Series) -> pd.DataFrame:
     """A parser's output, checked strictly: type and branches, or the first fault."""
-    value, error = parsed(text)
-    return (value["type"], value["query"], None) if value else (None, None, error)
+    both = [parsed(t) for t in texts]
+    return pd.DataFrame({"type": [v and v["type"] for v, _ in both], "query": [v and v["query"] for v, _ in both], "error": [e for _, e in both]})
 
 
 def formatted(qtype: Column, branches_: Column) -> Column:
@@ -230,14 +343,16 @@ def score(gold: dict, pred: dict | None) -> dict[str, float]:
     return dict(zip(SCORES, map(float, values), strict=True))
 
 
-@F.udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SCORES]))
-def parse_score(gold, pred):
-    """Scores of a parser's output (text) against gold (text)."""
-    value, _ = parsed(gold)
-    if value is None:
-        raise ValueError("gold is no parse")
-    s = score(value, parsed(pred)[0])
-    return tuple(s[n] for n in SCORES)
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SCORES]))
+def parse_score(golds: pd.Series, preds: pd.Series) -> pd.DataFrame:
+    """Scores of a parser's output (text) against gold (text); gold that is no parse fails."""
+    rows = []
+    for gold, pred in zip(golds, preds, strict=True):
+        value, _ = parsed(gold)
+        if value is None:
+            raise ValueError("gold is no parse")
+        rows.append(score(value, parsed(pred)[0]))
+    return pd.DataFrame(rows, columns=list(SCORES))
 
 
 def micro(scores: DataFrame, *by: str) -> DataFrame:

@@ -16,6 +16,18 @@ def unit(seed: str, *keys: str) -> Column:
     return F.conv(F.substring(order(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def group_seed(seed: int, group: str) -> Column:
+    """A seed of its own for each group: the seed and the codes of the group's letters added up."""
+    letters = F.transform(F.split(F.col(group), ""), lambda c: F.ascii(c))
+    return F.lit(seed) + F.aggregate(letters, F.lit(0), lambda a, x: a + x)
+
+
+def per_group_seeded(df: DataFrame, group: str, k: int, seed: int, keys: list[str]) -> DataFrame:
+    """At most k rows of each group, the first in hash order under the group's own seed, with their place ``n``."""
+    place = F.sha2(F.concat_ws("|", group_seed(seed, group).cast("string"), *[F.col(c).cast("string") for c in keys]), 256)
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(place, *keys))).where(F.col("n") <= k)
+
+
 def per_group(df: DataFrame, group: list[str], k: int, seed: str, keys: list[str]) -> DataFrame:
     """At most k rows of each group, the first in hash order, with their place ``n``. The window's limit is applied before the shuffle too."""
     w = Window.partitionBy(*group).orderBy(order(seed, *keys), *keys)

@@ -54,12 +54,35 @@ def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([normal_tail(a) if pd.notna(a) else math.nan for a in z])
 
 
+def signed_rank_p(w: float, n: int) -> float:
+    """P of a sum of signed ranks 1 .. n at least as far from its mean as ``w``, by counting sets of ranks."""
+    most = n * (n + 1) // 2
+    ways = [1] + [0] * most
+    for rank in range(1, n + 1):
+        for total in range(most, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    at = int(w)
+    return min(1.0, 2 * min(sum(ways[: at + 1]), sum(ways[at:])) / 2**n)
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_p(w: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_p(a, int(b)) if pd.notna(a) and pd.notna(b) else math.nan for a, b in zip(w, n, strict=True)])
+
+
+def planned(found: int, models: int, types: int, contrasts: int) -> int:
+    """The number of tests of a plan; another number found is an error."""
+    if found != models * types * contrasts:
+        raise ValueError(f"{found} tests where {models * types * contrasts} were planned")
+    return found
+
+
 def paired(records: DataFrame, contrasts: list[tuple[str, str]], keys: list[str], sample: str, value: str) -> DataFrame:
-    """(keys, contrast, sample, d): differences of two methods on the same samples."""
-    pairs = records.sparkSession.createDataFrame([(a, b, f"{a} -> {b}") for a, b in contrasts], "a string, b string, contrast string")
-    left = records.join(F.broadcast(pairs), F.col("method") == F.col("a")).select(*keys, sample, "b", "contrast", F.col(value).alias("x"))  # one row for each contrast
-    right = records.select(*keys, sample, F.col("method").alias("b"), F.col(value).alias("y"))
-    return left.join(right, [*keys, sample, "b"]).select(*keys, "contrast", sample, (F.col("y") - F.col("x")).alias("d"))
+    """(keys, contrast, sample, d): differences of two methods on the same samples. Methods stand side by side after one fold; a sample that lacks one of them has no difference."""
+    names = sorted({m for pair in contrasts for m in pair})
+    side = records.groupBy(*keys, sample).agg(*[F.max(F.when(F.col("method") == m, F.col(value))).alias(f"m{i}") for i, m in enumerate(names)])
+    pairs = F.array(*[F.struct(F.lit(f"{a} -> {b}").alias("contrast"), (F.col(f"m{names.index(b)}") - F.col(f"m{names.index(a)}")).alias("d")) for a, b in contrasts])
+    return side.select(*keys, sample, F.inline(pairs)).where("d IS NOT NULL").select(*keys, "contrast", sample, "d")
 
 
 def wilcoxon_ranks(pairs: DataFrame, group: list[str]) -> DataFrame:
@@ -73,6 +96,8 @@ def wilcoxon_ranks(pairs: DataFrame, group: list[str]) -> DataFrame:
 def paired_tests(pairs: DataFrame, group: list[str], family: int = 6, eps: float = 1e-12) -> DataFrame:
     """Mean difference with its 95 % interval, effect size, paired t, signed ranks with zeros dropped after ranking, wins, ties and losses; p values times ``family``, at most 1.
 
+    Up to 50 differences without zeros and without two of one size have the exact distribution of signed ranks, others the normal one.
+
     One sample gives no interval; equal differences give an interval of no width and an effect of 0 or an
     infinity; identical pairs give p = 1.
     """
@@ -82,7 +107,7 @@ def paired_tests(pairs: DataFrame, group: list[str], family: int = 6, eps: float
     agg = ranked.groupBy(*group).agg(
         n.alias("n"), F.avg("d").alias("delta"), F.stddev_samp("d").alias("sd"), F.count_if(F.col("d") > eps).alias("wins"), F.count_if(zero).alias("ties"), F.count_if(F.col("d") < -eps).alias("losses"),
         F.coalesce(F.sum(F.when(F.col("d") > eps, F.col("rank"))), F.lit(0.0)).alias("w_plus"),
-        F.sum(F.when(~zero, F.col("rank"))).alias("w_all"), F.sum(F.when(~zero, F.col("rank") * F.col("rank"))).alias("w_squares"),
+        F.countDistinct(F.round(F.abs("d"), 12)).alias("sizes"), F.sum(F.when(~zero, F.col("rank"))).alias("w_all"), F.sum(F.when(~zero, F.col("rank") * F.col("rank"))).alias("w_squares"),
     )
     agg = agg.withColumn("sd", F.when(F.col("sd") <= eps, 0.0).otherwise(F.col("sd"))).withColumn("df", (F.col("n") - 1).cast("double"))
     half = t_critical("df") * F.col("sd") / F.sqrt("n")
@@ -93,6 +118,6 @@ def paired_tests(pairs: DataFrame, group: list[str], family: int = 6, eps: float
     z = F.when(F.col("w_squares").isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("w_plus") - F.col("w_all") / 2, F.sqrt(F.col("w_squares") / 4)))
     out = agg.withColumn("ci_low", F.when(F.col("n") < 2, nan).otherwise(F.col("delta") - F.coalesce(half, F.lit(0.0)))).withColumn("ci_high", F.when(F.col("n") < 2, nan).otherwise(F.col("delta") + F.coalesce(half, F.lit(0.0))))
     out = out.withColumn("dz", dz).withColumn("t", t).withColumn("z", z)
-    out = out.withColumn("t_p", F.when(F.col("ties") == F.col("n"), 1.0).otherwise(t_p("t", "df"))).withColumn("wilcoxon_p", F.when(F.col("ties") == F.col("n"), 1.0).otherwise(normal_p("z")))
+    out = out.withColumn("t_p", F.when(F.col("ties") == F.col("n"), 1.0).otherwise(t_p("t", "df"))).withColumn("wilcoxon_p", F.when(F.col("ties") == F.col("n"), 1.0).when((F.col("n") <= 50) & (F.col("ties") == 0) & (F.col("sizes") == F.col("n")), exact_p("w_plus", "n")).otherwise(normal_p("z")))
     times = lambda p: F.when(F.isnan(p), nan).otherwise(F.least(F.lit(1.0), F.col(p) * family))
     return out.select(*group, "n", "delta", "ci_low", "ci_high", "dz", "t", "t_p", times("t_p").alias("t_p_corrected"), "z", "wilcoxon_p", times("wilcoxon_p").alias("wilcoxon_p_corrected"), "wins", "ties", "losses")

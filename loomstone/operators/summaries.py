@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Groups of topologies; a topology is in several.
@@ -33,10 +33,44 @@ def macro(per_type: DataFrame, measures: list[str], ratios: dict[str, tuple[str,
 
 
 def differences(records: DataFrame, keys: list[str], left: str, right: str, measures: list[str]) -> DataFrame:
-    """right minus left of two methods, side by side."""
-    a, b = (records.where(F.col("method") == m) for m in (left, right))
-    both = a.select(*keys, *[F.col(m).alias(f"left_{m}") for m in measures]).join(b.select(*keys, *[F.col(m).alias(f"right_{m}") for m in measures]), keys)
-    return both.select(*keys, *[(F.col(f"right_{m}") - F.col(f"left_{m}")).alias(f"delta_{m}") for m in measures])
+    """right minus left of two methods that have one row each for the keys, side by side after one fold; keys that only one of them has are left out."""
+    of = lambda method, m: F.max(F.when(F.col("method") == method, F.col(m)))
+    both = records.groupBy(*keys).agg(*[(of(right, m) - of(left, m)).alias(f"delta_{m}") for m in measures])
+    return both.where(F.col(f"delta_{measures[0]}").isNotNull())
+
+
+def directions(differences_: DataFrame, value: str, sets: list[list[str]], eps: float = 1e-12) -> DataFrame:
+    """Better, worse and equal differences and their shares, over several groupings at once."""
+    d = F.col(value)
+    share = lambda c: F.avg(c.cast("double"))
+    return scopes(differences_, sets, {"n": F.count("*"), "better": F.count_if(d > eps), "worse": F.count_if(d < -eps), "equal": F.count_if(F.abs(d) <= eps), "better_rate": share(d > eps), "worse_rate": share(d < -eps)})
+
+
+def complete(summary: DataFrame, expected: int) -> DataFrame:
+    """A summary whose every group has ``expected`` records; another number fails."""
+    return summary.withColumn("n", F.when(F.col("n") == expected, F.col("n")).otherwise(F.raise_error(F.format_string("a group of %d records", F.col("n"))).cast("bigint")))
+
+
+def stage_metrics(stages: DataFrame) -> DataFrame:
+    """Means of each (run, method, qtype, stage, role) over stage rows; the mean predicted size skips rows without a prediction."""
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    return stages.groupBy("run", "method", "qtype", "stage", "role").agg(
+        F.count("*").alias("n"), mean("f1").alias("f1"), mean("precision").alias("precision"), mean("recall").alias("recall"), mean("exact_match").alias("em_rate"), mean("contained").alias("containment_rate"), mean("parse_ok").alias("parse_ok_rate"), mean("pred_size").alias("pred_size"), mean("gold_size").alias("gold_size")
+    )
+
+
+def places(orders: dict[str, list]) -> list[Column]:
+    """What to sort by for an order of one's own: the places of values in given lists, column after column; unknown values come last, by value."""
+    out = []
+    for column, values in orders.items():
+        at = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+        out += [F.when(at > 0, at).otherwise(len(values) + 1), F.col(column)]
+    return out
+
+
+def in_order(df: DataFrame, orders: dict[str, list], *then: str) -> DataFrame:
+    """Rows in an order of one's own."""
+    return df.orderBy(*places(orders), *then)
 
 
 def conditional(stages: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,6 +52,12 @@ PREMISE = "Given the following (h,r,t) triplets where entity h is related to ent
 STEP_PREMISE = "If any (h, r, t) triplets are provided below, they indicate that entity h is related to entity t by relation r. Otherwise, ignore this section.\n"
 QUESTION = "Answer the question:\n"
 INSTRUCTION = "\nReturn only the answer entities separated by commas with no other text."
+#: What the model is told about its task.
+SYSTEMS = {
+    "plain": "You are an expert in deductive reasoning over the supplied knowledge graph facts. Use only the provided facts. Output only the answer entities separated by English commas, without brackets, labels, or explanations. If no entity satisfies the query, output only 'None'.",
+    "CoT": "You are an expert in deductive reasoning over the supplied knowledge graph facts. Use only the provided facts and solve the problem step by step. Clearly derive the intermediate entity sets. After completing the reasoning, the last non-empty line must contain only the final answer entities separated by English commas, without brackets, labels, or explanations. If no entity satisfies the query, the last non-empty line must be exactly 'None'.",
+    "FewShot_CoT": 'You are an expert in deductive reasoning over the supplied knowledge graph facts. Follow the reasoning style and output format demonstrated in the examples. The last non-empty line must be a valid answer object in exactly this form: Answer: {"answer": ["entity1", "entity2"]}. If there is no answer, use Answer: {"answer": []}. Do not write anything after the final answer line.',
+}
 
 
 def filled(template: str) -> Column:
@@ -91,14 +97,17 @@ def isolated_prompts(plan: DataFrame, steps: DataFrame, qtype: str) -> DataFrame
     return step_questions(plan, qtype).join(steps, ["qid", "step"]).select("qid", "step", prompt(F.col("triples"), F.col("question"), STEP_PREMISE).alias("prompt"))
 
 
-def with_answers(text: Column, answers: Column, most: int = 3) -> Column:
-    """A question with [PPn] replaced by {answer n}; a null answer reads None, and a placeholder beyond the answers fails."""
-    out = text
-    for n in range(1, most + 1):
-        mark = F.lit(f"[PP{n}]")
-        value = F.when(F.size(answers) < n, F.raise_error(F.lit(f"no answer for [PP{n}]"))).otherwise(F.concat(F.lit("{"), F.coalesce(F.get(answers, n - 1), F.lit("None")), F.lit("}")))
-        out = F.when(F.contains(out, mark), F.replace(out, mark, value)).otherwise(out)
-    return out
+def with_answers(text: Column, answers: Column) -> Column:
+    """A question with every [PPn] replaced by {answer n}; a null answer reads None, and a placeholder beyond the answers fails. Placeholders inside answers stay."""
+    parts, numbers = F.split(text, r"\[PP[0-9]+\]", -1), F.regexp_extract_all(text, F.lit(r"\[PP([0-9]+)\]"), 1)
+
+    def answer(i: Column) -> Column:
+        n = F.get(numbers, i).try_cast("int")
+        known = F.coalesce((n >= 1) & (n <= F.size(answers)), F.lit(False))
+        value = F.concat(F.lit("{"), F.coalesce(F.get(answers, n - 1), F.lit("None")), F.lit("}"))
+        return F.when(known, value).otherwise(F.raise_error(F.concat(F.lit("no answer for [PP"), F.get(numbers, i), F.lit("]"))))
+
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(numbers), F.concat(p, answer(i))).otherwise(p)), "")
 
 
 def with_premise(text: Column, premise: Column, tag: str = PREMISE) -> Column:
@@ -108,6 +117,30 @@ def with_premise(text: Column, premise: Column, tag: str = PREMISE) -> Column:
     return F.when(ok, F.concat(F.lit(tag), premise, F.lit("\n\n" + QUESTION), tail)).otherwise(F.raise_error(F.lit("a prompt without a question")))
 
 
+def system_prompt(task: Column) -> Column:
+    """What a model is told for a task; tasks without words of their own get the plain ones."""
+    out = F.lit(SYSTEMS["plain"])
+    for name in ("CoT", "FewShot_CoT"):
+        out = F.when(task == name, F.lit(SYSTEMS[name])).otherwise(out)
+    return out
+
+
+def turns(*said: tuple[str, Column]) -> Column:
+    """array<struct<role,content>>: a conversation, as chat templates take it."""
+    return F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in said])
+
+
+def chat(system: Column, prompt_: Column) -> Column:
+    """A prompt with what stands before it."""
+    return turns(("system", system), ("user", prompt_))
+
+
+def training_chat(instruction: Column, input_: Column, output: Column) -> Column:
+    """A training record as a conversation; an input that isn't blank stands on a line of its own."""
+    user = F.when(F.trim(F.coalesce(input_, F.lit(""))) != "", F.concat(instruction, F.lit("\n"), input_)).otherwise(instruction)
+    return turns(("user", user), ("assistant", output))
+
+
 def literal(qtype: str) -> Column:
     """A query as its literal, from the plan's columns."""
     from .ir import SHAPES

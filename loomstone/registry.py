@@ -21,7 +21,7 @@ from .plans import prompts as P
 from .plans.ir import topology
 from .plans.lowering import Lowered, answer_sets
 from .sources.graph import entity_index, order_graph, table
-from .streaming.staged import run_staged
+from .streaming.staged import run_staged, written
 
 #: Anchors and relations of each topology's batch; a minus sign marks "any other relation".
 BATCHES = {
@@ -58,7 +58,13 @@ def plan(spark: SparkSession, sf_dir: str, qtype: str) -> DataFrame:
         return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("qid"), F.col("r_regionkey").cast("long").alias("e1"), *relations)
     if qtype == "3p":
         return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("qid"), (30_000_000 + F.col("o_orderkey")).cast("long").alias("e1"), *relations)
-    return base(spark, sf_dir).select("qid", *[F.col(a).cast("long").alias(f"e{i}") for i, a in enumerate(BATCHES[qtype][0], 1)], *relations)
+    return batch(base(spark, sf_dir), qtype)
+
+
+def batch(rows: DataFrame, qtype: str) -> DataFrame:
+    """A topology's plan from the rows of ``base``."""
+    anchors, relations = BATCHES[qtype]
+    return rows.select("qid", *[F.col(a).cast("long").alias(f"e{i}") for i, a in enumerate(anchors, 1)], *[F.lit(r).alias(f"r{i}") for i, r in enumerate(relations, 1)])
 
 
 def plan_sql(qtype: str) -> str:
@@ -175,10 +181,10 @@ def query_literals(spark, sf):
     return plan(spark, sf, "pni").select("qid", P.literal("pni").alias("literal"))
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '\\b[0-9]+\\b'))) AS INTEGER) AS numbers FROM documents WHERE NOT regexp_matches(text, '[0-9]{18,}')")
+@query("SELECT doc_id, array_to_string([s.x FOR s IN list_sort([{'n': length(ltrim(x, '0')), 'v': ltrim(x, '0'), 'x': x} FOR x IN list_distinct(regexp_extract_all(text, '\\b[0-9]+\\b'))])], ',') AS numbers FROM documents")
 def numeric_tokens(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike("[0-9]{18,}"))
-    return docs.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(X.NUMBER), 0))).alias("numbers"))
+    """The numbers of every document, in order of their value."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.numbers(F.col("text")), ",").alias("numbers"))
 
 
 # --- sets, metrics, summaries ---
@@ -235,19 +241,24 @@ def contains_gold(spark, sf):
 
 
 def records(spark, sf) -> DataFrame:
-    """(model, method, qtype, sample, exact_match, precision, recall, f1, parse_failed): scores of every query of five topologies under six kinds of arithmetic noise."""
-    out = None
+    """(model, method, qtype, sample, exact_match, precision, recall, f1, parse_failed): scores of every query of five topologies under six kinds of arithmetic noise. Queries and records are written once, however often what follows reads them."""
+    out, rows = None, None
     for qtype in _TYPES:
-        sets = answer_sets(plan(spark, sf, qtype), lowered(spark, sf, qtype).answers())
+        if qtype in BATCHES:
+            rows = rows or written(base(spark, sf), "base")
+            p = batch(rows, qtype)
+        else:
+            p = plan(spark, sf, qtype)
+        sets = answer_sets(p, Lowered(topology(qtype), p, order_graph(spark, sf), dict(enumerate(FIXED[qtype], 1))).answers())
         kinds = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(x).alias("method"), F.lit(3 * i + j).alias("k")) for i, m in enumerate(_MODELS) for j, x in enumerate(_METHODS)])
-        rows = sets.select("qid", "answer", F.inline(kinds))
+        noisy = sets.select("qid", "answer", F.inline(kinds))
         kept = F.filter("answer", lambda t: (t + F.col("k")) % 5 != 0)
         added = F.transform(F.filter("answer", lambda t: (t + F.col("k")) % 7 == 0), lambda t: t + 1)
         failed = (F.col("qid") + F.col("k")) % 9 == 0
         pred = F.array_union(kept, added)
-        part = rows.select("model", "method", F.lit(qtype).alias("qtype"), F.col("qid").alias("sample"), *[c.alias(n) for n, c in M.metrics(pred, F.col("answer"), failed=failed).items()], failed.cast("int").alias("parse_failed"))
+        part = noisy.select("model", "method", F.lit(qtype).alias("qtype"), F.col("qid").alias("sample"), *[c.alias(n) for n, c in M.metrics(pred, F.col("answer"), failed=failed).items()], failed.cast("int").alias("parse_failed"))
         out = part if out is None else out.union(part)
-    return out
+    return written(out, "records")
 
 
 def _records_sql() -> str:
@@ -332,20 +343,24 @@ def completeness_audit(spark, sf):
     return audits.incomplete(r.select("model", "method", "qtype", "sample"), ["model", "method", "qtype"], "sample", 1, 4)
 
 
-@query(_REC + "SELECT model, qtype, sample, count(DISTINCT exact_match) AS golds, count(DISTINCT method) AS methods FROM records GROUP BY ALL HAVING count(DISTINCT exact_match) <> 1 OR count(DISTINCT method) <> 3")
+@query(O.query("2i", plan_sql("2i"), "SELECT qid, CASE WHEN qid % 13 = 0 THEN 2 ELSE 1 END AS golds, CASE WHEN qid % 17 = 0 THEN 2 ELSE 3 END AS methods FROM plan WHERE qid % 13 = 0 OR qid % 17 = 0"))
 def gold_consistency(spark, sf):
-    return audits.gold_conflicts(records(spark, sf), ["model", "qtype", "sample"], "exact_match", "method", 3)
+    """Gold of three methods, of which one differs for each thirteenth query and one lacks each seventeenth."""
+    sets = answer_sets(plan(spark, sf, "2i"), lowered(spark, sf, "2i").answers())
+    rows = sets.select("qid", F.array_join("answer", ",").alias("gold"), F.explode(F.array(*map(F.lit, _METHODS))).alias("method"))
+    rows = rows.withColumn("gold", F.when((F.col("qid") % 13 == 0) & (F.col("method") == "isolated"), "other").otherwise(F.col("gold"))).where("NOT (qid % 17 = 0 AND method = 'single')")
+    return audits.gold_conflicts(rows, ["qid"], "gold", "method", 3)
 
 
 # --- joins of accuracy and cost ---
 
 
-@query('WITH parts AS (SELECT l_orderkey, sum(l_linenumber) AS s, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS k, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS sum_n, 1 AS n_ok FROM parts JOIN orders ON o_orderkey = l_orderkey')
+@query("WITH parts AS (SELECT l_orderkey AS k, sum(l_linenumber) AS s FROM lineitem GROUP BY 1) SELECT k, CAST(s + CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n, CAST(s AS BIGINT) AS sum_n, CASE WHEN k % 6 = 0 THEN 0 ELSE 1 END AS n_ok FROM parts JOIN orders ON o_orderkey = k")
 def cost_reconcile(spark, sf):
-    """Stated counts of lines against sums over the lines."""
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit(1).cast("long").alias("one"))
-    stated = lines.groupBy("k").agg(F.count("*").alias("n")).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), "k")
-    return audits.reconciled(stated, lines, ["k"], {"n": "one"})
+    """Stated sums of line numbers, of which each sixth is one too large, against sums over the lines."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("line"))
+    stated = lines.groupBy("k").agg((F.sum("line") + F.when(F.col("k") % 6 == 0, 1).otherwise(0)).alias("n")).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), "k")
+    return audits.reconciled(stated, lines, ["k"], {"n": "line"})
 
 
 @query("SELECT o_custkey AS k, 'left' AS absent_in FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1 UNION ALL SELECT c_custkey, 'right' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -412,13 +427,37 @@ def remap_audit(spark, sf):
     return both.agg(audits.constant_offset(F.col("a.h"), F.col("b.col1")).alias("entity_offset"), audits.constant_offset(F.col("a.r"), F.col("b.col2")).alias("relation_offset"), F.count("*").alias("triples"))
 
 
-@query()
+_SEED, _LEAST, _MOST = "42", 3, 9
+
+
+def _order_sql(*keys: str) -> str:
+    return f"sha256('{_SEED}|' || " + " || '|' || ".join(keys) + ")"
+
+
+def _distractor_sql() -> str:
+    number = lambda what, *keys: f"CAST('0x' || substr(sha256('{_SEED}|{what}|' || " + " || '|' || ".join(keys) + "), 1, 8) AS BIGINT)"
+    key, line = "qid, step, h, r, t", _order_sql("c.qid", "c.step", "c.h", "c.r", "c.t")
+    away = lambda bucket, count: f"((c.{bucket} - c.start % c.{count}) % c.{count} + c.{count}) % c.{count}"
+    return f"""pool AS (SELECT h, r, t, x % rn AS rb, rn, x % gn AS gb, gn FROM (SELECT h, r, t, {number('pool', 'h', 'r', 't')} AS x, greatest(1, count(*) OVER (PARTITION BY r) // {8 * _MOST}) AS rn, greatest(1, count(*) OVER () // {8 * _MOST}) AS gn FROM kg)),
+phases AS (SELECT qid, 1 AS step, r1 AS relation FROM plan UNION ALL SELECT qid, 2, r2 FROM plan),
+want AS (SELECT qid, step, relation, n, CAST(n // 3 AS INTEGER) AS q, n % 3 AS rest, {number('start', 'qid', 'step')} AS start FROM (SELECT qid, step, relation, least({_MOST}, greatest({_LEAST}, size)) AS n FROM phases JOIN (SELECT qid, step, count(DISTINCT (h, r, t)) AS size FROM steps GROUP BY ALL) USING (qid, step))),
+heads AS (SELECT DISTINCT qid, step, h FROM steps),
+cand AS (SELECT want.*, pool.*, hd.h IS NOT NULL AS own FROM want JOIN pool ON TRUE LEFT JOIN heads hd ON hd.qid = want.qid AND hd.step = want.step AND hd.h = pool.h),
+class1 AS (SELECT 1 AS class, {key} FROM (SELECT c.*, row_number() OVER (PARTITION BY qid, step ORDER BY {line}, h, r, t) AS k FROM cand c WHERE own AND r <> relation) WHERE k <= q + CASE WHEN rest >= 1 THEN 1 ELSE 0 END),
+class2 AS (SELECT 2 AS class, {key} FROM (SELECT c.*, row_number() OVER (PARTITION BY qid, step ORDER BY {away('rb', 'rn')}, {line}, h, r, t) AS k FROM cand c WHERE NOT own AND r = relation) WHERE k <= q + CASE WHEN rest >= 2 THEN 1 ELSE 0 END),
+class3 AS (SELECT 3 AS class, {key} FROM (SELECT c.*, row_number() OVER (PARTITION BY qid, step ORDER BY {away('gb', 'gn')}, {line}, h, r, t) AS k FROM cand c WHERE NOT own AND r <> relation) WHERE k <= q),
+drawn AS (SELECT * FROM class1 UNION ALL SELECT * FROM class2 UNION ALL SELECT * FROM class3),
+lack AS (SELECT qid, step, n - coalesce(got, 0) AS more FROM want LEFT JOIN (SELECT qid, step, count(*) AS got FROM drawn GROUP BY ALL) USING (qid, step)),
+rest AS (SELECT 0 AS class, {key} FROM (SELECT c.*, row_number() OVER (PARTITION BY qid, step ORDER BY {away('gb', 'gn')}, {line}, h, r, t) AS k FROM cand c WHERE NOT (own AND r = relation) AND (qid, step, h, r, t) NOT IN (SELECT ({key}) FROM drawn)) JOIN lack USING (qid, step) WHERE k <= more)"""
+
+
+@query(O.query("2p", plan_sql("2p"), "SELECT * FROM drawn UNION ALL SELECT * FROM rest", O.step_sql("2p"), _distractor_sql(), base=False))
 def distractors(spark, sf):
-    """Distractors for each hop of the pi batch; their quotas and their distance from the evidence are tested on a small graph."""
-    p = plan(spark, sf, "pi")
-    steps = E.step_rows(p, evidence(spark, sf, "pi"), "pi")
-    phases = p.select("qid", F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"r{i}").alias("relation")) for i in (1, 2, 3)])))
-    return perturb.distractors(steps, order_graph(spark, sf), phases, 1.0, 3, 9)
+    """Distractors for each hop of the 2p batch, drawn from the whole graph."""
+    p = plan(spark, sf, "2p")
+    steps = E.step_rows(p, evidence(spark, sf, "2p"), "2p")
+    phases = p.select("qid", F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"r{i}").alias("relation")) for i in (1, 2)])))
+    return perturb.distractors(steps, order_graph(spark, sf), phases, 1.0, _LEAST, _MOST, _SEED)
 
 
 # --- overlap audits ---
@@ -463,12 +502,12 @@ def record_anomalies(spark, sf):
     return audits.anomalies(d, {"length": F.col("n_chars") != F.length("text"), "short": F.col("n_chars") < 200, "no_stop": ~F.contains("text", F.lit("."))}).select("doc_id", "anomaly")
 
 
-@query(O.query("3i", plan_sql("3i"), "SELECT plan.qid, CAST(count(ent) AS BIGINT) AS n, 1 AS matched FROM plan LEFT JOIN answers USING (qid) GROUP BY plan.qid"))
+@query(O.query("3i", plan_sql("3i"), "SELECT plan.qid, CAST(CASE WHEN plan.qid % 5 = 0 THEN 0 ELSE count(ent) END AS BIGINT) AS n, CASE WHEN plan.qid % 5 = 0 AND count(ent) > 0 THEN 0 ELSE 1 END AS matched FROM plan LEFT JOIN answers USING (qid) GROUP BY plan.qid"))
 def evidence_sufficiency(spark, sf):
-    """Each query run on its own evidence gives its answers on the whole graph."""
+    """Each query run on its own evidence gives its answers on the whole graph; each fifth query's evidence lacks a relation and gives none."""
     full = lowered(spark, sf, "3i")
     p = plan(spark, sf, "3i")
-    own = full.evidence()
+    own = full.evidence().where("NOT (qid % 5 = 0 AND r = 13)")
     # A query's own evidence is told apart by moving its ids into the query's namespace.
     shift = 1_000_000_000
     spread = own.select((F.col("h") + F.col("qid") * shift).alias("h"), "r", (F.col("t") + F.col("qid") * shift).alias("t"))
@@ -579,14 +618,25 @@ def staged_run(spark, sf):
     return run.select("qid", F.array_join(F.array_sort(F.split(F.element_at("answers", -1), ",")), ",").alias("last"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN CAST(turn AS BIGINT) % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence, CAST(turn AS VARCHAR) || ',' || CAST(conv_id + 100000 AS VARCHAR) AS answer FROM conversations")
+_TIERS = "CASE (conv_id + turn) % 6 {} END"
+
+
+@query(
+    "SELECT conv_id, turn, " + _TIERS.format("WHEN 0 THEN 'high' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'medium' WHEN 4 THEN 'low' ELSE 'failed'") + " AS confidence, "
+    + _TIERS.format("WHEN 3 THEN CAST(turn AS VARCHAR) WHEN 5 THEN NULL ELSE CAST(turn AS VARCHAR) || ',' || CAST(conv_id + 100000 AS VARCHAR)") + " AS answer FROM conversations"
+)
 def answer_parser(spark, sf):
-    """Replies in two of the parser's forms, made from the conversations' ids."""
-    body = F.concat(F.col("conv_id") + 100000, F.lit(", "), F.col("turn"))
-    reply = F.when(F.col("turn") % 2 == 0, body).otherwise(F.concat(F.lit("some words\nFinal answer: "), body))
+    """Replies in all of the parser's forms, made from the conversations' ids."""
+    a, b = F.col("turn").cast("string"), (F.col("conv_id") + 100000).cast("string")
+    says = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = [says(b, ", ", a), says('{"answers": [', b, ', "', a, '"]}'), says("some words\nFinal answer: ", b, ", ", a), says("first words\nthen {\"result\": [", a, "]} and more\nlast"), says("All of it was read. So the answer is ", b, ", ", a, "."), says("the triples (1,2,", a, ") say nothing")]
+    reply = F.get(F.array(*forms), ((F.col("conv_id") + F.col("turn")) % 6).cast("int"))
     return table(spark, sf, "conversations").select("conv_id", "turn", parsed_answer(reply).alias("p")).select("conv_id", "turn", "p.confidence", "p.answer")
 
 
+from . import workflow_queries as _more  # noqa: E402, F401  it adds its queries to Q and S
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,19 +25,22 @@ def benchmark(spark: SparkSession, queries: str, answers: str) -> DataFrame:
 def literal_json(text: Column) -> Column:
     """A JSON or Python literal as JSON text; null where it is neither. Tuples and sets become arrays, sets in order."""
 
-    @F.udf("string")
-    def convert(x):
-        if x is None:
+    def one(x):
+        if not isinstance(x, str):
             return None
         try:
             return json.dumps(json.loads(x))
-        except ValueError:
+        except (ValueError, RecursionError):
             pass
         try:
             return json.dumps(_plain(ast.literal_eval(x)))
         except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
             return None
 
+    @F.pandas_udf("string")
+    def convert(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
     return convert(text)
 
 
@@ -71,10 +75,18 @@ def write_json(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     (df.write.partitionBy(*by) if by else df.write).json(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """One CSV of a small summary, columns in the given order, arrays as JSON text."""
+def write_csv(df: DataFrame, path: str, columns: list[str], mark: bool = False) -> None:
+    """One CSV of a small summary, columns in the given order, arrays as JSON text; with ``mark`` the header begins with a byte-order mark, as spreadsheets expect."""
     flat = [F.to_json(c).alias(c) if dict(df.dtypes)[c].startswith(("array", "map", "struct")) else F.col(c) for c in columns]
-    df.select(*flat).coalesce(1).write.option("header", True).csv(path)
+    out = df.select(*flat)
+    if mark:
+        out = out.withColumnRenamed(columns[0], "\ufeff" + columns[0])
+    out.coalesce(1).write.option("header", True).csv(path)
+
+
+def write_samples(df: DataFrame, path: str, by: tuple[str, ...] = ("method", "qtype")) -> None:
+    """One JSON record for each sample, in folders by method and topology; a sample's id is a field of its record."""
+    df.repartition(*by).sortWithinPartitions(*by).write.partitionBy(*by).json(path)
 
 
 def markdown(df: DataFrame, title: str, most: int = 10_000) -> str:

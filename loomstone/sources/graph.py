@@ -24,8 +24,8 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_triples(kg: DataFrame, path: str) -> None:
-    """Parquet by relation, heads in order inside a file: a hop reads one partition and skips row groups by head."""
-    kg.repartition("r").sortWithinPartitions("r", "h").write.partitionBy("r").parquet(path)
+    """Parquet by relation, heads in order inside a file: a hop reads one partition and skips row groups by head. Ranges of (r, h, t) split a relation, and a head, however large they are."""
+    kg.repartitionByRange("r", "h", "t").sortWithinPartitions("r", "h").write.partitionBy("r").parquet(path)
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

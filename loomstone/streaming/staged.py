@@ -24,17 +24,27 @@ TERMINAL = ("CONTEXT_OVERFLOW", "CUDA_OOM")
 SKIPPED = "SKIPPED_PREVIOUS_FAILURE"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where that is unset, a master inside this process gets a folder of its own and a cluster an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = shared_folder.own = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="loomstone-")
+    return top.rstrip("/")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table in the shared folder, read back."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomstone-")
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def batches(lengths: list[int], most_rows: int, most_tokens: int, reserve: int = 0) -> list[list[int]]:
-    """Row numbers in batches, shortest first: a batch ends before its rows, each padded to its longest, and ``reserve`` for each reply would pass the budget. A row that is too long by itself is a batch of its own."""
+    """Row numbers in batches, shortest first: a batch ends before its rows, each padded to its longest, and ``reserve`` for each reply would pass the budget. A row that is too long by itself is a batch of its own. Lengths are in whatever unit the budget is."""
     out: list[list[int]] = []
     for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
         grown = len(out[-1]) + 1 if out else 1
@@ -45,9 +55,13 @@ def batches(lengths: list[int], most_rows: int, most_tokens: int, reserve: int =
     return out
 
 
-def guarded(model: Callable[[list[str]], list[str]], prompts: list[str], context: int | None = None, most_rows: int = 32, most_tokens: int = 32_768) -> list[str]:
-    """Replies of a model: prompts over its context get a sentinel, a batch that runs out of memory is halved, a single prompt that does gets a sentinel."""
-    out = [TERMINAL[0] if context and len(p) > context else "" for p in prompts]
+def guarded(model: Callable[[list[str]], list[str]], prompts: list[str], context: int | None = None, most_rows: int = 32, most_tokens: int = 32_768, length: Callable[[str], int] = len) -> list[str]:
+    """Replies of a model: prompts over its context get a sentinel, a batch that runs out of memory is halved, a single prompt that does gets a sentinel.
+
+    ``length`` tells a prompt's size in the unit of ``context`` and ``most_tokens``; unless a model's tokeniser is given these are characters.
+    """
+    sizes = [length(p) for p in prompts]
+    out = [TERMINAL[0] if context and n > context else "" for n in sizes]
 
     def call(rows: list[int]) -> None:
         try:
@@ -61,38 +75,39 @@ def guarded(model: Callable[[list[str]], list[str]], prompts: list[str], context
                 call(rows[len(rows) // 2 :])
 
     todo = [i for i, o in enumerate(out) if not o]
-    for group in batches([len(prompts[i]) for i in todo], most_rows, most_tokens):
+    for group in batches([sizes[i] for i in todo], most_rows, most_tokens):
         call([todo[g] for g in group])
     return out
 
 
-def generated(df: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", context: int | None = None) -> DataFrame:
+def generated(df: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", context: int | None = None, length: Callable[[str], int] = len) -> DataFrame:
     """Adds ``raw_answer``, the model's reply to each row's prompt."""
     names = df.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[names].assign(raw_answer=guarded(model, frame[prompt].tolist(), context))
+            yield frame[names].assign(raw_answer=guarded(model, frame[prompt].tolist(), context, length=length))
 
     return df.mapInPandas(run, f"{kinds}, raw_answer string")
 
 
-def run_staged(prompts: DataFrame, model: Callable[[list[str]], list[str]], context: int | None = None, done: DataFrame | None = None) -> DataFrame:
+def run_staged(prompts: DataFrame, model: Callable[[list[str]], list[str]], context: int | None = None, done: DataFrame | None = None, parser: Callable = parsed_answer) -> DataFrame:
     """(qid, answers, raw_answers, confidences, status) from ``prompts(qid, step, prompt)``.
 
     [PPn] in a prompt is filled with the answer of step n.  A reply that can't be parsed counts as no
     answer and the sample goes on; a terminal reply ends it: its later steps are skipped and failed.
-    Samples in ``done`` are left out.
+    Samples in ``done`` are left out.  ``parser`` makes struct<confidence,answer> of a reply.  Prompts are
+    written once, so their evidence isn't joined anew for each step.
     """
-    todo = prompts if done is None else prompts.join(done.select("qid").distinct(), "qid", "left_anti")
+    todo = written(prompts if done is None else prompts.join(done.select("qid").distinct(), "qid", "left_anti"), "prompts")
     steps = todo.agg(F.max("step")).first()[0] or 0
     empty = F.array().cast("array<string>")
     state = todo.select("qid").distinct().select("qid", empty.alias("answers"), empty.alias("raw_answers"), empty.alias("confidences"), F.lit("ok").alias("status"))
     for step in range(1, steps + 1):
         here = todo.where(F.col("step") == step).select("qid", "prompt").join(state, "qid")
         live = here.where("status = 'ok'").withColumn("prompt", with_answers(F.col("prompt"), F.col("answers")))
-        replied = generated(live, model, context=context).withColumn("p", parsed_answer("raw_answer"))
+        replied = generated(live, model, context=context).withColumn("p", parser("raw_answer"))
         ended = F.col("raw_answer").isin(*TERMINAL)
         push = lambda c, x: F.concat(F.col(c), F.array(x)).alias(c)
         ran = replied.select("qid", push("answers", F.col("p.answer")), push("raw_answers", F.col("raw_answer")), push("confidences", F.col("p.confidence")), F.when(ended, F.lower("raw_answer")).otherwise(F.col("status")).alias("status"))

@@ -70,6 +70,140 @@ def test_literals(spark):
     assert [r.x for r in df.select(files.literal_json(F.col("t")).alias("x")).collect()] == ["[1, 2]", '{"a": [1]}', "[1, [2]]", None, None]
 
 
+def test_long_numbers_and_placeholders(spark):
+    """Digit runs of any length, placeholders of any number, replies that no reader can take."""
+    from loomstone.plans import prompts
+
+    row = spark.createDataFrame([("a 007 7 12345678901234567890 3 (12345678901234567890,1,2)",)], "t string").select(X.numbers(F.col("t")).alias("n"), X.triples(F.col("t")).alias("x")).first()
+    assert row.n == ["1", "2", "3", "007", "7", "12345678901234567890"] and row.x[0].h is None and row.x[0].r == 1
+    df = spark.createDataFrame([("x [PP4] y [PP1] [PP12]", [str(i) for i in range(1, 13)]), ("none", None), ("[PP1] [PP2]", [None, "[PP1]"])], "t string, a array<string>")
+    assert [r.o for r in df.select(prompts.with_answers(F.col("t"), F.col("a")).alias("o")).collect()] == ["x {4} y {1} {12}", "none", "{None} {[PP1]}"]
+    for bad in ("[PP4]", "[PP0]", "[PP99999999999]"):
+        with pytest.raises(Exception, match="no answer for"):
+            spark.createDataFrame([(bad, ["1", "2", "3"])], "t string, a array<string>").select(prompts.with_answers(F.col("t"), F.col("a"))).collect()
+    assert parse("[" * 100_000)[0] in ("high", "failed") and parse('{"answer": ' + "9" * 5000 + "}") == ("failed", None)
+    assert parse("3, " + "9" * 5000)[1] == "3," + "9" * 5000 and parse('{"a":' * 3000)[0] in ("high", "failed")
+
+
+def test_exact_signed_ranks(spark):
+    import itertools
+
+    for n in (1, 3, 6):
+        sums = [sum(r * s for r, s in zip(range(1, n + 1), signs)) for signs in itertools.product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 2 + 1):
+            assert stats.signed_rank_p(w, n) == pytest.approx(min(1.0, 2 * min(sum(s <= w for s in sums), sum(s >= w for s in sums)) / len(sums)))
+    pairs = spark.createDataFrame([("c", i, float(d)) for i, d in enumerate((1, 2, 3, 4, 5, -6.5))], "contrast string, sample int, d double")
+    assert stats.paired_tests(pairs, ["contrast"], 1).first().wilcoxon_p == pytest.approx(stats.signed_rank_p(15, 6))
+    with pytest.raises(ValueError, match="planned"):
+        stats.planned(29, 2, 5, 3)
+
+
+def test_model_over_http(spark):
+    """Replies over HTTP, a busy server tried again, an error that ends the job."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from loomstone.streaming import remote
+
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            calls.append(body)
+            said = body["messages"][1]["content"]
+            self.send_response(503 if said == "busy" and len(calls) < 3 else 400 if said == "bad" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": '{"answer": ["' + said[-1] + '"]}'}}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = remote.http_model(f"http://127.0.0.1:{server.server_port}/chat", "m", "be brief", wait=0.01, temperature=0.05)
+    assert model(["busy"]) == ['{"answer": ["y"]}'] and len(calls) == 3 and calls[0]["messages"][0]["content"] == "be brief" and calls[0]["temperature"] == 0.05
+    with pytest.raises(Exception, match="400"):
+        model(["bad"])
+    df = spark.createDataFrame([(1, "is 7"), (2, "is 8")], "qid int, prompt string")
+    assert sorted((r.qid, r.answer) for r in remote.one_shot(df, model).collect()) == [(1, ["7"]), (2, ["8"])]
+    assert sorted((r.qid, r.answer) for r in remote.few_shot(df, model).collect()) == [(1, ["7"]), (2, ["8"])]
+    steps = spark.createDataFrame([(1, 1, "is 7"), (1, 2, "after [PP1] is 9")], "qid int, step int, prompt string")
+    assert remote.staged(steps, model).first().answers == ["7", "9"] and calls[-1]["messages"][1]["content"] == "after {7} is 9"
+    server.shutdown()
+
+
+def test_record_loaders(spark, tmp_path):
+    from loomstone.sources import records
+
+    (tmp_path / "s" / "2p").mkdir(parents=True)
+    (tmp_path / "s" / "2p" / "3.txt").write_text(str({"query": "the prompt", "answer": "{5}"}))
+    assert [tuple(r) for r in records.single_prompts(spark, str(tmp_path / "s")).collect()] == [("2p", 3, "the prompt", "{5}")]
+    (tmp_path / "t" / "2p").mkdir(parents=True)
+    (tmp_path / "t" / "2p" / "4.txt").write_text(str({"query": {"premise": ["P1 ", "P2 "], "question": {"question_tag": "Q:", "question": {"2p": ["one", "two"], "1p": ["x"]}, "explain_tag": "!"}}, "answer": "5"}))
+    assert [tuple(r) for r in records.step_prompts(spark, str(tmp_path / "t")).orderBy("step").collect()] == [("2p", 4, 1, "P1 Q:one!", "5"), ("2p", 4, 2, "P2 Q:two!", "5")]
+    text = spark.createDataFrame([("2p", 1, "(1,2,3),(4,5,6)\nAnswer the question:\n(7,8,9)")], "qtype string, sample_id int, prompt string")
+    assert sorted((r.h, r.r, r.t) for r in records.premises(text, "Answer the question:").collect()) == [(1, 2, 3), (4, 5, 6)]
+    score = {f: 1.0 for f in records.SCORE_FIELDS}
+    lacking = {k: v for k, v in score.items() if k != "recall"}
+    df = spark.createDataFrame([("m", "x", "1p", 1, json.dumps(score))], "model string, method string, qtype string, sample int, text string")
+    assert records.scores(df).first().f1 == 1.0
+    with pytest.raises(Exception, match="without recall"):
+        records.scores(df.withColumn("text", F.lit(json.dumps(lacking)))).collect()
+    cost = {f: 2 for f in records.COST_FIELDS} | {"model": "m", "method": "x", "qtype": "1p"}
+    assert records.efficiencies(df.withColumn("text", F.lit(json.dumps(cost))), 2).first().total_calls == 2
+    for wrong, match in ((cost | {"model": "n"}, "another's place"), ({k: v for k, v in cost.items() if k != "num_batches"}, "num_batches")):
+        with pytest.raises(Exception, match=match):
+            records.efficiencies(df.withColumn("text", F.lit(json.dumps(wrong)))).collect()
+    with pytest.raises(Exception, match="another number"):
+        records.efficiencies(df.withColumn("text", F.lit(json.dumps(cost))), 3).collect()
+    test = spark.createDataFrame([("q", "(1,2,3) connected to entity 1 by relation 2", "{3, 4}")], "k string, query string, answer string")
+    r = records.test_records(test, "k").first()
+    assert r.entities == [1, 3] and r.relations == [2] and r.answers == ["3", "4"] and r.signature == "2"
+    (tmp_path / "v.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
+    assert sorted(x.a for x in records.source_split(spark, str(tmp_path / "v.json"), "val", "a int").collect()) == [1, 2]
+    with pytest.raises(ValueError, match="no split"):
+        records.source_split(spark, "x", "test", "a int")
+
+
+def test_comparisons_fail_loudly(spark):
+    from loomstone.operators import comparisons, costs, summaries
+
+    a = spark.createDataFrame([(1, 0.5), (2, 0.25)], "k int, f1 double")
+    with pytest.raises(Exception, match="no partner"):
+        comparisons.side_by_side(a, a.where("k = 1"), ["k"], ["f1"]).collect()
+    gold = spark.createDataFrame([(1, "s", "g"), (2, "t", "h")], "k int, source string, answer string")
+    with pytest.raises(Exception, match="disagree"):
+        comparisons.zipped(gold, gold.withColumn("source", F.lit("s")).select("k", "source", F.lit("p").alias("pred")), ["k"], "source").collect()
+    with pytest.raises(Exception, match="another source"):
+        comparisons.gold_of(spark.createDataFrame([(2, "s")], "k int, source string"), gold, "k", "source", "answer").collect()
+    with pytest.raises(Exception, match="group of 3"):
+        summaries.complete(spark.createDataFrame([("x", 3)], "g string, n bigint"), 150).collect()
+    c = spark.createDataFrame([("m", "x", "1p", 1, 5, 1, 0.5, 0)], "model string, method string, qtype string, sample int, input_tokens int, output_tokens int, seconds double, batch int")
+    accuracy = spark.createDataFrame([("m", "x", "2p", 0.5, 0.5)], "model string, method string, qtype string, f1 double, em_rate double")
+    with pytest.raises(Exception, match="no partner"):
+        costs.accuracy_cost(accuracy, costs.efficiency(c)).collect()
+
+
+def test_dynamic_run(spark):
+    """Unread and terminal replies in a run that retrieves by the answers before it."""
+    from loomstone.streaming.dynamic import run_dynamic
+
+    plan = spark.createDataFrame([(1, 10, 1, 2), (2, 20, 1, 2), (3, 30, 1, 2), (4, 40, 1, 2)], "qid bigint, e1 bigint, r1 int, r2 int")
+    kg = spark.createDataFrame([(10, 1, 11), (11, 2, 12), (99, 2, 98), (20, 1, 21), (30, 1, 31)], "h bigint, r int, t bigint")
+
+    def model(prompts):
+        return ["CONTEXT_OVERFLOW" if "(30," in p else "because of entities" if "(20," in p else "11, 99" if "(10," in p else "None" if "(" not in p.split("Answer the")[0].split("ignore")[1] else "12, 98" for p in prompts]
+
+    found, premises = run_dynamic(plan, "2p", kg, model, done=spark.createDataFrame([(4,)], "qid bigint"))
+    rows = {r.qid: r for r in found.collect()}
+    assert set(rows) == {1, 2, 3}
+    assert rows[1].answers == ["11,99", "12,98"] and rows[1].status == "ok" and rows[1].total_input_chars == sum(rows[1].input_chars)
+    assert rows[2].statuses == ["parse_failed", "ok"] and rows[2].answers == ["None", "None"] and rows[2].status == "failed"
+    assert rows[3].statuses == ["context_overflow", "skipped_previous_failure"] and rows[3].input_chars[1] is None and rows[3].total_input_chars == rows[3].input_chars[0]
+    assert sorted((r.qid, r.step, r.h, r.t) for r in premises.collect()) == [(1, 1, 10, 11), (1, 2, 11, 12), (1, 2, 99, 98), (2, 1, 20, 21), (3, 1, 30, 31)]
+
+
 def test_tails():
     assert stats.t_tail(2.0, 10) == pytest.approx(0.07339, abs=1e-4)
     assert stats.t_quantile(0.975, 99) == pytest.approx(1.98422, abs=1e-4)
@@ -97,6 +231,10 @@ def test_programs(spark):
     both = [step("Find", i=["A"]), step("Relate", [0], ["p", "forward"]), step("Find", i=["B"]), step("Relate", [2], ["q", "forward"]), step("Or", [1, 3]), step("Count", [4])]
     df = spark.createDataFrame([(json.dumps(two),), (json.dumps(both[:5]),), (json.dumps(both),)], "p string").select(programs.analysed("p").alias("a")).select("a.*").collect()
     assert [r.qtype for r in df] == ["2p", "2u", None] and df[2].shape == "X"
+    shared = [step("Find", i=["A"])] + [step("And", [k, k]) for k in range(60)]
+    assert [programs.analysis(x)[2] for x in ("{", "", None, "7", "[1]", json.dumps(shared), "[" * 5000)] == ["invalid_json", "empty", "empty", "empty", "unsupported_shape", "too_long", "invalid_json"]
+    nested = [step("Find", i=["A"]), step("Relate", [0], ["p", "forward"]), step("Relate", [1], ["p", "backward"]), step("Or", [1, 2]), step("Relate", [3], ["q", "forward"])]
+    assert [(n["kind"], n["height"]) for n in programs.flattened(programs.tree(nested))] == [("A", 0), ("P", 1), ("A", 0), ("P", 1), ("P", 2), ("U", 3), ("P", 4)]
 
 
 def test_parse_and_score():
@@ -114,8 +252,11 @@ def test_knowledge_base(spark):
     parts = spark.createDataFrame([(1, 0, "A", ["p::forward"]), (1, 1, "B", ["p::forward"]), (2, 0, "A", ["p::forward", "p::backward"])], "qid int, branch int, anchor string, path array<string>")
     names = spark.createDataFrame([("1", "A"), ("2", "B")], "id string, name string")
     edges = spark.createDataFrame([("1", "p", "forward", "3"), ("2", "p", "forward", "3"), ("1", "p", "forward", "4"), ("3", "p", "backward", "1"), ("3", "p", "backward", "2")], "h string, predicate string, direction string, t string")
-    found = sorted((r.qid, r.ent) for r in programs.executed(parts, names, edges).collect())
+    found = sorted((r.qid, r.ent) for r in programs.executed_paths(parts, names, edges).collect())
     assert found == [(1, "3"), (2, "1"), (2, "2")]
+    long = spark.createDataFrame([(1, 0, "A", ["p::forward", "p::backward", "p::forward"]), (2, 0, "A", ["p::forward"] + ["p::backward", "p::forward"] * 2), (3, 0, "A", ["p::forward"]), (3, 1, "B", ["p::forward"])], "qid int, branch int, anchor string, path array<string>")
+    assert sorted((r.qid, r.ent) for r in programs.executed_paths(long, names, edges, union=True).collect()) == [(1, "3"), (1, "4"), (2, "3"), (2, "4"), (3, "3"), (3, "4")]
+    assert programs.executed_paths(long.where("false"), names, edges).count() == 0
 
 
 def test_distractors(spark):
@@ -124,9 +265,18 @@ def test_distractors(spark):
     phases = spark.createDataFrame([(0, 1, 2), (0, 2, None)], "qid int, step int, relation int")
     noise = perturb.distractors(steps, kg, phases, 3.0, 3, 9).collect()
     assert len(noise) == 6 and {r.step for r in noise} == {1}
-    assert {(r["class"]) for r in noise} == {1, 2, 3}
+    assert sorted(r["class"] for r in noise) == [1, 1, 2, 2, 3, 3]
     assert all((r["class"] == 1) == (r.h == 1 and r.r != 2) and (r["class"] == 2) == (r.h != 1 and r.r == 2) for r in noise)
     assert not perturb.distractors(steps, kg, phases, 0.0).count()
+    five = [r["class"] for r in perturb.distractors(steps, kg, phases, 1.0, 5, 5).collect()]
+    assert sorted(five) == [1, 1, 2, 2, 3]
+    # Whatever a class lacks is found elsewhere, until the graph has no more.
+    small = kg.where("h IN (1, 2) AND r IN (2, 3)")
+    taken = perturb.distractors(steps, small, phases, 9.0, 1, 30).collect()
+    assert {(r.h, r.r, r.t) for r in taken} == {tuple(r) for r in small.where("NOT (h = 1 AND r = 2)").collect()} and len(taken) == len({(r.h, r.r, r.t) for r in taken})
+    heads = spark.createDataFrame([(0, 1, h, 2, 0) for h in range(19)], "qid int, step int, h bigint, r int, t bigint")
+    far = perturb.distractors(heads, kg, phases, 0.1, 9, 9).where("class = 2").collect()
+    assert len(far) == kg.where("h = 19 AND r = 2").count()
 
 
 def test_sampling_is_stable(spark):
