@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .rewrite import keyed, rewrite
 from .scratch import map_batches, stored, table
 
-RUN, WORDS = 3, 12
-LONG, WINDOW = 24, 12
+RUN, WORDS = 3, 30
+LONG, WINDOW = 30, 12
 _SEAM = re.compile(r"[.!?,]['\")\]]*\s+|\s*\n\s*")
 #: A word: a run without white space, or one character of Thai, Lao, Burmese, Khmer, kana or Han.
 _UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -211,7 +211,7 @@ def _rows(found, keys, ends):
         yield {"id": keys["id"][s], "missing": keys["null"][s], "t": keys["t"][s], "u": keys["u"][s], "start": found["a"][s].astype(np.int64), "end": ends[s]}
 
 
-def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucket: int = 400_000) -> DataFrame:
+def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucket: int = 800_000) -> DataFrame:
     """(doc_id, t, u, start, end): each span that isn't the first of its kind, by the keys of ``rewrite.keyed``."""
     size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, size / 30 / spans_per_bucket)))))

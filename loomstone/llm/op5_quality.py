@@ -2,12 +2,14 @@
 
 A text's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by ``CHUNK - HOP`` and cover the
 whole document.  Learned filters, each ``WIDTH`` bytes wide, move over a chunk two bytes at a time; each
-filter's largest response is kept.  To these come echo filters: products of the signal with itself moved by
-1 to ``LAGS`` bytes, averaged over windows, of which the largest over the lags is kept; they answer to
-repetition, which no linear filter can.  A hidden layer turns a chunk's pooled responses into one
-logit; the largest and the mean of the chunks' probabilities, weighted by the bytes that each covers
+filter's largest response is kept.  A hidden layer turns a chunk's pooled responses into one
+logit; the smallest and the mean of the chunks' probabilities, weighted by the bytes that each covers
 first, are combined into one probability.
 
+As an option, off unless asked for, echo filters come to the learned ones: products of the signal with itself moved
+by 1 to ``LAGS`` bytes, averaged over windows, of which the largest over the lags is kept; they answer to
+repetition, which no linear filter can.
+
 A filter over one-hot bytes is a sum of table rows, so a response is ``WIDTH / 2`` look-ups in tables of
 byte pairs and no multiplication.
 """
@@ -49,11 +51,12 @@ def echo(x: np.ndarray) -> np.ndarray:
 class Network:
     """Filters as a table [byte place][byte][filter], then a hidden layer and an output weight."""
 
-    def __init__(self, filters: int, hidden: int, seed: int = 7):
+    def __init__(self, filters: int, hidden: int, seed: int = 7, echoes: bool = False):
         r = np.random.default_rng(seed)
+        self.echoes = echoes
         self.table = (r.normal(size=(WIDTH, 256, filters)) * 0.2).astype(np.float32)
         self.bias = np.zeros(filters, np.float32)
-        self.w1 = (r.normal(size=(filters + 2, hidden)) * 0.3).astype(np.float32)
+        self.w1 = (r.normal(size=(filters + 2 * echoes, hidden)) * 0.3).astype(np.float32)
         self.b1 = np.zeros(hidden, np.float32)
         self.w2 = (r.normal(size=hidden) * 0.3).astype(np.float32)
         self.b2 = np.zeros(1, np.float32)
@@ -77,15 +80,15 @@ class Network:
             return np.take_along_axis(total, at[:, None], 1)[:, 0] + self.bias, at
         return total.max(1) + self.bias
 
-    def logits(self, pooled: np.ndarray, echoes: np.ndarray):
-        z = np.concatenate([np.maximum(pooled, 0), echoes], 1)
+    def logits(self, pooled: np.ndarray, echoes: np.ndarray | None):
+        z = np.maximum(pooled, 0) if echoes is None else np.concatenate([np.maximum(pooled, 0), echoes], 1)
         h = np.maximum(z @ self.w1 + self.b1, 0)
         return h @ self.w2 + self.b2[0], z, h
 
 
-def train(texts: list[str], y: np.ndarray, filters: int = 16, hidden: int = 16, steps: int = 260, batch: int = 384, per_text: int = 6, seed: int = 7) -> Network:
+def train(texts: list[str], y: np.ndarray, filters: int = 16, hidden: int = 16, steps: int = 260, batch: int = 384, per_text: int = 6, seed: int = 7, echoes: bool = False) -> Network:
     """Adam on single chunks with their document's label; at most ``per_text`` chunks of a text, evenly spread, are learnt from."""
-    net, r = Network(filters, hidden, seed), np.random.default_rng(seed)
+    net, r = Network(filters, hidden, seed, echoes), np.random.default_rng(seed)
     parts, labels = [], []
     for text, label in zip(texts, y, strict=True):
         own = chunks(text.encode())
@@ -96,7 +99,7 @@ def train(texts: list[str], y: np.ndarray, filters: int = 16, hidden: int = 16,
         net.combine = np.array([0.0, 0.0, 0.0])
         return net
     x, target = np.concatenate(parts), np.array(labels, np.float32)
-    echoes = echo(x)
+    heard = echo(x) if echoes else None
     balance = np.where(target == 1, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)).astype(np.float32)
     ps = net.parameters()
     m, v = [np.zeros_like(p) for p in ps], [np.zeros_like(p) for p in ps]
@@ -109,7 +112,7 @@ def train(texts: list[str], y: np.ndarray, filters: int = 16, hidden: int = 16,
             total += net.table[j][bytes_in[:, places + j]]
         at = total.argmax(1)
         pooled = np.take_along_axis(total, at[:, None], 1)[:, 0] + net.bias
-        logit, z, h = net.logits(pooled, echoes[rows])
+        logit, z, h = net.logits(pooled, None if heard is None else heard[rows])
         g = (1 / (1 + np.exp(-logit)) - target[rows]) * balance[rows] / batch
         gw2, gb2 = h.T @ g, np.array([g.sum()], np.float32)
         gh = g[:, None] * net.w2 * (h > 0)
@@ -162,7 +165,7 @@ def _covered(n: int, count: int) -> np.ndarray:
 
 
 def _probabilities(net: Network, x: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(net.logits(net.pooled(x, pairs), echo(x))[0].astype(float), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(net.logits(net.pooled(x, pairs), echo(x) if net.echoes else None)[0].astype(float), -30, 30)))
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -170,14 +173,18 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 40_000) -> Network:
-    """Trains on at most ``per_class`` rows of each class that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 40_000, **network) -> Network:
+    """Trains on at most ``per_class`` rows of each class that aren't held out; ``network`` goes to ``train``."""
     texts, y = sample(docs, labels, "quality", per_class, longest)
-    return train(texts, y)
+    return train(texts, y, **network)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, score) for each row; null counts as empty, and an empty text is one chunk of padding. Long texts are scored whole, in bounded memory."""
+    """(doc_id, score) for each row; null counts as empty, and an empty text is one chunk of padding. Long texts are scored whole, in bounded memory.
+
+    Rows stay one to one: repeated rows and equal texts get equal scores; an empty table gives no rows.  A network that
+    was fitted without labels gives every text one half.
+    """
 
     def run(batches) -> Iterable[dict[str, list]]:
         pairs = net.pairs()
@@ -189,6 +196,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op5_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` with its score and prediction; see ``score`` for nulls, repeats and empty tables."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -468,7 +468,7 @@ def test_sentence_spans(spark, odd_docs, no_docs):
 def test_rewriting_keeps_rows_apart(spark):
     """Null and equal ids with different texts, a doc_id of 2^63 - 1, columns called like the keys, spans longer than 65,535 characters."""
     long = " ".join(f"{'y' * 3000}{i}." for i in range(40))
-    said = "one two three, four five six, seven eight nine, ten eleven twelve, thirteen fourteen fifteen, sixteen seventeen eighteen, nineteen twenty more, and then a few. "
+    said = "one two three, four five six, seven eight nine, ten eleven twelve, thirteen fourteen fifteen, sixteen seventeen eighteen, nineteen twenty more, twenty two three, four five six, seven eight nine, and then a few. "
     top = (1 << 63) - 1
     rows = [(1, said + "own", 7, 8, 9, 1), (None, said + "mine", 1, 2, 3, 2), (None, "other words", 4, 5, 6, 3), (top, "x " + said, 0, 0, 0, 4), (top, "nothing here", 0, 0, 0, 5), (2, long, 0, 0, 0, 6), (3, long, 0, 0, 0, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, t int, u int, edits int, c0 int")
