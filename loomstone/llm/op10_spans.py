@@ -228,11 +228,15 @@ def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucke
             for bucket, blob in zip(batch["bucket"], batch["blob"], strict=True):
                 every.setdefault(bucket, []).append(blob)
         for bucket in sorted(every):
-            found, keys, ends = (np.concatenate(x) for x in zip(*map(_unpacked, every.pop(bucket)), strict=True))
-            order = np.argsort(found["h"], kind="stable")
-            same = found["h"][order][1:] == found["h"][order][:-1]
-            order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            found, keys, ends = found[order], keys[order], ends[order]
+            blobs = every.pop(bucket)
+            hashes = [_unpacked(blob)[0]["h"].copy() for blob in blobs]
+            h = np.sort(np.concatenate(hashes))
+            twice = np.unique(h[1:][h[1:] == h[:-1]])
+            parts = []
+            for blob, h in zip(blobs, hashes, strict=True):  # only spans whose hash stands twice are held with their keys
+                keep = np.isin(h, twice)
+                parts.append([x[keep] for x in _unpacked(blob)])
+            found, keys, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, new, again = _ordered(found, keys, ends)
             order = order[~new & ~again]
             yield from _rows(*_by_parts(found[order], keys[order], ends[order]))
