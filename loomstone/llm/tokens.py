@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from functools import lru_cache
@@ -23,18 +24,30 @@ def default_vocabulary() -> str:
 
 _SPLIT = regex.compile(f"[{SPACE}]")
 
-#: Signs that the pre-tokeniser keeps apart from letters before them.
+#: Signs that may stand behind a word; the pre-tokeniser keeps a run of signs together and apart from letters.
 SIGNS = ".,;:!?*#$%&|()"
 
+#: The normaliser and the pattern that parting relies on, as vocabulary files state them.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _lower(text: str) -> str:
+    """Lower case, each code point by itself: a capital sigma at a word's end as well becomes the plain small one."""
+    return text.replace("Σ", "σ").lower()
+
 
 class LibraryEncoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to the library's for each whole text.
 
-    The vocabulary's pre-tokeniser never joins characters across white space, nor letters or digits with
-    signs after them, so a text's ids are those of its parts.  Plain prose is parted into lower-case
-    words, full stops and commas; other texts into white-space chunks; texts that hold a special token's
-    string aren't parted.  Parts that aren't remembered go to the library in one call for a batch of
-    texts.  Two memos of two generations of ``size`` parts bound the memory.
+    The pre-tokeniser's pattern never joins characters across white space, nor letters or digits with
+    signs, but keeps a run of signs together.  So a text's ids are those of its white-space chunks, and
+    where every stop and comma stands alone between letters, digits or spaces, those of its lower-case
+    words, stops and commas.  How a text is parted depends on the text alone: the memo of words holds
+    letters, digits and single stops and commas only, so a remembered sign never makes a text look like
+    prose.  Texts that hold a special token's string aren't parted, nor is any text if the vocabulary has
+    another normaliser or pattern.  Parts that aren't remembered go to the library in one call for a batch
+    of texts.  Memos of two generations of ``size`` parts bound the memory.
     """
 
     def __init__(self, path: str, size: int = 300_000):
@@ -45,7 +58,7 @@ class LibraryEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.size = size
-        self.words, self.chunks = [{}, {}], [{}, {}]  # [new, old]
+        self.words, self.chunks, self.signs = [{}, {}], [{}, {}], [{}, {}]  # [new, old]
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
         suffix = getattr(self.lib.model, "end_of_word_suffix", None)
@@ -63,8 +76,15 @@ class LibraryEncoder:
             letters = "the quick brown fox jumps over thelazydogs sphinxofblackquartz a bc"
             if bare.encode(letters, add_special_tokens=False).ids == self.lib.encode(letters, add_special_tokens=False).ids:
                 self.bare = bare
-        #: Whether case doesn't count and signs stand apart, as they must for parting prose.
-        self.parts = all(self._library(a) == self._library(a.lower()) for a in ("QuA", "ZEBRA")) and all(self._library("ab") + self._library(s * 2) == self._library("ab" + s * 2) for s in SIGNS)
+        self.parts = self._known()
+
+    def _known(self) -> bool:
+        """Whether the vocabulary has the normaliser and the pattern that parting relies on."""
+        spec = json.loads(self.lib.to_str())
+        normalizers = (spec["normalizer"] or {}).get("normalizers") or [spec["normalizer"]]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [spec["pre_tokenizer"]]
+        replace = next((n for n in normalizers if n and n["type"] == "Replace"), {})
+        return [n and n["type"] for n in normalizers] == NORMALIZERS and (replace["pattern"], replace["content"]) == ({"Regex": r"\s+"}, " ") and bool(splits[0]) and splits[0].get("pattern") == {"Regex": PATTERN}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -80,7 +100,7 @@ class LibraryEncoder:
         if self.ends is not None:
             plain = [p for p in missing if p.isalpha() and p.isascii() and p.islower()] if self.bare else []
             self._joined(self.bare, plain, new)
-            self._joined(self.lib, [p for p in missing if p not in new and p.isalpha() and (p.isascii() or p.lower().isalpha())], new)
+            self._joined(self.lib, [p for p in missing if p not in new and p.isalpha() and (p.isascii() or _lower(p).isalpha())], new)
         missing = [p for p in missing if p not in new]
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
@@ -102,9 +122,9 @@ class LibraryEncoder:
 
     def _prose(self, text: str) -> str | None:
         """A text with stops and commas set apart, in lower case; None if it holds something that could stand in the way."""
-        if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             return None
-        low = text.lower()
+        low = _lower(text)
         if ".," in low or ".." in low or ",," in low or ",." in low or not (low.isascii() or unicodedata.is_normalized("NFC", low)):
             return None
         return low.replace(".", " . ").replace(",", " , ")
@@ -115,12 +135,13 @@ class LibraryEncoder:
         split = []
         for c in chunks.difference(new):
             word = c.rstrip(SIGNS)
-            if c not in old and len(word) < len(c) and word.isalpha() and (low := word.lower()).isalpha() and unicodedata.is_normalized("NFC", low):
+            if c not in old and len(word) < len(c) and word.isalpha() and (low := _lower(word)).isalpha() and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low):
                 split.append((c, low, c[len(word) :]))
-        self._learn(self.words, {low for _, low, _ in split} | {signs for *_, signs in split})
-        words = self.words[0]
+        self._learn(self.words, {low for _, low, _ in split})
+        self._learn(self.signs, {signs for *_, signs in split})
+        words, runs = self.words[0], self.signs[0]
         for c, low, signs in split:
-            new[c] = words[low] + words[signs]
+            new[c] = words[low] + runs[signs]
 
     def _batch(self, texts: list[str], prose: bool) -> list[bytes | None]:
         """Ids of texts that are parted at ASCII white space; None where a part can't stand by itself.
@@ -138,7 +159,7 @@ class LibraryEncoder:
         else:
             bad = {p for p in unknown if not p.isascii() and _SPLIT.search(p)}
         fresh = set(unknown) - bad
-        if not prose and self.parts:
+        if not prose:
             self._shapes(fresh)
         self._learn(memo, fresh)
         new = memo[0]
@@ -169,9 +190,9 @@ class LibraryEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD.search(text):
+            if not self.parts or _ODD.search(text):
                 whole.append(i)
-            elif self.parts and (low := self._prose(text)) is not None:
+            elif (low := self._prose(text)) is not None:
                 prose.append((i, low))
             else:
                 other.append(i)
@@ -190,7 +211,7 @@ class LibraryEncoder:
                 out[i] = ids
         for i in whole:
             out[i] = self._library(texts[i])
-        for memo, most in ((self.words, self.size), (self.chunks, self.size // 3)):
+        for memo, most in ((self.words, self.size), (self.chunks, self.size // 3), (self.signs, self.size // 3)):
             if len(memo[0]) > most:
                 memo[:] = [{}, memo[0]]
         return out

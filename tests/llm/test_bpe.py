@@ -1,9 +1,11 @@
 import collections
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -161,3 +163,29 @@ def test_histogram_patterns():
         assert seen == h
         for length, rows in op9_packing.slots(patterns).items():
             assert rows[0, 0] == 0 and (np.diff(rows[:, 0]) > 0).all() and length in h
+
+
+def test_ids_do_not_depend_on_what_was_read_before(lib):
+    """Runs of signs and capital sigmas, in a fresh encoder and after texts that leave bare signs in its memo; whole tables in two orders."""
+    before = ["word) more words? and 5% x% *a and", "well.? then) (a *** b. ) , ? ! % $ # & | ( *", "ΟΔΟΣ ς σ ΟΔΟΣ."]
+    texts = ["1.) First item of the list", "see page 4.) and more", "wait.? Then", "costs 5.% more", "ΟΔΟΣ, ΚΑΙ", "Η ΟΔΟΣ.", "ΛΟΓΟΣ!", "a .*** b", "x.'s it's don't. 'twas,'", "(.) ., a", "ΑΣ ΑΣ) ΑΣΑ.", "İ. ǅ, ﬁ."]
+    for t in texts:
+        assert tokens.LibraryEncoder(PATH).encode([t])[0] == ids_of(lib, t), t
+    encoder = tokens.LibraryEncoder(PATH, size=2000)
+    encoder.encode(before)
+    assert encoder.encode(texts + before) == [ids_of(lib, t) for t in texts + before]
+    docs = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    want = dict(zip(docs, (ids_of(lib, t) for t in docs), strict=True))
+    for order in (docs, docs[::-1]):
+        assert [want[t] for t in order] == [i for k in range(0, len(order), 300) for i in encoder.encode(order[k : k + 300])]
+
+
+def test_another_pattern_goes_to_the_library(tmp_path, lib):
+    spec = json.loads(lib.to_str())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[^\s\p{L}]+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    other, encoder = Tokenizer.from_file(str(path)), tokens.LibraryEncoder(str(path))
+    assert not encoder.parts
+    for t in ("it's 55 a.b, c", "ab 12. x"):
+        assert encoder.encode([t])[0] == ids_of(other, t)
