@@ -240,8 +240,8 @@ def contains_gold(spark, sf):
     return predictions(spark, sf, "up").select("qid", M.contains_gold(F.col("pred"), F.col("gold")).alias("contained"))
 
 
-def records(spark, sf) -> DataFrame:
-    """(model, method, qtype, sample, exact_match, precision, recall, f1, parse_failed): scores of every query of five topologies under six kinds of arithmetic noise. Queries and records are written once, however often what follows reads them."""
+def records(spark, sf, models=_MODELS, methods=_METHODS) -> DataFrame:
+    """(model, method, qtype, sample, exact_match, precision, recall, f1, parse_failed): scores of every query of five topologies under a kind of arithmetic noise for each model and method. Queries and records are written once, however often what follows reads them."""
     out, rows = None, None
     for qtype in _TYPES:
         if qtype in BATCHES:
@@ -250,7 +250,7 @@ def records(spark, sf) -> DataFrame:
         else:
             p = plan(spark, sf, qtype)
         sets = answer_sets(p, Lowered(topology(qtype), p, order_graph(spark, sf), dict(enumerate(FIXED[qtype], 1))).answers())
-        kinds = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(x).alias("method"), F.lit(3 * i + j).alias("k")) for i, m in enumerate(_MODELS) for j, x in enumerate(_METHODS)])
+        kinds = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(x).alias("method"), F.lit(len(methods) * i + j).alias("k")) for i, m in enumerate(models) for j, x in enumerate(methods)])
         noisy = sets.select("qid", "answer", F.inline(kinds))
         kept = F.filter("answer", lambda t: (t + F.col("k")) % 5 != 0)
         added = F.transform(F.filter("answer", lambda t: (t + F.col("k")) % 7 == 0), lambda t: t + 1)
@@ -261,9 +261,9 @@ def records(spark, sf) -> DataFrame:
     return written(out, "records")
 
 
-def _records_sql() -> str:
+def _records_sql(models=_MODELS, methods=_METHODS) -> str:
     parts = []
-    kinds = "(VALUES " + ", ".join(f"('{m}', '{x}', {3 * i + j})" for i, m in enumerate(_MODELS) for j, x in enumerate(_METHODS)) + ") kinds(model, method, k)"
+    kinds = "(VALUES " + ", ".join(f"('{m}', '{x}', {len(methods) * i + j})" for i, m in enumerate(models) for j, x in enumerate(methods)) + ") kinds(model, method, k)"
     for q in _TYPES:
         ctes, _, _ = O.lowered(q)
         inner = ",\n".join([plan_sql(q), *ctes, "sets AS (SELECT plan.qid, coalesce(list(DISTINCT ent) FILTER (ent IS NOT NULL), []) AS gold FROM plan LEFT JOIN answers USING (qid) GROUP BY plan.qid)"])
@@ -322,11 +322,62 @@ def conditional_rates(spark, sf):
 _CONTRASTS = [("single", "decomposed"), ("decomposed", "isolated"), ("single", "isolated")]
 
 
-@query()
+#: The planned tests: four models, five methods, six contrasts, five topologies.
+_PLAN_MODELS, _PLAN_METHODS = ("alpha", "beta", "gamma", "delta"), ("single", "decomposed", "isolated", "reasoned", "shown")
+_PLAN_CONTRASTS = [("single", "decomposed"), ("decomposed", "isolated"), ("single", "isolated"), ("single", "reasoned"), ("reasoned", "shown"), ("isolated", "shown")]
+_PLANNED = len(_PLAN_MODELS) * len(_TYPES) * len(_PLAN_CONTRASTS)
+_CELL = ["model", "qtype", "contrast"]
+
+
+def planned_pairs(spark, sf) -> DataFrame:
+    return written(stats.paired(records(spark, sf, _PLAN_MODELS, _PLAN_METHODS), _PLAN_CONTRASTS, ["model", "qtype"], "sample", "f1"), "pairs")
+
+
+def _pairs_sql(contrasts, models=_MODELS, methods=_METHODS) -> str:
+    return _records_sql(models, methods) + ", pairs AS (SELECT a.model, a.qtype, a.method || ' -> ' || b.method AS contrast, a.sample, a.f1 AS a, b.f1 AS b, b.f1 - a.f1 AS d FROM records a JOIN records b USING (model, qtype, sample) WHERE (a.method, b.method) IN (" + ", ".join(f"('{x}', '{y}')" for x, y in contrasts) + "))"
+
+
+#: Sums of ranks of each group of ``pairs``.
+_RANKED = """, sized AS (SELECT *, round(abs(d), 12) AS size FROM pairs),
+ranked AS (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY size) + (count(*) OVER (PARTITION BY {g}, size) - 1) / 2.0 AS rank FROM sized),
+tests AS (SELECT {g}, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS delta, coalesce(stddev_samp(d), 0) AS sd, count(*) FILTER (d > 1e-12) AS wins, count(*) FILTER (abs(d) <= 1e-12) AS ties, count(*) FILTER (d < -1e-12) AS losses, count(DISTINCT size) AS sizes,
+  coalesce(sum(rank) FILTER (d > 1e-12), 0) AS w_plus, coalesce(sum(rank) FILTER (abs(d) > 1e-12), 0) AS w_all, coalesce(sum(rank * rank) FILTER (abs(d) > 1e-12), 0) AS w_squares FROM ranked GROUP BY ALL)"""
+
+
+@query(_pairs_sql(_PLAN_CONTRASTS, _PLAN_MODELS, _PLAN_METHODS) + _RANKED.format(g="model, qtype, contrast") + """
+SELECT model, qtype, contrast, n, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(delta, 6) AS delta, CASE WHEN sd <= 1e-12 THEN 'none' ELSE CAST(round(delta * sqrt(n) / sd, 4) AS VARCHAR) END AS t, least(w_plus, w_all - w_plus) AS statistic,
+ CASE WHEN w_squares = 0 THEN 0.0 ELSE round((w_plus - w_all / 2) / sqrt(w_squares / 4), 4) END AS z, wins, ties, losses FROM tests""")
 def paired_test_table(spark, sf):
-    """Tails of the t and normal distributions have no SQL; tests hold them against known values."""
-    pairs = stats.paired(records(spark, sf), _CONTRASTS, ["model", "qtype"], "sample", "f1")
-    return stats.paired_tests(pairs, ["model", "qtype", "contrast"])
+    """The planned tests; of their columns those that need no tail of a t or normal distribution."""
+    tests = stats.paired_tests(planned_pairs(spark, sf), _CELL, len(_PLAN_CONTRASTS))
+    none = F.isnan("t") | (F.abs("t") == float("inf")) | (F.col("ties") == F.col("n"))
+    return tests.select(*_CELL, "n", *[_R6(F.col(c), c) for c in ("mean_a", "mean_b", "delta")], F.when(none, "none").otherwise(F.round("t", 4).cast("string")).alias("t"), "statistic", F.round("z", 4).alias("z"), "wins", "ties", "losses")
+
+
+@query()
+def paired_test_tails(spark, sf):
+    """Intervals and p values of the planned tests. Tails of the t and normal distributions have no SQL; tests hold them against known values."""
+    return stats.paired_tests(planned_pairs(spark, sf), _CELL, len(_PLAN_CONTRASTS)).select(*_CELL, "ci_low", "ci_high", "t_p", "t_p_corrected", "t_significant", "wilcoxon_p", "wilcoxon_p_corrected", "wilcoxon_significant", "direction")
+
+
+@query()
+def significance_report(spark, sf):
+    """Significant tests of the plan in all, by model, topology and contrast."""
+    return stats.significance(stats.paired_tests(planned_pairs(spark, sf), _CELL, len(_PLAN_CONTRASTS)), [[], ["model"], ["qtype"], ["contrast"]])
+
+
+_WAYS = "ways AS (SELECT 0 AS n, 0 AS w, 1::HUGEINT AS ways UNION ALL SELECT n + 1, w + pick, sum(ways)::HUGEINT FROM (SELECT n, w, ways, unnest([0, n + 1]) AS pick FROM ways WHERE n < 50) GROUP BY n, w + pick)"
+
+
+@query(f"""WITH RECURSIVE {_WAYS}, pairs AS (SELECT o_custkey AS k, CAST(o_orderkey % 1000 AS DOUBLE) AS a, o_totalprice AS b, o_totalprice - 150000 - o_orderkey % 1000 AS d FROM (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders))"""
+       + _RANKED.format(g="k").replace("tests AS", "tests AS MATERIALIZED") + """
+SELECT k, n, w_plus, round(least(1.0, 2 * CAST(least(sum(ways) FILTER (w <= w_plus), sum(ways) FILTER (w >= w_plus)) AS DOUBLE) / 2.0 ** n), 9) AS p FROM tests JOIN ways USING (n) WHERE n <= 50 AND ties = 0 AND sizes = n GROUP BY k, n, w_plus""")
+def exact_signed_ranks(spark, sf):
+    """For each customer whose orders' distances from a price all differ: the exact tail of their signed ranks."""
+    price, other = F.col("o_totalprice").cast("double"), (F.col("o_orderkey") % 1000).cast("double")
+    pairs = written(table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), other.alias("a"), price.alias("b"), (price - 150000 - F.col("o_orderkey") % 1000).alias("d")), "pairs")
+    found = stats.signed_ranks(pairs, ["k"]).where("exact")
+    return found.select("k", F.col("sizes").alias("n"), "w_plus", F.round(stats.exact_p("w_plus", "sizes"), 9).alias("p"))
 
 
 @query(_REC + """, pairs AS (SELECT a.model, a.qtype, a.method || ' -> ' || b.method AS contrast, a.sample, b.f1 - a.f1 AS d FROM records a JOIN records b ON a.model = b.model AND a.qtype = b.qtype AND a.sample = b.sample

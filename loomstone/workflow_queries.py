@@ -18,7 +18,7 @@ from .plans import evidence as E
 from .plans import knowledge as K
 from .plans import prompts as P
 from .plans import stages as T
-from .registry import _CONTRASTS, _METHODS, _MODELS, _R6, _REC, _SINGLE, _TEXTS, _TYPES, BATCHES, FIXED, _metric_sql, evidence, lowered, order_graph, plan, plan_sql, predictions, query, records, table
+from .registry import _CONTRASTS, _METHODS, _MODELS, _PLAN_CONTRASTS, _PLAN_METHODS, _PLAN_MODELS, _PLANNED, _R6, _REC, _SINGLE, _TEXTS, _TYPES, BATCHES, FIXED, _metric_sql, _pairs_sql, evidence, lowered, order_graph, plan, plan_sql, planned_pairs, predictions, query, records, table
 from .plans.lowering import answer_sets
 from .sources import files
 from .sources import records as R
@@ -397,12 +397,10 @@ def report_order(spark, sf):
     return cells.select("model", "method", "qtype", F.row_number().over(w).alias("place"))
 
 
-@query(_REC + f"SELECT count(DISTINCT (model, qtype)) * {len(_CONTRASTS)} AS found, {len(_MODELS) * len(_TYPES) * len(_CONTRASTS)} AS planned FROM records")
+@query(_pairs_sql(_PLAN_CONTRASTS, _PLAN_MODELS, _PLAN_METHODS) + f" SELECT count(DISTINCT (model, qtype, contrast)) AS found, {_PLANNED} AS planned FROM pairs")
 def planned_tests(spark, sf):
-    """The number of tests, which must be that of the plan."""
-    pairs = stats.paired(records(spark, sf), _CONTRASTS, ["model", "qtype"], "sample", "f1")
-    n = pairs.select("model", "qtype", "contrast").distinct().agg(F.count("*").alias("found"))
-    return n.select("found", F.lit(stats.planned(len(_MODELS) * len(_TYPES) * len(_CONTRASTS), len(_MODELS), len(_TYPES), len(_CONTRASTS))).alias("planned"))
+    """The number of tests that the records give, which must be that of the plan."""
+    return stats.planned(planned_pairs(spark, sf).select("model", "qtype", "contrast").distinct(), _PLANNED)
 
 
 @query(_REC + ", pairs AS (SELECT a.model, a.qtype, a.method || ' -> ' || b.method AS contrast, b.f1 - a.f1 AS d FROM records a JOIN records b USING (model, qtype, sample) WHERE (a.method, b.method) IN (('single', 'decomposed'), ('decomposed', 'isolated'), ('single', 'isolated'))) SELECT model, qtype, contrast, count(*) AS n, round(avg(d), 6) AS delta, count(*) FILTER (d > 1e-12) AS wins, count(*) FILTER (abs(d) <= 1e-12) AS ties, count(*) FILTER (d < -1e-12) AS losses, CASE WHEN coalesce(stddev_samp(d), 0) <= 1e-12 THEN 'none' ELSE CAST(round(avg(d) / stddev_samp(d), 4) AS VARCHAR) END AS dz FROM pairs GROUP BY ALL")

@@ -94,8 +94,38 @@ def test_exact_signed_ranks(spark):
             assert stats.signed_rank_p(w, n) == pytest.approx(min(1.0, 2 * min(sum(s <= w for s in sums), sum(s >= w for s in sums)) / len(sums)))
     pairs = spark.createDataFrame([("c", i, float(d)) for i, d in enumerate((1, 2, 3, 4, 5, -6.5))], "contrast string, sample int, d double")
     assert stats.paired_tests(pairs, ["contrast"], 1).first().wilcoxon_p == pytest.approx(stats.signed_rank_p(15, 6))
-    with pytest.raises(ValueError, match="planned"):
-        stats.planned(29, 2, 5, 3)
+    assert stats.signed_rank_p(0, 400) < 1e-100 and stats.signed_rank_p(40_100, 400) == pytest.approx(1.0, abs=1e-3)
+    cells = spark.range(29)
+    assert tuple(stats.planned(cells, 29).first()) == (29, 29)
+    with pytest.raises(Exception, match="29 tests where 30 were planned"):
+        stats.planned(cells, 30).collect()
+
+
+def test_ranks_of_a_long_group(spark):
+    """A group of many ties, one of a null key and one of a single row, against ranks by sorting."""
+    import random
+
+    r = random.Random(3)
+    rows = [("x", i, r.choice([0.0, 0.25, -0.25, 0.5, -1.0, r.random()])) for i in range(900)] + [(None, i, float(i % 3 - 1)) for i in range(30)] + [("one", 0, 0.5)]
+    pairs = spark.createDataFrame(rows, "contrast string, sample int, d double").repartition(6)
+    want = {}
+    for c in {x[0] for x in rows}:
+        mine = sorted((round(abs(d), 12), s) for g, s, d in rows if g == c)
+        for v in {v for v, _ in mine}:
+            at = [i for i, (w, _) in enumerate(mine, 1) if w == v]
+            want |= {(c, mine[i - 1][1]): sum(at) / len(at) for i in at}
+    assert {(x.contrast, x.sample): x.rank for x in stats.wilcoxon_ranks(pairs, ["contrast"]).collect()} == want
+    tests = {x.contrast: x for x in stats.paired_tests(pairs, ["contrast"]).collect()}
+    assert set(tests) == {"x", None, "one"} and tests["one"].wilcoxon_p == 1.0 and math.isnan(tests["one"].t_p)
+    for c, x in tests.items():
+        plus = sum(want[c, s] for g, s, d in rows if g == c and d > 0)
+        minus = sum(want[c, s] for g, s, d in rows if g == c and d < 0)
+        assert x.statistic == pytest.approx(min(plus, minus))
+        squares = sum(want[c, s] ** 2 for g, s, d in rows if g == c and d)
+        assert x.z == pytest.approx((plus - minus) / 2 / math.sqrt(squares / 4))
+    assert stats.paired_tests(pairs.where("false"), ["contrast"]).count() == 0
+    report = {(x.scope, x.contrast): x for x in stats.significance(stats.paired_tests(pairs, ["contrast"]), [[], ["contrast"]]).collect()}
+    assert report["overall", None].n == 3 and report["contrast", "x"].t_significant == tests["x"].t_significant
 
 
 def test_model_over_http(spark):
