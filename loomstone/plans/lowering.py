@@ -14,14 +14,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.staged import written
 from .ir import Anchor, Intersect, Node, Project, Union, slots
 
 
+#: Relations up to which a scan is cut to those that a plan names; it bounds what the driver is told.
+MOST_RELATIONS = 10_000
+
+
+def only(kg: DataFrame, relations: DataFrame, most: int = MOST_RELATIONS) -> DataFrame:
+    """The triples of the relations that a one-column table names. Up to ``most`` the list becomes a filter, which prunes the partitions of stored triples at run time; with more relations every partition is read."""
+    found = [x[0] for x in relations.distinct().limit(most + 1).collect()]
+    return kg.where(F.col("r").isin(found)) if len(found) <= most else kg
+
+
 class Lowered:
-    """One tree over one batch of queries."""
+    """One tree over one batch of queries.
+
+    With ``stored`` each projection's edges are written as they are found, so what follows, answers and the whole way
+    back, reads them and not the triples again.
+    """
 
-    def __init__(self, tree: Node, plan: DataFrame, kg: DataFrame, fixed: dict[int, int] | None = None):
-        self.tree, self.plan, self.kg, self.fixed = tree, plan, kg, fixed or {}
+    def __init__(self, tree: Node, plan: DataFrame, kg: DataFrame, fixed: dict[int, int] | None = None, stored: bool = False):
+        self.tree, self.plan, self.kg, self.fixed, self.stored = tree, plan, kg, fixed or {}, stored
         self.open = [f"r{i}" for i in range(1, slots(tree)[1] + 1) if i not in self.fixed]
         self.edges: dict[Node, DataFrame] = {}
         self.frontiers: dict[Node, DataFrame] = {}
@@ -42,8 +57,11 @@ class Lowered:
             same = F.col("r") != relation if node.other else F.col("r") == relation
             if node.slot in self.fixed:
                 kg, same = kg.where(same), F.lit(True)
+            elif self.stored and not node.other:
+                kg = only(kg, self.plan.select(relation))
             met = self.forward(node.child).join(kg, (F.col("ent") == F.col("h")) & same)
-            self.edges[node] = met.select("qid", "h", "r", "t", *self.open)
+            edges = met.select("qid", "h", "r", "t", *self.open)
+            self.edges[node] = written(edges, "edges") if self.stored else edges
             out = self.edges[node].select("qid", F.col("t").alias("ent"), *self.open).distinct()
         elif isinstance(node, Intersect):
             parts = [self.forward(p) for p in node.parts]

@@ -18,9 +18,10 @@ from .functions.answers import parsed_answer
 from .operators import audits, perturb, sampling, stats, summaries
 from .plans import evidence as E
 from .plans import prompts as P
+from .plans.batch import Batch, literal_nodes, tree_nodes, typed_nodes
 from .plans.ir import topology
 from .plans.lowering import Lowered, answer_sets
-from .sources.graph import entity_index, order_graph, table
+from .sources.graph import entity_index, order_graph, order_index, table
 from .streaming.staged import run_staged, written
 
 #: Anchors and relations of each topology's batch; a minus sign marks "any other relation".
@@ -77,12 +78,14 @@ def plan_sql(qtype: str) -> str:
     return O.plan(*BATCHES[qtype])
 
 
-def lowered(spark: SparkSession, sf_dir: str, qtype: str) -> Lowered:
-    return Lowered(topology(qtype), plan(spark, sf_dir, qtype), order_graph(spark, sf_dir), dict(enumerate(FIXED[qtype], 1)))
+def lowered(spark: SparkSession, sf_dir: str, qtype: str, stored: bool = False) -> Lowered:
+    p = plan(spark, sf_dir, qtype)
+    return Lowered(topology(qtype), written(p, "plan") if stored else p, (order_index if stored else order_graph)(spark, sf_dir), dict(enumerate(FIXED[qtype], 1)), stored)
 
 
 def evidence(spark: SparkSession, sf_dir: str, qtype: str) -> DataFrame:
-    return lowered(spark, sf_dir, qtype).evidence()
+    """Each projection reads the graph once; the way back reads the edges that were written."""
+    return lowered(spark, sf_dir, qtype, qtype not in ("1p", "2p")).evidence()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +137,77 @@ def mixed_relations_2i(spark, sf):
     return found.groupBy("qid").agg(F.countDistinct("ent").alias("n"))
 
 
+@query(O.query("3p", plan_sql("3p"), O.ANSWER_SELECT, base=False))
+def indexed_hop_3p(spark, sf):
+    """The batch of three hops over stored triples; each hop reads its relation's files."""
+    return Lowered(topology("3p"), plan(spark, sf, "3p"), order_index(spark, sf), dict(enumerate(FIXED["3p"], 1))).answers()
+
+
+@query("WITH " + ", ".join([O.KG, O.BASE]) + ", p AS (SELECT qid, c, pt, CASE WHEN qid % 3 = 0 THEN 1 ELSE 11 END AS r1, CASE WHEN qid % 2 = 0 THEN 12 ELSE 7 END AS r2 FROM base) SELECT p.qid, count(DISTINCT a.t) AS n FROM p JOIN kg a ON a.h = c AND a.r = r1 JOIN kg b ON b.h = pt AND b.r = r2 GROUP BY p.qid")
+def indexed_open_relations(spark, sf):
+    """Two hops whose relations differ from query to query, counted as pairs of the first's tails with any of the second's; the relations that the plan names decide at run time which files are read."""
+    rows = base(spark, sf).select("qid", F.col("c").cast("long").alias("e1"), F.col("pt").cast("long").alias("e2"), F.when(F.col("qid") % 3 == 0, 1).otherwise(11).alias("r1"), F.when(F.col("qid") % 2 == 0, 12).otherwise(7).alias("r2"))
+    run = Lowered(topology("2i"), written(rows, "plan"), order_index(spark, sf), stored=True)
+    first, second = (run.forward(p).select("qid", "ent") for p in run.tree.parts)
+    return first.join(second.select("qid").distinct(), "qid").groupBy("qid").agg(F.countDistinct("ent").alias("n"))
+
+
+# --- batches of all topologies ---
+
+_ALL = tuple(P.QUESTIONS)
+
+
+def mixed_plan(spark, sf) -> DataFrame:
+    """(qid, qtype, e1 .. e3, r1 .. r3): the batches of all topologies as one; a query's number is its own batch's, times 16, plus its topology's place."""
+    rows, out = written(base(spark, sf), "base"), None
+    for i, q in enumerate(_ALL):
+        p = batch(rows, q) if q in BATCHES else plan(spark, sf, q)
+        slot = lambda c, kind: (F.col(c) if c in p.columns else F.lit(None)).cast(kind).alias(c)  # noqa: B023, E731
+        part = p.select((16 * F.col("qid") + i).alias("qid"), F.lit(q).alias("qtype"), *[slot(f"e{k}", "long") for k in (1, 2, 3)], *[slot(f"r{k}", "int") for k in (1, 2, 3)])
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _mixed_sql(select: str) -> str:
+    """A select over each topology's own tables, put together; {i} is its place and {q} its name."""
+    parts = [f"SELECT * FROM (WITH {', '.join([plan_sql(q), *O.lowered(q)[0]])} {select(i, q)})" for i, q in enumerate(_ALL)]
+    return "WITH " + O.KG + ", " + O.BASE + " " + " UNION ALL ".join(parts)
+
+
+@query(_mixed_sql(lambda i, q: f"SELECT 16 * qid + {i} AS qid, '{q}' AS qtype, ent FROM answers"))
+def mixed_batch_answers(spark, sf):
+    """One batch of all topologies, answered height by height."""
+    p = mixed_plan(spark, sf)
+    return Batch(typed_nodes(p), order_index(spark, sf)).answers().join(p.select("qid", "qtype"), "qid").select("qid", "qtype", "ent")
+
+
+def _used_sql(i: int, q: str) -> str:
+    number = {n["r"]: n["node"] for n in tree_nodes(topology(q)) if n["kind"] == "P"}
+    every = " UNION ALL ".join(f"SELECT qid, h, r, t, {n} AS node FROM k{slot}" for slot, n in number.items())
+    return f"SELECT 16 * qid + {i} AS qid, h, r, t, array_to_string(list_sort(list(DISTINCT node)), ',') AS nodes FROM ({every}) GROUP BY qid, h, r, t"
+
+
+@query(_mixed_sql(_used_sql))
+def mixed_batch_evidence(spark, sf):
+    """One batch of all topologies, explained: each triple with the projections that used it."""
+    found = Batch(typed_nodes(mixed_plan(spark, sf)), order_index(spark, sf)).evidence()
+    return found.select("qid", "h", "r", "t", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query(_mixed_sql(lambda i, q: f"SELECT 16 * qid + {i} AS qid, ent, NULL AS error FROM answers").replace("FROM answers)", "FROM answers WHERE qid % 7 <> 0)") + " UNION ALL " + " UNION ALL ".join(f"SELECT 16 * qid + {i}, NULL, 'no query' FROM (WITH {plan_sql(q)} SELECT qid FROM plan WHERE qid % 7 = 0)" for i, q in enumerate(_ALL)))
+def literal_batch(spark, sf):
+    """The batch of all topologies given as query literals, of which each seventh is broken and told so."""
+    p, parts = mixed_plan(spark, sf), None
+    for i, q in enumerate(_ALL):
+        mine = p.where(F.col("qtype") == q)
+        text = F.when(F.floor(F.col("qid") / 16) % 7 == 0, F.concat(F.lit("("), P.literal(q))).otherwise(P.literal(q))
+        part = mine.select("qid", text.alias("literal"))
+        parts = part if parts is None else parts.union(part)
+    nodes, faults = literal_nodes(parts)
+    found = Batch(nodes, order_index(spark, sf)).answers().select("qid", "ent", F.lit(None).cast("string").alias("error"))
+    return found.union(faults.select("qid", F.lit(None).cast("long"), F.lit("no query")))
+
+
 # --- text ---
 
 _TEXTS = f"texts AS (SELECT plan.qid, coalesce({O.TEXT}, '') AS triples FROM plan LEFT JOIN evidence USING (qid) GROUP BY plan.qid)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,27 @@ def write_triples(kg: DataFrame, path: str) -> None:
     kg.repartitionByRange("r", "h", "t").sortWithinPartitions("r", "h").write.partitionBy("r").parquet(path)
 
 
+def indexed(kg: DataFrame, name: str = "triples") -> DataFrame:
+    """The triples written as by ``write_triples`` to the shared folder and read back: a filter on r reads that relation's files alone."""
+    from ..streaming.staged import shared_folder
+
+    path = f"{shared_folder(kg.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    kinds = {f.name: f.dataType.simpleString() for f in kg.schema}
+    write_triples(kg, path)
+    return kg.sparkSession.read.schema(f"h {kinds['h']}, t {kinds['t']}, r {kinds['r']}").parquet(path).select("h", "r", "t")
+
+
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_graph`` as an index that is made once for a Spark application and folder; the tables under the folder are taken not to change meanwhile."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = indexed(order_graph(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triples of the order tables, both directions. A filter on r keeps only the branches that hold it."""
 

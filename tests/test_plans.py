@@ -92,3 +92,80 @@ def test_evidence_is_sufficient(spark):
 def test_bad_literals(bad):
     with pytest.raises((ValueError, SyntaxError)):
         ir.parse(bad)
+
+
+def random_graph(seed, people=12, size=90):
+    import random
+
+    r = random.Random(seed)
+    return sorted({(r.randrange(people), r.randrange(1, 5), r.randrange(people)) for _ in range(size)})
+
+
+def walk(tree, ents, rels, kg):
+    """(answers, function from answers to the edges that derive them, with the slots that used them), by sets."""
+    from loomstone.plans.ir import Anchor, Intersect, Project
+
+    if isinstance(tree, Anchor):
+        return {ents[tree.slot - 1]}, lambda keep: set()
+    if isinstance(tree, Project):
+        below, why = walk(tree.child, ents, rels, kg)
+        edges = {(h, r, t) for h, r, t in kg if h in below and (r != rels[tree.slot - 1] if tree.other else r == rels[tree.slot - 1])}
+
+        def back(keep):
+            mine = {e for e in edges if e[2] in keep}
+            return {(*e, tree.slot) for e in mine} | why({h for h, _, _ in mine})
+
+        return {t for _, _, t in edges}, back
+    parts = [walk(p, ents, rels, kg) for p in tree.parts]
+    sets = [p[0] for p in parts]
+    joined = set.intersection(*sets) if isinstance(tree, Intersect) else set.union(*sets)
+    return joined, lambda keep: set().union(*[why(keep & own) for own, why in parts])
+
+
+def test_mixed_batch(spark):
+    """Every topology, deeper literals, a union of intersections, queries without answers and broken literals in one batch, against sets; over stored triples, with and without the cut to few relations."""
+    import random
+
+    from loomstone.plans import batch
+    from loomstone.plans.ir import SHAPES, parse
+    from loomstone.sources.graph import indexed
+
+    r, kg = random.Random(8), random_graph(8)
+    texts = [s for s in SHAPES.values() for _ in range(4)] + ["(((('e',('r',)),('e',('r',))),(('e',('r','r')),('e',('r',))),('u',)),('r','r','n','r'))", "((('e',('r',)),('e',('r',))),('e',('r',)),('u',))"] * 8 + ["('e',('r','r','r','r','r'))"] * 3
+    literals = []
+    for s in texts:
+        while "'e'" in s or "'r'" in s:
+            s = s.replace("'e'", str(r.randrange(14)), 1).replace("'r'", str(r.randrange(1, 6)), 1)
+        literals.append(s)
+    bad = ["", "(1", "(1,(2,))x", "(1,2)", "('x',(1,))", None, "(" * 3000]
+    queries = spark.createDataFrame(list(enumerate(literals)) + [(1000 + i, b) for i, b in enumerate(bad)], "qid long, literal string")
+    triples = spark.createDataFrame(kg, "h long, r int, t long")
+    nodes, faults = batch.literal_nodes(queries)
+    assert {x.qid for x in faults.collect()} == {1000 + i for i in range(len(bad))}
+    want, why = set(), {}
+    for qid, text in enumerate(literals):
+        tree, ents, rels = parse(text)
+        found, back = walk(tree, [int(e) for e in ents], [int(x) for x in rels], kg)
+        want |= {(qid, e) for e in found}
+        number = {n["r"]: n["node"] for n in batch.tree_nodes(tree) if n["kind"] == "P"}
+        for h, rel, t, slot in back(found):
+            why.setdefault((qid, h, rel, t), set()).add(number[slot])
+    for run in (batch.Batch(nodes, triples), batch.Batch(nodes, indexed(triples), most_relations=2)):
+        assert {tuple(x) for x in run.answers().collect()} == want
+        assert {(x.qid, x.h, x.r, x.t): set(x.nodes) for x in run.evidence().collect()} == why
+    assert batch.Batch(nodes.where("false"), triples).answers().count() == 0
+
+
+def test_scans_of_stored_triples_are_pruned(spark):
+    from loomstone.plans.ir import topology
+    from loomstone.plans.lowering import Lowered, only
+    from loomstone.sources.graph import indexed
+
+    kg = indexed(spark.createDataFrame(random_graph(2), "h long, r int, t long"))
+    plan = spark.createDataFrame([(i, i, 1 + i % 2) for i in range(10)], "qid long, e1 long, r1 int")
+    run = Lowered(topology("1p"), plan, kg, stored=True)
+    assert sorted(tuple(x) for x in run.answers().distinct().collect()) == sorted({(i, t) for i in range(10) for h, r, t in random_graph(2) if h == i and r == 1 + i % 2})
+    cut = only(kg, plan.select("r1"))
+    explained = cut._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [r#" in explained.replace("isnotnull", "") and " IN (" in explained.split("PartitionFilters")[1].split("]")[0]
+    assert "IN (" not in only(kg, plan.select("r1"), 1)._jdf.queryExecution().executedPlan().toString()
