@@ -37,7 +37,7 @@ _UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 _MIX, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 #: Spans and texts that a task holds before it passes them on.
-FLUSH, TEXTS = 1 << 20, 1 << 16
+FLUSH, TEXTS = 1 << 19, 1 << 15
 #: A text's key, and a span: two hashes, its text, its start and its length, 65,535 standing for longer ones.
 _KEY = np.dtype([("id", "<i8"), ("null", "?"), ("t", "<i8"), ("u", "<i8")])
 _SPAN = np.dtype([("h", "<u8"), ("x", "<u4"), ("who", "<u2"), ("a", "<u4"), ("n", "<u2")])
@@ -211,7 +211,7 @@ def _rows(found, keys, ends):
         yield {"id": keys["id"][s], "missing": keys["null"][s], "t": keys["t"][s], "u": keys["u"][s], "start": found["a"][s].astype(np.int64), "end": ends[s]}
 
 
-def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucket: int = 800_000) -> DataFrame:
+def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucket: int = 200_000) -> DataFrame:
     """(doc_id, t, u, start, end): each span that isn't the first of its kind, by the keys of ``rewrite.keyed``."""
     size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, size / 30 / spans_per_bucket)))))
@@ -222,28 +222,36 @@ def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucke
             for blob in batch["blob"]:
                 yield from _rows(*_by_parts(*_unpacked(blob)))
 
+    def folded(blobs: list[bytes]):
+        """Repeats among one bucket's spans; only those whose hash stands twice are held with their keys."""
+        hashes = [_unpacked(blob)[0]["h"].copy() for blob in blobs]
+        h = np.sort(np.concatenate(hashes))
+        twice = np.unique(h[1:][h[1:] == h[:-1]])
+        parts = []
+        for blob, h in zip(blobs, hashes, strict=True):
+            keep = np.isin(h, twice)
+            parts.append([x[keep] for x in _unpacked(blob)])
+        found, keys, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, new, again = _ordered(found, keys, ends)
+        order = order[~new & ~again]
+        yield from _rows(*_by_parts(found[order], keys[order], ends[order]))
+
     def across(batches):
-        every: dict[int, list] = {}
+        """A partition's buckets come one behind the other, and one at a time is held."""
+        at, blobs = None, []
         for batch in batches:
             for bucket, blob in zip(batch["bucket"], batch["blob"], strict=True):
-                every.setdefault(bucket, []).append(blob)
-        for bucket in sorted(every):
-            blobs = every.pop(bucket)
-            hashes = [_unpacked(blob)[0]["h"].copy() for blob in blobs]
-            h = np.sort(np.concatenate(hashes))
-            twice = np.unique(h[1:][h[1:] == h[:-1]])
-            parts = []
-            for blob, h in zip(blobs, hashes, strict=True):  # only spans whose hash stands twice are held with their keys
-                keep = np.isin(h, twice)
-                parts.append([x[keep] for x in _unpacked(blob)])
-            found, keys, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, new, again = _ordered(found, keys, ends)
-            order = order[~new & ~again]
-            yield from _rows(*_by_parts(found[order], keys[order], ends[order]))
+                if bucket != at and blobs:
+                    yield from folded(blobs)
+                    blobs = []
+                at = bucket
+                blobs.append(blob)
+        if blobs:
+            yield from folded(blobs)
 
     schema = "id long, missing boolean, t long, u long, start long, end long"
     inside = map_batches(seen.where("bucket IS NULL").select("blob"), local, schema, rows=16)
-    both = inside.union(map_batches(seen.where("bucket IS NOT NULL").repartition(buckets, "bucket"), across, schema, rows=16))
+    both = inside.union(map_batches(seen.where("bucket IS NOT NULL").repartition(buckets, "bucket").sortWithinPartitions("bucket"), across, schema, rows=16))
     return both.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "t", "u", "start", "end")
 
 
