@@ -36,30 +36,58 @@ def name_key(names: pd.Series) -> pd.Series:
 # --- programs ------------------------------------------------------------------------------------------
 
 
-def tree(program: list[dict]) -> tuple:
+def tree(program: list) -> tuple:
     """A program as a tree: ("A", name), ("P", predicate, direction, tree), ("I" or "U", tree, tree); ("X", reason) for what isn't supported.
 
-    Steps are read from the first to the last, each once, so a step that several others need is one tree, and a program of any length ends.
-    Dependencies must point backwards.
+    Steps are read from the first to the last, each once, so a step that several others need is one and the same tuple, and a
+    program of any length ends.  Dependencies must point backwards.  A step of any other form than
+    an object of a function, a list of steps and a list of names or numbers is ("X", ...); numbers become text.
     """
     made: list[tuple] = []
-    for at, step in enumerate(program):
-        if not isinstance(step, dict):
-            made.append(("X", "step"))
-            continue
-        name, needs, inputs = step.get("function"), step.get("dependencies") or [], step.get("inputs") or []
-        below = [made[d] if isinstance(d, int) and 0 <= d < at else ("X", "dependency") for d in needs]
-        made.append(_step(name, below, inputs))
+    for step in program:
+        made.append(_made(step, made))
     return made[-1]
 
 
-def _size(program: list) -> int:
-    """Nodes of a program's tree, without making it."""
-    sizes: list[int] = []
-    for at, step in enumerate(program):
-        needs = (step.get("dependencies") or []) if isinstance(step, dict) else []
-        sizes.append(1 + sum(sizes[d] if isinstance(d, int) and 0 <= d < at else 1 for d in needs))
-    return sizes[-1]
+def _made(step, made: list[tuple]) -> tuple:
+    if not isinstance(step, dict):
+        return ("X", "step")
+    name, needs, inputs = step.get("function"), step.get("dependencies"), step.get("inputs")
+    needs, inputs = [] if needs is None else needs, [] if inputs is None else inputs
+    if name is not None and not isinstance(name, str):
+        return ("X", "function")
+    if not isinstance(needs, list):
+        return ("X", "dependency")
+    if not isinstance(inputs, list) or not all(isinstance(i, (str, int, float)) for i in inputs):
+        return ("X", f"{name}_invalid")
+    below = [made[d] if type(d) is int and 0 <= d < len(made) else ("X", "dependency") for d in needs]
+    return _step(name, below, [i if isinstance(i, str) else json.dumps(i) for i in inputs])
+
+
+def _below(node: tuple) -> list[tuple]:
+    return [c for c in node[1:] if isinstance(c, tuple)]
+
+
+def _ordered(node: tuple) -> list[tuple]:
+    """The different nodes under a node, children before parents, itself last; a node that several need stands once."""
+    out, seen, stack = [], set(), [(node, False)]
+    while stack:
+        n, ready = stack.pop()
+        if ready:
+            out.append(n)
+        elif id(n) not in seen:
+            seen.add(id(n))
+            stack.append((n, True))
+            stack += [(c, False) for c in reversed(_below(n))]
+    return out
+
+
+def unfolded(node: tuple) -> int:
+    """Nodes of a tree in which a node that several need is counted for each of them."""
+    sizes: dict[int, int] = {}
+    for n in _ordered(node):
+        sizes[id(n)] = 1 + sum(sizes[id(c)] for c in _below(n))
+    return sizes[id(node)]
 
 
 def _step(name, below: list[tuple], inputs: list) -> tuple:
@@ -78,27 +106,39 @@ def _step(name, below: list[tuple], inputs: list) -> tuple:
 
 
 def flattened(node: tuple) -> list[dict]:
-    """The nodes of a tree, children before parents, the root last: number, kind, numbers of the children, name of an anchor or key of a relation, height."""
+    """The nodes of a tree, children before parents, the root last: number, kind, numbers of the children, name of an anchor or key of a relation, height. A node that several need is one row."""
     out: list[dict] = []
-
-    def add(n: tuple) -> int:
-        below = [add(c) for c in n[1:] if isinstance(c, tuple)]
+    number: dict[int, int] = {}
+    for n in _ordered(node):
+        below = [number[id(c)] for c in _below(n)]
         name = n[1] if n[0] == "A" else f"{n[1]}::{n[2]}" if n[0] == "P" else None
         height = 1 + max((out[b]["height"] for b in below), default=-1)
+        number[id(n)] = len(out)
         out.append({"node": len(out), "kind": n[0], "left": below[0] if below else None, "right": below[1] if len(below) > 1 else None, "name": name, "height": height})
-        return len(out) - 1
-
-    add(node)
     return out
 
 
 def shape(node: tuple, flat: bool = False) -> str:
-    """A tree without its names; ``flat`` merges groups of one kind."""
-    if node[0] == "P":
-        return f"P({shape(node[3], flat)})"
-    if node[0] in "IU":
-        return f"{node[0]}({','.join(shape(b, flat) for b in (branches(node) if flat else node[1:]))})"
-    return node[0]
+    """A tree without its names; ``flat`` merges groups of one kind. Of a tree of more than UNFOLDED nodes, a group or hop that several need is written once and then named by its number, ``#n``."""
+    written_, stack = [], [node]
+    named: dict[int, int] | None = {} if unfolded(node) > UNFOLDED else None
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            written_.append(n)
+            continue
+        below = [n[3]] if n[0] == "P" else (branches(n) if flat and named is None else list(n[1:])) if n[0] in "IU" else []
+        if named is not None and below and id(n) in named:
+            written_.append(f"#{named[id(n)]}")
+            continue
+        if named is not None and below:
+            named[id(n)] = len(named)
+        written_.append(n[0] + "(" * bool(below))
+        if below:
+            stack.append(")")
+        for i, c in enumerate(reversed(below)):
+            stack += [c] if i == len(below) - 1 else [c, ","]
+    return "".join(written_)
 
 
 def branches(node: tuple) -> list[tuple]:
@@ -124,8 +164,8 @@ def components(node: tuple) -> list[dict] | None:
 
 _NODE = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("height", T.IntegerType())])
 _ANALYSIS = T.StructType([T.StructField("shape", T.StringType()), T.StructField("qtype", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("branches", T.StringType()), T.StructField("nodes", T.ArrayType(_NODE))])
-#: Nodes of a tree that is taken apart, steps that several others need counted each time; larger ones are ``too_long``.
-LONGEST = 500
+#: Nodes up to which a tree's shape is written in full; it bounds the text, not what is run.
+UNFOLDED = 500
 
 
 def analysis(text: str | None) -> tuple:
@@ -136,12 +176,11 @@ def analysis(text: str | None) -> tuple:
         return None, None, "invalid_json", None, None
     if not isinstance(program, list) or not program:
         return None, None, "empty", None, None
-    if _size(program) > LONGEST:
-        return None, None, "too_long", None, None
     node = tree(program)
-    qtype = BY_SHAPE.get(shape(node, True))
+    small = unfolded(node) <= UNFOLDED  # a supported shape has eight nodes at most
+    qtype = BY_SHAPE.get(shape(node, True)) if small else None
     parts = components(node) if qtype else None
-    nodes = flattened(node) if "X" not in shape(node) else None
+    nodes = flattened(node) if all(n[0] != "X" for n in _ordered(node)) else None
     return shape(node), qtype, None if parts else "unsupported_shape", json.dumps(parts) if parts else None, nodes
 
 

@@ -253,6 +253,28 @@ def test_paired(spark):
     assert (s.t_p, s.wilcoxon_p, s.dz, s.ci_low) == (1.0, 1.0, 0.0, 0.0)
 
 
+def test_malformed_and_shared_programs(spark):
+    good = [{"function": "Find", "dependencies": [], "inputs": ["A"]}, {"function": "Relate", "dependencies": [0], "inputs": ["p", "forward"]}]
+    odd = [5, None, "x", [], {}, {"function": []}, {"function": {"a": 1}}, {"function": "Find", "inputs": 5}, {"function": "Find", "inputs": {"a": 1}}, {"function": "Find", "inputs": [None]}, {"function": "Find", "inputs": [["a"]]}]
+    odd += [{"function": "Relate", "dependencies": d, "inputs": ["p", "forward"]} for d in (5, "0", {"a": 0}, [True], ["0"], [7], [-1], [None], [[0]], [0, 0])]
+    odd += [{"function": "And", "dependencies": d} for d in ([], [0], [0, 9], 3)] + [{"function": "What", "dependencies": []}, {"function": "Relate", "dependencies": [0], "inputs": ["p", 7]}]
+    texts = [json.dumps(good[:n] + [x]) for x in odd for n in (0, 1, 2)] + ["[", "5", "null", "{}", "[" * 5000, "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "qid int, program string").select("qid", programs.analysed("program").alias("a")).select("qid", "a.*").collect()
+    assert len(rows) == len(texts) and all(r.nodes is None and r.reason for r in rows)
+    number = programs.analysis(json.dumps([{"function": "Find", "inputs": [5]}, good[1]]))
+    assert number[1] == "1p" and number[4][0]["name"] == "5"
+    # A step that both sides of each group need: twenty levels would unfold to a million nodes.
+    twice = good + [{"function": "And" if i % 2 else "Or", "dependencies": [i + 1, i + 1]} for i in range(12)]
+    shape, qtype, reason, _, nodes = programs.analysis(json.dumps(twice))
+    assert len(nodes) == 14 and qtype is None and reason == "unsupported_shape" and len(shape) < 200 and "#" in shape
+    long = good + [{"function": "Relate", "dependencies": [i + 1], "inputs": ["p", "forward"]} for i in range(3000)]
+    assert len(programs.analysis(json.dumps(long))[4]) == 3002
+    table = spark.createDataFrame([(1, n) for n in nodes], "qid int, n struct<node:int,kind:string,left:int,right:int,name:string,height:int>").select("qid", "n.*")
+    names = spark.createDataFrame([("q1", "A")], "id string, name string")
+    edges = spark.createDataFrame([("q1", "p", "forward", "q2"), ("q1", "p", "backward", "q3")], "h string, predicate string, direction string, t string")
+    assert [tuple(x) for x in programs.executed(table, names, edges).collect()] == [(1, "q2")]
+
+
 def test_programs(spark):
     step = lambda f, d=(), i=(): {"function": f, "dependencies": list(d), "inputs": list(i)}
     two = [step("Find", i=["A"]), step("Relate", [0], ["p", "forward"]), step("FilterConcept", [1], ["c"]), step("Relate", [2], ["q", "backward"]), step("What", [3])]
@@ -262,7 +284,7 @@ def test_programs(spark):
     df = spark.createDataFrame([(json.dumps(two),), (json.dumps(both[:5]),), (json.dumps(both),)], "p string").select(programs.analysed("p").alias("a")).select("a.*").collect()
     assert [r.qtype for r in df] == ["2p", "2u", None] and df[2].shape == "X"
     shared = [step("Find", i=["A"])] + [step("And", [k, k]) for k in range(60)]
-    assert [programs.analysis(x)[2] for x in ("{", "", None, "7", "[1]", json.dumps(shared), "[" * 5000)] == ["invalid_json", "empty", "empty", "empty", "unsupported_shape", "too_long", "invalid_json"]
+    assert [programs.analysis(x)[2] for x in ("{", "", None, "7", "[1]", json.dumps(shared), "[" * 5000)] == ["invalid_json", "empty", "empty", "empty", "unsupported_shape", "unsupported_shape", "invalid_json"]
     nested = [step("Find", i=["A"]), step("Relate", [0], ["p", "forward"]), step("Relate", [1], ["p", "backward"]), step("Or", [1, 2]), step("Relate", [3], ["q", "forward"])]
     assert [(n["kind"], n["height"]) for n in programs.flattened(programs.tree(nested))] == [("A", 0), ("P", 1), ("A", 0), ("P", 1), ("P", 2), ("U", 3), ("P", 4)]
 
