@@ -38,9 +38,11 @@ _WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 _MIX, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 #: Spans and texts that a task holds before it passes them on.
 FLUSH, TEXTS = 1 << 19, 1 << 15
-#: A text's key, and a span: two hashes, its text, its start and its length, 65,535 standing for longer ones.
-_KEY = np.dtype([("id", "<i8"), ("null", "?"), ("t", "<i8"), ("u", "<i8")])
-_SPAN = np.dtype([("h", "<u8"), ("x", "<u4"), ("who", "<u2"), ("a", "<u4"), ("n", "<u2")])
+#: A span: two hashes, its text's id and half of its hash, its start and its length, LONGER standing for more; NULL marks a text without an id.
+_SPAN = np.dtype([("h", "<u8"), ("x", "<u4"), ("id", "<i8"), ("t", "<u4"), ("a", "<u4"), ("n", "<u2")])
+LONGER, NULL = 0x7FFF, 0x8000
+#: How a span knows its text among those of its id.
+_TEXT = 0xFFFFFFFF
 
 
 def units(text: str) -> tuple[list[int], list[int]]:
@@ -133,34 +135,40 @@ class _Hashes(dict):
         return h
 
 
-def _packed(keys: np.ndarray, found: np.ndarray, ends: np.ndarray) -> bytes:
-    """Spans with the keys of their texts; ``ends`` has where each span ends."""
-    own, local = np.unique(found["who"], return_inverse=True)
-    found = found.copy()
+def _packed(found: np.ndarray, ends: np.ndarray) -> bytes:
+    """Spans by byte planes, field after field: what ids, starts and lengths have in common, mostly zeros, lies together and is compressed on disk and on the wire."""
     length = ends - found["a"].astype(np.int64)
-    found["who"], found["n"] = local, np.minimum(length, 65_535)
-    return np.array([len(own), len(found)], "<i4").tobytes() + keys[own].tobytes() + found.tobytes() + length[length >= 65_535].astype("<i8").tobytes()
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(spans, each one's key, its end)."""
-    m, n = np.frombuffer(blob, "<i4", 2).tolist()
-    keys = np.frombuffer(blob, _KEY, m, 8)
-    at = 8 + m * _KEY.itemsize
-    found = np.frombuffer(blob, _SPAN, n, at)
-    length = found["n"].astype(np.int64)
-    length[length >= 65_535] = np.frombuffer(blob, "<i8", offset=at + n * _SPAN.itemsize)
-    return found, keys[found["who"]], found["a"].astype(np.int64) + length
-
-
-def _ordered(found: np.ndarray, keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = found.copy()
+    found["n"] |= np.minimum(length, LONGER).astype(np.uint16)
+    planes = [np.ascontiguousarray(found[f]).view(np.uint8).reshape(len(found), -1).T.tobytes() for f in _SPAN.names]
+    return np.array([len(found)], "<i8").tobytes() + b"".join(planes) + length[length >= LONGER].astype("<i8").tobytes()
+
+
+def _unpacked(blob: bytes, hashes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, the end of each); with ``hashes`` the first hash of each alone."""
+    n, at = int(np.frombuffer(blob, "<i8", 1)[0]), 8
+    found = np.zeros(n, _SPAN)
+    for f in _SPAN.names:
+        size = _SPAN[f].itemsize
+        found[f] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(_SPAN[f]).reshape(n)
+        at += n * size
+        if hashes:
+            return found["h"], found["h"]
+    length = (found["n"] & LONGER).astype(np.int64)
+    length[length == LONGER] = np.frombuffer(blob, "<i8", offset=at)
+    return found, found["a"].astype(np.int64) + length
+
+
+def _ordered(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order that brings equal spans together, the first one first; which spans in it are the first of their kind, and which stand again in a row that is repeated whole."""
-    order = np.lexsort((keys["u"], keys["t"], found["a"], keys["id"], keys["null"], found["x"], found["h"]))
-    f, k = found[order], keys[order]
+    null = found["n"] & NULL
+    order = np.lexsort((found["t"], found["a"], found["id"], null, found["x"], found["h"]))
+    f = found[order]
     if not len(f):
         return order, np.zeros(0, bool), np.zeros(0, bool)
-    same = (f["h"][1:] == f["h"][:-1]) & (f["x"][1:] == f["x"][:-1])
-    again = same & (k[1:] == k[:-1]) & (f["a"][1:] == f["a"][:-1])
+    alike = lambda *names: np.logical_and.reduce([f[c][1:] == f[c][:-1] for c in names])
+    same = alike("h", "x")
+    again = same & alike("id", "t", "a") & (null[order][1:] == null[order][:-1])
     return order, np.concatenate([[True], ~same]), np.concatenate([[False], again])
 
 
@@ -168,31 +176,33 @@ def occurrences(docs: DataFrame, buckets: int, run: int, words: int) -> DataFram
     """(bucket, blob) of each task's first occurrences, and (null, blob) of its repeats."""
 
     def flush(held, keys):
-        keys = np.array(keys, _KEY)
-        found = np.zeros(sum(len(x[0]) for x in held), _SPAN)
+        size = [len(x[0]) for x in held]
+        found = np.zeros(sum(size), _SPAN)
         for name, i in (("h", 0), ("x", 1), ("a", 2)):
             found[name] = np.concatenate([x[i] for x in held])
-        found["who"], ends = np.repeat(np.arange(len(held)), [len(x[0]) for x in held]), np.concatenate([x[3] for x in held])
-        order, new, again = _ordered(found, keys[found["who"]], ends)
+        for name, i in (("id", 0), ("t", 1), ("n", 2)):
+            found[name] = np.repeat(np.array([k[i] for k in keys], _SPAN[name]), size)
+        ends = np.concatenate([x[3] for x in held])
+        order, new, again = _ordered(found)
         found, ends = found[order], ends[order]
         if (repeat := ~new & ~again).any():
-            yield None, _packed(keys, found[repeat], ends[repeat])
+            yield None, _packed(found[repeat], ends[repeat])
         found, ends = found[new], ends[new]
         bucket = (found["h"] & np.uint64(buckets - 1)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for x in np.unique(bucket).tolist():
             rows = order[cuts[x] : cuts[x + 1]]
-            yield x, _packed(keys, found[rows], ends[rows])
+            yield x, _packed(found[rows], ends[rows])
 
     def task(batches):
         held, keys, size = [], [], 0
         for batch in batches:
-            for doc_id, t, u, text in zip(batch["doc_id"], batch["t"], batch["u"], batch["text"], strict=True):
+            for doc_id, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True):
                 found = spans(text, run, words)
                 if len(found[0]):
                     held.append(found)
-                    keys.append((doc_id or 0, doc_id is None, t, u))
+                    keys.append((doc_id or 0, t & _TEXT, NULL * (doc_id is None)))
                     size += len(found[0])
                 if size >= FLUSH or len(held) == TEXTS:
                     out = list(flush(held, keys))
@@ -202,17 +212,17 @@ def occurrences(docs: DataFrame, buckets: int, run: int, words: int) -> DataFram
             out = list(flush(held, keys))
             yield {"bucket": [x for x, _ in out], "blob": [x for _, x in out]}
 
-    return map_batches(keyed(docs).where(F.length("text") > 0), task, "bucket int, blob binary")
+    return map_batches(keyed(docs).select("doc_id", "t", "text").where(F.length("text") > 0), task, "bucket int, blob binary")
 
 
-def _rows(found, keys, ends):
+def _rows(found, ends):
     for at in range(0, len(found), 65536):
-        s = slice(at, at + 65536)
-        yield {"id": keys["id"][s], "missing": keys["null"][s], "t": keys["t"][s], "u": keys["u"][s], "start": found["a"][s].astype(np.int64), "end": ends[s]}
+        f = found[at : at + 65536]
+        yield {"id": f["id"], "missing": f["n"] >= NULL, "t": f["t"].astype(np.int64), "start": f["a"].astype(np.int64), "end": ends[at : at + 65536]}
 
 
-def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucket: int = 200_000) -> DataFrame:
-    """(doc_id, t, u, start, end): each span that isn't the first of its kind, by the keys of ``rewrite.keyed``."""
+def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucket: int = 400_000) -> DataFrame:
+    """(doc_id, t, start, end): each span that isn't the first of its kind; ``t`` is half of the text's hash, which tells apart the texts of one id."""
     size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, size / 30 / spans_per_bucket)))))
     seen = stored(occurrences(docs, buckets, run, words), "spans")
@@ -224,17 +234,17 @@ def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucke
 
     def folded(blobs: list[bytes]):
         """Repeats among one bucket's spans; only those whose hash stands twice are held with their keys."""
-        hashes = [_unpacked(blob)[0]["h"].copy() for blob in blobs]
+        hashes = [_unpacked(blob, True)[0] for blob in blobs]
         h = np.sort(np.concatenate(hashes))
         twice = np.unique(h[1:][h[1:] == h[:-1]])
         parts = []
         for blob, h in zip(blobs, hashes, strict=True):
             keep = np.isin(h, twice)
             parts.append([x[keep] for x in _unpacked(blob)])
-        found, keys, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, new, again = _ordered(found, keys, ends)
+        found, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, new, again = _ordered(found)
         order = order[~new & ~again]
-        yield from _rows(*_by_parts(found[order], keys[order], ends[order]))
+        yield from _rows(*_by_parts(found[order], ends[order]))
 
     def across(batches):
         """A partition's buckets come one behind the other, and one at a time is held."""
@@ -249,33 +259,34 @@ def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS, spans_per_bucke
         if blobs:
             yield from folded(blobs)
 
-    schema = "id long, missing boolean, t long, u long, start long, end long"
+    schema = "id long, missing boolean, t long, start long, end long"
     inside = map_batches(seen.where("bucket IS NULL").select("blob"), local, schema, rows=16)
     both = inside.union(map_batches(seen.where("bucket IS NOT NULL").repartition(buckets, "bucket").sortWithinPartitions("bucket"), across, schema, rows=16))
-    return both.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "t", "u", "start", "end")
+    return both.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "t", "start", "end")
 
 
-def _by_parts(found, keys, ends):
+def _by_parts(found, ends):
     """Spans in the order of their texts, those of a text that touch joined to one: fewer rows cross the cluster."""
     if not len(found):
-        return found, keys, ends
-    order = np.lexsort((found["a"], keys["u"], keys["t"], keys["id"], keys["null"]))
-    found, keys, ends = found[order], keys[order], ends[order]
-    text = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+        return found, ends
+    null = found["n"] & NULL
+    order = np.lexsort((found["a"], found["t"], found["id"], null))
+    found, ends, null = found[order], ends[order], null[order]
+    other = (found["id"][1:] != found["id"][:-1]) | (found["t"][1:] != found["t"][:-1]) | (null[1:] != null[:-1])
+    text = np.concatenate([[0], np.cumsum(other)])
     # The furthest end so far within a text: ends are moved apart by more than any text is long.
     far = np.maximum.accumulate(ends + text * (np.int64(1) << 40)) - text * (np.int64(1) << 40)
-    first = np.concatenate([[True], (text[1:] != text[:-1]) | (found["a"][1:] > far[:-1])])
-    starts = np.flatnonzero(first)
-    return found[starts], keys[starts], np.maximum.reduceat(ends, starts)
+    starts = np.flatnonzero(np.concatenate([[True], other | (found["a"][1:] > far[:-1])]))
+    return found[starts], np.maximum.reduceat(ends, starts)
 
 
 def removed(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """(doc_id, t, u, start, end): the stretches to remove, repeated spans of a row joined where they touch."""
-    order = Window.partitionBy("doc_id", "t", "u").orderBy("start", "end")
+    """(doc_id, t, start, end): the stretches to remove, repeated spans of a row joined where they touch."""
+    order = Window.partitionBy("doc_id", "t").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = repeats(docs, run, words).withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
     islands = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("doc_id", "t", "u", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return islands.groupBy("doc_id", "t", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
@@ -284,7 +295,7 @@ def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     Null and empty texts stay as they are; a text whose sentences are all repeats becomes empty.  Rows
     with the same doc_id and text count as one occurrence and are treated alike.  An empty table stays empty.
     """
-    return rewrite(docs, removed(docs, run, words).withColumn("put", F.lit("")))
+    return rewrite(docs, removed(docs, run, words).withColumn("put", F.lit("")), {"t": F.xxhash64("text").bitwiseAND(F.lit(_TEXT))})
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,17 +23,22 @@ def edited(text: str, edits: list) -> str:
     return "".join(out)
 
 
-def rewrite(docs: DataFrame, edits: DataFrame) -> DataFrame:
+def rewrite(docs: DataFrame, edits: DataFrame, keys: dict | None = None) -> DataFrame:
     """``docs`` with ``text`` edited and ``n_chars`` set anew, columns in the same order, whatever their names.
 
-    ``edits`` has (doc_id, t, u, start, end, put): the keys of ``keyed`` and what replaces a stretch of the text.  Rows
-    without edits and null texts stay as they are; rows that are repeated whole are edited alike.  One shuffle
+    ``edits`` has doc_id, keys of the text, start, end and put: what replaces a stretch of the text.  ``keys`` are the names
+    of the text's keys and how they come from ``text``, those of ``keyed`` if none are given.  Rows without
+    edits and null texts stay as they are; rows that are repeated whole are edited alike.  One shuffle
     brings texts and edits together.
     """
+    keys = keys or {"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), F.col("text"))}
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(F.struct(*own).alias("row"), "doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), F.col("text")).alias("u"))
-    listed = edits.groupBy(F.col("doc_id").alias("own_id"), F.col("t").alias("own_t"), F.col("u").alias("own_u")).agg(F.sort_array(F.collect_set(F.struct("start", "end", "put"))).alias("edits"))
-    both = rows.join(listed, rows["doc_id"].eqNullSafe(listed["own_id"]) & (rows["t"] == listed["own_t"]) & (rows["u"] == listed["own_u"]), "left").select("row.*", "edits")
+    rows = docs.select(F.struct(*own).alias("row"), "doc_id", *[k.alias(n) for n, k in keys.items()])
+    listed = edits.groupBy(F.col("doc_id").alias("own_id"), *[F.col(n).alias(f"own_{n}") for n in keys]).agg(F.sort_array(F.collect_set(F.struct("start", "end", "put"))).alias("edits"))
+    same = rows["doc_id"].eqNullSafe(listed["own_id"])
+    for n in keys:
+        same = same & (rows[n] == listed[f"own_{n}"])
+    both = rows.join(listed, same, "left").select("row.*", "edits")
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     text = f"c{docs.columns.index('text')}"
     size = f"c{docs.columns.index('n_chars')}" if "n_chars" in docs.columns else None
