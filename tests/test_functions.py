@@ -286,7 +286,7 @@ def test_programs(spark):
     shared = [step("Find", i=["A"])] + [step("And", [k, k]) for k in range(60)]
     assert [programs.analysis(x)[2] for x in ("{", "", None, "7", "[1]", json.dumps(shared), "[" * 5000)] == ["invalid_json", "empty", "empty", "empty", "unsupported_shape", "unsupported_shape", "invalid_json"]
     nested = [step("Find", i=["A"]), step("Relate", [0], ["p", "forward"]), step("Relate", [1], ["p", "backward"]), step("Or", [1, 2]), step("Relate", [3], ["q", "forward"])]
-    assert [(n["kind"], n["height"]) for n in programs.flattened(programs.tree(nested))] == [("A", 0), ("P", 1), ("A", 0), ("P", 1), ("P", 2), ("U", 3), ("P", 4)]
+    assert [(n["kind"], n["height"]) for n in programs.flattened(programs.tree(nested))] == [("A", 0), ("P", 1), ("P", 2), ("U", 3), ("P", 4)]
 
 
 def test_parse_and_score():
