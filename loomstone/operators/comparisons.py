@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def side_by_side(source: DataFrame, mapped: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """(keys, source_m, mapped_m, delta_m): mapped minus source. A key that only one side has fails."""
@@ -60,3 +62,25 @@ def gold_of(samples: DataFrame, gold: DataFrame, key: str, also: str, answer: st
     both = samples.join(found, key, "left")
     bad = F.col("also_gold").isNotNull() & (F.col("also_gold") != F.col(also))
     return both.withColumn(answer, F.when(bad, F.raise_error(F.lit(f"gold of another {also}"))).otherwise(F.col(answer).cast("string"))).drop("also_gold")
+
+
+def remapped_faults(old: DataFrame, new: DataFrame, keys: list[str], entity_offset: int, relation_offset: int) -> DataFrame:
+    """(keys, problems): what of each sample isn't its original in the new namespace; an empty array where all is.
+
+    Both sides have (keys, stages array<(triples array<(h, r, t)>, question)>, answer array<long>), one row a sample.  Stages are
+    compared one by one: triples in their order, the question's entities and relations in their order.  Fixed values:
+    ``missing``, ``stage_count``, ``triples``, ``question_ids``, ``answer``; where the stages' number differs, stages aren't compared.
+    """
+    a, b = old.select(*keys, F.col("stages").alias("was"), F.col("answer").alias("gave")), new.select(*keys, F.col("stages").alias("is"), F.col("answer").alias("gives"), F.lit(True).alias("there"))
+    both = a.join(b, keys, "left")
+    moved = lambda triples: F.transform(triples, lambda x: F.struct((x["h"] + entity_offset).cast("long"), (x["r"] + relation_offset).cast("long"), (x["t"] + entity_offset).cast("long")))
+    plain = lambda triples: F.transform(triples, lambda x: F.struct(x["h"].cast("long"), x["r"].cast("long"), x["t"].cast("long")))
+    ids = lambda q, by, f: F.transform(f(q), lambda x: x.cast("long") + by)
+    same_triples = F.transform("was", lambda s: moved(s["triples"])) == F.transform("is", lambda s: plain(s["triples"]))
+    names = lambda stages, e, r: F.transform(stages, lambda s: F.struct(ids(s["question"], e, X.question_entities), ids(s["question"], r, X.question_relations)))
+    same_questions = names("was", entity_offset, relation_offset) == names("is", 0, 0)
+    same_answer = F.transform("gave", lambda t: t + entity_offset).eqNullSafe(F.col("gives"))
+    counted = F.size("was") == F.size("is")
+    faults = F.array(F.when(~counted, "stage_count"), F.when(counted & ~same_triples, "triples"), F.when(counted & ~same_questions, "question_ids"), F.when(~same_answer, "answer"))
+    found = F.when(F.col("there").isNull(), F.array(F.lit("missing"))).otherwise(F.filter(faults, lambda x: x.isNotNull()))
+    return both.select(*keys, found.alias("problems"))

@@ -86,3 +86,39 @@ def conditional(stages: DataFrame, keys: list[str]) -> DataFrame:
         rate(F.col("final_exact"), recoverable).alias("recovery_rate"),
         rate(F.col("final_exact"), F.col("all_contained") == 1).alias("final_given_contained"),
     )
+
+
+def mechanism(stages: DataFrame, keys: list[str], measures: list[str], groups: dict[str, tuple[str, ...]] = GROUPS) -> DataFrame:
+    """(keys, level, name, stages, measures, samples, rates): means over stage rows beside rates over samples, for each topology and each group of topologies, in one pass.
+
+    ``stages`` has (keys, qtype, sample, stage, exact, contained, final_exact, measures).  Stage rows are folded to samples with
+    their sums, each sample is counted under its topology and under every group that has it, and both grains come from the
+    same sums.  Rates given a condition are NaN where no sample meets it.  Only groups of which a topology is there have rows.
+    """
+    per_sample = stages.groupBy(*keys, "qtype", "sample").agg(
+        F.count("*").alias("rows"), *[F.sum(F.col(m).cast("double")).alias(m) for m in measures], *[F.count(m).alias(f"n_{m}") for m in measures],
+        F.min("exact").alias("all_exact"), F.min("contained").alias("all_contained"), F.max("final_exact").alias("final_exact"),
+    )
+    name = lambda level, n: F.struct(F.lit(level).alias("level"), n.alias("name"))
+    mine = F.array(name("qtype", F.col("qtype")), *[F.when(F.col("qtype").isin(*types), name("group", F.lit(g))) for g, types in groups.items()])
+    counted = per_sample.select("*", F.inline(F.filter(mine, lambda x: x.isNotNull())))
+    recoverable = (F.col("all_contained") == 1) & (F.col("all_exact") == 0)
+    rate = lambda value, where: F.coalesce(F.avg(F.when(where, value.cast("double"))), F.lit(float("nan")))
+    return counted.groupBy(*keys, "level", "name").agg(
+        F.sum("rows").alias("stages"), *[F.try_divide(F.sum(m), F.sum(f"n_{m}")).alias(m) for m in measures], F.count("*").alias("samples"), F.avg(F.col("all_exact").cast("double")).alias("all_exact_rate"), F.avg(F.col("all_contained").cast("double")).alias("all_contained_rate"),
+        F.count_if(recoverable).alias("recoverable"), rate(F.col("final_exact"), recoverable).alias("recovery_rate"), rate(F.col("final_exact"), F.col("all_contained") == 1).alias("final_given_contained"),
+    )
+
+
+def compared(records: DataFrame, keys: list[str], left: str, right: str, measures: list[str], eps: float = 1e-12, groups: dict[str, tuple[str, ...]] = GROUPS) -> DataFrame:
+    """(keys, level, name, n, means of both methods, difference of the means, mean difference, better, worse, equal) of two methods on the same samples, for each topology and each group, in one pass."""
+    of = lambda method, m: F.max(F.when(F.col("method") == method, F.col(m)))
+    both = records.groupBy(*keys, "qtype", "sample").agg(*[c for m in measures for c in (of(left, m).cast("double").alias(f"left_{m}"), of(right, m).cast("double").alias(f"right_{m}"))])
+    both = both.where(" AND ".join(f"left_{m} IS NOT NULL AND right_{m} IS NOT NULL" for m in measures))
+    name = lambda level, n: F.struct(F.lit(level).alias("level"), n.alias("name"))
+    mine = F.array(name("qtype", F.col("qtype")), *[F.when(F.col("qtype").isin(*types), name("group", F.lit(g))) for g, types in groups.items()])
+    d = F.col(f"right_{measures[0]}") - F.col(f"left_{measures[0]}")
+    return both.select("*", F.inline(F.filter(mine, lambda x: x.isNotNull()))).groupBy(*keys, "level", "name").agg(
+        F.count("*").alias("n"), *[c for m in measures for c in (F.avg(f"left_{m}").alias(f"left_{m}"), F.avg(f"right_{m}").alias(f"right_{m}"), (F.avg(f"right_{m}") - F.avg(f"left_{m}")).alias(f"delta_{m}"))],
+        F.count_if(d > eps).alias("better"), F.count_if(d < -eps).alias("worse"), F.count_if(F.abs(d) <= eps).alias("equal"),
+    )

@@ -80,8 +80,8 @@ def _features(text: Column, whole: Column, answer: Column) -> list[Column]:
 
 
 def training_records(df: DataFrame, *keys: str) -> DataFrame:
-    """Features of training records (instruction, output): triples, entities, relations, numbers, the question's relations in order, and the final answer's entities."""
-    return df.select(*keys, *_features(F.col("instruction"), F.concat_ws("\n", "instruction", "output"), X.lenient_set(X.final_answer(F.col("output")))))
+    """Features of training records (instruction, output): triples, entities, relations, numbers, the question's relations in order, the final answer's entities and the output's triples."""
+    return df.select(*keys, *_features(F.col("instruction"), F.concat_ws("\n", "instruction", "output"), X.lenient_set(X.final_answer(F.col("output")))), F.array_distinct(X.triples(F.col("output"))).alias("output_triples"))
 
 
 def test_records(df: DataFrame, *keys: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .functions import setmetrics as M
 from .functions import text as X
 from .functions.answers import parsed_answer
 from .operators import comparisons as C
-from .operators import costs, exposures, perturb, sampling, stats, summaries
+from .operators import costs, exposures, overlaps, perturb, sampling, stats, summaries
 from .operators import programs as G
 from .plans import evidence as E
 from .plans import knowledge as K
@@ -443,7 +443,8 @@ rows_ AS (SELECT qtype, qid, {out} FROM full_) """
 _EXPOSED = _exposure_sql()
 
 
-def _exposed(spark, sf) -> DataFrame:
+def _sides(spark, sf) -> DataFrame:
+    """Features of the queries of two batches, as record loaders give them."""
     sides = None
     for q in ("2i", "2u"):
         p = plan(spark, sf, q)
@@ -458,6 +459,11 @@ def _exposed(spark, sf) -> DataFrame:
         numbers = F.array_union(F.array_union(texts(entities), texts(relations)), texts(F.col("gold")))
         part = rows.select(F.lit(q).alias("qtype"), "qid", found.alias("triples"), entities.alias("entities"), relations.alias("relations"), "gold", F.col("gold").alias("answers"), numbers.alias("numbers"))
         sides = part if sides is None else sides.union(part)
+    return sides
+
+
+def _exposed(spark, sf) -> DataFrame:
+    sides = _sides(spark, sf)
     return exposures.exposures(sides.where("qid % 2 = 1"), sides.where("qid % 2 = 0"), "qtype", "qid")
 
 
@@ -612,3 +618,86 @@ def reply_confidence(spark, sf):
     reply = F.when(F.col("turn") % 2 == 0, F.lit("7, 8")).otherwise(F.lit("because of entities"))
     rows = table(spark, sf, "conversations").select("conv_id", parsed_answer(reply)["confidence"].alias("confidence"))
     return rows.groupBy("conv_id").agg(F.min("confidence").alias("confidence"), F.count("*").alias("turns"))
+
+
+# --- overlaps by topology, incomplete records, audits of remapped prompts, two grains ---
+
+
+def _overlap_rows() -> str:
+    v = lambda c: f"CAST({c} AS VARCHAR)"
+    ents, rels = "(SELECT qtype, qid, h AS x FROM ev UNION SELECT qtype, qid, t FROM ev)", "(SELECT qtype, qid, r AS x FROM ev UNION SELECT qtype, qid, r FROM rel)"
+    numbers = f"(SELECT * FROM {ents} UNION SELECT * FROM {rels} UNION SELECT qtype, qid, ent FROM ans)"
+    out = "(SELECT qtype, qid, h, r, t FROM ev UNION SELECT qtype, qid, h + 1, r, t FROM ev WHERE qid % 2 = 0 AND h % 2 = 0)"
+    rows = [("prompt_entity", ents, v("x")), ("target_answer_entity", "ans", v("ent")), ("relation", rels, v("x")), ("all_numeric_upper_bound", numbers, v("x")), ("exact_triple_train_input_only", "ev", "h || ',' || r || ',' || t")]
+    rows += [("exact_triple_full_train_exposure", out, "h || ',' || r || ',' || t"), ("head_relation_pair", out, "h || ',' || r"), ("relation_tail_pair", out, "r || ',' || t"), ("head_tail_pair", out, "h || ',' || t")]
+    keys = " UNION ".join(f"SELECT qid % 2 AS side, qtype, '{m}' AS measure, {k} AS key FROM {source}" for m, source, k in rows)
+    counts = "count(*) FILTER (a) AS train_unique, count(*) FILTER (b) AS test_unique, count(*) FILTER (a AND b) AS overlap"
+    found = lambda scope, qtype, where: f"SELECT '{scope}' AS scope, {qtype} AS qtype, measure, {counts} FROM (SELECT measure, key, bool_or(side = 0) AS a, bool_or(side = 1) AS b FROM keys WHERE {where} GROUP BY ALL) GROUP BY measure"
+    every = " UNION ALL ".join([found("overall", "CAST(NULL AS VARCHAR)", "TRUE")] + [found("qtype", f"'{t}'", f"qtype = '{t}'") for t in overlaps.TYPES])
+    names = " UNION ALL ".join([f"SELECT 'overall' AS scope, CAST(NULL AS VARCHAR) AS qtype, '{m}' AS measure" for m in overlaps.MEASURES] + [f"SELECT 'qtype', '{t}', '{m}'" for t in overlaps.TYPES for m in overlaps.BY_TYPE])
+    rate = lambda n: f"coalesce(overlap / nullif({n}, 0), 0.0)"
+    return (
+        f", keys AS ({keys}), found AS ({every}), names AS ({names}), filled AS (SELECT names.*, coalesce(train_unique, 0) AS train_unique, coalesce(test_unique, 0) AS test_unique, coalesce(overlap, 0) AS overlap FROM names LEFT JOIN found ON found.scope = names.scope AND found.measure = names.measure AND found.qtype IS NOT DISTINCT FROM names.qtype) "
+        + f"SELECT *, {rate('test_unique')} AS test_overlap_rate, {rate('train_unique')} AS train_overlap_rate, {rate('train_unique + test_unique - overlap')} AS jaccard FROM filled"
+    )
+
+
+@query(_EXPOSED.rstrip() + _overlap_rows())
+def overlap_by_type(spark, sf):
+    """The even queries of two batches against the odd ones: nine measures in all, five for each topology."""
+    sides = _sides(spark, sf)
+    more = F.transform(F.filter("triples", lambda x: x["h"] % 2 == 0), lambda x: F.struct((x["h"] + 1).alias("h"), x["r"].alias("r"), x["t"].alias("t")))
+    return overlaps.overlap_table(sides.where("qid % 2 = 0").withColumn("output_triples", more), sides.where("qid % 2 = 1"))
+
+
+@query("SELECT c_custkey AS k, side || '_' || what AS anomaly FROM customer, (VALUES ('train', 'no_triple', 1), ('train', 'no_triple', 2), ('train', 'no_relation', 2), ('train', 'no_final_answer', 3), ('test', 'no_triple', 1), ('test', 'no_triple', 2), ('test', 'no_relation', 2), ('test', 'no_gold', 3)) v(side, what, kind) WHERE c_custkey % 4 = kind")
+def incomplete_records(spark, sf):
+    """Records through both loaders, of which three quarters lack something."""
+    k, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 4
+    triples = F.when(kind.isin(1, 2), "").otherwise(F.concat(F.lit("("), k, F.lit(",3,9) ")))
+    text = F.concat(triples, F.lit("Which entities are connected to entity "), k, F.when(kind == 2, "?").otherwise(" by relation 7?"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), text.alias("instruction"), text.alias("query"), F.when(kind == 3, "nothing is said").otherwise("Answer: {b, a}").alias("output"), F.when(kind == 3, "").otherwise("b, a").alias("answer"))
+    return overlaps.incomplete_records(R.training_records(rows, "k"), R.test_records(rows, "k"), "k")
+
+
+@query(O.query("pi", plan_sql("pi"), """SELECT plan.qid, CASE plan.qid % 7 WHEN 1 THEN 'stage_count' WHEN 2 THEN CASE WHEN e.n > 0 THEN 'triples' ELSE '' END WHEN 3 THEN 'question_ids' WHEN 4 THEN CASE WHEN a.n > 0 THEN 'answer' ELSE '' END WHEN 5 THEN 'missing' ELSE '' END AS problems
+FROM plan LEFT JOIN (SELECT qid, count(*) AS n FROM steps WHERE step = 1 GROUP BY qid) e USING (qid) LEFT JOIN (SELECT qid, count(*) AS n FROM answers GROUP BY qid) a USING (qid)""", O.step_sql("pi")))
+def remap_prompt_audit(spark, sf):
+    """Prompts of a batch in another namespace, of which every seventh lacks a stage, has a stage's old triples, an old question, an old answer, or isn't there."""
+    entity, relation = 10**9, 100
+    p = plan(spark, sf, "pi")
+    full = lowered(spark, sf, "pi", True)
+    texts = E.step_texts(p, full.evidence(), "pi").join(P.step_questions(p, "pi"), ["qid", "step"])
+    stages = texts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("step", "triples", "question"))).alias("s"))
+    rows = stages.join(answer_sets(p, full.answers()), "qid")
+    read = lambda s, t, q: F.struct(X.triples(t(s)).alias("triples"), q(s).alias("question"))
+    old = rows.select("qid", F.transform("s", lambda s: read(s, lambda x: x["triples"], lambda x: x["question"])).alias("stages"), "answer")
+    kind = F.col("qid") % 7
+    triples = lambda s: F.when((kind == 2) & (s["step"] == 1), s["triples"]).otherwise(perturb.remapped_text(s["triples"], entity, relation))
+    question = lambda s: F.when((kind == 3) & (s["step"] == 1), s["question"]).otherwise(perturb.remapped_question(s["question"], entity, relation))
+    moved = F.transform("s", lambda s: read(s, triples, question))
+    new = rows.where(kind != 5).select("qid", F.when(kind == 1, F.slice(moved, 1, 3)).otherwise(moved).alias("stages"), F.when(kind == 4, F.col("answer")).otherwise(perturb.remapped_answer(F.col("answer"), entity)).alias("answer"))
+    return C.remapped_faults(old, new, ["qid"], entity, relation).select("qid", F.array_join("problems", ",").alias("problems"))
+
+
+_GROUPED = ", ".join(f"('{g}', '{q}')" for g, qs in summaries.GROUPS.items() for q in qs)
+_MEMBER = f"(SELECT 'qtype' AS level, q AS name, q AS qtype FROM (VALUES {', '.join(f'({chr(39)}{q}{chr(39)})' for q in _TYPES)}) t(q) UNION ALL SELECT 'group', g, q FROM (VALUES {_GROUPED}) t(g, q))"
+
+
+@query(_REC + f""", m AS {_MEMBER}, s AS (SELECT model, qtype, sample, count(*) AS n, sum(f1) AS f1, min(exact_match) AS lo, min(CAST(recall = 1 AS INTEGER)) AS rc, max(CASE WHEN method = 'isolated' THEN exact_match ELSE 0 END) AS fin FROM records GROUP BY ALL)
+SELECT model, level, name, CAST(sum(n) AS BIGINT) AS stages, round(sum(f1) / sum(n), 6) AS f1, count(*) AS samples, round(avg(lo), 6) AS all_exact_rate, round(avg(rc), 6) AS all_contained_rate, count(*) FILTER (rc = 1 AND lo = 0) AS recoverable,
+ coalesce(CAST(round(avg(fin) FILTER (rc = 1 AND lo = 0), 4) AS VARCHAR), 'NaN') AS recovery_rate, coalesce(CAST(round(avg(fin) FILTER (rc = 1), 4) AS VARCHAR), 'NaN') AS final_given_contained FROM s JOIN m USING (qtype) GROUP BY model, level, name""")
+def mechanism_summary(spark, sf):
+    """Means over stages beside conditional rates over samples, by topology and by group of topologies."""
+    r = records(spark, sf).select("model", "qtype", "sample", F.col("method").alias("stage"), F.col("exact_match").alias("exact"), (F.col("recall") == 1).cast("int").alias("contained"), F.when(F.col("method") == "isolated", F.col("exact_match")).otherwise(0).alias("final_exact"), "f1")
+    m = summaries.mechanism(r, ["model"], ["f1"])
+    text = lambda c: F.when(F.isnan(c), "NaN").otherwise(F.round(c, 4).cast("string")).alias(c)
+    return m.select("model", "level", "name", "stages", _R6(F.col("f1"), "f1"), "samples", _R6(F.col("all_exact_rate"), "all_exact_rate"), _R6(F.col("all_contained_rate"), "all_contained_rate"), "recoverable", text("recovery_rate"), text("final_given_contained"))
+
+
+@query(_REC + f""", m AS {_MEMBER}, p AS (SELECT a.model, a.qtype, a.sample, a.f1 AS left_f1, b.f1 AS right_f1 FROM records a JOIN records b USING (model, qtype, sample) WHERE a.method = 'decomposed' AND b.method = 'isolated')
+SELECT model, level, name, count(*) AS n, round(avg(left_f1), 6) AS left_f1, round(avg(right_f1), 6) AS right_f1, round(avg(right_f1) - avg(left_f1), 6) AS delta_f1, count(*) FILTER (right_f1 - left_f1 > 1e-12) AS better, count(*) FILTER (right_f1 - left_f1 < -1e-12) AS worse, count(*) FILTER (abs(right_f1 - left_f1) <= 1e-12) AS equal FROM p JOIN m USING (qtype) GROUP BY model, level, name""")
+def method_comparison(spark, sf):
+    """Two methods on the same samples, by topology and by group of topologies."""
+    c = summaries.compared(records(spark, sf), ["model"], "decomposed", "isolated", ["f1"])
+    return c.select("model", "level", "name", "n", *[_R6(F.col(x), x) for x in ("left_f1", "right_f1", "delta_f1")], "better", "worse", "equal")
