@@ -20,9 +20,9 @@ once, so a span that stands in a third of all documents costs a few entries per
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +32,17 @@ from .scratch import map_batches, stored, table
 RUN, WORDS = 3, 30
 LONG, WINDOW = 30, 12
 _SEAM = re.compile(r"[.!?,]['\")\]]*\s+|\s*\n\s*")
-#: A word: a run without white space, or one character of Thai, Lao, Burmese, Khmer, kana or Han.
-_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+#: Thai, Lao, Burmese, Khmer, kana and Han, of which each character is a word.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_BLANK, _ALONE = 1, 2
+#: What each code point is: part of a word, white space, or a word by itself.
+_KIND = np.zeros(0x110000, np.uint8)
+_KIND[[c for c in range(0x3001) if chr(c).isspace()]] = _BLANK
+for _first, _last in _UNSPACED:
+    _KIND[_first : _last + 1] = _ALONE
 _MIX, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 #: Spans and texts that a task holds before it passes them on.
-FLUSH, TEXTS = 1 << 19, 1 << 15
+FLUSH, TEXTS = 1 << 19, 1 << 14
 #: A span: two hashes, its text's id and half of its hash, its start and its length, LONGER standing for more; NULL marks a text without an id.
 _SPAN = np.dtype([("h", "<u8"), ("x", "<u4"), ("id", "<i8"), ("t", "<u4"), ("a", "<u4"), ("n", "<u2")])
 LONGER, NULL = 0x7FFF, 0x8000
@@ -45,10 +50,18 @@ LONGER, NULL = 0x7FFF, 0x8000
 _TEXT = 0xFFFFFFFF
 
 
-def units(text: str) -> tuple[list[int], list[int]]:
-    """Start and end of each word: what spans are made of."""
-    both = [m.span() for m in _WORD.finditer(text)]
-    return [a for a, _ in both], [b for _, b in both]
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def units(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of a text's code points: what spans are made of."""
+    kind = _KIND[points]
+    word, alone = kind != _BLANK, kind == _ALONE
+    joins = word & ~alone
+    before, after = np.zeros(len(kind), bool), np.zeros(len(kind), bool)
+    before[1:], after[:-1] = joins[:-1], joins[1:]
+    return np.flatnonzero(word & (alone | ~before)), np.flatnonzero(word & (alone | ~after)) + 1
 
 
 def sentences(text: str) -> tuple[list[int], list[int]]:
@@ -68,12 +81,13 @@ def sentences(text: str) -> tuple[list[int], list[int]]:
 def spans(text: str | None, run: int = RUN, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, other hash, start, end) of each span of a text; none for null, blank or shorter texts."""
     text = text or ""
-    at, to = (np.array(x, np.int64) for x in units(text))
+    points = _points(text)
+    at, to = units(points)
     m = len(at)
     if not m:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    memo = _Hashes()
-    hashes = np.array([memo[text[a:b]] for a, b in zip(at.tolist(), to.tolist(), strict=True)], np.uint64)
+    with np.errstate(over="ignore"):
+        hashes = _rolling((points + np.uint64(1)) * np.uint64(_OTHER), _MIX)(at, to)
     hashed, other = _rolling(hashes, _MIX), _rolling(hashes ^ (hashes >> np.uint64(29)), _OTHER)
     starts, ends = sentences(text)
     n = len(starts)
@@ -110,12 +124,20 @@ def spans(text: str | None, run: int = RUN, words: int = WORDS) -> tuple[np.ndar
     return hashed(first, last), (other(first, last) >> np.uint64(32)).astype(np.uint32), a, b
 
 
+@lru_cache(64)
+def _powers(mix: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse modulo 2^64, up to ``size``."""
+    with np.errstate(over="ignore"):
+        up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, mix, np.uint64)]))
+        return up, np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, pow(mix, -1, 1 << 64), np.uint64)]))
+
+
 def _rolling(hashes: np.ndarray, mix: int):
     """A function that hashes words i .. j - 1: sums of hash * power, divided by the first power, are the same wherever a run stands."""
     m = len(hashes)
+    size = max(1 << 10, 1 << m.bit_length())
+    powers, back = _powers(mix, size) if size <= 1 << 20 else _powers.__wrapped__(mix, m)  # tables of very long texts aren't kept
     with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, mix, np.uint64)]))
-        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, pow(mix, -1, 1 << 64), np.uint64)]))
         sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * powers[:m])])
 
     def hashed(i, j):
@@ -127,14 +149,6 @@ def _rolling(hashes: np.ndarray, mix: int):
     return hashed
 
 
-class _Hashes(dict):
-    """Hashes of words, each made once."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _packed(found: np.ndarray, ends: np.ndarray) -> bytes:
     """Spans by byte planes, field after field: what ids, starts and lengths have in common, mostly zeros, lies together and is compressed on disk and on the wire."""
     length = ends - found["a"].astype(np.int64)
