@@ -701,3 +701,47 @@ def method_comparison(spark, sf):
     """Two methods on the same samples, by topology and by group of topologies."""
     c = summaries.compared(records(spark, sf), ["model"], "decomposed", "isolated", ["f1"])
     return c.select("model", "level", "name", "n", *[_R6(F.col(x), x) for x in ("left_f1", "right_f1", "delta_f1")], "better", "worse", "equal")
+
+
+# --- parses to prompts ---
+
+
+def _parse_prompts_sql() -> str:
+    plans = {
+        "1p": (3, O.plan(["20000000 + qid"], [1], "who")), "2p": (4, O.plan(["20000000 + qid"], [1, 2], "who")), "2i": (5, O.plan(["20000000 + qid", "region"], [1, 9], "who")),
+    }
+    parts = []
+    for q, (kind, sql) in plans.items():
+        who = f"who AS (SELECT CAST(c_custkey AS BIGINT) AS qid, n_regionkey AS region FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 6 = {kind})"
+        made = lambda select, *more: O.query(q, f"{who}, {sql}", select, *more, base=False)  # noqa: B023, E731
+        steps = O.step_questions(q)
+        for name, text in (
+            ("single", made(_SINGLE.format(q=O.question(q)).replace("SELECT qid,", "SELECT qid, 0 AS step,", 1), _TEXTS)), ("decomposed", made(f"{_STEP_SELECT} FROM texts JOIN ({steps}) USING (qid)", _TEXTS)),
+            ("isolated", made(f"{_STEP_SELECT} FROM ({O.STEP_TEXTS}) JOIN ({steps}) USING (qid, step)", O.step_sql(q))),
+        ):
+            parts.append(f"SELECT qid, '{q}' AS qtype, '{name}' AS kind, CAST(step AS INTEGER) AS step, prompt, CAST(NULL AS VARCHAR) AS failure FROM ({text})")
+    parts.append("SELECT c_custkey, NULL, NULL, NULL, NULL, ['invalid_json', 'entity_not_found', 'relation_not_found'][c_custkey % 6 + 1] FROM customer WHERE c_custkey % 6 < 3")
+    return " UNION ALL ".join(parts)
+
+
+_STEP_SELECT = "SELECT qid, step, '" + P.STEP_PREMISE + "' || triples || '\n\n" + P.QUESTION + "' || question || '" + P.INSTRUCTION + "' AS prompt"
+
+
+@query(_parse_prompts_sql())
+def parse_prompts(spark, sf):
+    """A parser's output for each customer to prompts: half of them fail, at reading, at an anchor or at a relation."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    rows = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    kind = F.col("c_custkey") % 6
+    hop = lambda name, way="forward": F.struct(F.lit(name).alias("relation"), F.lit(way).alias("direction"))
+    branch = lambda anchor, *hops: F.struct(anchor.alias("anchor"), F.array(*hops).alias("path"))
+    who = F.upper("c_name")
+    said = F.when(kind == 0, F.lit("{")).when(kind == 1, G.formatted(F.lit("1p"), F.array(branch(F.lit("nobody"), hop("rel1"))))).when(kind == 2, G.formatted(F.lit("1p"), F.array(branch(who, hop("likes")))))
+    said = said.when(kind == 3, G.formatted(F.lit("1p"), F.array(branch(who, hop("Rel1"))))).when(kind == 4, G.formatted(F.lit("2p"), F.array(branch(who, hop("rel1"), hop("REL2")))))
+    said = said.otherwise(G.formatted(F.lit("2i"), F.array(branch(who, hop("rel1")), branch(F.col("r_name"), hop("rel2", "backward")))))
+    outputs = rows.select(F.col("c_custkey").cast("long").alias("qid"), said.alias("text"))
+    named = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.concat(F.lit("Q"), (20_000_000 + F.col("c_custkey")).cast("string")).alias("id")).union(r.select("r_name", F.concat(F.lit("Q"), F.col("r_regionkey").cast("string"))))
+    names = named.select(G.name_key("name").alias("key"), "id").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    edges = knowledge(spark, sf)
+    relations = edges.select(F.col("predicate").alias("key")).distinct().select("key", F.array("key").alias("spellings"))
+    return K.parse_prompts(outputs, names, relations, edges, relation_ids(edges))
