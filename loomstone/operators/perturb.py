@@ -36,7 +36,7 @@ def _pool(kg: DataFrame, most: int, seed: str) -> DataFrame:
 
 
 def _drawn(want: DataFrame, pool: DataFrame, heads: DataFrame, same: bool, seed: str, barred: DataFrame | None = None) -> DataFrame:
-    """(qid, step, away, h, r, t): the first ``take`` triples of each phase, by how many buckets they are away from the phase's first and then in hash order.
+    """(qid, step, n, h, r, t): the first ``take`` triples of each phase, numbered, by how many buckets they are away from the phase's first and then in hash order.
 
     ``same``: of the phase's relation from other heads; else from other heads by other relations.  With ``barred``,
     triples of phases that were drawn before, anything but the phase's own evidence counts that wasn't.  Phases look
@@ -60,7 +60,7 @@ def _drawn(want: DataFrame, pool: DataFrame, heads: DataFrame, same: bool, seed:
             own = heads.withColumn("own", F.lit(True))
             found = found.join(own, ["qid", "step", "h"], "left").where("own IS NULL OR r <> relation").drop("own").join(barred, ["qid", "step", "h", "r", "t"], "left_anti")
         w = Window.partitionBy("qid", "step").orderBy("away", order(seed, "qid", "step", "h", "r", "t"), "h", "r", "t")
-        return found.withColumn("n", F.row_number().over(w)).where("n <= take").select("qid", "step", "away", "h", "r", "t")
+        return found.withColumn("n", F.row_number().over(w)).where("n <= take").select("qid", "step", "n", "h", "r", "t")
 
     near = met(phases, F.least(F.lit(SPAN), F.col("buckets")) - 1)
     enough = near.groupBy("qid", "step").agg(F.count("*").alias("got"))
@@ -68,32 +68,100 @@ def _drawn(want: DataFrame, pool: DataFrame, heads: DataFrame, same: bool, seed:
     return near.join(short.select("qid", "step"), ["qid", "step"], "left_anti").unionByName(met(short, F.col("buckets") - 1))
 
 
-def distractors(steps: DataFrame, kg: DataFrame, phases: DataFrame, ratio: float, least: int = 1, most: int = 30, seed: str = "42") -> DataFrame:
-    """(qid, step, class, h, r, t): triples that look like a phase's evidence and aren't.
+def _sized(steps: DataFrame, phases: DataFrame) -> DataFrame:
+    """(qid, step, relation, size): phases with evidence, and how many triples of it."""
+    own = steps.groupBy("qid", "step").agg(F.countDistinct("h", "r", "t").alias("size"))
+    return phases.where("relation IS NOT NULL").select("qid", "step", "relation").join(own, ["qid", "step"]).select("qid", "step", "relation", "size")
 
-    ``phases`` has (qid, step, relation); a phase without a relation gets none.  A third each, what is left over one
-    by one to the first, comes from: the same heads by another relation (1); the same relation from other heads
-    (2); any other heads by any other relation (3).  What a class lacks is filled with anything that isn't the
-    phase's own heads by its relation (0).  Everything is drawn in hash order, from buckets of the graph, so a phase
-    meets some triples and not the whole graph, and finds whatever the graph has.
-    """
+
+def _quota(c: int) -> Column:
+    """How many of ``n`` distractors class ``c`` gives: a third, what is left over one by one to the first classes."""
+    return (F.floor(F.col("n") / 3) + F.when(F.col("n") % 3 >= c, 1).otherwise(0)).cast("int")
+
+
+def _ranked(sized: DataFrame, steps: DataFrame, kg: DataFrame, most: int, seed: str) -> DataFrame:
+    """(qid, step, class, n, h, r, t): distractors of phases (qid, step, relation, n), numbered within phase and class; see ``distractors``."""
     keys = ["qid", "step", "h", "r", "t"]
-    own = steps.groupBy("qid", "step").agg(F.countDistinct("h", "r", "t").alias("size"))
-    sized = phases.where("relation IS NOT NULL").select("qid", "step", "relation").join(own, ["qid", "step"]).select("qid", "step", "relation", noise_size(F.col("size"), ratio, least, most).alias("n")).where("n > 0")
-    quota = lambda c: (F.floor(F.col("n") / 3) + F.when(F.col("n") % 3 >= c, 1).otherwise(0)).cast("int")
-    want = written(sized.select("*", *[quota(c).alias(f"take{c}") for c in (1, 2, 3)]), "phases")
+    want = written(sized.where("n > 0").select("qid", "step", "relation", "n", *[_quota(c).alias(f"take{c}") for c in (1, 2, 3)]), "phases")
     of = lambda c: want.select("qid", "step", "relation", F.col(f"take{c}").alias("take"))
     heads = written(steps.select("qid", "step", "h").distinct().join(want.select("qid", "step"), ["qid", "step"], "left_semi"), "heads")
     pool = written(_pool(kg, most, seed), "pool")
     same_head = heads.join(of(1), ["qid", "step"]).join(pool.select("h", "r", "t"), "h").where("r <> relation")
     w = Window.partitionBy("qid", "step").orderBy(order(seed, *keys), "h", "r", "t")
-    first = same_head.withColumn("n", F.row_number().over(w)).where("n <= take").select(F.lit(1).alias("class"), *keys)
-    classes = [first] + [_drawn(of(c), pool, heads, c == 2, seed).select(F.lit(c).alias("class"), *keys) for c in (2, 3)]
+    first = same_head.withColumn("n", F.row_number().over(w)).where("n <= take").select(F.lit(1).alias("class"), "n", *keys)
+    classes = [first] + [_drawn(of(c), pool, heads, c == 2, seed).select(F.lit(c).alias("class"), "n", *keys) for c in (2, 3)]
     drawn = written(reduce(DataFrame.unionByName, classes), "drawn")
     got = drawn.groupBy("qid", "step").agg(F.count("*").alias("got"))
     lack = want.join(got, ["qid", "step"], "left").select("qid", "step", "relation", (F.col("n") - F.coalesce("got", F.lit(0))).cast("int").alias("take"))
-    rest = _drawn(lack, pool, heads, False, seed, barred=drawn.select(*keys)).select(F.lit(0).alias("class"), *keys)
-    return drawn.unionByName(rest).select("qid", "step", "class", "h", "r", "t")
+    rest = _drawn(lack, pool, heads, False, seed, barred=drawn.select(*keys)).select(F.lit(0).alias("class"), "n", *keys)
+    return drawn.unionByName(rest)
+
+
+def distractors(steps: DataFrame, kg: DataFrame, phases: DataFrame, ratio: float, least: int = 1, most: int = 30, seed: str = "42") -> DataFrame:
+    """(qid, step, class, h, r, t): triples that look like a phase's evidence and aren't.
+
+    ``phases`` has (qid, step, relation); a phase without a relation gets none.  A third each, what is left over one
+    by one to the first, comes from: the same heads by another relation (1); the same relation from other heads
+    (2); any other heads by any other relation (3).  What a class lacks is filled with anything that isn't the
+    phase's own heads by its relation (0).  Everything is drawn in hash order, from buckets of the graph, so a phase
+    meets some triples and not the whole graph, and finds whatever the graph has.
+    """
+    sized = _sized(steps, phases).withColumn("n", noise_size(F.col("size"), ratio, least, most))
+    return _ranked(sized, steps, kg, most, seed).select("qid", "step", "class", "h", "r", "t")
+
+
+def noise_log(steps: DataFrame, kg: DataFrame, phases: DataFrame, ratios: list[float], least: int = 1, most: int = 30, seed: str = "42") -> DataFrame:
+    """(ratio, qid, step, class, h, r, t): the distractors of several ratios from one draw.
+
+    The largest ratio is drawn, numbered within phase and class; a smaller ratio takes the first of each class, and of
+    the fillers as many as its classes lack.  So each ratio's distractors are among those of the next, and at the
+    largest they are those of ``distractors``.  A ratio of 0 has no rows.
+    """
+    asked = sorted(set(ratios))
+    sized = written(_sized(steps, phases), "sizes")
+    size = lambda x: noise_size(F.col("size"), x, least, most)
+    drawn = written(_ranked(sized.withColumn("n", size(asked[-1])), steps, kg, most, seed), "ranked")
+    each = sized.select("qid", "step", F.inline(F.array(*[F.struct(F.lit(float(x)).alias("ratio"), size(x).cast("int").alias("n")) for x in asked])))
+    each = each.select("ratio", "qid", "step", "n", *[_quota(c).alias(f"take{c}") for c in (1, 2, 3)])
+    held = drawn.groupBy("qid", "step").agg(*[F.count_if(F.col("class") == c).alias(f"held{c}") for c in (1, 2, 3)])
+    short = each.join(held, ["qid", "step"]).withColumn("take0", F.col("n") - sum(F.least(f"take{c}", f"held{c}") for c in (1, 2, 3)))
+    takes = short.select("ratio", "qid", "step", F.array(*[F.col(f"take{c}").cast("int") for c in range(4)]).alias("takes"))
+    return takes.join(drawn, ["qid", "step"]).where(F.col("n") <= F.get("takes", F.col("class"))).select("ratio", "qid", "step", "class", "h", "r", "t")
+
+
+def noisy_prompts(plan: DataFrame, steps: DataFrame, log: DataFrame, ratios: list[float], qtype: str) -> DataFrame:
+    """(ratio, qid, kind, step, prompt): the three kinds of prompts at every ratio, their evidence and its distractors in one order. ``single`` has step 0; a ratio of 0 has the evidence alone."""
+    from ..plans.evidence import query_texts, step_texts_of
+    from ..plans.prompts import decomposed_prompts, isolated_prompts, single_prompts
+
+    each = F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(ratios))]))
+    by = lambda df: df.withColumn("qid", F.struct("ratio", "qid")).drop("ratio")  # noqa: E731  a query at a ratio is a query of its own
+    p = written(by(plan.withColumn("ratio", each)), "plans")
+    clean = steps.select("qid", "step", "h", "r", "t").withColumn("ratio", each)
+    rows = written(by(clean.unionByName(log.select("ratio", "qid", "step", "h", "r", "t"))), "noisy")
+    whole = query_texts(p, rows.select("qid", "h", "r", "t").distinct())
+    kinds = [("single", single_prompts(p, whole, qtype).withColumn("step", F.lit(0))), ("decomposed", decomposed_prompts(p, whole, qtype)), ("isolated", isolated_prompts(p, step_texts_of(p, rows, qtype), qtype))]
+    return reduce(DataFrame.union, [rows_.select("qid.ratio", "qid.qid", F.lit(kind).alias("kind"), F.col("step").cast("int").alias("step"), "prompt") for kind, rows_ in kinds])
+
+
+def reretrieved(qtype: str, plan: DataFrame, changed: DataFrame, kg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers (qid, before, after), evidence (qid, h, r, t)) of a plan whose relations were changed: gold stays that of the old plan, evidence is that of the new one.
+
+    Only queries of which a slot has changed are run again; the others keep what the old plan found.
+    """
+    from ..plans.ir import topology
+    from ..plans.lowering import Lowered, answer_sets
+
+    slots = [c for c in plan.columns if c != "qid"]
+    was, now = written(plan, "plan"), written(changed.select(*plan.columns), "changed")
+    new = now.join(was.select("qid", *[F.col(c).alias(f"was_{c}") for c in slots]), "qid").where(" OR ".join(f"NOT ({c} <=> was_{c})" for c in slots)).select(*plan.columns)
+    new = written(new, "moved")
+    before, after = Lowered(topology(qtype), was, kg, stored=True), Lowered(topology(qtype), new, kg, stored=True)
+    gold = written(answer_sets(was, before.answers()), "gold")
+    again = answer_sets(new, after.answers())
+    answers = gold.select("qid", F.col("answer").alias("before")).join(again.select("qid", F.col("answer").alias("again")), "qid", "left").select("qid", "before", F.coalesce("again", "before").alias("after"))
+    kept = before.evidence().join(new.select("qid"), "qid", "left_anti")
+    return answers, kept.select("qid", "h", "r", "t").union(after.evidence().select("qid", "h", "r", "t"))
 
 
 def with_noise(steps: DataFrame, noise: DataFrame) -> DataFrame:

@@ -48,8 +48,13 @@ def evidence_text(h: str = "h", r: str = "r", t: str = "t") -> Column:
 
 def step_texts(plan: DataFrame, evidence: DataFrame, qtype: str) -> DataFrame:
     """(qid, step, triples): one row for every step of every query, with empty text where a step has no triples."""
+    return step_texts_of(plan, step_rows(plan, evidence, qtype), qtype)
+
+
+def step_texts_of(plan: DataFrame, rows: DataFrame, qtype: str) -> DataFrame:
+    """``step_texts`` from rows (qid, step, h, r, t) that have their steps already."""
     every = plan.select("qid", F.explode(F.sequence(F.lit(1), F.lit(len(STEPS[qtype])))).alias("step"))
-    texts = step_rows(plan, evidence, qtype).groupBy("qid", "step").agg(evidence_text().alias("triples"))
+    texts = rows.groupBy("qid", "step").agg(evidence_text().alias("triples"))
     return every.join(texts, ["qid", "step"], "left").select("qid", "step", F.coalesce("triples", F.lit("")).alias("triples"))
 
 

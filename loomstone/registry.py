@@ -585,6 +585,60 @@ def distractors(spark, sf):
     return perturb.distractors(steps, order_graph(spark, sf), phases, 1.0, _LEAST, _MOST, _SEED)
 
 
+_RATIOS = [0.0, 0.05, 0.2, 1.0]
+
+
+def _noise_sql() -> str:
+    """Draws at the largest ratio, numbered, and each ratio's share of them; 2p."""
+    base_ = _distractor_sql()
+    ranked = base_.replace("SELECT 1 AS class, {key}".format(key="qid, step, h, r, t"), "SELECT 1 AS class, k, qid, step, h, r, t").replace("SELECT 2 AS class, qid", "SELECT 2 AS class, k, qid").replace("SELECT 3 AS class, qid", "SELECT 3 AS class, k, qid").replace("SELECT 0 AS class, qid", "SELECT 0 AS class, k, qid")
+    values = ", ".join(f"({x})" for x in _RATIOS)
+    return ranked + f""",
+sized AS (SELECT qid, step, count(DISTINCT (h, r, t)) AS size FROM steps GROUP BY ALL),
+each AS (SELECT *, n // 3 + CASE WHEN n % 3 >= 1 THEN 1 ELSE 0 END AS take1, n // 3 + CASE WHEN n % 3 >= 2 THEN 1 ELSE 0 END AS take2, n // 3 AS take3 FROM (SELECT ratio, qid, step, CAST(CASE WHEN ratio = 0 THEN 0 ELSE least({_MOST}, greatest({_LEAST}, ceil(size * ratio))) END AS INTEGER) AS n FROM sized, (VALUES {values}) v(ratio))),
+held AS (SELECT qid, step, count(*) FILTER (class = 1) AS h1, count(*) FILTER (class = 2) AS h2, count(*) FILTER (class = 3) AS h3 FROM drawn GROUP BY ALL),
+takes AS (SELECT each.*, n - least(take1, h1) - least(take2, h2) - least(take3, h3) AS take0 FROM each JOIN held USING (qid, step)),
+every_ AS (SELECT class, k, qid, step, h, r, t FROM drawn UNION ALL SELECT class, k, qid, step, h, r, t FROM rest)"""
+
+
+@query(O.query("2p", plan_sql("2p"), "SELECT CAST(ratio AS DOUBLE) AS ratio, qid, step, class, h, r, t FROM takes JOIN every_ USING (qid, step) WHERE k <= CASE class WHEN 0 THEN take0 WHEN 1 THEN take1 WHEN 2 THEN take2 ELSE take3 END", O.step_sql("2p"), _noise_sql(), base=False))
+def noise_ratios(spark, sf):
+    """Distractors for each hop of the 2p batch at four ratios from one draw, each ratio's among the next's."""
+    p = plan(spark, sf, "2p")
+    steps = E.step_rows(p, evidence(spark, sf, "2p"), "2p")
+    phases = p.select("qid", F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"r{i}").alias("relation")) for i in (1, 2)])))
+    return perturb.noise_log(steps, order_index(spark, sf), phases, _RATIOS, _LEAST, _MOST, _SEED)
+
+
+@query(O.query("2p", plan_sql("2p"), "SELECT CAST(ratio AS DOUBLE) AS ratio, qid, kind, CAST(step AS INTEGER) AS step, triples FROM noisy", O.step_sql("2p"), _noise_sql(), "picked AS (SELECT ratio, qid, step, h, r, t FROM takes JOIN every_ USING (qid, step) WHERE k <= CASE class WHEN 0 THEN take0 WHEN 1 THEN take1 WHEN 2 THEN take2 ELSE take3 END UNION SELECT ratio, qid, step, h, r, t FROM steps, (VALUES " + ", ".join(f"({x})" for x in _RATIOS) + ") v(ratio)), asked AS (SELECT ratio, qid, s AS step FROM plan, (VALUES " + ", ".join(f"({x})" for x in _RATIOS) + ") v(ratio), (VALUES (1), (2)) w(s)), whole AS (SELECT a.ratio, a.qid, count(DISTINCT (h, r, t)) AS triples FROM (SELECT DISTINCT ratio, qid FROM asked) a LEFT JOIN picked USING (ratio, qid) GROUP BY ALL), own AS (SELECT a.ratio, a.qid, a.step, count(DISTINCT (h, r, t)) AS triples FROM asked a LEFT JOIN picked USING (ratio, qid, step) GROUP BY ALL), noisy AS (SELECT ratio, qid, 'single' AS kind, 0 AS step, triples FROM whole UNION ALL SELECT ratio, qid, 'decomposed', step, triples FROM whole JOIN asked USING (ratio, qid) UNION ALL SELECT ratio, qid, 'isolated', step, triples FROM own)", base=False))
+def noise_prompts(spark, sf):
+    """The three kinds of prompts of the 2p batch at four ratios: how many triples each shows."""
+    p = plan(spark, sf, "2p")
+    steps = written(E.step_rows(p, evidence(spark, sf, "2p"), "2p"), "steps")
+    phases = p.select("qid", F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"r{i}").alias("relation")) for i in (1, 2)])))
+    log = perturb.noise_log(steps, order_index(spark, sf), phases, _RATIOS, _LEAST, _MOST, _SEED)
+    shown = perturb.noisy_prompts(p, steps, log, _RATIOS, "2p")
+    return shown.select("ratio", "qid", "kind", "step", F.size(X.triples(X.before(F.col("prompt"), P.QUESTION))).cast("long").alias("triples"))
+
+
+_MOVED_SQL = ", ".join(f"CAST(CASE WHEN {_unit_sql(f'7/flip/r{i}')} < 0.5 THEN (r{i} - 1 + 1 + CAST(floor({_unit_sql(f'7/pick/r{i}')} * 13) AS INTEGER)) % 14 + 1 ELSE r{i} END AS INTEGER) AS r{i}" for i in (1, 2))
+
+
+def _run_sql(select: str, source: str) -> str:
+    return f"(WITH plan AS (SELECT * FROM {source}), {', '.join(O.lowered('2i')[0])} {select})"
+
+
+@query("WITH " + ", ".join([O.KG, O.BASE, plan_sql("2i").replace("plan AS", "first_ AS", 1), f"moved AS (SELECT qid, e1, e2, {_MOVED_SQL} FROM first_)"]) + f""", a AS (SELECT qid, string_agg(CAST(ent AS VARCHAR), ',' ORDER BY ent) AS s FROM {_run_sql('SELECT DISTINCT qid, ent FROM answers', 'first_')} GROUP BY qid),
+b AS (SELECT qid, string_agg(CAST(ent AS VARCHAR), ',' ORDER BY ent) AS s FROM {_run_sql('SELECT DISTINCT qid, ent FROM answers', 'moved')} GROUP BY qid), e AS (SELECT qid, count(*) AS n FROM {_run_sql('SELECT qid, h, r, t FROM evidence', 'moved')} GROUP BY qid)
+SELECT first_.qid, coalesce(a.s, '') AS before, coalesce(b.s, '') AS after, coalesce(e.n, 0) AS triples FROM first_ LEFT JOIN a USING (qid) LEFT JOIN b USING (qid) LEFT JOIN e USING (qid)""")
+def corrupted_retrieval(spark, sf):
+    """The batch of intersections with corrupted relations: gold answers, what the changed queries answer, and how much evidence they have."""
+    p = plan(spark, sf, "2i")
+    answers, found = perturb.reretrieved("2i", p, perturb.corrupted(p, ["r1", "r2"], _POOL, 0.5), order_index(spark, sf))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return answers.join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").select("qid", text("before"), text("after"), F.coalesce("n", F.lit(0)).alias("triples"))
+
+
 # --- overlap audits ---
 
 

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,11 +118,27 @@ def run_staged(prompts: DataFrame, model: Callable[[list[str]], list[str]], cont
     return state
 
 
+def finished(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """(qid) of the samples that a run's output has; None where there is no output yet."""
+    try:
+        return spark.read.parquet(out_dir).select("qid").distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def run_incremental(spark: SparkSession, prompt_dir: str, schema: str, out_dir: str, model: Callable[[list[str]], list[str]], checkpoint: str) -> None:
-    """Runs every sample that has come into a folder of prompt files since the last run; the stream's checkpoint remembers what has been read, so a sample runs once."""
+    """Runs every sample that has come into a folder of prompt files since the last run.
+
+    The stream's checkpoint remembers which files have been read, the output which samples are done: a batch leaves out
+    what the output has and is added to it in one commit.  So a sample runs once, also when it comes again in a
+    later file, when a batch is repeated after a loss, and when the checkpoint is lost.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        run_staged(df, model).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        new = df.dropDuplicates(["qid", "step"])
+        run_staged(new, model, done=finished(spark, out_dir)).withColumn("batch", F.lit(number)).write.mode("append").partitionBy("batch").parquet(out_dir)
 
     stream = spark.readStream.schema(schema).json(prompt_dir)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from .sources import files
 from .sources import records as R
 from .sources.graph import INVERSE, relation_ids
 from .streaming.dynamic import run_dynamic
-from .streaming.staged import shared_folder
+from .streaming.staged import run_incremental, shared_folder
 
 # --- a directed knowledge base made of the order graph ---
 
@@ -745,3 +746,18 @@ def parse_prompts(spark, sf):
     edges = knowledge(spark, sf)
     relations = edges.select(F.col("predicate").alias("key")).distinct().select("key", F.array("key").alias("spellings"))
     return K.parse_prompts(outputs, names, relations, edges, relation_ids(edges))
+
+
+def _measure(prompts: list[str]) -> list[str]:
+    return [f"Answer: {len(p)}" for p in prompts]
+
+
+@query("SELECT conv_id * 1000 + turn AS qid, CAST(length(text) AS VARCHAR) AS answer, CAST(turn % 2 AS INTEGER) AS arrival FROM conversations")
+def incremental_run(spark, sf):
+    """Every turn of the conversations as a sample, in two arrivals: the even turns, then all turns. The second run leaves out what the first has done."""
+    where = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.lit(1).alias("step"), F.col("text").alias("prompt"))
+    for arrived in (rows.where("qid % 2 = 0"), rows):
+        arrived.write.mode("append").json(f"{where}/prompts")
+        run_incremental(spark, f"{where}/prompts", "qid long, step int, prompt string", f"{where}/out", _measure, f"{where}/checkpoint")
+    return spark.read.parquet(f"{where}/out").select("qid", F.element_at("answers", 1).alias("answer"), F.col("batch").alias("arrival"))
