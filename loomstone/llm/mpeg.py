@@ -11,6 +11,7 @@ after an ID3v2 tag and a Xing frame.  A decoder plays silence; nothing of the pa
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import accumulate
 from functools import lru_cache
 
 #: Fixed values of the format: kbit/s by index 1..14, for (version 1, layer) and for versions 2 and 2.5.
@@ -193,18 +194,22 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
         count, scale, width = number(18, 20), number(20, 22), number(22, 24)
         steps = [number(26 + i * width, 26 + (i + 1) * width) * scale for i in range(count)] if at + 62 + count * width <= len(data) else []
         # The table has the bytes of each stretch of frames; places are their sums.
-        return {"kind": "VBRI", "bytes": number(10, 14), "frames": number(14, 18), "frames_per_entry": number(24, 26), "toc": [sum(steps[:i]) for i in range(len(steps))]}
+        return {"kind": "VBRI", "bytes": number(10, 14), "frames": number(14, 18), "frames_per_entry": number(24, 26), "toc": list(accumulate(steps[:-1], initial=0)) if steps else []}
     return None
 
 
+#: Bytes that a free-format frame has at most: 640 kbit/s at 8 kHz take 11,520 with the largest slots.
+FREE_MOST = 16_384
+
+
 def _free(data: bytes, at: int, end: int, h: Header) -> int:
-    """Length of a free-format frame: up to the next header of the same kind."""
-    p = at + 24
-    while (p := data.find(b"\xff", p, end)) >= 0:
+    """Length of a free-format frame: up to the next header of the same kind, or to the data's end; 0 if neither is near enough."""
+    p, stop = at + 24, min(end, at + FREE_MOST + 4)
+    while (p := data.find(b"\xff", p, stop)) >= 0:
         if (n := header(data[p : p + 4])) and n.like(h) and not n.kbps:
             return p - at
         p += 1
-    return end - at
+    return end - at if end - at <= FREE_MOST else 0
 
 
 def parse(data: bytes) -> Audio:

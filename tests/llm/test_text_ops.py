@@ -563,3 +563,27 @@ def test_surrogates_keep_form(spark):
         if x.kind == "card":
             luhn = lambda s: sum(sum(divmod(int(c) * (2 - i % 2), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(s)) % 10 == 0
             assert luhn(x.put.replace(" ", "")) == luhn(was.replace(" ", ""))
+
+
+def test_ids_with_both_labels_and_null_ids(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1, 40)] + [(None, "no id"), (3, "a text of the same id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(2, 1), (4, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    held = {x.doc_id for x in docs.select("doc_id", labelled.held_out().alias("h")).where("h").collect()}
+    assert held == {i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5 == 0}
+    texts, y = labelled.sample(docs.repartition(3), labels.repartition(3), "toxic", 100, 1000)
+    want = {("a text of the same id" if i == 3 else f"text {i}"): float(i % 2 or i in (2, 4)) for i in range(1, 40) if i not in held}
+    assert dict(zip(texts, y.tolist(), strict=True)) == want
+
+
+def test_tables_of_many_steps_and_stray_free_frames():
+    import time
+
+    count = 60_000
+    steps = bytes(b for i in range(count) for b in (i % 7).to_bytes(2, "big"))
+    frame = bytes([0xFF, 0xFB, 0x94, 0xC4]) + bytes(32) + b"VBRI" + bytes([0, 1, 0, 0, 0, 0]) + bytes(8) + count.to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + steps
+    began = time.time()
+    toc = mpeg._table(frame, 0, mpeg.header(frame[:4]))["toc"]
+    assert len(toc) == count and toc[0] == 0 and toc[8] == sum(i % 7 for i in range(8))
+    stray = bytes([0xFF, 0xFB, 0x00, 0xC4]) + b"\x55" * 200
+    mpeg.parse(stray * 20_000)
+    assert time.time() - began < 20
