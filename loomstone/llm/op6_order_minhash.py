@@ -1,7 +1,9 @@
 """Order MinHash fingerprints in column expressions alone.
 
-A text is a sequence of symbols: runs of at most ``RUN`` characters without white space, or one character of a
-script that is written without spaces.  The rule is the same at every length.  Each run of K symbols
+A text is a sequence of symbols: a run of at most ``RUN`` characters without white space, a piece of a longer run, or
+one character of a script that is written without spaces.  Longer runs are cut behind the characters of ``CUTS``, three
+characters apart at least and ``LONGEST`` at most, so what they are cut into follows from what stands there and not from
+where the run began: an edit changes the pieces around it.  The rule is the same at every length.  Each run of K symbols
 is a k-mer; a k-mer's n-th occurrence in the text counts as a k-mer of its own.  The hashes of these
 occurrence-numbered k-mers fall into ``BINS`` bins by their upper bits.  In each bin the two smallest are
 selected, put in the order in which they stand in the text, and hashed as a tuple.  So a bin of two
@@ -18,10 +20,13 @@ from pyspark.sql import functions as F
 
 from .scratch import stored, table
 
-K, BINS, RUN = 3, 32, 8
+K, BINS, RUN, LONGEST = 3, 32, 8, 16
 #: Thai, Lao, Burmese, Khmer, kana and Han.
 _UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
-SYMBOL = rf"[{_UNSPACED}]|[^\s\u00a0\u3000{_UNSPACED}]{{1,{RUN}}}"
+_RUN = rf"[^\s\u00a0\u3000{_UNSPACED}]"
+#: Behind which a long run is cut: every sixth character of Latin-1, and some vowels of Greek and Cyrillic.
+CUTS = "".join(rf"\x{c:02x}" for c in range(0x21, 0x100) if c % 6 == 1) + r"\u03b1\u03bf\u0430\u043e"
+SYMBOL = rf"[{_UNSPACED}]|{_RUN}{{1,{RUN}}}+(?!{_RUN})|{_RUN}{{2,{LONGEST - 1}}}?[{CUTS}]|{_RUN}{{1,{LONGEST}}}"
 #: A packed long: the hash in the upper 37 bits below the sign, the position in the lower 26.
 POSITION_BITS, HASH_BITS = 26, 37
 BIN_SHIFT = POSITION_BITS + HASH_BITS - 5

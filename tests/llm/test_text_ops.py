@@ -205,11 +205,14 @@ def spark_hash(*values):
 def plain_fingerprint(text):
     """An independent Order MinHash: symbols by a loop, occurrences by a counter, bins by sorting."""
     symbols, run = [], ""
+    cuts = {chr(c) for c in range(0x21, 0x100) if c % 6 == 1} | set("αοао")
     for c in [*(text or ""), " "]:
         alone = any(a <= c <= b for a, b in ("\u0e00\u0eff", "\u1000\u109f", "\u1780\u17ff", "\u3040\u30ff", "\u3400\u4dbf", "\u4e00\u9fff", "\uf900\ufaff"))
-        if c in " \t\n\x0b\f\r\u00a0\u3000" or alone or len(run) == 8:
-            symbols += [run] if run else []
-            run = ""
+        if c in " \t\n\x0b\f\r\u00a0\u3000" or alone:
+            while run:
+                end = len(run) if len(run) <= 8 else next((i + 1 for i in range(2, min(16, len(run))) if run[i] in cuts), min(16, len(run)))
+                symbols.append(run[:end])
+                run = run[end:]
         if alone:
             symbols.append(c)
         elif c not in " \t\n\x0b\f\r\u00a0\u3000":
@@ -229,6 +232,7 @@ def test_order_minhash_is_plain_order_minhash(spark, odd_docs):
     r = np.random.default_rng(3)
     texts = ["", None, " ", "one", "one two", "a b c", "repeat " * 30, "中文字漢語の文" * 9, "x" * 1000, "a\tb\u00a0c\nd"]
     texts += [" ".join(f"w{int(x)}" for x in r.integers(0, 40, int(n))) for n in r.integers(3, 200, 30)]
+    texts += ["".join(map(chr, r.integers(low, high, int(n)))) for low, high in ((33, 127), (97, 123), (0x3B1, 0x3CA), (0x430, 0x450)) for n in (7, 8, 9, 16, 17, 40, 300)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, x.text) for i, x in enumerate(odd_docs.collect()) if x.doc_id != 8]
     got = {x.doc_id: x.fingerprint for x in op6_order_minhash.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: plain_fingerprint(t) for i, t in rows}
@@ -245,6 +249,18 @@ def test_order_minhash_has_no_border(spark):
     assert all(r["__s"] == 1 for r in found) and all(r.x >= (0.35 if r.doc_id < 8 else 0.6) for r in found)
 
 
+def test_order_minhash_of_unbroken_runs(spark):
+    """One character in front of, in or gone from 2,000 without white space changes few bins; another text changes all."""
+    r = np.random.default_rng(8)
+    rows = []
+    for kind, letters in enumerate(("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуф")):
+        one, other = ("".join(letters[i] for i in r.integers(0, len(letters), 2000)) for _ in range(2))
+        rows += [(kind, name, one, t) for name, t in (("front", "x" + one), ("middle", one[:999] + "Q" + one[999:]), ("gone", one[1:]), ("other", other))]
+    both = op6_order_minhash.with_fingerprint(op6_order_minhash.with_fingerprint(spark.createDataFrame(rows, "kind int, name string, text string, more string")), "more", "b")
+    for x in both.select("kind", "name", op6_order_minhash.likeness(F.col("fingerprint"), F.col("b")).alias("x")).collect():
+        assert x.x < 0.2 if x.name == "other" else x.x > 0.8, (x.kind, x.name, x.x)
+
+
 def test_order_minhash(spark, odd_docs, no_docs):
     words = [f"w{i}" for i in range(300)]
     turned = words[150:] + words[:150]
