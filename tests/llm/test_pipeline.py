@@ -1,6 +1,12 @@
 import collections
+import re
+import zlib
+
+import duckdb
+import pytest
 
 import corpus_pipeline
+from loomstone.llm import registry
 from loomstone.llm.scratch import stored, table
 
 SF = "/root/testdata/sf0.01"
@@ -36,3 +42,42 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "stage")
     assert docs.count() == 0
+
+
+SMALL = "/root/testdata/sf0.001"
+COLUMNS = {
+    1: "doc_id n_tokens ids_sha256 decoded_sha256", 2: "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", 4: "doc_id held_out score predicted", 5: "doc_id held_out score predicted",
+    6: "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", 7: "doc_id n_shingles component_id", 8: "doc_id start n_tokens ids_crc32", 9: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    11: "lang source part item value rank", 12: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256", 13: "doc_id held_out n_tokens n_known train_tokens base_score score",
+}
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_registered_queries_keep_their_contract(spark, name):
+    """Every registered query as it is registered, over whole tables; one row a document or conversation where that is the contract."""
+    rows = registry.queries()[name](spark, SMALL).collect()
+    assert rows
+    n = int(re.match(r"op(\d+)_", name)[1]) if name != "pipeline" else None
+    assert set(COLUMNS.get(n, "").split()) <= set(rows[0].__fields__)
+    ids = {r.doc_id for r in table(spark, SMALL, "documents").select("doc_id").collect()}
+    if n in (1, 2, 4, 5, 6, 7, 8, 13):
+        assert len(rows) == len(ids) and {r.doc_id for r in rows} == ids
+    if n == 9:
+        assert {r.doc_id for r in rows} == ids
+    if n in (4, 5):
+        assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= (0.5 if n == 4 else 0.3)) for r in rows)
+    if n is None:
+        kept = {r.doc_id for r in rows}
+        assert kept < ids and len(kept) > len(ids) / 2
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_with_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    wanted = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in wanted.description]
+    plain = lambda rows: sorted((tuple(float(f"{x:.9g}") if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+    frame = registry.queries()[name](spark, SMALL).select(*names)
+    assert plain(frame.collect()) == plain(wanted.fetchall())
