@@ -383,6 +383,18 @@ def test_incremental_run(spark, tmp_path):
             (src / "b.json").write_text(json.dumps({"qid": 2, "step": 1, "prompt": "y"}) + "\n")
         staged.run_incremental(spark, str(src), "qid int, step int, prompt string", str(out), lambda ps: ["5"] * len(ps), str(tmp_path / "cp"))
     assert sorted(r.qid for r in spark.read.parquet(str(out)).collect()) == [1, 2]
+    # The checkpoint is lost, and a sample comes again beside a new one: only the new one runs.
+    (src / "c.json").write_text(json.dumps({"qid": 1, "step": 1, "prompt": "x"}) + "\n" + json.dumps({"qid": 3, "step": 1, "prompt": "z"}) + "\n" + json.dumps({"qid": 3, "step": 1, "prompt": "z"}) + "\n")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def noting(prompts):
+        for p in prompts:
+            (asked / p).write_text("")
+        return ["5"] * len(prompts)
+
+    staged.run_incremental(spark, str(src), "qid int, step int, prompt string", str(out), noting, str(tmp_path / "cp2"))
+    assert sorted(r.qid for r in spark.read.parquet(str(out)).collect()) == [1, 2, 3] and [x.name for x in asked.iterdir()] == ["z"]
 
 
 def test_sources(spark, tmp_path):
