@@ -124,7 +124,11 @@ def spans(text: str | None, run: int = RUN, words: int = WORDS) -> tuple[np.ndar
     return hashed(first, last), (other(first, last) >> np.uint64(32)).astype(np.uint32), a, b
 
 
-@lru_cache(64)
+#: Words or characters up to which the powers of a multiplier are kept in a worker.
+KEPT = 1 << 14
+
+
+@lru_cache(4)
 def _powers(mix: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a multiplier and of its inverse modulo 2^64, up to ``size``."""
     with np.errstate(over="ignore"):
@@ -135,8 +139,7 @@ def _powers(mix: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _rolling(hashes: np.ndarray, mix: int):
     """A function that hashes words i .. j - 1: sums of hash * power, divided by the first power, are the same wherever a run stands."""
     m = len(hashes)
-    size = max(1 << 10, 1 << m.bit_length())
-    powers, back = _powers(mix, size) if size <= 1 << 20 else _powers.__wrapped__(mix, m)  # tables of very long texts aren't kept
+    powers, back = _powers(mix, KEPT) if m <= KEPT else _powers.__wrapped__(mix, m)  # of longer texts nothing is kept
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * powers[:m])])
 
