@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 TRIPLE = r"\(\s*[0-9]+\s*,\s*[0-9]+\s*,\s*[0-9]+\s*\)"
 SIGNED_TRIPLE = r"\(\s*-?[0-9]+\s*,\s*-?[0-9]+\s*,\s*-?[0-9]+\s*\)"
 QUESTION_ENTITY = r"(?i)connected to (?:entity )?([0-9]+)"
+AUDITED_ENTITY = r"(?i)connected\s+to(?:\s+entity|\s+entities\s+in)?\s+([0-9]+)"
 QUESTION_RELATION = r"(?i)by relation ([0-9]+)"
 ANY_RELATION = r"(?i)by (?:relation )?([0-9]+)"
 NUMBER = r"\b[0-9]+\b"
@@ -21,8 +22,9 @@ def triples(text: Column, signed: bool = False) -> Column:
     return F.transform(found, lambda m: F.struct(parts(m)[0].try_cast("long").alias("h"), parts(m)[1].try_cast("int").alias("r"), parts(m)[2].try_cast("long").alias("t")))
 
 
-def question_entities(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(QUESTION_ENTITY), 1), lambda x: x.try_cast("long"))
+def question_entities(text: Column, audited: bool = False) -> Column:
+    """Entities that a question starts from; audits also read ``entities in`` and any white space."""
+    return F.transform(F.regexp_extract_all(text, F.lit(AUDITED_ENTITY if audited else QUESTION_ENTITY), 1), lambda x: x.try_cast("long"))
 
 
 def question_relations(text: Column, bare: bool = False) -> Column:

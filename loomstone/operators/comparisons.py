@@ -77,7 +77,7 @@ def remapped_faults(old: DataFrame, new: DataFrame, keys: list[str], entity_offs
     plain = lambda triples: F.transform(triples, lambda x: F.struct(x["h"].cast("long"), x["r"].cast("long"), x["t"].cast("long")))
     ids = lambda q, by, f: F.transform(f(q), lambda x: x.cast("long") + by)
     same_triples = F.transform("was", lambda s: moved(s["triples"])) == F.transform("is", lambda s: plain(s["triples"]))
-    names = lambda stages, e, r: F.transform(stages, lambda s: F.struct(ids(s["question"], e, X.question_entities), ids(s["question"], r, X.question_relations)))
+    names = lambda stages, e, r: F.transform(stages, lambda s: F.struct(ids(s["question"], e, lambda q: X.question_entities(q, True)), ids(s["question"], r, X.question_relations)))
     same_questions = names("was", entity_offset, relation_offset) == names("is", 0, 0)
     same_answer = F.transform("gave", lambda t: t + entity_offset).eqNullSafe(F.col("gives"))
     counted = F.size("was") == F.size("is")

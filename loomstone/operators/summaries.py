@@ -16,6 +16,14 @@ def by_method(records: DataFrame) -> DataFrame:
     )
 
 
+def failure_rates(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, parse_failure_rate, status_failure_rate, any_failure_rate) of samples: shares of those with a parse failure at some stage, with a status other than ok, and with either. ``records`` has (keys, sample, parse_failed, status), one row for each stage."""
+    failed = F.when(F.coalesce(F.col("status"), F.lit("")) != "ok", 1).otherwise(0)
+    per_sample = records.groupBy(*keys, "sample").agg(F.max(F.coalesce(F.col("parse_failed").cast("int"), F.lit(0))).alias("parse"), F.max(failed).alias("status"))
+    rate = lambda c: F.avg(c.cast("double"))
+    return per_sample.groupBy(*keys).agg(F.count("*").alias("n"), rate(F.col("parse")).alias("parse_failure_rate"), rate(F.col("status")).alias("status_failure_rate"), rate(F.greatest("parse", "status")).alias("any_failure_rate"))
+
+
 def scopes(records: DataFrame, sets: list[list[str]], measures: dict) -> DataFrame:
     """One pass over several groupings; ``scope`` tells which, and a column outside it is null."""
     columns = sorted({c for s in sets for c in s})

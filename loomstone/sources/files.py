@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ast
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def numbered_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +24,15 @@ def benchmark(spark: SparkSession, queries: str, answers: str) -> DataFrame:
     return q.withColumnRenamed("text", "query").join(a.withColumnRenamed("text", "answer"), ["qtype", "sample_id"])
 
 
+def aligned(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """(qtype, sample_id, one column for each name) of any number of folders of numbered files, read side by side and folded on their names in one shuffle. A file that another folder lacks is an error that names it."""
+    every = [numbered_texts(spark, path).withColumn("side", F.lit(name)) for name, path in folders.items()]
+    rows = reduce(DataFrame.union, every).groupBy("qtype", "sample_id").agg(*[F.max(F.when(F.col("side") == n, F.col("text"))).alias(n) for n in folders])
+    lacking = F.concat_ws(", ", *[F.when(F.col(n).isNull(), F.lit(n)) for n in folders])
+    checked = F.when(lacking == "", F.col("qtype")).otherwise(F.raise_error(F.format_string("%s/%d is not in %s", F.col("qtype"), F.col("sample_id"), lacking)))
+    return rows.select(checked.alias("qtype"), "sample_id", *folders)
+
+
 def literal_json(text: Column) -> Column:
     """A JSON or Python literal as JSON text; null where it is neither. Tuples and sets become arrays, sets in order."""
 
@@ -55,8 +66,9 @@ def _plain(x):
 
 
 def legacy_results(df: DataFrame, text_col: str = "text", parts: int = 2) -> DataFrame:
-    """Adds ``parts``: a result file's predictions and gold between ``@`` signs. A file with another number of parts fails."""
-    split = F.split(F.trim(text_col), r"\s*@\s*")
+    """Adds ``parts``: a result file's predictions, one for each stage, and its gold, without white space around them. They stand apart by two ``@`` with nothing but white space between. A file with another number of parts fails."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    split = F.transform(F.split(trimmed(F.col(text_col)), r"@\s*@", -1), trimmed)
     return df.withColumn("parts", F.when(F.size(split) == parts, split).otherwise(F.raise_error(F.lit(f"a result without {parts} parts"))))
 
 
@@ -85,8 +97,16 @@ def write_csv(df: DataFrame, path: str, columns: list[str], mark: bool = False)
 
 
 def write_samples(df: DataFrame, path: str, by: tuple[str, ...] = ("method", "qtype")) -> None:
-    """One JSON record for each sample, in folders by method and topology; a sample's id is a field of its record."""
-    df.repartition(*by).sortWithinPartitions(*by).write.partitionBy(*by).json(path)
+    """One JSON record for each sample, in folders by method and topology; a sample's id is a field of its record. Rows are dealt out by ranges of all that has an order, so that a large folder is written by several tasks."""
+    order = [*by, *[f.name for f in df.schema if f.name not in by and not isinstance(f.dataType, (T.MapType, T.VariantType))]]
+    df.repartitionByRange(*order).sortWithinPartitions(*by).write.partitionBy(*by).json(path)
+
+
+def write_pretty(df: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small summary as one indented JSON array; more than ``most`` rows fail."""
+    held = df.agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+    few = F.when(F.size("rows") <= most, F.col("rows")).otherwise(F.raise_error(F.lit("a report is made of a summary, not of data")))
+    held.select(F.to_json(few, {"pretty": "true"}).alias("value")).coalesce(1).write.text(path)
 
 
 def markdown(df: DataFrame, title: str, most: int = 10_000) -> str:
@@ -97,3 +117,9 @@ def markdown(df: DataFrame, title: str, most: int = 10_000) -> str:
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     show = lambda v: "NA" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def report(title: str, sections: list[tuple[str, str | DataFrame]], most: int = 10_000) -> str:
+    """A report in Markdown: sections in order, each a text or a table of a small summary."""
+    parts = [f"# {title}\n"] + [markdown(body, head, most) if isinstance(body, DataFrame) else f"## {head}\n\n{body}\n" for head, body in sections]
+    return "\n".join(parts)

@@ -761,3 +761,64 @@ def incremental_run(spark, sf):
         arrived.write.mode("append").json(f"{where}/prompts")
         run_incremental(spark, f"{where}/prompts", "qid long, step int, prompt string", f"{where}/out", _measure, f"{where}/checkpoint")
     return spark.read.parquet(f"{where}/out").select("qid", F.element_at("answers", 1).alias("answer"), F.col("batch").alias("arrival"))
+
+
+# --- what prompts, files and parsers leave behind ---
+
+
+@query(O.query("up", plan_sql("up"), "SELECT qid, CAST(step AS INTEGER) AS step, array_to_string(list_sort(list(DISTINCT h)), ',') AS heads FROM steps GROUP BY ALL", O.step_sql("up")))
+def phase_heads(spark, sf):
+    """The heads that each step's evidence starts from."""
+    p = plan(spark, sf, "up")
+    return E.phase_heads(E.step_rows(p, evidence(spark, sf, "up"), "up")).select("qid", "step", F.array_join("heads", ",").alias("heads"))
+
+
+@query(O.query("2i", plan_sql("2i"), "SELECT qid, '" + P.PREMISE + "(' || qid || ',2,3)\n\n" + P.QUESTION + "' || " + O.question("2i") + " || '" + P.INSTRUCTION + "' AS prompt FROM plan"))
+def premise_swap(spark, sf):
+    """One-shot prompts whose evidence is replaced."""
+    p = plan(spark, sf, "2i")
+    prompts = P.single_prompts(p, E.query_texts(p, evidence(spark, sf, "2i")), "2i")
+    return prompts.select("qid", P.with_premise(F.col("prompt"), F.concat(F.lit("("), F.col("qid").cast("string"), F.lit(",2,3)"))).alias("prompt"))
+
+
+@query("SELECT c_custkey AS k, c_custkey || ',7' AS predicted, CAST(c_nationkey AS VARCHAR) AS gold FROM customer")
+def legacy_results(spark, sf):
+    """Results of the old form, predictions and gold with signs between."""
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.col("c_custkey").cast("string"), F.lit(",7 @\n@ "), F.col("c_nationkey").cast("string"), F.lit("\n")).alias("text"))
+    parts = files.legacy_results(rows)
+    return parts.select("k", F.get("parts", 0).alias("predicted"), F.get("parts", 1).alias("gold"))
+
+
+@query("SELECT c_custkey AS k, CAST(stage AS INTEGER) AS stage, CAST(c_custkey + stage AS VARCHAR) AS answer, 'said ' || stage AS raw_answer, CASE stage WHEN 1 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN c_custkey % 5 = 0 THEN 'cuda_oom' ELSE 'ok' END AS status FROM customer, (VALUES (1), (2)) v(stage)")
+def staged_answers(spark, sf):
+    """Staged answer records to one row a stage."""
+    k, text = F.col("c_custkey"), lambda c: c.cast("string")
+    record = F.to_json(F.struct(F.array(text(k + 1), text(k + 2)).alias("answers"), F.array(F.lit("said 1"), F.lit("said 2")).alias("raw_answers"), F.array(F.lit("high"), F.lit("low")).alias("confidences"), F.when(k % 5 == 0, "cuda_oom").otherwise("ok").alias("status")))
+    return files.staged_answers(table(spark, sf, "customer").select(k.alias("k"), record.alias("text")))
+
+
+@query("""SELECT p_partkey AS source_index, '1p_' || lpad(CAST(row_number() OVER (ORDER BY p_partkey) AS VARCHAR), CAST(greatest(4, len(CAST(row_number() OVER (ORDER BY p_partkey) AS VARCHAR))) AS INTEGER), '0') AS sample_id, 'parse' AS system, 'Who makes ' || p_name || '?' AS said, '{"type":"1p","query":[{"anchor":"' || p_name || '","path":[{"relation":"made by","direction":"forward"}]}]}' AS answer FROM part""")
+def parser_chats(spark, sf):
+    """A question for each part with its parse, as a conversation."""
+    path = F.array(F.struct(F.lit("made by").alias("relation"), F.lit("forward").alias("direction")))
+    rows = table(spark, sf, "part").select(F.lit("1p").alias("qtype"), F.col("p_partkey").alias("source_index"), F.concat(F.lit("Who makes "), "p_name", F.lit("?")).alias("question"), F.array(F.struct(F.col("p_name").alias("anchor"), path.alias("path"))).alias("query"))
+    said = lambda i: F.get("messages", i)["content"]
+    return G.chat_records(rows, "parse").select("source_index", "sample_id", said(0).alias("system"), said(1).alias("said"), said(2).alias("answer"))
+
+
+@query("""WITH g AS (SELECT p_brand AS brand, [NULL, 'entity_not_found', NULL, 'relation_not_found'][p_partkey % 4 + 1] AS reason FROM part), f AS (SELECT brand, reason, count(*) AS n FROM g WHERE reason IS NOT NULL GROUP BY ALL)
+SELECT g.brand, count(*) AS n, count(*) FILTER (reason IS NULL) AS ok, round(count(*) FILTER (reason IS NULL) / count(*), 6) AS success_rate, coalesce((SELECT string_agg(reason || ':' || n, ',' ORDER BY reason) FROM f WHERE f.brand = g.brand), '') AS failures FROM g GROUP BY g.brand""")
+def parser_report(spark, sf):
+    """Counts, success and failures of grounded parses by group."""
+    reason = F.get(F.array(F.lit(None).cast("string"), F.lit("entity_not_found"), F.lit(None).cast("string"), F.lit("relation_not_found")), (F.col("p_partkey") % 4).cast("int"))
+    r = G.report(table(spark, sf, "part").select(F.col("p_brand").alias("brand"), reason.alias("failure_reason")), "brand")
+    failures = F.array_join(F.transform(F.array_sort(F.map_entries("failures")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return r.select("brand", "n", "ok", _R6(F.col("success_rate"), "success_rate"), failures.alias("failures"))
+
+
+@query(_REC + "SELECT model, qtype, count(*) AS n, round(avg(p), 6) AS parse_failure_rate, round(avg(s), 6) AS status_failure_rate, round(avg(greatest(p, s)), 6) AS any_failure_rate FROM (SELECT model, qtype, sample, max(parse_failed) AS p, max(CASE WHEN (sample + len(method)) % 11 = 0 THEN 1 ELSE 0 END) AS s FROM records GROUP BY ALL) GROUP BY ALL")
+def failure_rates(spark, sf):
+    """Shares of samples that fail to be parsed at some stage, that end badly, and that do either; a method is a stage."""
+    status = F.when((F.col("sample") + F.length("method")) % 11 == 0, "context_overflow").otherwise("ok")
+    r = summaries.failure_rates(records(spark, sf).withColumn("status", status), ["model", "qtype"])
+    return r.select("model", "qtype", "n", *[_R6(F.col(c), c) for c in ("parse_failure_rate", "status_failure_rate", "any_failure_rate")])

@@ -415,3 +415,50 @@ def test_sources(spark, tmp_path):
     names, edges = graph.read_kb(spark, str(tmp_path / "kb.json"))
     assert graph.name_index(names).first().ids == ["x", "y"] and edges.count() == 1
     assert {r.rel_key: r.rel_id for r in graph.relation_ids(edges).collect()} == {"p::forward": 1, "p::backward": 2}
+
+
+def test_old_results_and_staged_answers(spark):
+    rows = spark.createDataFrame([(1, " a, b @\n @ c\n"), (2, "@@")], "k int, text string")
+    assert [x.parts for x in files.legacy_results(rows).orderBy("k").collect()] == [["a, b", "c"], ["", ""]]
+    assert files.legacy_results(spark.createDataFrame([("1 @@ 2@ @3",)], "text string"), parts=3).first().parts == ["1", "2", "3"]
+    for bad in ("a @ b", "a", "a @@ b @@ c", ""):
+        with pytest.raises(Exception, match="a result without 2 parts"):
+            files.legacy_results(spark.createDataFrame([(bad,)], "text string")).collect()
+    whole = json.dumps({"answers": ["1", None], "raw_answers": ["x", "y"], "confidences": ["high", "failed"], "status": "ok"})
+    got = files.staged_answers(spark.createDataFrame([(7, whole)], "k int, text string")).orderBy("stage").collect()
+    assert [tuple(x) for x in got] == [(7, 1, "1", "x", "high", "ok"), (7, 2, None, "y", "failed", "ok")]
+    with pytest.raises(Exception, match="lists of unequal length"):
+        files.staged_answers(spark.createDataFrame([(json.dumps({"answers": ["1"], "raw_answers": [], "confidences": ["high"]}),)], "text string")).collect()
+
+
+def test_aligned_folders_and_reports(spark, tmp_path):
+    for folder in ("q", "a", "p", "b"):
+        (tmp_path / folder / "2p").mkdir(parents=True)
+        for n in (1, 2):
+            (tmp_path / folder / "2p" / f"{n}.txt").write_text(f"{folder}{n}")
+    folders = {n: str(tmp_path / n) for n in ("q", "a", "p", "b")}
+    assert [tuple(x) for x in files.aligned(spark, folders).orderBy("sample_id").collect()] == [("2p", 1, "q1", "a1", "p1", "b1"), ("2p", 2, "q2", "a2", "p2", "b2")]
+    (tmp_path / "q" / "2p" / "3.txt").write_text("q3")
+    with pytest.raises(Exception, match="2p/3 is not in a, p, b"):
+        files.aligned(spark, folders).collect()
+    small = spark.createDataFrame([("x", 0.5, None), ("y", 1.0, [1, 2])], "name string, share double, ids array<int>")
+    text = files.report("Whole", [("Words", "Some words."), ("Rows", small)])
+    assert text.startswith("# Whole\n") and "## Words\n\nSome words." in text and "| x | 0.5000 | NA |" in text
+    files.write_pretty(small, str(tmp_path / "pretty"))
+    raw = "\n".join(x.value for x in spark.read.option("wholetext", True).text(str(tmp_path / "pretty")).collect())
+    assert json.loads(raw)[1] == {"name": "y", "share": 1.0, "ids": [1, 2]} and "\n" in raw.strip()
+    with pytest.raises(Exception, match="a report is made of a summary"):
+        files.write_pretty(small, str(tmp_path / "more"), most=1)
+    files.write_samples(spark.range(50).selectExpr("'m' AS method", "'2p' AS qtype", "id"), str(tmp_path / "samples"))
+    assert spark.read.json(str(tmp_path / "samples")).count() == 50
+
+
+def test_audited_entities_and_failure_rates(spark):
+    from loomstone.operators import summaries
+
+    asked = "Which are connected to entities  in 12 by relation 3, connected  to 5 and connected to entity 9?"
+    found = spark.createDataFrame([(asked,)], "q string").select(X.question_entities(F.col("q"), True).alias("a"), X.question_entities(F.col("q")).alias("b")).first()
+    assert found.a == [12, 5, 9] and found.b == [9]
+    rows = [("m", 1, 0, "ok"), ("m", 1, 1, "ok"), ("m", 2, 0, "cuda_oom"), ("m", 2, None, None), ("m", 3, 0, "ok")]
+    x = summaries.failure_rates(spark.createDataFrame(rows, "model string, sample int, parse_failed int, status string"), ["model"]).first()
+    assert x.n == 3 and x.parse_failure_rate == pytest.approx(1 / 3) and x.status_failure_rate == pytest.approx(1 / 3) and x.any_failure_rate == pytest.approx(2 / 3)
