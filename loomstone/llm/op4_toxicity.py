@@ -28,6 +28,8 @@ from .labelled import held_out, logistic, sample
 from .scratch import map_batches, table
 
 SEGMENT = 64
+#: Tokens of a generation whose emission a worker remembers; two generations are kept.
+MEMO = 100_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -263,7 +265,7 @@ def score(docs: DataFrame, model, with_spans: bool = False) -> DataFrame:
     field, weights = model
 
     def run(batches) -> Iterable[dict[str, list]]:
-        memo = Memo(lambda t: (field.emission(t), ends(t)), 300_000)
+        memo = Memo(lambda t: (field.emission(t), ends(t)), MEMO)
         for b in batches:
             s, p, rows, documents = _scores(field, weights, memo, b["text"])
             out = {"doc_id": b["doc_id"], "score": s.tolist()}
@@ -280,7 +282,7 @@ def accepted(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches) -> Iterable[dict[str, list]]:
-        memo = Memo(lambda t: (field.emission(t), ends(t)), 300_000)
+        memo = Memo(lambda t: (field.emission(t), ends(t)), MEMO)
         for b in batches:
             keep = _scores(field, weights, memo, b["text"])[0] < threshold
             yield {n: [x for x, k in zip(column, keep, strict=True) if k] for n, column in b.items()}
