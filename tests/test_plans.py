@@ -169,3 +169,22 @@ def test_scans_of_stored_triples_are_pruned(spark):
     explained = cut._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [r#" in explained.replace("isnotnull", "") and " IN (" in explained.split("PartitionFilters")[1].split("]")[0]
     assert "IN (" not in only(kg, plan.select("r1"), 1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intersections_cost_what_their_smallest_part_has(spark, tmp_path):
+    """Many queries share a hub of which each needs one tail: the hub is walked once, not for each query."""
+    n = 300
+    kg = spark.createDataFrame([(1, 1, 1000 + i) for i in range(n)] + [(1000 + i, 2, 5000 + i) for i in range(n)] + [(9000 + i, 3, 5000 + i) for i in range(n)] * 2, "h bigint, r int, t bigint")
+    plan = spark.createDataFrame([(i, 1, 9000 + i) for i in range(n)], "qid bigint, e1 bigint, e2 bigint")
+    low = Lowered(ir.topology("pi"), plan, kg, {1: 1, 2: 2, 3: 3}, stored=True)
+    assert sorted(map(tuple, low.answers().collect())) == [(i, 5000 + i) for i in range(n)]
+    assert low.evidence().count() == 3 * n
+    assert sum(df.count() for df in low.edges.values()) == 4 * n  # the second part's triples are given twice
+
+
+def test_open_relations_of_shared_anchors(spark):
+    kg = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 3, 10), (2, 3, 11), (2, 4, 12)], "h bigint, r int, t bigint")
+    plan = spark.createDataFrame([(0, 1, 2, 1, 3), (1, 1, 2, 2, 3), (2, 1, 2, 2, 4), (3, None, 2, 1, 3)], "qid bigint, e1 bigint, e2 bigint, r1 int, r2 int")
+    low = Lowered(ir.topology("2i"), plan, kg)
+    assert sorted(map(tuple, low.answers().collect())) == [(0, 10), (1, 11)]
+    assert sorted(map(tuple, low.evidence().collect())) == [(0, 1, 1, 10), (0, 2, 3, 10), (1, 1, 2, 11), (1, 2, 3, 11)]
