@@ -1,11 +1,15 @@
 """Batches of any mixture of trees as one plan: a node table, run height by height and explained back down.
 
-A node table has a row for each node of each query: (qid, node, parent, up, kind, fan, height, ent, rel, other).
+A node table has a row for each node of each query: (qid, node, parent, up, kind, fan, height, ent, rel, other, inner, way).
 ``kind`` is A (an anchor, with ``ent``), P (a projection by ``rel``, or by any other relation), I or U (a group of ``fan``
 parts); ``up`` is the height of the parent, both null at the root.  All nodes of one height are worked on together, so a
 batch takes as many rounds as its highest tree has levels, however many topologies it mixes, and each round reads
 the triples once for its projections by a relation and once for those by any other.
 
+Paths inside intersections come first, in rounds of their own: each distinct one, its anchor and relations, is walked once
+for all queries that hold it.  An intersection lists the part that has fewest entities and looks them up in the others.
+The row of such a path's last node has ``way``, a struct of its anchor and relations; rows of its other nodes are ``inner``.
+
 A round's result is written: edges of projections, entities of groups.  The way back reads only these tables,
 never the triples: what an answer needs is semi-joined from each height to the one below, and each edge that
 is left knows the nodes that used it.
@@ -24,7 +28,7 @@ from ..streaming.staged import written
 from .ir import SHAPES, Anchor, Intersect, Node, Project, parse, topology
 from .lowering import MOST_RELATIONS, only
 
-_COLUMNS = ("qid", "node", "parent", "up", "kind", "fan", "height", "ent", "rel", "other")
+_COLUMNS = ("qid", "node", "parent", "up", "kind", "fan", "height", "ent", "rel", "other", "inner", "way")
 _NODE = T.StructType(
     [T.StructField("node", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("up", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("fan", T.IntegerType()), T.StructField("height", T.IntegerType())]
     + [T.StructField("e", T.IntegerType()), T.StructField("r", T.IntegerType()), T.StructField("other", T.BooleanType())]
@@ -32,15 +36,21 @@ _NODE = T.StructType(
 
 
 def tree_nodes(tree: Node) -> list[dict]:
-    """The nodes of a tree, children before parents, the root last; ``e`` and ``r`` are slots."""
+    """The nodes of a tree, children before parents, the root last; ``e`` and ``r`` are slots. ``way``: the anchor's slot and (slot, other) of each projection of a path that is a part of an intersection, at its last node; ``inner``: its other nodes."""
     out: list[dict] = []
 
-    def add(n: Node) -> dict:
+    def way(n: Node) -> tuple | None:
+        if isinstance(n, Anchor):
+            return n.slot, []
+        below = way(n.child) if isinstance(n, Project) else None
+        return below and (below[0], [*below[1], (n.slot, n.other)])
+
+    def add(n: Node, path: tuple | None = None, inner: bool = False) -> dict:
         parts = () if isinstance(n, Anchor) else (n.child,) if isinstance(n, Project) else n.parts
-        below = [add(p) for p in parts]
+        below = [add(p, way(p) if isinstance(n, Intersect) else None, inner or path is not None) for p in parts]
         kind = "A" if isinstance(n, Anchor) else "P" if isinstance(n, Project) else "I" if isinstance(n, Intersect) else "U"
         row = {"node": len(out), "parent": None, "up": None, "kind": kind, "fan": len(parts), "height": 1 + max((b["height"] for b in below), default=-1)}
-        row |= {"e": n.slot if kind == "A" else None, "r": n.slot if kind == "P" else None, "other": kind == "P" and n.other}
+        row |= {"e": n.slot if kind == "A" else None, "r": n.slot if kind == "P" else None, "other": kind == "P" and n.other, "inner": inner, "way": path}
         for b in below:
             b["parent"], b["up"] = row["node"], row["height"]
         out.append(row)
@@ -57,7 +67,11 @@ def typed_nodes(plan: DataFrame) -> DataFrame:
 
     def struct(n: dict) -> Column:
         whole = [F.lit(n[c]).cast(k).alias(c) for c, k in (("node", "int"), ("parent", "int"), ("up", "int"), ("kind", "string"), ("fan", "int"), ("height", "int"))]
-        return F.struct(*whole, slot("e", n["e"]).cast(kind_e).alias("ent"), slot("r", n["r"]).cast(kind_r).alias("rel"), F.lit(n["other"]).alias("other"))
+        hop = f"struct<rel:{kind_r.simpleString()},other:boolean>"
+        hops = F.array(*[F.struct(slot("r", r).cast(kind_r).alias("rel"), F.lit(o).alias("other")) for r, o in n["way"][1]]) if n["way"] else None
+        way = F.struct(slot("e", n["way"][0]).cast(kind_e).alias("ent"), hops.alias("hops")) if n["way"] else F.lit(None)
+        ends = [F.lit(n["other"]).alias("other"), F.lit(n["inner"]).alias("inner"), way.cast(f"struct<ent:{kind_e.simpleString()},hops:array<{hop}>>").alias("way")]
+        return F.struct(*whole, slot("e", n["e"]).cast(kind_e).alias("ent"), slot("r", n["r"]).cast(kind_r).alias("rel"), *ends)
 
     chosen = F
     for qtype in SHAPES:
@@ -65,7 +79,8 @@ def typed_nodes(plan: DataFrame) -> DataFrame:
     return plan.select("qid", F.inline(chosen.otherwise(F.raise_error(F.concat(F.lit("no topology "), F.coalesce("qtype", F.lit("null")))))))
 
 
-_PARSED = T.StructType([T.StructField("nodes", T.ArrayType(T.StructType([*_NODE.fields[:6], T.StructField("ent", T.LongType()), T.StructField("rel", T.IntegerType()), T.StructField("other", T.BooleanType())]))), T.StructField("error", T.StringType())])
+_WAY = T.StructType([T.StructField("ent", T.LongType()), T.StructField("hops", T.ArrayType(T.StructType([T.StructField("rel", T.IntegerType()), T.StructField("other", T.BooleanType())])))])
+_PARSED = T.StructType([T.StructField("nodes", T.ArrayType(T.StructType([*_NODE.fields[:6], T.StructField("ent", T.LongType()), T.StructField("rel", T.IntegerType()), T.StructField("other", T.BooleanType()), T.StructField("inner", T.BooleanType()), T.StructField("way", _WAY)]))), T.StructField("error", T.StringType())])
 
 
 def _parsed(text: str | None) -> dict:
@@ -75,7 +90,8 @@ def _parsed(text: str | None) -> dict:
     except (ValueError, TypeError, SyntaxError, RecursionError, MemoryError) as e:
         return {"nodes": None, "error": str(e)[:200] or type(e).__name__}
     rows = tree_nodes(tree)
-    return {"nodes": [{**{k: n[k] for k in ("node", "parent", "up", "kind", "fan", "height", "other")}, "ent": ents[n["e"] - 1] if n["e"] else None, "rel": rels[n["r"] - 1] if n["r"] else None} for n in rows], "error": None}
+    way = lambda w: w and {"ent": ents[w[0] - 1], "hops": [{"rel": rels[r - 1], "other": o} for r, o in w[1]]}
+    return {"nodes": [{**{k: n[k] for k in ("node", "parent", "up", "kind", "fan", "height", "other", "inner")}, "way": way(n["way"]), "ent": ents[n["e"] - 1] if n["e"] else None, "rel": rels[n["r"] - 1] if n["r"] else None} for n in rows], "error": None}
 
 
 @F.pandas_udf(_PARSED)
@@ -95,33 +111,73 @@ class Batch:
 
     def __init__(self, nodes: DataFrame, kg: DataFrame, most_relations: int = MOST_RELATIONS):
         self.kg, self.most = kg, most_relations
-        self.nodes = written(nodes.select(*_COLUMNS), "nodes")
+        every = written(nodes.select(*_COLUMNS), "nodes")
+        self.ways = written(every.where("way IS NOT NULL").select("way").distinct().select(F.monotonically_increasing_id().alias("id"), F.size("way.hops").alias("length"), "way"), "ways")
+        self.tops = written(every.where("way IS NOT NULL").join(self.ways, "way").select("qid", F.col("node").alias("child"), F.col("parent").alias("node"), "up", "id", "length"), "tops")
+        self.nodes = every.where("NOT inner AND way IS NULL").drop("inner", "way")
         self.highest = self.nodes.agg(F.max("height")).first()[0] or 0
+        self.longest = self.ways.agg(F.max("length")).first()[0] or 0
         self.levels: list[DataFrame] = []
+        self.walked: list[DataFrame] = []
         self._down: list[DataFrame] | None = None
 
+    def _hops(self, asked: DataFrame, kinds: set[bool], *kept: str) -> list[DataFrame]:
+        """The triples that rows with (ent, rel, other) meet, with the columns ``kept``: at most two reads of the triples."""
+        parts = []
+        for other in sorted(kinds):
+            mine = asked.where(F.col("other") == other)
+            kg = self.kg if other else only(self.kg, mine.select("rel"), self.most)
+            same = F.col("r") != F.col("rel") if other else F.col("r") == F.col("rel")
+            parts.append(mine.join(kg, (F.col("ent") == F.col("h")) & same).select(*kept, "h", "r", "t"))
+        return parts
+
+    def _walk(self) -> DataFrame:
+        """(id, ent): the ends of each way. Its edges (id, h, r, t) of each hop are written to ``walked``."""
+        at = self.ways.select("id", F.col("way.ent").alias("ent"))
+        ends = [at.join(self.ways.where("length = 0").select("id"), "id", "left_semi")]
+        for n in range(1, self.longest + 1):
+            hop = written(self.ways.where(F.col("length") >= n).select("id", F.col("way.hops")[n - 1].alias("x")).select("id", "x.rel", "x.other"), "hops")
+            kinds = {x[0] for x in hop.select("other").distinct().collect()}  # two rows at most
+            self.walked.append(written(reduce(DataFrame.union, self._hops(at.join(hop, "id"), kinds, "id")), "walked"))
+            at = self.walked[-1].select("id", F.col("t").alias("ent")).distinct()
+            ends.append(at.join(self.ways.where(F.col("length") == n).select("id"), "id", "left_semi"))
+        return written(reduce(DataFrame.union, ends), "ends")
+
+    def _met(self, groups: DataFrame, height: int, reached: DataFrame, ends: DataFrame) -> DataFrame:
+        """(qid, node, parent, up, ent): the entities of the smallest part of each intersection that all its other parts have."""
+        tops = self.tops.where(F.col("up") == height).select("qid", "node", "child", "id")
+        own = reached.groupBy("qid", "node", "child").agg(F.count("*").alias("size")).select("qid", "node", "child", F.lit(None).cast("bigint").alias("id"), "size")
+        shared = tops.join(ends.groupBy("id").agg(F.count("*").alias("size")), "id").select("qid", "node", "child", "id", "size")
+        parts = written(own.union(shared).join(groups, ["qid", "node"]), "parts")
+        best = parts.groupBy("qid", "node", "parent", "up", "fan").agg(F.count("*").alias("filled"), F.min(F.struct("size", "child", "id")).alias("x")).where("filled = fan")
+        best = written(best.select("qid", "node", "parent", "up", "fan", "x.child", "x.id"), "best")
+        listed = best.where("id IS NULL").join(reached, ["qid", "node", "child"]).select(*best.columns, "ent").union(best.where("id IS NOT NULL").join(ends, "id").select(*best.columns, "ent"))
+        asked = listed.withColumnsRenamed({"child": "least"}).drop("id").join(parts.select("qid", "node", "child", "id"), ["qid", "node"]).where("child <> least")
+        found = asked.where("id IS NULL").join(reached, ["qid", "node", "child", "ent"], "left_semi").select("qid", "node", "parent", "up", "fan", "ent")
+        found = found.union(asked.where("id IS NOT NULL").join(ends, ["id", "ent"], "left_semi").select(*found.columns))
+        return found.groupBy(*found.columns).agg(F.count("*").alias("met")).where("met = fan - 1").select("qid", "node", "parent", "up", "ent")
+
     def forward(self) -> list[DataFrame]:
-        """For each height (qid, node, parent, up, h, r, t): edges of projections; anchors and groups have their entities as t and no h."""
+        """For each height (qid, node, parent, up, h, r, t): edges of projections; anchors and groups have their entities as t and no h. Paths inside intersections aren't among them."""
         if self.levels:
             return self.levels
-        kinds = {tuple(x) for x in self.nodes.where("kind <> 'A'").select("height", F.col("kind") == "P", "other").distinct().collect()}  # three rows for each height at most
+        kinds = {tuple(x) for x in self.nodes.where("kind <> 'A'").select("height", "kind", "other").distinct().collect()}  # four rows for each height at most
         triple = {f.name: f.dataType for f in self.kg.schema}
         bare = lambda df: df.select("qid", "node", "parent", "up", F.lit(None).cast(triple["h"]).alias("h"), F.lit(None).cast(triple["r"]).alias("r"), F.col("ent").cast(triple["t"]).alias("t"))
+        ends = self._walk()
         self.levels.append(written(bare(self.nodes.where("kind = 'A'")), "level"))
         for height in range(1, self.highest + 1):
             reached = reduce(DataFrame.union, [x.where(F.col("up") == height).select("qid", F.col("node").alias("child"), F.col("parent").alias("node"), F.col("t").alias("ent")) for x in self.levels]).distinct()
             here = self.nodes.where(F.col("height") == height).drop("ent", "height")
-            given = reached.join(here, ["qid", "node"])
+            hops, groups = {o for h, k, o in kinds if h == height and k == "P"}, {k for h, k, _ in kinds if h == height}
             parts = []
-            for other in (False, True):
-                if (height, True, other) in kinds:
-                    asked = given.where((F.col("kind") == "P") & (F.col("other") == other))
-                    kg = self.kg if other else only(self.kg, here.where("kind = 'P' AND NOT other").select("rel"), self.most)
-                    same = F.col("r") != F.col("rel") if other else F.col("r") == F.col("rel")
-                    parts.append(asked.join(kg, (F.col("ent") == F.col("h")) & same).select("qid", "node", "parent", "up", "h", "r", "t"))
-            if any((height, False, o) in kinds for o in (False, True)):
-                met = given.where("kind <> 'P'").groupBy("qid", "node", "parent", "up", "kind", "fan", "ent").agg(F.count("*").alias("met"))
-                parts.append(bare(met.where("kind = 'U' OR met = fan")))
+            if hops:
+                parts += self._hops(reached.join(here.where("kind = 'P'"), ["qid", "node"]), hops, "qid", "node", "parent", "up")
+            if "U" in groups:
+                parts.append(bare(reached.join(here.where("kind = 'U'"), ["qid", "node"]).select("qid", "node", "parent", "up", "ent").distinct()))
+            if "I" in groups:
+                parts.append(bare(self._met(here.where("kind = 'I'").select("qid", "node", "parent", "up", "fan"), height, written(reached.join(here.where("kind = 'I'").select("qid", "node"), ["qid", "node"], "left_semi"), "reached"), ends)))
+            parts = parts or [self.levels[0].where("false")]
             self.levels.append(written(reduce(DataFrame.union, parts), "level"))
         return self.levels
 
@@ -135,7 +191,7 @@ class Batch:
             return self._down
         levels = self.forward()
         links = self.nodes.where("parent IS NOT NULL").select("qid", F.col("node").alias("child"), F.col("parent").alias("node"), F.col("height").alias("at"))
-        self._down, wanted = [], []
+        self._down, wanted, paths = [], [], []
         for height in range(self.highest, 0, -1):
             here = levels[height]
             roots = here.where("parent IS NULL")
@@ -147,6 +203,14 @@ class Batch:
             # A projection asks its part for the heads of what is left, a group each of its parts for its entities.
             asks = cut.select("qid", "node", F.coalesce("h", "t").alias("ent")).distinct()
             wanted.append(asks.join(links, ["qid", "node"]).select("qid", "child", "ent", "at"))
+            paths.append(cut.where("h IS NULL").select("qid", "node", F.col("t").alias("ent")).join(self.tops, ["qid", "node"]).select("qid", "child", "id", "length", "ent"))
+        # A path's nodes are numbered upwards, without gaps.
+        asks = reduce(DataFrame.union, paths) if paths and self.longest else None
+        for n in range(self.longest if asks is not None else 0, 0, -1):
+            now = asks.where(F.col("length") >= n).withColumnRenamed("ent", "t").join(self.walked[n - 1], ["id", "t"])
+            now = written(now.select("qid", "child", "id", "length", (F.col("child") - F.col("length") + n).alias("node"), "h", "r", "t"), "kept")
+            self._down.append(now)
+            asks = asks.where(F.col("length") < n).union(now.select("qid", "child", "id", "length", F.col("h").alias("ent")).distinct())
         return self._down
 
     def evidence(self) -> DataFrame:

@@ -188,3 +188,18 @@ def test_open_relations_of_shared_anchors(spark):
     low = Lowered(ir.topology("2i"), plan, kg)
     assert sorted(map(tuple, low.answers().collect())) == [(0, 10), (1, 11)]
     assert sorted(map(tuple, low.evidence().collect())) == [(0, 1, 1, 10), (0, 2, 3, 10), (1, 1, 2, 11), (1, 2, 3, 11)]
+
+
+def test_mixed_batch_walks_a_hub_once(spark):
+    """Queries of several topologies share a hub inside an intersection, nested too; it is walked once, not for each of them."""
+    from loomstone.plans import batch
+
+    n = 40
+    kg = spark.createDataFrame([(1, 1, 1000 + i) for i in range(n)] + [(1000 + i, 2, 5000 + i) for i in range(n)] + [(9000 + i, 3, 5000 + i) for i in range(n)] * 2, "h bigint, r int, t bigint")
+    forms = ["((1,(1,2)),({e},(3,)))", "(({e},(3,)),((1,(1,2)),(9001,(3,)),('u',)))"]
+    queries = spark.createDataFrame([(2 * i + k, form.format(e=9000 + i)) for i in range(n) for k, form in enumerate(forms)], "qid long, literal string")
+    run = batch.Batch(batch.literal_nodes(queries)[0], kg)
+    assert sorted(map(tuple, run.answers().collect())) == [(q, 5000 + q // 2) for q in range(2 * n)]
+    edges = sum(x.where("h IS NOT NULL AND r = 1").count() for x in run.levels) + sum(x.where("r = 1").count() for x in run.walked)
+    assert edges == n + n * n  # once for all intersections, once for each query that unites it
+    assert run.evidence().where("qid = 0").orderBy("r").collect() == [(0, 1, 1, 1000, [1]), (0, 1000, 2, 5000, [2]), (0, 9000, 3, 5000, [4])]
