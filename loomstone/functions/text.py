@@ -100,6 +100,12 @@ def relation_parts(key: Column) -> Column:
     return F.struct(F.regexp_extract(key, pattern, 1).alias("predicate"), F.regexp_extract(key, pattern, 2).alias("direction"))
 
 
+def rounded_text(value: Column) -> Column:
+    """A measure as text, rounded to four places and without an exponent, trailing zeros cut behind the first; a negative one that rounds to zero is -0.0."""
+    digits = F.regexp_replace(F.round(value, 4).try_cast("decimal(38,4)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    return F.when((value < 0) & (F.round(value, 4) == 0), "-0.0").otherwise(digits)
+
+
 def four_places(value: Column) -> Column:
     """A measure as text with four places; NA for null and NaN."""
     return F.when(value.isNull() | F.isnan(value), "NA").otherwise(F.format_string("%.4f", value))

@@ -218,14 +218,14 @@ for _q in ("2p", "2i", "2u"):
     @query(O.query(_q, plan_sql(_q), f"SELECT plan.qid, coalesce(string_agg(CAST(ent AS VARCHAR), ',' ORDER BY ent), 'None') AS last, 'ok' AS status, {len(T.OPERATIONS[_q])} AS steps FROM plan LEFT JOIN answers USING (qid) GROUP BY plan.qid", base=_q in BATCHES), f"dynamic_run_{_q}")
     def dynamic_run(spark, sf, q=_q):
         """A staged run that retrieves each step's evidence by the answers before it, with a model that reads well."""
-        found, _ = run_dynamic(plan(spark, sf, q), q, order_graph(spark, sf), _worker)
+        found, _ = run_dynamic(plan(spark, sf, q), q, order_graph(spark, sf, True), _worker)
         return found.select("qid", F.element_at("answers", -1).alias("last"), "status", F.size("answers").alias("steps"))
 
     @query(O.query(_q, plan_sql(_q), _ANSWERS, base=_q in BATCHES), f"retrieved_bound_{_q}")
     def retrieved_bound(spark, sf, q=_q):
         """What follows from the triples that a staged run has retrieved."""
         p = plan(spark, sf, q)
-        return T.bound(run_dynamic(p, q, order_graph(spark, sf), _worker)[1], p, q)
+        return T.bound(run_dynamic(p, q, order_graph(spark, sf, True), _worker)[1], p, q)
 
 
 @query(O.query("2p", plan_sql("2p"), "SELECT DISTINCT qid, h, r, t FROM plan JOIN kg ON kg.h = e1 OR kg.t = e1 OR kg.r = r1 OR kg.r = r2", base=False))
@@ -321,7 +321,7 @@ def accuracy_cost(spark, sf):
     r, calls = _calls(spark, sf)
     a = costs.accuracy_cost(summaries.by_method(r), costs.efficiency(calls))
     ratio = F.col("f1_per_1k_input_tokens")
-    return a.select("model", "method", "qtype", _R6(F.col("f1"), "f1"), _R6(F.col("em_rate"), "em_rate"), _R6(F.col("input_tokens_per_query"), "input_tokens_per_query"), F.when(F.isnan(ratio), "NaN").otherwise(F.round(ratio, 4).cast("string")).alias("ratio"))
+    return a.select("model", "method", "qtype", _R6(F.col("f1"), "f1"), _R6(F.col("em_rate"), "em_rate"), _R6(F.col("input_tokens_per_query"), "input_tokens_per_query"), F.when(F.isnan(ratio), "NaN").otherwise(X.rounded_text(ratio)).alias("ratio"))
 
 
 @query(_REC + "SELECT model, method, qtype, sample, f1, CAST(parse_failed AS DOUBLE) AS parse_failed FROM records")
@@ -410,7 +410,7 @@ def paired_sums(spark, sf):
     pairs = stats.paired(records(spark, sf), _CONTRASTS, ["model", "qtype"], "sample", "f1")
     t = stats.paired_tests(pairs, ["model", "qtype", "contrast"])
     even = (F.col("wins") == 0) & (F.col("losses") == 0) | F.isnan("dz") | (F.abs("dz") == float("inf"))
-    return t.select("model", "qtype", "contrast", "n", _R6(F.col("delta"), "delta"), "wins", "ties", "losses", F.when(even, "none").otherwise(F.round("dz", 4).cast("string")).alias("dz"))
+    return t.select("model", "qtype", "contrast", "n", _R6(F.col("delta"), "delta"), "wins", "ties", "losses", F.when(even, "none").otherwise(X.rounded_text(F.col("dz"))).alias("dz"))
 
 
 # --- exposure ---
@@ -520,7 +520,7 @@ def remap_retention(spark, sf):
     c = C.side_by_side(cells.where("model = 'alpha'"), cells.where("model = 'beta'"), ["method", "qtype"], ["f1"])
     groups = spark.createDataFrame([(g, q) for g, qs in summaries.GROUPS.items() for q in qs], "group string, qtype string")
     k = C.retained(c, groups, ["method"], "f1")
-    return k.select("method", "group", "n_types", _R6(F.col("source_f1"), "source_f1"), _R6(F.col("mapped_f1"), "mapped_f1"), F.when(F.isnan("ratio"), "NaN").otherwise(F.round("ratio", 4).cast("string")).alias("ratio"))
+    return k.select("method", "group", "n_types", _R6(F.col("source_f1"), "source_f1"), _R6(F.col("mapped_f1"), "mapped_f1"), F.when(F.isnan("ratio"), "NaN").otherwise(X.rounded_text(F.col("ratio"))).alias("ratio"))
 
 
 @query(O.query("up", plan_sql("up"), "SELECT qid, CASE WHEN qid % 11 = 0 THEN 'missing' ELSE 'different' END AS problem FROM plan WHERE qid % 11 = 0 OR qid % 7 = 0"))
@@ -692,7 +692,7 @@ def mechanism_summary(spark, sf):
     """Means over stages beside conditional rates over samples, by topology and by group of topologies."""
     r = records(spark, sf).select("model", "qtype", "sample", F.col("method").alias("stage"), F.col("exact_match").alias("exact"), (F.col("recall") == 1).cast("int").alias("contained"), F.when(F.col("method") == "isolated", F.col("exact_match")).otherwise(0).alias("final_exact"), "f1")
     m = summaries.mechanism(r, ["model"], ["f1"])
-    text = lambda c: F.when(F.isnan(c), "NaN").otherwise(F.round(c, 4).cast("string")).alias(c)
+    text = lambda c: F.when(F.isnan(c), "NaN").otherwise(X.rounded_text(F.col(c))).alias(c)
     return m.select("model", "level", "name", "stages", _R6(F.col("f1"), "f1"), "samples", _R6(F.col("all_exact_rate"), "all_exact_rate"), _R6(F.col("all_contained_rate"), "all_contained_rate"), "recoverable", text("recovery_rate"), text("final_given_contained"))
 
 

@@ -462,3 +462,11 @@ def test_audited_entities_and_failure_rates(spark):
     rows = [("m", 1, 0, "ok"), ("m", 1, 1, "ok"), ("m", 2, 0, "cuda_oom"), ("m", 2, None, None), ("m", 3, 0, "ok")]
     x = summaries.failure_rates(spark.createDataFrame(rows, "model string, sample int, parse_failed int, status string"), ["model"]).first()
     assert x.n == 3 and x.parse_failure_rate == pytest.approx(1 / 3) and x.status_failure_rate == pytest.approx(1 / 3) and x.any_failure_rate == pytest.approx(2 / 3)
+
+
+def test_rounded_text_has_no_exponent(spark):
+    from loomstone.functions.text import rounded_text
+
+    values = [0.00042, -0.0007, -0.00001, 0.0, 12.34, -3.0, 12345678.9, 0.67, 100.0]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(rounded_text(F.col("x")).alias("x")).collect()
+    assert [r.x for r in got] == ["0.0004", "-0.0007", "-0.0", "0.0", "12.34", "-3.0", "12345678.9", "0.67", "100.0"]
