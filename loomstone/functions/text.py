@@ -59,7 +59,8 @@ def final_answer(text: Column) -> Column:
 def strict_set(text: Column) -> Column:
     """array<bigint>: null for blank or malformed text, empty for None, else the distinct sorted integers."""
     t = F.trim(text)
-    return F.when(t.isNull() | (t == ""), None).when(t == "None", F.array().cast("array<bigint>")).when(t.rlike(r"^-?[0-9]+(\s*,\s*-?[0-9]+)*$"), F.array_sort(F.array_distinct(F.transform(F.split(t, r"\s*,\s*"), lambda x: x.try_cast("long")))))
+    items = F.split(t, r"\s*,\s*")  # item by item: one expression over a long list overflows the matcher's stack
+    return F.when(t.isNull() | (t == ""), None).when(t == "None", F.array().cast("array<bigint>")).when(F.forall(items, lambda x: x.rlike("^-?[0-9]+$")), F.array_sort(F.array_distinct(F.transform(items, lambda x: x.try_cast("long")))))
 
 
 def lenient_set(text: Column) -> Column:

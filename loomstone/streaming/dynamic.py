@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import parsed_answer
 from ..functions.text import checked_set
 from ..plans.evidence import evidence_text, phase_evidence
+from ..plans.lowering import only
 from ..plans.prompts import INSTRUCTION, QUESTION, STEP_PREMISE, step_questions, with_answers
 from ..plans.stages import OPERATIONS
 from .staged import SKIPPED, TERMINAL, generated, written
@@ -37,7 +38,7 @@ def run_dynamic(plan: DataFrame, qtype: str, kg: DataFrame, model: Callable[[lis
         if kind != "and" and kind != "or":
             relation = todo.select("qid", F.col(f"r{n}").alias("want"))
             heads = live.select("qid").join(todo.select("qid", F.col(f"e{n}").alias("ent")), "qid") if kind == "hop" else live.select("qid", F.explode("last").alias("ent"))
-            facts = written(phase_evidence(heads.join(relation, "qid"), kg, F.col("want")), "premises")
+            facts = written(phase_evidence(heads.join(relation, "qid"), only(kg, relation.select("want")), F.col("want")), "premises")
             part = facts.select("qid", F.lit(n).alias("step"), "h", "r", "t")
             premises = part if premises is None else premises.union(part)
             live = live.join(facts.groupBy("qid").agg(evidence_text().alias("triples")), "qid", "left")

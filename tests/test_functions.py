@@ -470,3 +470,11 @@ def test_rounded_text_has_no_exponent(spark):
     values = [0.00042, -0.0007, -0.00001, 0.0, 12.34, -3.0, 12345678.9, 0.67, 100.0]
     got = spark.createDataFrame([(x,) for x in values], "x double").select(rounded_text(F.col("x")).alias("x")).collect()
     assert [r.x for r in got] == ["0.0004", "-0.0007", "-0.0", "0.0", "12.34", "-3.0", "12345678.9", "0.67", "100.0"]
+
+
+def test_long_answer_sets(spark):
+    text = ", ".join(map(str, range(60_000, 0, -1)))
+    odd = ["1,,2", "1, 2,", ",1", "1;2", "-", "3 , -2,3", " 7 ", "None", ""]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([text, text + ",x", *odd])], "i int, x string").select("i", X.strict_set(F.col("x")).alias("x")).orderBy("i").collect()
+    assert rows[0].x == list(range(1, 60_001))
+    assert [r.x for r in rows[1:]] == [None] * 6 + [[-2, 3], [7], [], None]
