@@ -203,3 +203,11 @@ def test_mixed_batch_walks_a_hub_once(spark):
     edges = sum(x.where("h IS NOT NULL AND r = 1").count() for x in run.levels) + sum(x.where("r = 1").count() for x in run.walked)
     assert edges == n + n * n  # once for all intersections, once for each query that unites it
     assert run.evidence().where("qid = 0").orderBy("r").collect() == [(0, 1, 1, 1000, [1]), (0, 1000, 2, 5000, [2]), (0, 9000, 3, 5000, [4])]
+
+
+def test_index_of_some_relations(spark):
+    from loomstone.sources.graph import order_graph, order_index
+
+    some = order_index(spark, "/root/testdata/sf0.001", (4, 1, 2))
+    assert {x.r for x in some.select("r").distinct().collect()} == {1, 2, 4}
+    assert some.count() == order_graph(spark, "/root/testdata/sf0.001").where("r IN (1, 2, 4)").count()
