@@ -190,7 +190,7 @@ def _ordered(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame, buckets: int, run: int, words: int) -> DataFrame:
-    """(bucket, blob) of each task's first occurrences, and (null, blob) of its repeats."""
+    """(bucket, blob) of each task's first occurrences, and (null, blob) of its repeats. A blob leaves as soon as it is packed, and what it was packed from is held once."""
 
     def flush(held, keys):
         size = [len(x[0]) for x in held]
@@ -200,6 +200,8 @@ def occurrences(docs: DataFrame, buckets: int, run: int, words: int) -> DataFram
         for name, i in (("id", 0), ("t", 1), ("n", 2)):
             found[name] = np.repeat(np.array([k[i] for k in keys], _SPAN[name]), size)
         ends = np.concatenate([x[3] for x in held])
+        held.clear()
+        keys.clear()
         order, new, again = _ordered(found)
         found, ends = found[order], ends[order]
         if (repeat := ~new & ~again).any():
@@ -222,12 +224,12 @@ def occurrences(docs: DataFrame, buckets: int, run: int, words: int) -> DataFram
                     keys.append((doc_id or 0, t & _TEXT, NULL * (doc_id is None)))
                     size += len(found[0])
                 if size >= FLUSH or len(held) == TEXTS:
-                    out = list(flush(held, keys))
-                    yield {"bucket": [x for x, _ in out], "blob": [x for _, x in out]}
-                    held, keys, size = [], [], 0
+                    for x, blob in flush(held, keys):
+                        yield {"bucket": [x], "blob": [blob]}
+                    size = 0
         if held:
-            out = list(flush(held, keys))
-            yield {"bucket": [x for x, _ in out], "blob": [x for _, x in out]}
+            for x, blob in flush(held, keys):
+                yield {"bucket": [x], "blob": [blob]}
 
     return map_batches(keyed(docs).select("doc_id", "t", "text").where(F.length("text") > 0), task, "bucket int, blob binary")
 

@@ -65,7 +65,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, segm
             yield segment()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("t", F.xxhash64("text")).repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t", "text")
-    map_batches(ordered.select("doc_id", "text"), run, SEGMENT, rows=2048).write.option("compression", "none").parquet(path)
+    map_batches(ordered.select("doc_id", "text"), run, SEGMENT, rows=2048, keep=True).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, crc_only: bool = False) -> DataFrame:
@@ -97,7 +97,7 @@ def read_ids(spark: SparkSession, path: str, crc_only: bool = False) -> DataFram
                     out["ids"] = [ids[e - c : e].tolist() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield out
 
-    return map_batches(joined, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if crc_only else ", ids array<long>"), rows=4)
+    return map_batches(joined, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if crc_only else ", ids array<long>"), rows=4, keep=True)
 
 
 def op8_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:

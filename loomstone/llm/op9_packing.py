@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int) -> DataFra
                     seen[length] += 1
             yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {k: [] for k in names}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long", rows=2048)
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long", rows=2048, keep=True)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limit: int = 2048) -> DataFrame:
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limit: int = 2048) -
                 offset[own] = row[:, 3] + nth % row[:, 1] * x
             yield b | {"length": length, "sequence_id": sequence, "offset": offset}
 
-    return map_batches(ranked, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", rows=8192)
+    return map_batches(ranked, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", rows=8192, keep=True)
 
 
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

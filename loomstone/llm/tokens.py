@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,7 @@ import pyarrow.compute as pc
 import regex
 
 from .bpe import _ODD, SPACE
+from .scratch import kept
 
 
 def default_vocabulary() -> str:
@@ -217,7 +217,7 @@ class LibraryEncoder:
         return out
 
 
-@lru_cache(4)
+@kept
 def library_encoder(path: str) -> LibraryEncoder:
     """One for each path and process."""
     return LibraryEncoder(path)

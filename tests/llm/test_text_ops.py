@@ -347,6 +347,35 @@ def test_jaccard_join_counts_links(spark, monkeypatch):
     assert got == {i: (component[i], links[i]) for i in ids} and max(links) > 10
 
 
+def test_near_copies_are_a_pair_once(spark):
+    """Near copies share keys of most buckets; they are a pair in the tile of their common least or greatest key alone."""
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:-1]))], "doc_id long, text string")
+    keys = op7_jaccard_join.class_keys(docs, np.zeros(1 << op7_jaccard_join.SKETCH_BITS, np.uint8), frozenset(), 16).where("bucket IS NOT NULL").select("bucket", "blob")
+    assert keys.select("bucket").distinct().count() > 10
+    assert op7_jaccard_join.tiles(keys, 16, op7_jaccard_join._ONE, op7_jaccard_join.LARGE).count() == 1
+
+
+def test_workers_let_go_of_vocabularies(spark):
+    """A task that doesn't use vocabularies drops those that a worker has kept, and batches of texts are short."""
+    from loomstone.llm import scratch, tokens
+
+    path = tokens.default_vocabulary()
+    docs = spark.createDataFrame([(0, "some words")], "doc_id long, text string").coalesce(1)
+
+    def held(use):
+        def run(batches):
+            for b in batches:
+                if use:
+                    tokens.library_encoder(path).encode(b["text"])
+                yield {"n": [tokens.library_encoder.cache_info().currsize]}
+
+        return scratch.map_batches(docs, run, "n int", keep=use).first().n
+
+    assert held(True) == 1 and held(False) == 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= scratch.ARROW_ROWS
+
+
 def test_jaccard_bounds():
     """Linked sizes lie in one size band or two neighbouring ones; bitmaps never rule a link out; spanning links hold together what all links do."""
     low = op7_jaccard_join.bands(3000)
