@@ -182,6 +182,22 @@ def test_intersections_cost_what_their_smallest_part_has(spark, tmp_path):
     assert sum(df.count() for df in low.edges.values()) == 4 * n  # the second part's triples are given twice
 
 
+def test_tables_that_grow_are_not_sent_through_the_driver(spark):
+    """Files of a few MB hold more rows than a driver should collect to broadcast them: edges, parts of intersections, orders and customers are joined where they lie."""
+    from loomstone import registry
+
+    kg = spark.createDataFrame([(1, 1, 10), (10, 2, 50), (9, 3, 50)], "h bigint, r int, t bigint")
+    plan = spark.createDataFrame([(0, 1, 9)], "qid bigint, e1 bigint, e2 bigint")
+    joins = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in x]
+    found = {
+        "t#": joins(Lowered(ir.topology("pi"), plan, kg, {1: 1, 2: 2, 3: 3}, stored=True).evidence()), "ent#": joins(Lowered(ir.topology("pi"), plan, kg, {1: 1, 2: 2, 3: 3}).answers()),
+        "_orderkey#": joins(registry.base(spark, "/root/testdata/sf0.001")), "_custkey#": joins(registry.base(spark, "/root/testdata/sf0.001")), "_suppkey#": joins(registry.base(spark, "/root/testdata/sf0.001")),
+    }
+    for key, lines in found.items():
+        mine = [x for x in lines if key in x and (key.startswith("_") or "[e1#" in x or "[e2#" in x)]
+        assert mine and all("SortMergeJoin" in x for x in mine), (key, lines)
+
+
 def test_open_relations_of_shared_anchors(spark):
     kg = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 3, 10), (2, 3, 11), (2, 4, 12)], "h bigint, r int, t bigint")
     plan = spark.createDataFrame([(0, 1, 2, 1, 3), (1, 1, 2, 2, 3), (2, 1, 2, 2, 4), (3, None, 2, 1, 3)], "qid bigint, e1 bigint, e2 bigint, r1 int, r2 int")
