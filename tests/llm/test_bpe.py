@@ -2,6 +2,7 @@ import collections
 import hashlib
 import json
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -180,6 +181,24 @@ def test_ids_do_not_depend_on_what_was_read_before(lib):
         assert [want[t] for t in order] == [i for k in range(0, len(order), 300) for i in encoder.encode(order[k : k + 300])]
 
 
+def test_known_parts_are_looked_up_together(lib):
+    """A batch of known words costs far less than one Python call for each; memos are cut to what was used, and ids stay the library's."""
+    r = random.Random(4)
+    words = ["".join(r.choices("aeinthrsou", k=7)) for _ in range(20_000)]
+    encoder = tokens.LibraryEncoder(PATH)
+    texts = [" ".join(words[a : a + 100]) + " " + " ".join(w + "!?" for w in words[a : a + 20]) for a in range(0, len(words), 100)]
+    first = encoder.encode(texts)
+    calls = collections.Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    again = encoder.encode(texts)
+    sys.setprofile(None)
+    assert again == first and calls["c_call"] + calls["call"] < len(words) / 2
+    small = tokens.LibraryEncoder(PATH, size=300)
+    for a in range(0, 60, 3):
+        assert small.encode(texts[a : a + 3] + texts[:1]) == [ids_of(lib, t) for t in texts[a : a + 3] + texts[:1]]
+        assert len(small.words.row) <= 800 and len(small.words.flat) <= 8 * 800 and len(small.chunks.row) <= 500
+
+
 def test_another_pattern_goes_to_the_library(tmp_path, lib):
     spec = json.loads(lib.to_str())
     spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[^\s\p{L}]+"
