@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -632,3 +633,19 @@ def test_tables_of_many_steps_and_stray_free_frames():
     stray = bytes([0xFF, 0xFB, 0x00, 0xC4]) + b"\x55" * 200
     mpeg.parse(stray * 20_000)
     assert time.time() - began < 20
+
+
+def test_pairs_carry_narrow_bitmaps_first(spark):
+    """Classes have bitmaps of two widths, and pairs that the narrow ones rule out don't reach the wide ones; what stays is what the wide ones alone let through."""
+    r = random.Random(6)
+    texts = []
+    for n in (30, 90, 700):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"v{r.randrange(10**6)}" for _ in range(n))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signs = op7_jaccard_join.class_keys(docs, np.zeros(1 << op7_jaccard_join.SKETCH_BITS, np.uint8), frozenset(), 16).where("k IS NOT NULL")
+    assert sorted((len(x.rough), len(x.bits)) for x in signs.collect()) == [(32, 128)] * 6 + [(128, 1024)] * 3
+    pairs = signs.selectExpr("k AS a").crossJoin(signs.selectExpr("k AS b")).where("a < b")
+    rough = op7_jaccard_join._near(pairs, signs.selectExpr("k", "n", "rough AS bits"))
+    plain = sorted(op7_jaccard_join._near(pairs, signs.select("k", "n", "bits")).collect())
+    assert sorted(op7_jaccard_join.near(pairs, signs).collect()) == plain and len(plain) == 3 and rough.count() < pairs.count() / 2
