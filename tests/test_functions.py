@@ -331,6 +331,25 @@ def test_distractors(spark):
     assert len(far) == kg.where("h = 19 AND r = 2").count()
 
 
+def test_distractors_write_what_phases_meet(spark, monkeypatch):
+    kg = spark.range(20_000).select((F.col("id") % 4000).alias("h"), (F.col("id") % 2).cast("int").alias("r"), F.col("id").alias("t"))
+    steps = kg.where("h = 7 AND r = 1").select(F.lit(0).cast("long").alias("qid"), F.lit(1).alias("step"), "h", "r", "t")
+    phases = spark.createDataFrame([(0, 1, 1)], "qid bigint, step int, relation int")
+    rows, write = [], perturb.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(perturb, "written", counted)
+    draw = lambda **more: {tuple(r) for r in perturb.distractors(steps, kg, phases, 1.0, 5, 9, **more).collect()}
+    once = draw()
+    assert len(once) == 5 and sum(rows) < 1000
+    # Triples that come several times are drawn once, and counted once.
+    assert draw(repeated=kg.union(kg)) == once
+
+
 def test_sampling_is_stable(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
     a = {tuple(r) for r in sampling.per_group(df, ["g"], 4, "x", ["k"]).select("g", "k").collect()}
