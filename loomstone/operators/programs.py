@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lowering import MOST_RELATIONS
 from ..streaming.staged import written
 
 DIRECTIONS = ("forward", "backward")
@@ -206,12 +207,15 @@ def executed(nodes: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes`` has (qid, node, kind, left, right, name, height), the trees of a batch of queries; ``names`` (id, name),
     where a name may seed several ids; ``edges`` (h, predicate, direction, t).  A batch is run height by height:
     there are as many rounds as the highest tree has levels, each a few joins over all queries, and each is
-    written before the next.  A name that nobody bears and a hop that leads nowhere give no entities.
+    written before the next.  A name that nobody bears and a hop that leads nowhere give no entities.  Of the edges only
+    those of predicates and directions that the batch names are read, if these are at most MOST_RELATIONS.
     """
     nodes = written(nodes.select("qid", "node", "kind", "left", "right", "name", "height"), "nodes")
     keyed = edges.select(F.col("h").alias("ent"), F.concat_ws("::", "predicate", "direction").alias("name"), "t")
     anchors = nodes.where("kind = 'A'").join(names.select("name", F.col("id").alias("ent")).distinct(), "name")
     done = written(anchors.select("qid", "node", "ent"), "reached")
+    asked = [x[0] for x in nodes.where("kind = 'P'").select("name").distinct().limit(MOST_RELATIONS + 1).collect()]
+    keyed = keyed.where(F.col("name").isin(asked)) if len(asked) <= MOST_RELATIONS else keyed
     highest = nodes.agg(F.max("height")).first()[0] or 0
     for height in range(1, highest + 1):
         here = nodes.where(F.col("height") == height)

@@ -350,6 +350,15 @@ def test_distractors_write_what_phases_meet(spark, monkeypatch):
     assert draw(repeated=kg.union(kg)) == once
 
 
+def test_programs_read_the_predicates_they_name(spark):
+    names = spark.createDataFrame([("1", "A")], "id string, name string")
+    parts = spark.createDataFrame([(1, 0, "A", ["p::forward"])], "qid int, branch int, anchor string, path array<string>")
+    edges = spark.createDataFrame([("1", "p", "forward", "3"), ("1", "q", "forward", "4"), ("1", "p", "backward", "5")], "h string, predicate string, direction string, t string")
+    asked = (F.col("predicate") == "p") & (F.col("direction") == "forward")
+    edges = edges.withColumn("t", F.when(asked, F.col("t")).otherwise(F.raise_error("read")))
+    assert [tuple(r) for r in programs.executed_paths(parts, names, edges).collect()] == [(1, "3")]
+
+
 def test_sampling_is_stable(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
     a = {tuple(r) for r in sampling.per_group(df, ["g"], 4, "x", ["k"]).select("g", "k").collect()}
