@@ -405,6 +405,28 @@ def brute_components_of(n, links):
     return label
 
 
+def test_jaccard_join_deals_shared_keys_alone(spark):
+    words = [f"w{i}" for i in range(9000)]
+    texts = [" ".join(words[100 * i : 100 * i + 100]) for i in range(80)] + [" ".join([*words[:99], "other"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    weights = np.zeros(1 << op7_jaccard_join.SKETCH_BITS, np.uint8)
+    packed = op7_jaccard_join.class_keys(docs, weights, frozenset(), 16)
+    blobs = [op7_jaccard_join.undealt(r.blob, np.dtype(op7_jaccard_join._ONE)) for r in packed.where("bucket IS NOT NULL").collect()]
+    assert len({k for records, _ in blobs for k in records["k"].tolist()}) == 2 and packed.where("k IS NOT NULL").count() == 81
+    assert op7_jaccard_join.tiles(packed.where("bucket IS NOT NULL").select("bucket", "blob"), 16, op7_jaccard_join._ONE, op7_jaccard_join.LARGE).distinct().count() == 1
+
+
+def test_rows_are_picked_by_their_marks(spark):
+    df = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("t"))
+    df = df.withColumn("mark", op7_jaccard_join.mark("doc_id", "t"))
+    some = df.where("doc_id IS NULL OR doc_id % 50 = 0")
+    taken = op7_jaccard_join.seats(some.select("mark"))
+    picked = {r.doc_id for r in op7_jaccard_join.seated(df, taken).collect()}
+    assert picked >= {r.doc_id for r in some.collect()} and len(picked) < 200
+    assert {r.doc_id for r in op7_jaccard_join.seated(df, taken, False).collect()} == {r.doc_id for r in df.collect()} - picked
+    assert not op7_jaccard_join.seats(some.where("false").select("mark")).any()
+
+
 def test_jaccard_join_keeps_texts_of_one_id_apart(spark):
     """Several texts without an id and several of one id: each links by its own set, and the pipeline keeps one row of each component."""
     import corpus_pipeline
