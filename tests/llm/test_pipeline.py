@@ -37,6 +37,24 @@ def test_stages(spark):
     assert max(sizes.values()) <= 2048 and sum(sizes.values()) / 2048 / len(sizes) > 0.97
 
 
+def test_near_duplicates_look_up_few_rows(spark, monkeypatch):
+    words = [f"w{i}" for i in range(6000)]
+    text = lambda i: " ".join(words[100 * i : 100 * i + 100])
+    rows = [(i, text(i)) for i in range(50)] + [(50, text(0) + " more"), (51, text(1)), (52, text(52)), (52, text(52)), (None, text(2)), (None, text(53)), (54, None), (54, None), (55, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    looked, same_row = [], corpus_pipeline.op7_jaccard_join.same_row
+
+    def spied(a, b, how="inner"):
+        looked.append((how, a.count()))
+        return same_row(a, b, how)
+
+    monkeypatch.setattr(corpus_pipeline.op7_jaccard_join, "same_row", spied)
+    got = collections.Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    wanted = collections.Counter(rows) - collections.Counter([(50, text(0) + " more"), (51, text(1)), (52, text(52)), (None, text(2))])
+    assert got == wanted
+    assert dict(looked)["left"] < 12
+
+
 def test_empty_corpus(spark):
     docs = table(spark, SF, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
