@@ -100,10 +100,52 @@ def parsed_literals(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_parsed(t) for t in texts], columns=_PARSED.names)
 
 
+#: A whole number that stands alone: of 18 digits at most, beside no letter, quote, sign or point, and no character beyond ASCII.
+_ALONE = r"""(?<![0-9A-Za-z_.'"+\-\\]|[^\x00-\x7f])(?:0|[1-9][0-9]{0,17})(?![0-9A-Za-z_.'"\\]|[^\x00-\x7f])"""
+#: What a number is written as in a literal's form, and from where on the form's numbers count when it is read.
+_BLANK, _FIRST = "\u2400", 7_355_608_000_000_000_000
+_PLACE = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("value", T.LongType())])
+_SLOTS = T.StructType([T.StructField("ent", _PLACE), T.StructField("hops", T.ArrayType(T.StructType([T.StructField("rel", _PLACE), T.StructField("other", T.BooleanType())])))])
+_FORM = T.StructType([T.StructField("nodes", T.ArrayType(T.StructType([*_NODE.fields[:6], T.StructField("ent", _PLACE), T.StructField("rel", _PLACE), T.StructField("other", T.BooleanType()), T.StructField("inner", T.BooleanType()), T.StructField("way", _SLOTS)]))), T.StructField("plain", T.BooleanType())])
+
+
+def _form(form: str) -> dict:
+    """The nodes of a literal's form, entities and relations as places among the literal's numbers or as values; not ``plain`` if it is no query or not told by its form."""
+    count = form.count(_BLANK)
+    text = form
+    for i in range(count):
+        text = text.replace(_BLANK, str(_FIRST + i), 1)
+    read = _parsed(text) if str(_FIRST)[:7] not in form else {"nodes": None}
+    if read["nodes"] is None:
+        return {"nodes": None, "plain": False}
+    place = lambda x: None if x is None else {"at": x - _FIRST, "value": None} if _FIRST <= x < _FIRST + count else {"at": None, "value": x}
+    way = lambda w: w and {"ent": place(w["ent"]), "hops": [{"rel": place(h["rel"]), "other": h["other"]} for h in w["hops"]]}
+    return {"nodes": [n | {"ent": place(n["ent"]), "rel": place(n["rel"]), "way": way(n["way"])} for n in read["nodes"]], "plain": True}
+
+
+@F.pandas_udf(_FORM)
+def parsed_forms(forms: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_form(f) for f in forms], columns=_FORM.names)
+
+
 def literal_nodes(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node table, faults (qid, error)) of ``queries`` (qid, literal): each literal by its own tree, whatever its topology."""
-    both = queries.select("qid", parsed_literals("literal").alias("p"))
-    return both.where("p.error IS NULL").select("qid", F.inline("p.nodes")), both.where("p.error IS NOT NULL").select("qid", "p.error")
+    """(node table, faults (qid, error)) of ``queries`` (qid, literal): each literal by its own tree, whatever its topology.
+
+    A literal's form is the literal without its numbers.  Each form is parsed once, and its nodes are filled with the numbers
+    of the literals that have it; a literal whose form is no query is parsed by itself, which tells why.
+    """
+    blank = F.coalesce(F.col("literal"), F.lit(""))
+    form = F.when(F.contains(blank, F.lit(_BLANK)), F.lit("")).otherwise(F.regexp_replace(blank, F.lit(_ALONE), F.lit(_BLANK)))
+    texts = queries.select("qid", "literal", form.alias("form"), F.regexp_extract_all(blank, F.lit(_ALONE), F.lit(0)).cast("array<bigint>").alias("numbers"))
+    forms = written(texts.select("form").distinct().select("form", parsed_forms("form").alias("p")).select("form", "p.*"), "forms")
+    met = texts.join(forms, "form")
+    odd = written(met.where("NOT plain").select("qid", parsed_literals("literal").alias("p")).select("qid", "p.*"), "odd")
+    value = lambda x: F.coalesce(F.get(F.col("numbers"), x["at"]), x["value"])
+    hop = lambda h: F.struct(value(h["rel"]).cast("int").alias("rel"), h["other"].alias("other"))
+    way = lambda w: F.when(w.isNotNull(), F.struct(value(w["ent"]).alias("ent"), F.transform(w["hops"], hop).alias("hops")))
+    filled = lambda n: F.struct(*[n[f.name].alias(f.name) for f in _NODE.fields[:6]], value(n["ent"]).alias("ent"), value(n["rel"]).cast("int").alias("rel"), n["other"].alias("other"), n["inner"].alias("inner"), way(n["way"]).alias("way"))
+    nodes = met.where("plain").select("qid", F.inline(F.transform("nodes", filled)))
+    return nodes.union(odd.where("error IS NULL").select("qid", F.inline("nodes"))), odd.where("error IS NOT NULL").select("qid", "error")
 
 
 class Batch:

@@ -221,6 +221,28 @@ def test_mixed_batch_walks_a_hub_once(spark):
     assert run.evidence().where("qid = 0").orderBy("r").collect() == [(0, 1, 1, 1000, [1]), (0, 1000, 2, 5000, [2]), (0, 9000, 3, 5000, [4])]
 
 
+def test_literals_are_parsed_once_a_form(spark, monkeypatch):
+    from loomstone.plans import batch
+
+    many = [f"(({i},(1,{i})),(7,(2,'n')))" for i in range(300)]
+    odd = ["('12',(3,))", "( ' 12 ' ,(3,))", "(007,(1,))", "(-5,(1,))", "(+5,(1,))", "(1_0,(2,))", "(0,(0,))", "(1.0,(2,))", "(12,(3 ,4))", "('\uff15 1',(2,))", "('\uff151',(2,))", "(1,(\u2400,))", "(7355608000000000001,(1,))", "(True,(1,))", "(0x10,(1,))", "(1e2,(1,))", "({5},(1,))", "(1,(2,)) # 3", None]
+    queries = spark.createDataFrame(list(enumerate(many + odd)), "qid long, literal string")
+    sizes, write = {}, batch.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(batch, "written", counted)
+    nodes, faults = batch.literal_nodes(queries)
+    whole = queries.select("qid", batch.parsed_literals("literal").alias("p")).select("qid", "p.*")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(nodes) == rows(whole.where("error IS NULL").selectExpr("qid", "inline(nodes)"))
+    assert rows(faults) == rows(whole.where("error IS NOT NULL").select("qid", "error"))
+    assert sizes["forms"] <= 1 + len(odd) and sizes["odd"] <= len(odd)
+
+
 def test_index_of_some_relations(spark):
     from loomstone.sources.graph import order_graph, order_index
 
