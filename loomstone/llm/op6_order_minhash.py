@@ -23,10 +23,12 @@ from .scratch import stored, table
 K, BINS, RUN, LONGEST = 3, 32, 8, 16
 #: Thai, Lao, Burmese, Khmer, kana and Han.
 _UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
-_RUN = rf"[^\s\u00a0\u3000{_UNSPACED}]"
+#: ASCII's visible characters first: most characters are told by the first range alone.
+_RUN = rf"[!-~[^\s\u00a0\u3000{_UNSPACED}]]"
 #: Behind which a long run is cut: every sixth character of Latin-1, and some vowels of Greek and Cyrillic.
 CUTS = "".join(rf"\x{c:02x}" for c in range(0x21, 0x100) if c % 6 == 1) + r"\u03b1\u03bf\u0430\u043e"
-SYMBOL = rf"[{_UNSPACED}]|{_RUN}{{1,{RUN}}}+(?!{_RUN})|{_RUN}{{2,{LONGEST - 1}}}?[{CUTS}]|{_RUN}{{1,{LONGEST}}}"
+#: A symbol doesn't begin with a space or a line's end, which is looked at first.
+SYMBOL = rf"(?=[^ \n])(?:{_RUN}{{1,{RUN}}}+(?!{_RUN})|{_RUN}{{2,{LONGEST - 1}}}?[{CUTS}]|{_RUN}{{1,{LONGEST}}}|[{_UNSPACED}])"
 #: A packed long: the hash in the upper 37 bits below the sign, the position in the lower 26.
 POSITION_BITS, HASH_BITS = 26, 37
 BIN_SHIFT = POSITION_BITS + HASH_BITS - 5

@@ -405,6 +405,19 @@ def brute_components_of(n, links):
     return label
 
 
+def test_order_minhash_symbols_are_told_by_any_character(spark):
+    m = op6_order_minhash
+    run = rf"[^\s\u00a0\u3000{m._UNSPACED}]"
+    plain = rf"[{m._UNSPACED}]|{run}{{1,{m.RUN}}}+(?!{run})|{run}{{2,{m.LONGEST - 1}}}?[{m.CUTS}]|{run}{{1,{m.LONGEST}}}"
+    rng = random.Random(5)
+    letters = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x11000)]]
+    texts = ["".join(f"{c}ab{c * 9}" for c in letters[a : a + 500]) for a in range(0, len(letters), 500)]
+    texts += ["".join(rng.choice(" \n\t\u00a0\u3000\u85abcdefgh%+xyz\u4e00\u0e01\u03b1\u0430") for _ in range(400)) for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    symbols = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    assert m._RUN.startswith("[!-~[") and df.where(symbols(plain) != symbols(m.SYMBOL)).count() == 0
+
+
 def test_jaccard_join_deals_shared_keys_alone(spark):
     words = [f"w{i}" for i in range(9000)]
     texts = [" ".join(words[100 * i : 100 * i + 100]) for i in range(80)] + [" ".join([*words[:99], "other"])]
